@@ -71,3 +71,15 @@ def crc_of_id(column: str = "doc_id") -> Column:
 def salted(*columns: str, salts: int = SALTS) -> Column:
     """A salt that depends on the row alone, the same when a lost task runs again."""
     return F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(salts)).cast("int")
+
+
+def with_group(rows: DataFrame, keys: list[str], partial: Column, final: Column, name: str, spread: list[str]) -> DataFrame:
+    """``rows`` with ``name``, an aggregate over each row's group; rows are read twice, so they should be stored.
+
+    ``partial`` aggregates ``rows`` into a column ``part``; ``final`` aggregates ``part``.  Groups are reduced by key
+    and salt first and joined back by key and salt, so no task gets a whole hot group.  ``spread``: columns of the salt.
+    """
+    dealt = rows.withColumn("_salt", salted(*spread))
+    parts = dealt.groupBy(*keys, "_salt").agg(partial.alias("part"))
+    whole = parts.groupBy(*keys).agg(final.alias(name))
+    return dealt.join(parts.select(*keys, "_salt").join(whole, keys), [*keys, "_salt"]).drop("_salt")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from seqloom.llm import bpe, exact_dedup, packing
+from seqloom.llm import bpe, exact_dedup, packing, simhash
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_byte_bpe": bpe.query,
+    "op10_simhash_near_dedup": simhash.query,
 }
 
 SQL = {"op4_exact_dedup": exact_dedup.SQL}
