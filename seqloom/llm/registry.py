@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from seqloom.llm import bpe, exact_dedup, packing, simhash
+from seqloom.llm import bpe, exact_dedup, langid, packing, secrets_scan, simhash
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
+    "op2_secret_scan": secrets_scan.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_byte_bpe": bpe.query,
+    "op9_language_id": langid.query,
     "op10_simhash_near_dedup": simhash.query,
 }
 
