@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from seqloom.llm import bpe, exact_dedup, langid, packing, secrets_scan, simhash
+from seqloom.llm import bpe, exact_dedup, langid, packing, pii, secrets_scan, simhash
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_secret_scan": secrets_scan.query,
+    "op3_pii": pii.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_byte_bpe": bpe.query,
     "op9_language_id": langid.query,
