@@ -1,9 +1,11 @@
 """Toxicity: a linear-chain conditional random field tags toxic tokens; its marginals score documents.
 
 Labelled tokens come from labelled documents: words whose share of toxic documents is beyond chance (log likelihood
-ratio over document counts, GAIN at least) are the lexicon; in toxic documents they are labelled toxic, in others clean.
+ratio over document counts, GAIN at least) are the lexicon, and so are beginnings of words, which inflected forms share,
+and beginnings that REPEATS words of a document have, as those that are frequent by chance seldom come again.  In toxic
+documents the tokens that the lexicon marks are labelled toxic, in others clean.
 The field is trained on stretches around lexicon words.  Forward-backward gives each token's probability; a document's
-score is a logistic function of its highest probability and its expected number of toxic tokens, fitted on the
+score is a logistic function of its highest probability and its expected number of toxic tokens, also per word, fitted on the
 labelled documents.  Tokens outside the lexicon without a lexicon word within REACH words take no part.
 
 Learning reads a sample by hash of at most about TRAIN_ROWS labelled documents, half of them toxic if there are as many;
@@ -33,15 +35,24 @@ from seqloom.session import materialize, release
 #: Labelled documents that are expected in the sample, and stretches for training the field.
 TRAIN_ROWS = 16_000
 TRAIN_CHAINS = 2_000
+#: Stretches of one document that can be among them.
+STRETCHES = 4
 LEXICON = 1_000
 #: Least log likelihood ratio (natural logarithm) of a lexicon word, and least number of toxic documents with it.
-GAIN = 10.0
+GAIN = 12.0
 LEAST = 4
 #: Words on either side of a lexicon word that belong to its stretch.
 REACH = 8
+#: Lengths of beginnings of words that can be in the lexicon, written with a star, or two if it takes REPEATS of them.
+STARTS = (4, 5, 6, 7)
+REPEATS = 3
+#: Words that a worker remembers to be outside the lexicon.
+CACHE = 400_000
 THRESHOLD = 0.7
 #: A token is an offence from this probability on.
 OFFENCE = 0.5
+#: And counts towards the expected number of toxic tokens from this one on.
+LEAST_PART = 0.1
 WORDS = re.compile(r"[^\W\d_]+")
 LABELS = ["clean", "toxic"]
 
@@ -56,33 +67,70 @@ def lowered(text: str) -> list[str]:
 class Model:
     field: crf.Crf | None
     lexicon: frozenset[str]
-    weights: np.ndarray  # of (1, highest probability, log1p of expected toxic tokens)
+    weights: np.ndarray  # of Scorer.inputs()
     rate: float  # score of every document where there is no field
 
 
-def _features(lexicon: frozenset[str]):
-    def features(token: str) -> list[str]:
-        return [f"word {token}", "known"] if token in lexicon else ["other"]
+def starts(word: str) -> list[str]:
+    return [word[:n] for n in STARTS if len(word) >= n]
 
-    return features
+
+def entries(words: list[str]) -> set[str]:
+    """The entries that a lexicon can have for a document."""
+    often = Counter(p for w in words for p in starts(w))
+    return {*words, *(p + "*" for p in often), *(p + "**" for p, n in often.items() if n >= REPEATS)}
+
+
+def _features(token: str) -> list[str]:
+    """Of a token given as its entries, joined by blanks."""
+    return [f"entry {e}" for e in token.split()] or ["other"]
 
 
 class Scorer:
+    """Scores texts; keeps which of up to CACHE words are outside the lexicon."""
+
     def __init__(self, model: Model):
         self.model = model
-        if model.field:
-            features = _features(model.lexicon)
-            self.places = {w: k + 1 for k, w in enumerate(sorted(model.lexicon))}
-            rows = [model.field.rows(features("")), *(model.field.rows(features(w)) for w in sorted(model.lexicon))]
-            self.own, self.prev, self.next = (np.array(x) for x in zip(*rows))
-
-    def chains(self, words: list[str]) -> list[tuple[int, int]]:
-        """Stretches (from, to) around lexicon words, cut at crf.CHAIN words."""
-        lexicon = self.model.lexicon
-        if lexicon.isdisjoint(words):
-            return []
+        self.plain: set[str] = set()
+        self.classes: dict[str, int] = {}
+        self.rows: list[tuple] = []
+        self.place("")
+
+    def place(self, token: str) -> int:
+        """The class of a token by its entries."""
+        if token not in self.classes:
+            self.classes[token] = len(self.classes)
+            if self.model.field:
+                self.rows.append(self.model.field.rows(_features(token)))
+        return self.classes[token]
+
+    def hits(self, words: list[str]) -> dict[str, str]:
+        """The words of a document that the lexicon marks, with their entries."""
+        if self.plain.issuperset(words):
+            return {}
+        new, lexicon = set(words) - self.plain, self.model.lexicon
+        if len(self.plain) > CACHE:
+            self.plain.clear()
+        once: dict[str, list[str]] = {}
+        more: dict[str, list[str]] = {}
+        for word in new:
+            begins = starts(word)
+            some = [e for e in (word, *(p + "*" for p in begins)) if e in lexicon]
+            often = [p for p in begins if p + "**" in lexicon]
+            if some or often:
+                once[word], more[word] = some, often
+        self.plain |= new - once.keys()
+        if not once:
+            return {}
+        count = Counter(p for w in words for p in more.get(w, ()))
+        found = {w: " ".join([*once[w], *(p + "**" for p in more[w] if count[p] >= REPEATS)]) for w in once}
+        return {w: e for w, e in found.items() if e}
+
+    @staticmethod
+    def chains(words: list[str], hits: dict[str, str]) -> list[tuple[int, int]]:
+        """Stretches (from, to) around marked words, cut at crf.CHAIN words."""
         out: list[list[int]] = []
-        for at in (k for k, w in enumerate(words) if w in lexicon):
+        for at in (k for k, w in enumerate(words) if w in hits) if hits else ():
             low, high = max(0, at - REACH), min(len(words), at + REACH + 1)
             if out and low <= out[-1][1]:
                 out[-1][1] = high
@@ -90,36 +138,39 @@ class Scorer:
                 out.append([low, high])
         return [(k, min(k + crf.CHAIN, b)) for a, b in out for k in range(a, b, crf.CHAIN)]
 
-    def tokens(self, texts: list[str]) -> list[list[tuple[int, float]]]:
-        """For each text (number of the word, probability of toxic) of the words in stretches."""
+    def tokens(self, texts: list[str]) -> tuple[list[list[tuple[int, float]]], list[int]]:
+        """For each text (number of the word, probability of toxic) of the words in stretches; the texts' words."""
         out: list[list[tuple[int, float]]] = [[] for _ in texts]
+        size = [0] * len(texts)
         if not self.model.field:
-            return out
+            return out, size
         chains, owner = [], []
         for i, text in enumerate(texts):
             words = lowered(text)
-            for low, high in self.chains(words):
-                chains.append([self.places.get(w, 0) for w in words[low:high]])
+            size[i] = len(words)
+            hits = self.hits(words)
+            for low, high in self.chains(words, hits):
+                chains.append([self.place(hits.get(w, "")) for w in words[low:high]])
                 owner.append((i, low))
         if chains:
             lengths = np.array([len(c) for c in chains])
             flat = np.concatenate(chains)
-            scores = self.model.field.emissions(self.own[flat], self.prev[flat], self.next[flat], lengths)
+            own, prev, next_ = (np.array(x) for x in zip(*self.rows))
+            scores = self.model.field.emissions(own[flat], prev[flat], next_[flat], lengths)
             found = self.model.field.marginals(scores, lengths)[:, 1]
-            for (i, low), start, size in zip(owner, np.cumsum(lengths) - lengths, lengths):
-                out[i] += [(low + k, p) for k, p in enumerate(found[start : start + size].tolist())]
-        return out
+            for (i, low), start, n in zip(owner, np.cumsum(lengths) - lengths, lengths):
+                out[i] += [(low + k, p) for k, p in enumerate(found[start : start + n].tolist())]
+        return out, size
 
     @staticmethod
-    def inputs(tokens: list[tuple[int, float]]) -> tuple[float, float, float]:
-        if not tokens:
-            return 1.0, 0.0, 0.0
-        return 1.0, max(p for _, p in tokens), float(np.log1p(sum(p for _, p in tokens if p >= 0.1)))
+    def inputs(tokens: list[tuple[int, float]], size: int) -> list[float]:
+        total = sum(p for _, p in tokens if p >= LEAST_PART)
+        return [1.0, max((p for _, p in tokens), default=0.0), float(np.log1p(total)), float(np.log1p(1000 * total / max(size, 1)))]
 
-    def score(self, tokens: list[tuple[int, float]]) -> float:
+    def score(self, tokens: list[tuple[int, float]], size: int) -> float:
         if not self.model.field:
             return self.model.rate
-        return float(1 / (1 + np.exp(-np.clip(self.model.weights @ self.inputs(tokens), -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.model.weights @ self.inputs(tokens, size), -30, 30))))
 
     def offences(self, text: str, tokens: list[tuple[int, float]]) -> list[dict]:
         worst = {k: p for k, p in tokens if p >= OFFENCE}
@@ -147,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.groupBy(F.col(id_col).alias("doc")).agg((F.max(label_col) > 0).alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not counts.get(True):
-        return Model(None, frozenset(), np.zeros(3), 0.0)
+        return Model(None, frozenset(), np.zeros(4), 0.0)
     half = train_rows / 2
     rate = {t: min(1.0, (half if t else train_rows - min(half, counts[True])) / n) for t, n in counts.items()}
     part = F.when(F.col("toxic"), F.lit(int(rate[True] * (1 << 30)))).otherwise(F.lit(int(rate.get(False, 0) * (1 << 30))))
@@ -160,14 +211,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
         for batch in slices(batches):
             for text, toxic in zip(texts(batch), batch.column(1).to_pylist()):
-                seen[toxic].update(set(lowered(text)))
+                seen[toxic].update(entries(lowered(text)))
         for toxic, words in seen.items():
             names = list(words)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([words[w] * toxic for w in names], pa.int64()), pa.array([words[w] * (not toxic) for w in names], pa.int64())], ["word", "bad", "good"])
 
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not size.get(True):
-        return Model(None, frozenset(), np.zeros(3), 0.0)
+        return Model(None, frozenset(), np.zeros(4), 0.0)
     prior = size[True] / sum(size.values())
     share = F.col("bad") / (F.col("bad") + F.col("good"))
     # of a word that no clean document has, the second term is zero
@@ -176,33 +227,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     words = words.filter((F.col("bad") >= LEAST) & (share > max(0.5, 1.5 * prior))).withColumn("gain", gain).filter(F.col("gain") >= GAIN)
     lexicon = frozenset(r["word"] for r in words.orderBy(F.desc("gain"), "word").limit(LEXICON).collect())
     if not lexicon:
-        return Model(None, frozenset(), np.zeros(3), prior)
-    draft = Scorer(Model(None, lexicon, np.zeros(3), 0.0))
-
+        return Model(None, frozenset(), np.zeros(4), prior)
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draft = Scorer(Model(None, lexicon, np.zeros(4), 0.0))
         for batch in slices(batches):
             found, marks = [], []
             for text, toxic in zip(texts(batch), batch.column(1).to_pylist()):
                 lower = lowered(text)
-                for low, high in draft.chains(lower)[:4]:
-                    found.append(lower[low:high])
+                hits = draft.hits(lower)
+                for low, high in draft.chains(lower, hits)[:STRETCHES]:
+                    found.append([hits.get(w, "") for w in lower[low:high]])
                     marks.append(toxic)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), pa.array(marks, pa.bool_())], ["words", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), pa.array(marks, pa.bool_())], ["tokens", "toxic"])
 
-    some = rows.mapInArrow(stretches, "words array<string>, toxic boolean").orderBy(F.xxhash64("words")).limit(TRAIN_CHAINS).collect()
-    chains = [[(w, "toxic" if r["toxic"] and w in lexicon else "clean") for w in r["words"]] for r in some]
-    field = crf.fit(chains, _features(lexicon), LABELS, steps=120)
-    shared = rows.sparkSession.sparkContext.broadcast(Model(field, lexicon, np.zeros(3), prior))
+    some = rows.mapInArrow(stretches, "tokens array<string>, toxic boolean").orderBy(F.xxhash64("tokens")).limit(TRAIN_CHAINS).collect()
+    chains = [[(t, "toxic" if r["toxic"] and t else "clean") for t in r["tokens"]] for r in some]
+    field = crf.fit(chains, _features, LABELS, steps=120)
+    shared = rows.sparkSession.sparkContext.broadcast(Model(field, lexicon, np.zeros(4), prior))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in slices(batches):
-            _, top, sums = zip(*map(scorer.inputs, scorer.tokens(texts(batch))))
-            yield pa.RecordBatch.from_arrays([pa.array(top, pa.float64()), pa.array(sums, pa.float64()), batch.column(1)], ["top", "sums", "toxic"])
+            inputs = [scorer.inputs(t, n) for t, n in zip(*scorer.tokens(texts(batch)))]
+            yield pa.RecordBatch.from_arrays([pa.array(inputs, pa.list_(pa.float64())), batch.column(1)], ["inputs", "toxic"])
 
-    points = np.array([(1.0, r[0], r[1], float(r[2])) for r in rows.mapInArrow(measure, "top double, sums double, toxic boolean").collect()])
+    points = rows.mapInArrow(measure, "inputs array<double>, toxic boolean").collect()
+    weights = _logistic(np.array([r[0] for r in points]), np.array([float(r[1]) for r in points]))
     release(rows)
-    return Model(field, lexicon, _logistic(points[:, :3], points[:, 3]), prior)
+    return Model(field, lexicon, weights, prior)
 
 
 OFFENCES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
@@ -217,8 +269,8 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
         scorer = Scorer(shared.value)
         for part in slices(batches):
             rows = texts(part)
-            tokens = scorer.tokens(rows)
-            scores = pa.array(map(scorer.score, tokens), pa.float64())
+            tokens, size = scorer.tokens(rows)
+            scores = pa.array(map(scorer.score, tokens, size), pa.float64())
             yield pa.RecordBatch.from_arrays([part.column(0), scores, pa.array(map(scorer.offences, rows, tokens), OFFENCES)], ["doc", "score", "offences"])
 
     schema = f"doc {chosen.schema['doc'].dataType.simpleString()}, score double, offences array<struct<start: long, end: long, probability: double>>"
