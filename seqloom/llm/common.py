@@ -27,8 +27,8 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into runs of rows whose texts together stay near SLICE_BYTES."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into runs of rows whose texts together have at most so many bytes, or of one row."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -38,8 +38,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
-            stop = int(np.searchsorted(ends, base + SLICE_BYTES, side="right"))
-            stop = min(max(stop, start + 1), start + SLICE_ROWS, batch.num_rows)
+            stop = int(np.searchsorted(ends, base + most, side="right"))
+            stop = min(max(stop, start + 1), start + max(SLICE_ROWS, most >> 11), batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
 
@@ -49,18 +49,20 @@ def texts(batch: pa.RecordBatch, text: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
 
 
-class Bounded(dict):
-    """A mapping filled by ``make(key)`` that starts afresh when it has ``limit`` entries."""
+class Recent:
+    """A cache in two generations of ``limit`` entries each: what is still asked for moves to the new one."""
 
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit = make, limit
+    def __init__(self, limit: int):
+        self.limit, self.now, self.old = limit, {}, {}
 
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
+    def missing(self, keys: set) -> list:
+        """Those of the keys that are in neither generation; the others are in ``now`` afterwards."""
+        if len(self.now) > self.limit:
+            self.now, self.old = {}, self.now
+        absent = keys - self.now.keys()
+        again = absent & self.old.keys()
+        self.now.update((k, self.old[k]) for k in again)
+        return list(absent - again)
 
 
 def crc_of_id(column: str = "doc_id") -> Column:

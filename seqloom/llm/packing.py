@@ -19,6 +19,8 @@ result. Only the id and text columns are read by :func:`tokenize_documents`; :fu
 from __future__ import annotations
 
 import bisect
+import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import SALTS, slices, table, texts
+from seqloom.llm.common import SALTS, Recent, slices, table
 from seqloom.session import materialize
 
 CAPACITY = 4096
@@ -37,29 +39,96 @@ SMALL = 1 / 3
 GROUPS = 256
 #: Steps of the linear program; fewer steps give a fuller remainder, never a wrong plan.
 STEPS = 1500
-CACHE = 400_000
+CACHE = 250_000
+#: Marks at the end of a word, which the tokenizer parts from letters.
+MARKS = ".,!?;:%&#*$)"
+#: Lower-case letters of ASCII and Latin-1, in UTF-8.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+#: Bytes from 0x80 on as byte-level vocabularies write them: printable Latin-1 stays, others follow from U+0100 + 33 + 1 on.
+WRITTEN = {b: 0x100 + 34 + b - 0x80 for b in range(0x80, 0xA1)} | {0xAD: 0x100 + 34 + 33}
+#: Words whose ids are put in place at once.
+GATHER = 1 << 18
+#: UTF-8 bytes of texts whose words are numbered together.
+SLICE = 16 << 20
+#: New words that are encoded as one text.
+WORDS = 1_000
 
 
 class Tokens:
-    """Ids of texts by a tokenizer that splits at white space: words are encoded once and kept, up to ``cache`` of them."""
+    """Ids of texts by a tokenizer that lower-cases and splits at white space and between letters and other characters.
+
+    A column is split and its words are numbered in Arrow; distinct words lose the marks at their end, and the ids of
+    what is left, and of the marks, are kept, up to twice ``cache`` of them.
+    """
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[bytes, bytes] = {}
-        self.limit = cache
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        # bytes.split() parts at ASCII white space only, which the tokenizer drops
-        parts = [t.encode().split() for t in texts]
-        if len(self.known) > self.limit:
-            self.known.clear()
-        new = list({w for part in parts for w in part} - self.known.keys())
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
-        return [b"".join(map(self.known.__getitem__, part)) for part in parts]
+        self.model, self.known = self.tokenizer.model, Recent(cache)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column, one after another, and how many each text has; null texts are empty."""
+        import pyarrow.compute as pc
+
+        column = pc.fill_null(column, "")
+        # ASCII letters are the same in lower case before and after normalisation if nothing else is there
+        column = pc.if_else(pc.string_is_ascii(column), pc.ascii_lower(column), column)
+        split = pc.ascii_split_whitespace(column)  # white space that the tokenizer drops
+        coded = split.flatten().dictionary_encode()
+        ids = self._distinct(coded.dictionary)
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts, packed = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4")
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])
+        out = np.empty(ends[-1], "<u4")
+        for low in range(0, len(at), GATHER):
+            some = at[low : low + GATHER]
+            first, last = ends[low], ends[low + len(some)]
+            out[first:last] = packed[np.repeat(starts[some] - (ends[low : low + len(some)] - first), sizes[some]) + np.arange(last - first)]
+        last = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        return out, np.diff(ends[np.concatenate([[0], last])])
+
+    def _distinct(self, words: pa.Array) -> list[bytes]:
+        """Packed ids of each word."""
+        import pyarrow.compute as pc
+
+        stems = pc.ascii_rtrim(words, characters=MARKS)
+        stems = pc.if_else(pc.utf8_is_alpha(stems), stems, words)  # letters and then marks are two pre-tokens
+        coded = stems.dictionary_encode()
+        ids = self._packed(coded.dictionary.cast(pa.binary()).to_pylist())
+        out = [ids[k] for k in coded.indices.to_pylist()]
+        where = pc.indices_nonzero(pc.not_equal(pc.binary_length(stems), pc.binary_length(words)))
+        ends = [w[n:] for w, n in zip(words.take(where).cast(pa.binary()).to_pylist(), pc.binary_length(stems.take(where)).to_pylist())]
+        some = list(set(ends))
+        marks = dict(zip(some, self._packed(some)))
+        for k, end in zip(where.to_pylist(), ends):
+            out[k] += marks[end]
+        return out
+
+    def _packed(self, words: list[bytes]) -> list[bytes]:
+        rest, tokenize = [], self.model.tokenize
+        for word in self.known.missing(set(words)):
+            if PLAIN(word):
+                # one pre-token that normalisation leaves as it is: the model alone, on bytes as it writes them
+                text = word.decode() if word.isascii() else word.decode("latin-1").translate(WRITTEN)
+                self.known.now[word] = array("I", [t.id for t in tokenize(text)]).tobytes()
+            else:
+                rest.append(word)
+        for low in range(0, len(rest), WORDS):
+            self.known.now.update(zip(rest[low : low + WORDS], self._words(rest[low : low + WORDS])))
+        return list(map(self.known.now.__getitem__, words))
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of some words, encoded as one text; a token's place tells its word."""
+        plain = [w.decode() for w in words]
+        found = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
+        begins = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)) + 1)
+        ids = np.array(found.ids, "<u4").tobytes()
+        place = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.offsets))
+        ends = (4 * np.searchsorted(place, begins)).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
 
 _TOKENS: dict[str, Tokens] = {}
@@ -77,20 +146,20 @@ def tokenize_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end
     """``<id_col>, piece, start, length, ids`` (binary, little-endian unsigned 32-bit): each document's ids and then
     ``end_id``, cut at the capacity.  ``path``: a tokenizer file that every executor has at this place."""
     chosen = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens(path).encode
-        for part in slices(batches):
-            row, piece, start, cut = [], [], [], []
-            for i, ids in enumerate(encode(texts(part))):
-                ids += end
-                for k in range(0, len(ids), 4 * capacity):
-                    row.append(i)
-                    piece.append(k // (4 * capacity))
-                    start.append(k // 4)
-                    cut.append(ids[k : k + 4 * capacity])
-            columns = [part.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in cut], pa.int64()), pa.array(cut, pa.binary())]
+        for part in slices(batches, most=SLICE):
+            ids, counts = encode(part.column(1))
+            ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
+            sizes = counts + 1
+            pieces = -(-sizes // capacity)
+            row = np.repeat(np.arange(len(sizes)), pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(capacity, sizes[row] - start)
+            offsets = np.concatenate([[0], 4 * np.cumsum(length)]).astype(np.int32)
+            cut = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+            columns = [part.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), cut]
             yield pa.RecordBatch.from_arrays(columns, ["doc", "piece", "start", "length", "ids"])
 
     kind = chosen.schema["doc"].dataType.simpleString()

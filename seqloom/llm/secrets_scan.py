@@ -15,12 +15,13 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Bounded, slices, table, texts
+from seqloom.llm.common import slices, table, texts
 
 KINDS = ["assign", "access", "hex", "random"]
 #: Base patterns: fixed values of the contract.
@@ -61,7 +62,7 @@ class Scanner:
                 return False
             return len(run) <= ratio * sum(len(encode(run[i : i + PIECE])) for i in range(0, len(run), PIECE))
 
-        self.random = Bounded(random, 50_000)
+        self.random = lru_cache(50_000)(random)
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, place of the kind in KINDS, end), sorted."""
@@ -75,7 +76,7 @@ class Scanner:
             run = m[0]
             if any(a < m.end() and m.start() < b for a, _, b in base):
                 continue
-            if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and (self.random[run] if len(run) <= PIECE else self.random.make(run)):
+            if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and (self.random if len(run) <= PIECE else self.random.__wrapped__)(run):
                 out.append((m.start(), 3, m.end()))
         return sorted(out)
 
