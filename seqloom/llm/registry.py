@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqloom.llm import ann, bpe, exact_dedup, langid, packing, pii, secrets_scan, simhash, toxicity
+from seqloom.llm import ann, bpe, exact_dedup, html_text, langid, packing, pii, secrets_scan, simhash, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii": pii.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_byte_bpe": bpe.query,
+    "op6_html_text": html_text.query,
     "op7_toxicity": toxicity.query,
     "op8_nearest_neighbours": ann.query,
     "op9_language_id": langid.query,
