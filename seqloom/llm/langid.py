@@ -37,6 +37,8 @@ SCRIPT_SHARE = 0.01
 #: Log probability that a word is in a language that does not use its script.
 FOREIGN = -40.0
 CACHE = 300_000
+#: The filter rejects documents under this score.
+LEAST_SCORE = 0.2
 WORDS = re.compile(r"[^\W\d_]+")
 
 #: First code points of blocks and their scripts: fixed values of the Unicode block list.
@@ -227,6 +229,20 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return chosen.mapInArrow(run, schema).withColumnRenamed("doc", id_col)
 
 
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """The input without documents whose language is undetermined or scores under ``least``; columns stay as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label = Labeller(shared.value).label
+        for part in slices(batches, text_col):
+            rows = [x or "" for x in part.column(at).to_pylist()]
+            yield part.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score, _ in label(rows)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return crc_of_id(id_col) % 4 == 2
 
