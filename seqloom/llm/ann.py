@@ -48,6 +48,8 @@ K = 20
 
 def kmeans(points: np.ndarray, count: int, rounds: int = ROUNDS, seed: int = 1) -> np.ndarray:
     """Centroids by Lloyd's rounds from distinct points of a seeded draw; fewer if there are fewer points."""
+    if not points.shape[1]:  # half of a vector of one component
+        return np.zeros((1, 0))
     distinct = np.unique(points, axis=0)
     rng = np.random.default_rng(seed)
     centres = distinct[rng.permutation(len(distinct))[:count]]
@@ -124,7 +126,7 @@ def search(
     good, asked = good.filter(F.size("v") == dim), usable(queries).filter(F.size("v") == dim).dropDuplicates()
     half = dim // 2
     if centroids is None:
-        centroids = min(MOST_CENTROIDS, max(LEAST_CENTROIDS, 1 << round(math.log2(math.sqrt(rows) / 4))))
+        centroids = min(MOST_CENTROIDS, max(LEAST_CENTROIDS, 2 ** round(math.log2(math.sqrt(rows) / 4))))
     drawn = good.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(min(1.0, sample / rows) * (1 << 30))).select("v").dropDuplicates()
     points = np.array([r["v"] for r in drawn.limit(2 * sample).collect()], np.float64).reshape(-1, dim)
     if not len(points):
