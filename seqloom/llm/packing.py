@@ -39,7 +39,7 @@ SMALL = 1 / 3
 GROUPS = 256
 #: Steps of the linear program; fewer steps give a fuller remainder, never a wrong plan.
 STEPS = 1500
-CACHE = 250_000
+CACHE = 120_000
 #: Marks at the end of a word, which the tokenizer parts from letters.
 MARKS = ".,!?;:%&#*$)"
 #: Lower-case letters of ASCII and Latin-1, in UTF-8.
@@ -47,9 +47,9 @@ PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 #: Bytes from 0x80 on as byte-level vocabularies write them: printable Latin-1 stays, others follow from U+0100 + 33 + 1 on.
 WRITTEN = {b: 0x100 + 34 + b - 0x80 for b in range(0x80, 0xA1)} | {0xAD: 0x100 + 34 + 33}
 #: Words whose ids are put in place at once.
-GATHER = 1 << 18
+GATHER = 1 << 17
 #: UTF-8 bytes of texts whose words are numbered together.
-SLICE = 16 << 20
+SLICE = 8 << 20
 #: New words that are encoded as one text.
 WORDS = 1_000
 
@@ -161,6 +161,8 @@ def tokenize_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end
             cut = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
             columns = [part.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), cut]
             yield pa.RecordBatch.from_arrays(columns, ["doc", "piece", "start", "length", "ids"])
+            del ids, row, piece, start, length, offsets, cut, columns
+            pa.default_memory_pool().release_unused()
 
     kind = chosen.schema["doc"].dataType.simpleString()
     return chosen.mapInArrow(run, f"doc {kind}, piece int, start long, length long, ids binary").withColumnRenamed("doc", id_col)
