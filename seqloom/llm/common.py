@@ -32,6 +32,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
     import numpy as np
     import pyarrow.compute as pc
 
+    give_back()
     for batch in batches:
         sizes = pc.binary_length(batch.column(batch.schema.get_field_index(text))).fill_null(0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes)
@@ -42,6 +43,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             stop = min(max(stop, start + 1), start + max(SLICE_ROWS, most >> 11), batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
 
 
 def texts(batch: pa.RecordBatch, text: str = "text") -> list[str]:
@@ -49,6 +51,19 @@ def texts(batch: pa.RecordBatch, text: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
 
 
+def give_back() -> None:
+    """Return memory that a finished task does not need; workers live on, beside other tasks of their executor."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 class Recent:
     """A cache in two generations of ``limit`` entries each: what is still asked for moves to the new one."""
 

@@ -39,7 +39,7 @@ SMALL = 1 / 3
 GROUPS = 256
 #: Steps of the linear program; fewer steps give a fuller remainder, never a wrong plan.
 STEPS = 1500
-CACHE = 120_000
+CACHE = 180_000
 #: Marks at the end of a word, which the tokenizer parts from letters.
 MARKS = ".,!?;:%&#*$)"
 #: Lower-case letters of ASCII and Latin-1, in UTF-8.
