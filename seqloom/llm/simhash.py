@@ -10,12 +10,19 @@ Distinct fingerprints alone are compared.  A posting with many members is cut in
 block of a bounded size: no task gets a whole posting.  A block returns a spanning forest of its links, fewer rows than
 it has members, never all pairs.  Components follow from the forests (``graph.components``).
 
+:func:`keep_one`, the filter, takes wide fingerprints: 512 bits, whose differing bits tell a similarity, and the same
+index over 64 byte positions.  Four bits of 64 stand for a similarity of 0.95; at 0.8 ten differ, more than there are
+bytes, so no shared byte is guaranteed then, but that three given ones are shared is likely enough to meet in one of 168
+sets (95 of 100 pairs at 0.8, nearly all from 0.85 on).
+
 Defined results: null text is empty text; a text without words has fingerprint zero and links like any other; equal
 texts have equal fingerprints and so one component; an empty table gives an empty result; only id and text are read.
 """
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,11 +40,17 @@ BITS = 4
 WORDS = 4
 #: Members of a tile, on average; a block holds two.
 TILE = 512
+WIDE_TILE = 256
 #: The guaranteed number of shared positional bytes, of eight, at BITS differing bits.
 SHARED = 8 - BITS
-#: For the filter: words of a shingle, and fingerprints of a document.
+#: For the filter: words of a shingle, 64-bit words of a fingerprint, and the similarity that links documents.
 NEAR_WORDS = 5
 TABLES = 8
+SIMILARITY = 0.8
+#: Standard deviations of the number of differing bits that documents of this similarity may have beyond its mean.
+SLACK = 0.8
+#: Sets of three of the fingerprint's byte positions, as rounds over all positions.
+ROUNDS = 8
 #: Row ids that are dropped are broadcast up to this many rows (16 bytes each), shuffled beyond.
 BROADCAST_ROWS = 1_000_000
 #: Shingles whose bits are counted at once.
@@ -87,22 +100,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return chosen.mapInArrow(run, f"doc {chosen.schema['doc'].dataType.simpleString()}, fp long")
 
 
-def linked(a: np.ndarray, b: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Whether fingerprints (uint64) link: tally of shared positional bytes first, then differing bits."""
-    x = a ^ b
-    y = x | (x >> np.uint64(4))
-    y |= y >> np.uint64(2)
-    y |= y >> np.uint64(1)
-    y &= np.uint64(0x0101010101010101)
-    tally = 8 - np.bitwise_count(y)
-    out = tally >= 8 - bits
-    out[out] = np.bitwise_count(x[out]) <= bits
+def linked(a: np.ndarray, b: np.ndarray, shared: int = SHARED, bits: int = BITS) -> np.ndarray:
+    """Whether fingerprints (uint64, words along the last axis) link: enough shared positional bytes and few enough
+    differing bits. Both must hold; bits are compared first, as that takes less memory for a matrix of pairs."""
+    differ = np.zeros(np.broadcast_shapes(a.shape, b.shape)[:-1], np.int32)
+    for k in range(a.shape[-1]):
+        differ += np.bitwise_count(a[..., k] ^ b[..., k])
+    out = differ <= bits
+    where = np.nonzero(out)
+    x = np.broadcast_to(a, (*out.shape, a.shape[-1]))[where] ^ np.broadcast_to(b, (*out.shape, b.shape[-1]))[where]
+    tally = (np.ascontiguousarray(x).view(np.uint8) == 0).sum(-1)
+    out[where] = tally >= shared
     return out
 
 
-def _forest(members: np.ndarray, names: np.ndarray, bits: int) -> list[tuple[int, int]]:
+def _forest(members: np.ndarray, names: np.ndarray, shared: int, bits: int) -> list[tuple[int, int]]:
     """Names of a member and of the first member of its component, within a block."""
-    near = linked(members[:, None], members[None, :], bits)
+    near = linked(members[:, None, :], members[None, :, :], shared, bits)
     label = np.arange(len(members))
     while True:
         new = np.where(near, label[None, :], len(members)).min(1)
@@ -117,53 +131,55 @@ def _forest(members: np.ndarray, names: np.ndarray, bits: int) -> list[tuple[int
 def links(nodes: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
     """``a, b``: edges between distinct fingerprints (column fp of ``nodes``, stored and distinct) that make the same
     components as all pairs within ``bits`` differing bits."""
-    return _links(nodes.select(F.col("fp").alias("node"), F.array("fp").alias("fps")), 1, bits, tile)
-
-
-def _links(nodes: DataFrame, tables: int, bits: int, tile: int) -> DataFrame:
-    """The same for nodes (column node, distinct) with several fingerprints (fps) each: nodes link by any of them."""
     if bits > 4:
         raise ValueError("sets of three positions are sure to meet up to four differing bits only")
-    byte = [F.shiftright("fp", 8 * k).bitwiseAND(255) for k in range(8)]
-    place = (F.col("table") * len(triples())).cast("long")
-    keys = [F.shiftleft(place + n, 24) + F.shiftleft(byte[i], 16) + F.shiftleft(byte[j], 8) + byte[k] for n, (i, j, k) in enumerate(triples())]
-    words = nodes.select("node", F.posexplode("fps").alias("table", "fp"))
-    postings = words.select("node", "fp", F.explode(F.array(*keys)).alias("key"))
-    shared = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    named = nodes.select(F.col("fp").alias("node"), F.array("fp").alias("fps"))
+    return _links(named, triples(), 1, 8 - bits, bits, tile)
+
+
+def _links(nodes: DataFrame, sets: list[tuple[int, int, int]], words: int, shared: int, bits: int, tile: int) -> DataFrame:
+    """The same for nodes (column node, distinct) with fingerprints of several 64-bit words (fps): nodes link if they share
+    the bytes at one of the ``sets`` of positions, ``shared`` bytes in all, and differ in at most ``bits`` bits."""
+    places = F.array(*[F.struct(F.lit(n).cast("long").alias("n"), *[F.lit(q).alias(c) for c, q in zip("xyz", t)]) for n, t in enumerate(sets)])
+    rows = nodes.select("node", "fps", F.explode(places).alias("p"))
+    byte = lambda q: F.expr(f"shiftright(fps[p.{q} div 8], 8 * (p.{q} % 8)) & 255")
+    key = F.shiftleft("p.n", 24) + F.shiftleft(byte("x"), 16) + F.shiftleft(byte("y"), 8) + byte("z")
+    postings = rows.select("node", key.alias("key"))
+    common = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     tiles = F.ceil(F.col("n") / tile).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     other = F.explode(F.expr("if(tiles = 1, array(0), filter(sequence(0, tiles - 1), x -> x <> mine))"))
-    # a small table of tiles; postings that join it in a hot key are bounded by the tiles that they go to
-    members = postings.join(shared.withColumn("tiles", tiles).drop("n"), "key").withColumn("mine", mine).select("key", "node", "fp", "mine", other.alias("other"))
-    members = members.select("key", "node", "fp", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    # a row of a frequent posting goes to as many blocks as the posting has tiles
+    members = postings.join(common.withColumn("tiles", tiles).drop("n"), "key").withColumn("mine", mine).select("key", "node", "mine", other.alias("other"))
+    members = members.select("key", "node", F.least("mine", "other").cast("long").alias("low"), F.greatest("mine", "other").cast("long").alias("high"))
+    members = members.join(nodes.select("node", *[F.col("fps")[k].alias(f"f{k}") for k in range(words)]), "node")
     blocks = members.repartition(F.col("key"), F.col("low"), F.col("high")).sortWithinPartitions("key", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(block: np.ndarray) -> pa.RecordBatch:
             cuts = np.flatnonzero((block[1:, :3] != block[:-1, :3]).any(1)) + 1
             starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(block)]])
-            fps, names = block[:, 3].view(np.uint64), block[:, 4]
+            names, fps = block[:, 3], np.ascontiguousarray(block[:, 4:]).view(np.uint64)
             twos = starts[ends - starts == 2]
-            twos = twos[linked(fps[twos], fps[twos + 1], bits)]
+            twos = twos[linked(fps[twos], fps[twos + 1], shared, bits)]
             edges = set(zip(names[twos].tolist(), names[twos + 1].tolist()))
             for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist()):
-                edges.update(_forest(fps[s:e], names[s:e], bits))
+                edges.update(_forest(fps[s:e], names[s:e], shared, bits))
             both = np.array(sorted(edges), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-        held = np.zeros((0, 5), np.int64)
+        held = np.zeros((0, 4 + words), np.int64)
         for batch in batches:
             rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)
-            held = np.ascontiguousarray(np.concatenate([held, rows]))
-            last = np.flatnonzero((held[:, :3] != held[-1, :3]).any(1))
+            held = np.concatenate([held, rows])
+            last = np.flatnonzero((held[:, :3] != held[-1, :3]).any(1)) if len(held) else rows[:, 0]
             if last.size:  # the last block may go on in the next batch
-                yield found(np.ascontiguousarray(held[: last[-1] + 1]))
+                yield found(held[: last[-1] + 1])
                 held = held[last[-1] + 1 :]
         if len(held):
-            yield found(np.ascontiguousarray(held))
+            yield found(held)
 
-    ordered = blocks.select("key", F.col("low").cast("long"), F.col("high").cast("long"), "fp", "node")
-    return ordered.mapInArrow(run, "a long, b long")
+    return blocks.select("key", "low", "high", "node", *[f"f{k}" for k in range(words)]).mapInArrow(run, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
@@ -185,6 +201,25 @@ def _back(marked: DataFrame, classes: DataFrame) -> DataFrame:
     return dealt.join(spread, ["fp", "_salt"]).select("doc", "fp", "component_id")
 
 
+def wide_sets(tables: int = TABLES, rounds: int = ROUNDS) -> list[tuple[int, int, int]]:
+    """Sets of three byte positions of a wide fingerprint: each round deals all positions in a seeded order."""
+    rng, found = random.Random(7), []
+    for _ in range(rounds):
+        order = list(range(8 * tables))
+        rng.shuffle(order)
+        found += [tuple(order[k : k + 3]) for k in range(0, len(order) - 2, 3)]
+    return found
+
+
+def wide_limits(similarity: float = SIMILARITY, tables: int = TABLES) -> tuple[int, int]:
+    """Shared bytes at least and differing bits at most of documents of a similarity: a bit differs with probability
+    p, a byte with 1 - (1 - p) ** 8; bytes are let off three standard deviations, bits SLACK."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    same, size = (1 - p) ** 8, 64 * tables
+    least = 8 * tables * same - 3 * math.sqrt(8 * tables * same * (1 - same))
+    return max(3, int(least)), int(size * p + SLACK * math.sqrt(size * p * (1 - p)))
+
+
 def wide_fingerprint(text: str, words: int = NEAR_WORDS, tables: int = TABLES) -> list[int]:
     """Fingerprints of a text's set of shingles under ``tables`` hash functions, as signed integers."""
     import xxhash
@@ -211,13 +246,13 @@ def wide_fingerprint(text: str, words: int = NEAR_WORDS, tables: int = TABLES) -
     return np.packbits(ones * 2 > len(found), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, tables: int = TABLES, bits: int = BITS) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, tables: int = TABLES, similarity: float = SIMILARITY) -> DataFrame:
     """``docs``, a stored table, with one document of each group of near-duplicates, the one with the smallest id; all
     columns stay as they are.
 
-    Documents link if any of ``tables`` fingerprints of their sets of shingles differ in at most ``bits`` bits.  With the
-    defaults that holds for nearly all pairs of a similarity of 0.95, for four of five of 0.9, for a third at 0.85 and
-    for fewer than one in a hundred below 0.7 (Jaccard similarity of the sets).
+    Documents link if fingerprints of ``tables`` words of their sets of shingles show a Jaccard similarity of about
+    ``similarity``: the bytes at one of 168 sets of three positions are equal, and so are enough of all bytes, and few
+    enough bits differ (:func:`wide_limits`).
     """
     name = "_row"
     while name in docs.columns:
@@ -233,7 +268,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     marked = materialize(rows.mapInArrow(run, f"doc {kind}, row long, fps array<long>"))
     first = F.min(F.struct(F.col("doc").isNull().alias("unknown"), "doc", "row"))
     nodes = materialize(marked.groupBy("fps").agg(first.alias("first")).select("fps", "first", F.col("first.row").alias("node")))
-    joined = components(_links(nodes.select("node", "fps"), tables, bits, TILE), "a", "b")
+    joined = components(_links(nodes.select("node", "fps"), wide_sets(tables), tables, *wide_limits(similarity, tables), WIDE_TILE), "a", "b")
     rooted = materialize(nodes.select("node", "first").join(joined, "node", "left").select("first", F.coalesce("root", "node").alias("root")))
     stay = rooted.groupBy("root").agg(F.min("first")["row"].alias("row"))
     dropped = materialize(marked.select("row").join(stay, "row", "left_anti").select(F.col("row").alias(name)))
