@@ -84,7 +84,7 @@ def classes(two: DataFrame, means: DataFrame) -> DataFrame:
     rows = means.join(two, "read_id", "left")
     known = F.col("best").isNotNull() & (F.col("mean") >= UNCLASSIFIED_MEAN)
     close = F.col("second").isNotNull() & (F.col("best_cnt") - F.col("second_cnt") < SECOND_MARGIN * F.col("best_cnt"))
-    zero = F.lit(0)
+    zero = F.lit(0).cast(two.schema["best"].dataType)
     return rows.select("read_id", F.when(known, F.col("best")).otherwise(zero).alias("best"), F.when(known & close, F.col("second")).otherwise(zero).alias("second"))
 
 

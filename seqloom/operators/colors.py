@@ -12,9 +12,9 @@ KEPT_SETS = 65_536
 
 
 def species(docs: DataFrame, taxon: str = "taxon") -> DataFrame:
-    """``doc_id, species``: dense numbers of sorted distinct taxa, from 0; there are as many taxa as the table has."""
+    """``doc_id, species, taxon``: dense numbers of sorted distinct taxa, from 0; there are as many taxa as the table has."""
     ranks = docs.select(F.col(taxon).alias("taxon")).distinct().select("taxon", (F.row_number().over(Window.orderBy("taxon")) - 1).alias("species"))
-    return docs.select("doc_id", F.col(taxon).alias("taxon")).join(F.broadcast(ranks), "taxon").select("doc_id", "species")
+    return docs.select("doc_id", F.col(taxon).alias("taxon")).join(F.broadcast(ranks), "taxon").select("doc_id", "species", "taxon")
 
 
 def color_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -159,12 +159,14 @@ class Engine:
         return classify.report(classify.bins(lengths(reads), sizes, width), thr)
 
     def multi_class(self, reads: DataFrame, least: int = 1) -> DataFrame:
-        """Best and second species of each read by votes of its pseudo-matching lengths."""
+        """Best and second taxon of each read by votes of its pseudo-matching lengths; 0 for none."""
         profile = materialize(self.pml(reads, runs=True))
         each = profile.select("read_id", F.size("lens").alias("m"), F.posexplode(F.arrays_zip("lens", "runs")).alias("pos", "x"))
         each = each.select("read_id", (F.col("m") - F.col("pos")).alias("step"), F.col("x.lens").alias("len"), F.col("x.runs").alias("run"))
         means = profile.select("read_id", F.coalesce(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x) / F.nullif(F.size("lens"), F.lit(0)), F.lit(0.0)).alias("mean"))
-        votes = colors.votes(each, self.index.documents, least)
+        taxa = self.index.species.select("species", "taxon").distinct()
+        votes = colors.votes(each, self.index.documents, least).join(F.broadcast(taxa), "species")
+        votes = votes.select("read_id", F.col("taxon").alias("species"), "cnt", "step")
         return classify.classes(classify.best_two(votes), means)
 
 

@@ -517,7 +517,7 @@ votes AS MATERIALIZED (SELECT read_id, species, count(*) AS cnt FROM covered GRO
 
 def _covered(spark, sf_dir) -> DataFrame:
     held = engine(spark, sf_dir)
-    refs = held.index.segments.join(held.index.species, "doc_id").groupBy("species", "seq").agg(F.lit(1).alias("_"))
+    refs = held.index.segments.join(held.index.species.select("doc_id", "species"), "doc_id").groupBy("species", "seq").agg(F.lit(1).alias("_"))
     found = matches.islands(items(spark, sf_dir), refs.select("species", F.xxhash64("seq").alias("ref"), "seq"), MEM, ["species", "ref"])
     spans = found.select("read_id", "species", "s", "e").distinct()
     return spans.select("read_id", "species", F.explode(F.sequence("s", F.col("e") - 1)).alias("pos")).distinct()
@@ -584,7 +584,7 @@ SELECT read_id, species, round(sum(least(value, 1.0)), 6) AS score FROM x WHERE
 def pvalue_scoring(spark, sf_dir):
     """Each covered base scores as a match of MEM bases."""
     index = engine(spark, sf_dir).index
-    sizes = index.segments.join(index.species, "doc_id").groupBy("species").agg(F.sum(F.char_length("seq")).alias("bases"))
+    sizes = index.segments.join(index.species.select("doc_id", "species"), "doc_id").groupBy("species").agg(F.sum(F.char_length("seq")).alias("bases"))
     scores = classify.pvalue_scores(_covered(spark, sf_dir).withColumn("len", F.lit(MEM)), sizes)
     return scores.select("read_id", "species", F.round("score", 6).alias("score"))
 
@@ -600,7 +600,7 @@ def zml_multiclass(spark, sf_dir):
     held, reads = engine(spark, sf_dir), items(spark, sf_dir)
     segments = held.index.segments.select("doc_id", "strand", "seq")
     found = matches.islands(reads, segments, REPORT_K, ["doc_id", "strand"])
-    return colors.factor_votes(held.factors(reads), found, held.index.species, REPORT_K)
+    return colors.factor_votes(held.factors(reads), found, held.index.species.select("doc_id", "species"), REPORT_K)
 
 
 # ---- taxonomy -----------------------------------------------------------------------------------------------------
