@@ -50,6 +50,26 @@ def bwt(text: DataFrame, sa: DataFrame) -> DataFrame:
     return sa.join(before, "pos").join(longer, "pos").join(text.select("pos", "doc_id"), "pos").select("row", "pos", "c", "lf", "doc_id")
 
 
+def lf_of_transform(rows: DataFrame) -> DataFrame:
+    """``row, c, lf`` of a transform (row, c) alone: the row's place when rows are sorted by character, ties by row."""
+    keyed = rows.select("row", "c", F.when(F.col("c") == TERMINATOR, "").otherwise(F.col("c")).alias("_key"))
+    return global_rank(keyed, ["_key", "row"], "lf", unique=True).select("row", "c", "lf")
+
+
+def places_of_transform(rows: DataFrame) -> DataFrame:
+    """``row, pos`` of a transform with ``lf``, from the terminator's row on: LF steps are doubled in each round, so rounds
+    are the logarithm of the text's length."""
+    # distance of each row, in steps of LF, to the row of the whole text, which the terminator marks
+    now = rows.select("row", F.when(F.col("c") == TERMINATOR, F.col("row")).otherwise(F.col("lf")).alias("to"), F.when(F.col("c") == TERMINATOR, 0).otherwise(1).cast("long").alias("pos"))
+    now, length, h = materialize(now), rows.count(), 1
+    while h < length:
+        ahead = now.select(F.col("row").alias("to"), F.col("to").alias("to2"), F.col("pos").alias("more"))
+        then = materialize(now.join(ahead, "to").select("row", F.col("to2").alias("to"), (F.col("pos") + F.col("more")).alias("pos")))
+        release(now)
+        now, h = then, 2 * h
+    return now.select("row", "pos")
+
+
 def runs(rows: DataFrame, longest: int | None = None) -> DataFrame:
     """``rows`` (row, c, ...) with ``run``, from 0; runs over ``longest`` rows are split."""
     previous = rows.select((F.col("row") + 1).alias("row"), F.col("c").alias("_last"))
@@ -159,4 +179,4 @@ def documents(rows: DataFrame, species: DataFrame) -> DataFrame:
     return rows.filter("doc_id is not null").select("row", "run", "doc_id").join(species.select("doc_id", "species"), "doc_id").select("row", "run", "species")
 
 
-__all__ = ["SEPARATOR", "alphabet", "bwt", "characters", "documents", "first_last", "inspect", "locate", "move_rows", "neighbours", "reconstruct", "row_histogram", "runs", "sampled", "suffix_array", "verify"]
+__all__ = ["SEPARATOR", "alphabet", "bwt", "characters", "documents", "first_last", "inspect", "lf_of_transform", "locate", "move_rows", "neighbours", "places_of_transform", "reconstruct", "row_histogram", "runs", "sampled", "suffix_array", "verify"]

@@ -326,6 +326,18 @@ def lf_map(spark, sf_dir):
     return small_engine(spark, sf_dir).index.rows.select("row", "lf")
 
 
+@registered(f"WITH {_BWT} SELECT row, c, lf FROM bwt")
+def lf_of_transform(spark, sf_dir):
+    """From the transform's characters alone."""
+    return bwt.lf_of_transform(small_engine(spark, sf_dir).index.rows.select("row", "c"))
+
+
+@registered(f"WITH {_TEXT} SELECT row, pos FROM sa")
+def places_of_transform(spark, sf_dir):
+    """The suffix array read off the transform."""
+    return bwt.places_of_transform(small_engine(spark, sf_dir).index.rows.select("row", "c", "lf"))
+
+
 @registered(f"WITH {_BWT} SELECT CAST(run AS BIGINT) AS run, c, p, n, CAST(id AS BIGINT) AS id, off FROM moves")
 def move_rows(spark, sf_dir):
     return small_engine(spark, sf_dir).index.moves

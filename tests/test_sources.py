@@ -1,8 +1,8 @@
 import gzip
 
-from seqloom.operators import pml
 from seqloom.plans.engine import Index
-from seqloom.sources import bpf, fasta
+from seqloom.operators import bwt, pml
+from seqloom.sources import bpf, fasta, transform_files
 from seqloom.streaming import reads as stream
 
 
@@ -56,3 +56,19 @@ def test_stream(spark, tmp_path):
     batches = stream.run_batches(stream.reads_stream(spark, str(tmp_path / "in")), lambda b: pml.query(b, index), str(tmp_path / "out"), str(tmp_path / "state"))
     batches.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_transform_files(spark, tmp_path):
+    index = Index(spark.createDataFrame([(0, "GATTACAGG"), (1, "AAAAAT")], "doc_id long, seq string"))
+    rows = sorted((r["row"], r["c"]) for r in index.rows.collect())
+    (tmp_path / "raw").write_bytes("".join(c for _, c in rows).replace("$", "\0").encode())
+    assert sorted(map(tuple, transform_files.read_transform(spark, str(tmp_path / "raw")).collect())) == rows
+    heads, lengths = str(tmp_path / "heads"), str(tmp_path / "lengths")
+    transform_files.write_runs(index.moves, heads, lengths)
+    runs = transform_files.read_runs(spark, heads, lengths)
+    assert {(r["run"], r["c"], r["n"], r["p"]) for r in runs.collect()} == {(r["run"], r["c"], r["n"], r["p"]) for r in index.moves.collect()}
+    again = transform_files.expand(runs)
+    assert sorted(map(tuple, again.collect())) == rows
+    stepped = bwt.lf_of_transform(again)
+    assert {r["row"]: r["lf"] for r in stepped.collect()} == {r["row"]: r["lf"] for r in index.rows.collect()}
+    assert {r["row"]: r["pos"] for r in bwt.places_of_transform(stepped).collect()} == {r["row"]: r["pos"] for r in index.rows.collect()}
