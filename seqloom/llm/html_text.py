@@ -338,7 +338,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     seen = several.filter("example is not null").mapInArrow(count, "host string, node int, mark long, page long").distinct()
     counts = seen.groupBy("host", "node", "mark").agg(F.count("*").alias("n"))
     all_pages = counts.filter("node = -1").select("host", F.col("n").alias("all"))
-    template = counts.filter("node >= 0").join(all_pages, "host").filter((F.col("all") >= least) & (F.col("n") >= constant * F.col("all")))
+    often = counts.filter((F.col("node") >= 0) & (F.col("n") >= constant * least))
+    template = often.join(all_pages, "host").filter((F.col("all") >= least) & (F.col("n") >= constant * F.col("all")))
     template = template.groupBy("host").agg(F.collect_set("node").alias("template"))  # at most the exemplar's runs
     known = materialize(first.select("host", "example").join(template, "host"))
 
