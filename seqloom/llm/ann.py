@@ -39,7 +39,7 @@ ROUNDS = 12
 #: Distinct vectors in the cells of a query, at least: the larger of a number and a share of all.  The share is for
 #: vectors without structure, whose nearest neighbours lie in all directions; a few hundredths do for clustered ones.
 WANT = 4_096
-SHARE = 0.5
+SHARE = 0.55
 BLOCK = 4_096
 #: Queries of a group, on average over all cells that they go to.
 QUERIES = 65_536
@@ -126,7 +126,7 @@ def search(
     good, asked = good.filter(F.size("v") == dim), usable(queries).filter(F.size("v") == dim).dropDuplicates()
     half = dim // 2
     if centroids is None:
-        centroids = min(MOST_CENTROIDS, max(LEAST_CENTROIDS, 2 ** round(math.log2(math.sqrt(rows) / 4))))
+        centroids = min(MOST_CENTROIDS, max(LEAST_CENTROIDS, 2 ** round(math.log2(math.sqrt(rows) / 3))))
     drawn = good.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(min(1.0, sample / rows) * (1 << 30))).select("v").dropDuplicates()
     points = np.array([r["v"] for r in drawn.limit(2 * sample).collect()], np.float64).reshape(-1, dim)
     if not len(points):
