@@ -174,9 +174,20 @@ def reconstruct(rows: DataFrame, text: DataFrame) -> DataFrame:
     return rows.select(F.pmod(F.col("pos") - 1, F.lit(text.count())).alias("pos"), "c")
 
 
+def run_lcs(rows: DataFrame, text: DataFrame, most: int = 33) -> DataFrame:
+    """``run, lcs``: how many characters before the suffixes of a run's first and last row are equal, up to ``most``."""
+    ends = rows.groupBy("run").agg(F.min_by("pos", "row").alias("a"), F.max_by("pos", "row").alias("b"))
+    steps = ends.select("run", "a", "b", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("d"))
+    left, right = text.select(F.col("pos").alias("at"), F.col("c").alias("x")), text.select(F.col("pos").alias("to"), F.col("c").alias("y"))
+    steps = steps.select("run", "d", (F.col("a") - F.col("d")).alias("at"), (F.col("b") - F.col("d")).alias("to"))
+    pairs = steps.join(left, "at", "left").join(right, "to", "left")
+    differ = F.min(F.when(F.coalesce(F.col("x") != F.col("y"), F.lit(True)), F.col("d")))
+    return pairs.groupBy("run").agg((F.coalesce(differ, F.lit(most + 1)) - 1).cast("int").alias("lcs"))
+
+
 def documents(rows: DataFrame, species: DataFrame) -> DataFrame:
     """``row, run, species``: the species of the suffix of every row but the terminator's."""
     return rows.filter("doc_id is not null").select("row", "run", "doc_id").join(species.select("doc_id", "species"), "doc_id").select("row", "run", "species")
 
 
-__all__ = ["SEPARATOR", "alphabet", "bwt", "characters", "documents", "first_last", "inspect", "lf_of_transform", "locate", "move_rows", "neighbours", "places_of_transform", "reconstruct", "row_histogram", "runs", "sampled", "suffix_array", "verify"]
+__all__ = ["SEPARATOR", "alphabet", "bwt", "characters", "documents", "first_last", "inspect", "lf_of_transform", "locate", "move_rows", "neighbours", "places_of_transform", "reconstruct", "row_histogram", "run_lcs", "runs", "sampled", "suffix_array", "verify"]

@@ -394,6 +394,16 @@ def row_histogram(spark, sf_dir):
     return bwt.row_histogram(small_engine(spark, sf_dir).index.moves)
 
 
+@registered(
+    f"""WITH {_BWT}, borders AS (SELECT run, arg_min(pos, row) AS a, arg_max(pos, row) AS b FROM runs GROUP BY run),
+x AS (SELECT run, d, CASE WHEN a >= d AND b >= d THEN substr(t, a - d + 1, 1) = substr(t, b - d + 1, 1) ELSE false END AS same FROM borders, whole, range(1, 34) r(d))
+SELECT CAST(run AS BIGINT) AS run, CAST(coalesce(min(d) FILTER (NOT same), 34) - 1 AS INTEGER) AS lcs FROM x GROUP BY run"""
+)
+def run_lcs(spark, sf_dir):
+    index = small_engine(spark, sf_dir).index
+    return bwt.run_lcs(index.rows, index.text)
+
+
 @registered(f"WITH {_BWT} SELECT c, CAST(run AS BIGINT) AS run, CAST(id AS BIGINT) AS id FROM moves")
 def output_ids(spark, sf_dir):
     return small_engine(spark, sf_dir).index.moves.select("c", "run", "id")

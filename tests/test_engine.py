@@ -128,6 +128,10 @@ def test_suffix_order(engine):
     assert split == 2
     for r in bwt.locate(engine.index.rows, bwt.sampled(engine.index.sa, 9), engine.index.rows.select("row")).collect():
         assert r["pos"] == sa[r["row"]]
+    for r in bwt.run_lcs(engine.index.rows, engine.index.text, 5).collect():
+        ends = [sa[k] for k in range(len(sa)) if runs[k] == r["run"]]
+        a, b = TEXT[: ends[0]][::-1], TEXT[: ends[-1]][::-1]
+        assert r["lcs"] == min(5, brute.lcp(a, b)), r
     chars = [moves[k]["c"] for k in range(len(moves))]
     for r in bwt.neighbours(engine.index.moves).collect():
         above = [k for k in range(r["run"]) if chars[k] == r["c"]]
