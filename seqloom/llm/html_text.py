@@ -19,7 +19,7 @@ columns are not read.  Lists of children whose lengths have a product over CELLS
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from html import unescape
 
@@ -304,19 +304,24 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     size = first.agg(F.sum(F.octet_length("example"))).first()[0] or 0
     small = size <= BROADCAST_BYTES
 
-    def with_host(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Pages with what their host has; a frequent host is spread by salt."""
+    def with_host(left: DataFrame, right: DataFrame, columns: list[str]) -> tuple[DataFrame, Callable]:
+        """Pages with what their host has: looked up in a broadcast table below the checked size, else joined, where a
+        frequent host is spread by salt. The second value takes a batch and gives what each of its rows' hosts has."""
         if small:
-            return left.join(F.broadcast(right), "host", "left")
+            shared = left.sparkSession.sparkContext.broadcast({r["host"]: tuple(r[c] for c in columns) for r in right.collect()})
+            none = (None,) * len(columns)
+            return left, lambda part: [shared.value.get(h, none) for h in part.column("host").to_pylist()]
         spread = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salt = F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")
-        return left.withColumn("salt", salt).join(spread, ["host", "salt"], "left").drop("salt")
+        joined = left.withColumn("salt", salt).join(spread, ["host", "salt"], "left").drop("salt")
+        return joined, lambda part: list(zip(*(part.column(c).to_pylist() for c in columns)))
+
+    several, of_host = with_host(rows.select("host", "html"), first.filter(F.col("pages") >= least).select("host", "example"), ["example"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html"):
             hosts, nodes, marks, whole = [], [], [], []
-            host_at, html_at, example_at = (part.schema.get_field_index(c) for c in ("host", "html", "example"))
-            for host, html, example in zip(part.column(host_at).to_pylist(), part.column(html_at).to_pylist(), part.column(example_at).to_pylist()):
+            for host, html, (example,) in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), of_host(part)):
                 if example:
                     found = placed(html, example)
                     page = "\n".join(x.text for x, _ in found)
@@ -334,29 +339,27 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array(signed, pa.int64()), pa.array(pages_of, pa.int64())], ["host", "node", "mark", "page"])
 
     # hosts with too few pages have no template; equal contents count once
-    several = with_host(rows.select("host", "html"), first.filter(F.col("pages") >= least).select("host", "example"))
-    seen = several.filter("example is not null").mapInArrow(count, "host string, node int, mark long, page long").distinct()
+    seen = several.mapInArrow(count, "host string, node int, mark long, page long").distinct()
     counts = seen.groupBy("host", "node", "mark").agg(F.count("*").alias("n"))
     all_pages = counts.filter("node = -1").select("host", F.col("n").alias("all"))
     often = counts.filter((F.col("node") >= 0) & (F.col("n") >= constant * least))
     template = often.join(all_pages, "host").filter((F.col("all") >= least) & (F.col("n") >= constant * F.col("all")))
     template = template.groupBy("host").agg(F.collect_set("node").alias("template"))  # at most the exemplar's runs
     known = materialize(first.select("host", "example").join(template, "host"))
+    joined, found_of = with_host(rows, known, ["example", "template"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html"):
-            html_at, example_at, template_at = (part.schema.get_field_index(c) for c in ("html", "example", "template"))
             out = []
-            for html, example, nodes in zip(part.column(html_at).to_pylist(), part.column(example_at).to_pylist(), part.column(template_at).to_pylist()):
+            for html, (example, nodes) in zip(part.column("html").to_pylist(), found_of(part)):
                 if example and nodes:
                     gone = set(nodes)
                     texts = [x.text for x, k in placed(html, example) if k not in gone]
                 else:
                     texts = [x.text for x in content(parse(html))] if html else []
                 out.append(" ".join(texts))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string())], ["page", "url", "text"])
+            yield pa.RecordBatch.from_arrays([part.column("page"), part.column("url"), pa.array(out, pa.string())], ["page", "url", "text"])
 
-    joined = with_host(rows, known).select("page", "url", "html", "example", "template")
     kinds = [rows.schema[c].dataType.simpleString() for c in ("page", "url")]
     return joined.mapInArrow(run, f"page {kinds[0]}, url {kinds[1]}, text string").withColumnRenamed("page", id_col)
 
