@@ -7,10 +7,10 @@ are as many as the logarithm of the longest repeat.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.functions.sequence import SEPARATOR, TERMINATOR
+from seqloom.functions.sequence import TERMINATOR
 from seqloom.operators.corpus import PIECE, text_pieces
 from seqloom.operators.order import global_rank, running_sum
 from seqloom.session import materialize, release
@@ -94,15 +94,11 @@ def alphabet(text: DataFrame) -> DataFrame:
     """``code, c, cnt``: characters in byte order with their counts, without the terminator."""
     counts = text.filter(F.col("c") != TERMINATOR).groupBy("c").agg(F.count("*").alias("cnt"))
     # a row a character
-    from pyspark.sql import Window
-
     return counts.select((F.row_number().over(Window.orderBy("c")) - 1).cast("int").alias("code"), "c", "cnt")
 
 
 def first_last(text: DataFrame, rows: DataFrame) -> DataFrame:
     """``c, first_row, last_row, first_run, last_run``: each character's rows in sorted order, and their runs."""
-    from pyspark.sql import Window
-
     counts = text.groupBy("c").agg(F.count("*").alias("cnt"))
     order = Window.orderBy(F.when(F.col("c") == TERMINATOR, "").otherwise(F.col("c"))).rowsBetween(Window.unboundedPreceding, 0)
     ends = counts.withColumn("stop", F.sum("cnt").over(order)).filter(F.col("c") != TERMINATOR)
@@ -190,4 +186,4 @@ def documents(rows: DataFrame, species: DataFrame) -> DataFrame:
     return rows.filter("doc_id is not null").select("row", "run", "doc_id").join(species.select("doc_id", "species"), "doc_id").select("row", "run", "species")
 
 
-__all__ = ["SEPARATOR", "alphabet", "bwt", "characters", "documents", "first_last", "inspect", "lf_of_transform", "locate", "move_rows", "neighbours", "places_of_transform", "reconstruct", "row_histogram", "run_lcs", "runs", "sampled", "suffix_array", "verify"]
+__all__ = ["alphabet", "bwt", "characters", "documents", "first_last", "inspect", "lf_of_transform", "locate", "move_rows", "neighbours", "places_of_transform", "reconstruct", "row_histogram", "run_lcs", "runs", "sampled", "suffix_array", "verify"]
