@@ -4,7 +4,7 @@ Main path: DataFrame functions only.  One scan makes a narrow table (row id, len
 asked for, the full digest); a row leaves as soon as its length, or its length and prefix hash, is its own.
 Only the rows that are left are grouped by the full SHA-256; without ``digest`` only their texts are read again.
 Groups are reduced in two levels (key and salt, then key), and their verdict is joined back by key and salt, so
-a group that holds a third of all rows is spread over ``SALTS`` tasks.
+a group that holds a third of all rows is spread over many tasks.
 
 Defined results: null text is empty text and all empty texts are equal; of equal texts the one with the most code
 points in the original stays, then the smallest doc_id (null last); of rows that repeat a doc_id and a text exactly one
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import SALTS, salted, text_of
+from seqloom.llm.common import salted, text_of
 from seqloom.session import materialize
 
 #: Characters that do not count when texts are compared: fixed values of the contract.
