@@ -10,10 +10,12 @@ Distinct fingerprints alone are compared.  A posting with many members is cut in
 block of a bounded size: no task gets a whole posting.  A block returns a spanning forest of its links, fewer rows than
 it has members, never all pairs.  Components follow from the forests (``graph.components``).
 
-:func:`keep_one`, the filter, takes wide fingerprints: 512 bits, whose differing bits tell a similarity, and the same
-index over 64 byte positions.  Four bits of 64 stand for a similarity of 0.95; at 0.8 ten differ, more than there are
-bytes, so no shared byte is guaranteed then, but that three given ones are shared is likely enough to meet in one of 168
-sets (95 of 100 pairs at 0.8, nearly all from 0.85 on).
+:func:`keep_one`, the filter, links documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8,
+exactly: no estimate decides.  Candidates come from two places.  Wide fingerprints (512 bits, the same index over 64 byte
+positions, 168 sets of three) give most links at little cost.  Prefix filtering gives all others: of two sets that are
+similar enough, the parts that come first in one order of all shingles, a fifth of each set, share a shingle.  The order
+takes shingles that are common in a sample last, so that common passages make no long postings; any order is right.
+Pairs that earlier links have joined are left out, and each candidate is verified on both whole sets.
 
 Defined results: null text is empty text; a text without words has fingerprint zero and links like any other; equal
 texts have equal fingerprints and so one component; an empty table gives an empty result; only id and text are read.
@@ -23,12 +25,12 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import slices, table, texts, with_group
@@ -51,6 +53,10 @@ SIMILARITY = 0.8
 SLACK = 0.8
 #: Sets of three of the fingerprint's byte positions, as rounds over all positions.
 ROUNDS = 8
+#: Documents of the sample that tells common shingles, how often one of these is in it, and how many are held at most.
+SAMPLE = 20_000
+COMMON = 4
+COMMON_MOST = 100_000
 #: Row ids that are dropped are broadcast up to this many rows (16 bytes each), shuffled beyond.
 BROADCAST_ROWS = 1_000_000
 #: Shingles whose bits are counted at once.
@@ -128,6 +134,21 @@ def _forest(members: np.ndarray, names: np.ndarray, shared: int, bits: int) -> l
     return list(zip(names[moved].tolist(), names[label[moved]].tolist()))
 
 
+def _tree(members: np.ndarray, names: np.ndarray, shared: int, bits: int) -> list[tuple[int, int]]:
+    """As :func:`_forest`, by edges that are links themselves."""
+    near, left, edges = linked(members[:, None, :], members[None, :, :], shared, bits), np.ones(len(members), bool), []
+    for first in range(len(members)):
+        work = [first] if left[first] else []
+        left[first] = False
+        while work:
+            now = work.pop()
+            found = np.flatnonzero(near[now] & left)
+            left[found] = False
+            edges += [(a, int(names[now])) for a in names[found].tolist()]
+            work += found.tolist()
+    return edges
+
+
 def links(nodes: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
     """``a, b``: edges between distinct fingerprints (column fp of ``nodes``, stored and distinct) that make the same
     components as all pairs within ``bits`` differing bits."""
@@ -137,7 +158,7 @@ def links(nodes: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
     return _links(named, triples(), 1, 8 - bits, bits, tile)
 
 
-def _links(nodes: DataFrame, sets: list[tuple[int, int, int]], words: int, shared: int, bits: int, tile: int) -> DataFrame:
+def _links(nodes: DataFrame, sets: list[tuple[int, int, int]], words: int, shared: int, bits: int, tile: int, forest: Callable = _forest) -> DataFrame:
     """The same for nodes (column node, distinct) with fingerprints of several 64-bit words (fps): nodes link if they share
     the bytes at one of the ``sets`` of positions, ``shared`` bytes in all, and differ in at most ``bits`` bits."""
     places = F.array(*[F.struct(F.lit(n).cast("long").alias("n"), *[F.lit(q).alias(c) for c, q in zip("xyz", t)]) for n, t in enumerate(sets)])
@@ -164,7 +185,7 @@ def _links(nodes: DataFrame, sets: list[tuple[int, int, int]], words: int, share
             twos = twos[linked(fps[twos], fps[twos + 1], shared, bits)]
             edges = set(zip(names[twos].tolist(), names[twos + 1].tolist()))
             for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist()):
-                edges.update(_forest(fps[s:e], names[s:e], shared, bits))
+                edges.update(forest(fps[s:e], names[s:e], shared, bits))
             both = np.array(sorted(edges), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
@@ -220,19 +241,27 @@ def wide_limits(similarity: float = SIMILARITY, tables: int = TABLES) -> tuple[i
     return max(3, int(least)), int(size * p + SLACK * math.sqrt(size * p * (1 - p)))
 
 
-def wide_fingerprint(text: str, words: int = NEAR_WORDS, tables: int = TABLES) -> list[int]:
-    """Fingerprints of a text's set of shingles under ``tables`` hash functions, as signed integers."""
+def shingles(text: str, words: int = NEAR_WORDS) -> np.ndarray:
+    """Hashes of a text's set of shingles, sorted; a text of fewer words is one shingle."""
     import xxhash
 
     hashed = xxhash.xxh64_intdigest
     parts = text.encode().lower().split()
     if not parts:
-        return [0] * tables
+        return np.zeros(0, np.uint64)
     width = min(words, len(parts))
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    found = np.unique(np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())), np.uint64))
+    return np.unique(np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())), np.uint64))
+
+
+def wide_fingerprint(text: str, words: int = NEAR_WORDS, tables: int = TABLES) -> list[int]:
+    """Fingerprints of a text's set of shingles under ``tables`` hash functions, as signed integers."""
+    return _wide(shingles(text, words), tables)
+
+
+def _wide(found: np.ndarray, tables: int) -> list[int]:
     ones = np.zeros((tables, 64), np.int64)
     for low in range(0, len(found), CHUNK):
         some = found[low : low + CHUNK]
@@ -246,32 +275,119 @@ def wide_fingerprint(text: str, words: int = NEAR_WORDS, tables: int = TABLES) -
     return np.packbits(ones * 2 > len(found), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
 
 
+def prefix(found: np.ndarray, common: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
+    """The shingles that come first in the order: so many that a set that is similar enough has one of them among its own.
+    ``common``: sorted hashes of common shingles, which come last, by ``ranks`` (from 1 on)."""
+    count = len(found)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        found = found[np.argsort(np.where(common[at] == found, ranks[at], 0), kind="stable")]
+    return found[: count - math.ceil(similarity * count - 1e-9) + 1]
+
+
+def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that many documents of a sample have, and their ranks, the rarest first."""
+    some = rows.filter(F.pmod(F.xxhash64("row"), F.lit(max(1, rows.count() // SAMPLE))) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            found = np.concatenate([shingles(t, words) for t in texts(part)] or [np.zeros(0, np.uint64)])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["shingle"])
+
+    counts = some.select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
+    often = counts.orderBy(F.desc("n"), "shingle").limit(COMMON_MOST).collect()
+    hashes = np.array([r["shingle"] for r in often], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], (len(often) - np.arange(len(often)))[order]
+
+
+def _similar(rows: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs of rows (a, b, stored) whose sets of shingles have the similarity."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            found = [shingles(t, words).view(np.int64) for t in texts(part)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["row", "found"])
+
+    sets = materialize(rows.select("row", "text").join(wanted, "row", "left_semi").select("row", "text").mapInArrow(run, "row long, found array<long>"))
+    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("found").alias("y")), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("all"))
+    return both.filter(F.col("shared") / (F.col("all") - F.col("shared")) >= similarity).select("a", "b")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, tables: int = TABLES, similarity: float = SIMILARITY) -> DataFrame:
     """``docs``, a stored table, with one document of each group of near-duplicates, the one with the smallest id; all
     columns stay as they are.
 
-    Documents link if fingerprints of ``tables`` words of their sets of shingles show a Jaccard similarity of about
-    ``similarity``: the bytes at one of 168 sets of three positions are equal, and so are enough of all bytes, and few
-    enough bits differ (:func:`wide_limits`).
+    Documents link if their sets of shingles have a Jaccard similarity of at least ``similarity``, or are equal.
     """
     name = "_row"
     while name in docs.columns:
         name += "_"
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    shared = docs.sparkSession.sparkContext.broadcast(_common(rows, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for part in slices(batches):
-            found = [wide_fingerprint(t, words, tables) for t in texts(part)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.list_(pa.int64()))], ["doc", "row", "fps"])
+            sets = [shingles(t, words) for t in texts(part)]
+            whole = pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary())
+            sizes = pa.array([len(x) for x in sets], pa.int32())
+            fps = pa.array([_wide(x, tables) for x in sets], pa.list_(pa.int64()))
+            firsts = pa.array([prefix(x, *shared.value, similarity).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), whole, sizes, fps, firsts], ["doc", "row", "whole", "size", "fps", "prefix"])
 
     kind = rows.schema["doc"].dataType.simpleString()
-    marked = materialize(rows.mapInArrow(run, f"doc {kind}, row long, fps array<long>"))
-    first = F.min(F.struct(F.col("doc").isNull().alias("unknown"), "doc", "row"))
-    nodes = materialize(marked.groupBy("fps").agg(first.alias("first")).select("fps", "first", F.col("first.row").alias("node")))
-    joined = components(_links(nodes.select("node", "fps"), wide_sets(tables), tables, *wide_limits(similarity, tables), WIDE_TILE), "a", "b")
-    rooted = materialize(nodes.select("node", "first").join(joined, "node", "left").select("first", F.coalesce("root", "node").alias("root")))
-    stay = rooted.groupBy("root").agg(F.min("first")["row"].alias("row"))
-    dropped = materialize(marked.select("row").join(stay, "row", "left_anti").select(F.col("row").alias(name)))
+    marked = rows.mapInArrow(run, f"doc {kind}, row long, whole binary, size int, fps array<long>, prefix array<long>")
+    first = F.struct(F.col("doc").isNull().alias("unknown"), "doc", "row")
+    least = F.min(F.struct(first.alias("first"), "size", "fps", "prefix")).alias("least")
+    nodes = materialize(marked.groupBy("whole").agg(least).select("least.*", F.col("least.first.row").alias("node")))
+    postings = nodes.select("node", "size", F.posexplode("prefix").alias("at", "key"))
+    common = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    tiles = F.ceil(F.col("n") / WIDE_TILE).cast("int")
+    held = postings.join(common.withColumn("tiles", tiles).drop("n"), "key")
+    held = materialize(held.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")))
+
+    def apart(roots: DataFrame | None) -> DataFrame:
+        """Members of postings that links so far leave in several components."""
+        root = F.col("node") if roots is None else F.coalesce("root", "node")
+        now = (held if roots is None else held.join(roots, "node", "left")).withColumn("root", root)
+        several = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+        return now.join(several, "key", "left_semi")
+
+    def neighbours(roots: DataFrame | None) -> DataFrame:
+        """Members of a posting that follow one another by size: few pairs, which join most of a large group."""
+        order = Window.partitionBy("key", "mine").orderBy("size", "node")
+        near = apart(roots).select("node", "root", "size", *[F.lag(c).over(order).alias(f"{c}_") for c in ("node", "root", "size")])
+        return near.filter((F.col("root") != F.col("root_")) & (F.col("size_") >= similarity * F.col("size") - 1e-9)).select(F.col("node_").alias("a"), F.col("node").alias("b"))
+
+    def others(roots: DataFrame | None) -> DataFrame:
+        """All pairs of a posting that can be similar by their sizes and by what is left of both sets from here on."""
+        left = apart(roots)
+        right = left.withColumn("mine", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", "mine", *[F.col(c).alias(f"{c}_") for c in ("node", "root", "size", "at")])
+        need = (F.col("size") + F.col("size_")) * (similarity / (1 + similarity)) - 1e-6
+        kept = (F.col("root") != F.col("root_")) & ((F.col("size") < F.col("size_")) | ((F.col("size") == F.col("size_")) & (F.col("node") < F.col("node_"))))
+        kept &= (F.col("size") >= similarity * F.col("size_") - 1e-6) & (F.col("size") - F.col("at") >= need) & (F.col("size_") - F.col("at_") >= need)
+        return left.join(right, ["key", "mine"]).filter(kept).select(F.col("node").alias("a"), F.col("node_").alias("b"))
+
+    def guessed(roots: DataFrame | None) -> DataFrame:
+        return _links(nodes.select("node", "fps"), wide_sets(tables), tables, *wide_limits(similarity, tables), WIDE_TILE, _tree)
+
+    edges, roots = None, None
+    for candidates in (guessed, neighbours, others):
+        pairs = materialize(candidates(roots).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if pairs.isEmpty():
+            continue
+        found = materialize(_similar(rows, pairs, words, similarity))
+        if not found.isEmpty():
+            edges = found if edges is None else edges.unionByName(found)
+            roots = materialize(components(edges, "a", "b"))
+    joined = nodes.select("node", "first")
+    joined = joined.withColumn("root", F.col("node")) if roots is None else joined.join(roots, "node", "left")
+    stay = materialize(joined.groupBy(F.coalesce("root", "node")).agg(F.min("first")["row"].alias("row")).select("row"))
+    dropped = materialize(rows.select("row").join(stay, "row", "left_anti").select(F.col("row").alias(name)))
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
     return docs.withColumn(name, F.monotonically_increasing_id()).join(dropped, name, "left_anti").drop(name)

@@ -134,3 +134,34 @@ def test_keep_one(spark, tmp_path):
     assert {r["doc_id"] for r in kept.collect()} >= set(range(30, 70))  # others stay
     assert simhash.keep_one(docs.limit(0)).collect() == []
     assert simhash.wide_fingerprint("") == [0] * simhash.TABLES
+
+
+def test_keep_one_is_exact(spark, tmp_path, monkeypatch):
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(400)]
+    texts = ["", " \n", "one", "one two three four"]
+    for n in [8, 8, 9, 10, 16, 19, 24, 40, 60, 120, 300] * 6:
+        base = [rng.choice(vocabulary) for _ in range(n)]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            other = list(base)
+            for _ in range(rng.randint(0, max(1, n // 40))):
+                other[rng.randrange(n)] = rng.choice(vocabulary)
+            texts.append(" ".join(other + [f"tail{k}" for k in range(rng.randint(0, 1 + n // 12))]))
+    passage = " ".join(rng.choice(vocabulary) for _ in range(30))
+    texts += [passage + " " + " ".join(rng.choice(vocabulary) for _ in range(rng.choice([3, 6, 8, 40]))) for _ in range(60)]
+    rng.shuffle(texts)
+    sets = [simhash.shingles(t) for t in texts]
+    sets = [set(x.tolist()) for x in sets]
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    assert 70 < len(set(label)) < len(label) - 30
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    monkeypatch.setattr(simhash, "WIDE_TILE", 16)
+    kept = simhash.keep_one(spark.read.parquet(f"{tmp_path}/docs"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
