@@ -13,12 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: A chain has at most so many tokens; longer ones are cut, and a label that goes on at a cut goes on in the next chain.
+#: Tokens of a chain where the caller cuts long ones; chains of any length are decoded.
 CHAIN = 64
 #: Score of a barred step.
 BARRED = -1e4
-#: Chains that are decoded together.
+#: Chains that are decoded together, and the most tokens that they have when padded to the longest, unless one alone has more.
 TOGETHER = 2048
+PADDED = TOGETHER * CHAIN
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -57,8 +58,12 @@ class Crf:
     def _padded(self, scores: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         starts = np.cumsum(lengths) - lengths
         order = np.argsort(lengths, kind="stable")
-        for low in range(0, len(order), TOGETHER):
-            some = order[low : low + TOGETHER]
+        low = 0
+        while low < len(order):
+            sizes = lengths[order[low : low + TOGETHER]]
+            # sizes grow; the first TOGETHER chains whose padded block is small enough, one at least
+            some = order[low : low + max(1, int(np.searchsorted(sizes * np.arange(1, len(sizes) + 1), PADDED, side="right")))]
+            low += len(some)
             width = int(lengths[some[-1]])
             place = starts[some][:, None] + np.minimum(np.arange(width), lengths[some][:, None] - 1)
             live = np.arange(width) < lengths[some][:, None]

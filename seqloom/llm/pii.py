@@ -3,8 +3,8 @@
 The field is trained on the small labelled table LABELLED when a query starts, in numpy on the driver, and broadcast.
 It tags names after titles and introductions, postal addresses and numbers of identity papers, which patterns can
 not tell from other words and numbers.  The words from a cue to what it announces have a label of their own, so that a
-name needs its announcement; steps between labels that the table never takes are barred.  Lines are chains, cut at
-``crf.CHAIN`` tokens; Viterbi runs over all chains of a slice of documents at once.  A chain without any digit and any
+name needs its announcement; steps between labels that the table never takes are barred.  Lines are chains, whole
+whatever their length; Viterbi runs over all chains of a slice of documents at once.  A line without any digit and any
 cue announces nothing and is untagged by definition.  Tagged spans that touch a base span go.
 
 Defined results: null text is empty and has no spans; a repeated row repeats its result; whole texts of any length are
@@ -266,23 +266,19 @@ class Tagger:
                     for token in set(tokens) - known.keys():
                         known[token] = self._class(token)
                     classes = [known[t] for t in tokens]
-                    for low in range(0, len(classes), crf.CHAIN):
-                        chain = classes[low : low + crf.CHAIN]
-                        if any(self.loud[c] for c in chain):
-                            chains.append(chain)
-                            owner.append((i, at, line, low))
+                    if any(self.loud[c] for c in classes):
+                        chains.append(classes)
+                        owner.append((i, at, line))
                 at += len(line) + 1
         if chains:
             lengths = np.array([len(c) for c in chains])
             flat = np.concatenate(chains)
             own, prev, next_ = (np.array(x) for x in zip(*self.rows))
             found = self.model.viterbi(self.model.emissions(own[flat], prev[flat], next_[flat], lengths), lengths)
-            tagged: dict[tuple[int, int, str], list[tuple[int, int]]] = {}
-            for (i, at, line, low), start, size in zip(owner, np.cumsum(lengths) - lengths, lengths):
-                for t in np.flatnonzero(found[start : start + size] > 1).tolist():
-                    tagged.setdefault((i, at, line), []).append((low + t, int(found[start + t])))
-            for (i, at, line), labels in tagged.items():
-                out[i] = out[i] + self._merged(line, at, labels, [s for s in out[i] if s[0] < len(BASE)])
+            for (i, at, line), start, size in zip(owner, np.cumsum(lengths) - lengths, lengths):
+                labels = [(t, int(found[start + t])) for t in np.flatnonzero(found[start : start + size] > 1).tolist()]
+                if labels:
+                    out[i] = out[i] + self._merged(line, at, labels, [s for s in out[i] if s[0] < len(BASE)])
         return [sorted(x) for x in out]
 
     @staticmethod

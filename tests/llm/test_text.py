@@ -135,6 +135,13 @@ def test_field_on_new_words(tagger):
         assert found(clean) == []
 
 
+def test_field_reads_long_lines_whole(tagger):
+    for n in [*range(56, 70), 127, 128, 5000]:
+        for cue, kind, span in [("name:", "person", "Sara Connor"), ("address:", "address", "99 Long Road"), ("passport number", "id", "X1234567")]:
+            text = f"{'x ' * n}{cue} {span} {'y ' * 70}"
+            assert [(pii.KINDS[k], text[a:b]) for k, a, b in tagger.spans([text, "name: Wei Chen"])[0]] == [(kind, span)], (n, cue)
+
+
 def test_personal_data(spark, tagger, tmp_path):
     texts = [None, "", "mail a.b@c.de or 10.0.0.1", "Dear Mr. Smith, call +49 (30) 123-4567 now", "x " * 50_000 + "name: Sara Connor"]
     rows = [(i, t, "en", None, 7, 0.0, "", "", 0, "") for i, t in enumerate([*texts, texts[2]])]
