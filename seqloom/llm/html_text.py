@@ -3,7 +3,8 @@
 Pages of a host are aligned with the host's exemplar page by simple tree matching: trees of block elements, equal labels
 (tag, class) match, children are aligned in order by dynamic programming, and equal texts weigh more.  Over all pages of
 the host, an exemplar's text node that has the same text in nearly all different pages is template; nodes whose texts
-vary are slots.  The text of a page is what stands in slots or in nodes that the exemplar lacks, inside the page's main
+vary are slots.  A page's run of text goes if it matches a template node and has that node's constant text.  The text of
+a page is what stands elsewhere: in slots, in nodes that the exemplar lacks, or in place of a constant text, inside the page's main
 region (its largest article, else main, else body) and outside elements that are never part of an article: menus,
 headers of the page, footers, sidebars, notices, adverts, forms, scripts, styles and comments, by tag, role, class or id.
 
@@ -295,6 +296,11 @@ def placed(html: str, example: str) -> list[tuple[Node, int]]:
     return [(x, found.get(id(x), -1)) for x in content(root)]
 
 
+def mark(text: str) -> int:
+    """A run's text as a signed 64-bit hash."""
+    return int.from_bytes(xxhash.xxh64_digest(text), "big", signed=True)
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = PAGES, constant: float = CONSTANT) -> DataFrame:
     """``<id_col>, url, text``: the main text of each page, one row for each input row."""
     name = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
@@ -330,7 +336,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                     nodes += [-1, *(k for _, k in found)]
                     marks += ["", *(x.text for x, _ in found)]
                     whole += [page] * (1 + len(found))
-            signed = [int.from_bytes(xxhash.xxh64_digest(x), "big", signed=True) for x in marks]
+            signed = [mark(x) for x in marks]
             last, pages_of = None, []
             for page in whole:
                 if page is not last:
@@ -344,7 +350,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     all_pages = counts.filter("node = -1").select("host", F.col("n").alias("all"))
     often = counts.filter((F.col("node") >= 0) & (F.col("n") >= constant * least))
     template = often.join(all_pages, "host").filter((F.col("all") >= least) & (F.col("n") >= constant * F.col("all")))
-    template = template.groupBy("host").agg(F.collect_set("node").alias("template"))  # at most the exemplar's runs
+    template = template.groupBy("host").agg(F.collect_set(F.struct("node", "mark")).alias("template"))  # at most the exemplar's runs
     known = materialize(first.select("host", "example").join(template, "host"))
     joined, found_of = with_host(rows, known, ["example", "template"])
 
@@ -353,8 +359,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             out = []
             for html, (example, nodes) in zip(part.column("html").to_pylist(), found_of(part)):
                 if example and nodes:
-                    gone = set(nodes)
-                    texts = [x.text for x, k in placed(html, example) if k not in gone]
+                    gone = {r["node"]: r["mark"] for r in nodes}
+                    texts = [x.text for x, k in placed(html, example) if k not in gone or mark(x.text) != gone[k]]
                 else:
                     texts = [x.text for x in content(parse(html))] if html else []
                 out.append(" ".join(texts))

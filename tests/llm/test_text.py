@@ -283,3 +283,14 @@ def test_pages_without_broadcast(spark, monkeypatch):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     monkeypatch.setattr(html_text, "BROADCAST_BYTES", -1)
     assert {r["page_id"]: r["text"] for r in html_text.extract_text(pages).collect()} == {i: f"text {i}" for i in range(12)}
+
+
+@pytest.mark.parametrize("most", [1 << 24, -1])
+def test_template_takes_its_own_text_alone(spark, monkeypatch, most):
+    page = lambda *paragraphs: f"<article>{''.join(f'<p>{x}</p>' for x in paragraphs)}</article>"
+    rows = [(i, f"http://a.example/{i}", page(f"text {i}", "Read more on our site.")) for i in range(60)]
+    rows += [(60, "http://a.example/60", page("text 60", "Other words.")), (61, "http://a.example/61", page("text 61", "One more paragraph."))]
+    monkeypatch.setattr(html_text, "BROADCAST_BYTES", most)
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = {i: f"text {i}" for i in range(60)} | {60: "text 60 Other words.", 61: "text 61 One more paragraph."}
+    assert {r["page_id"]: r["text"] for r in got} == want
