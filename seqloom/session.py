@@ -6,12 +6,17 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 _OWNED: set[str] = set()
+#: Folders that the innermost :func:`scratch` releases when it ends.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -52,6 +57,8 @@ def materialize(df: DataFrame) -> DataFrame:
     if not _OWNED:
         atexit.register(_release_all, spark)
     _OWNED.add(path)
+    if (held := _SCRATCH.get()) is not None:
+        held.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._seqloom_path = path
     return out
@@ -64,6 +71,30 @@ def release(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator:
+    """Tables that are written inside go when the block ends; what it yields writes a frame that stays."""
+    outer = _SCRATCH.get()
+    mine: list[str] = []
+    token = _SCRATCH.set(mine)
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = materialize(df)
+        mine.remove(out._seqloom_path)
+        if outer is not None:
+            outer.append(out._seqloom_path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.reset(token)
+        for path in mine:
+            if path in _OWNED:
+                _OWNED.discard(path)
+                _delete(spark, path)
+
+
 def _release_all(spark: SparkSession) -> None:
     for path in list(_OWNED):
         try:
