@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.session import ship
+from seqloom.session import materialize, ship
 
 #: A slice of a batch that a Python worker handles at once has at most so many UTF-8 bytes, or one row.
 SLICE_BYTES = 4 << 20
@@ -22,6 +23,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores at its end as it takes to differ from those that are taken."""
+    out, low = [], {c.lower() for c in taken}
+    for name in wanted:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _one_scan(df: DataFrame) -> bool:
+    """Whether a frame is one scan of files with nothing but projections and filters on it."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation"
+
+
+def placed(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with two columns, and their names, that tell its rows apart: a hash of the file's path and the row's
+    place in the file.  They are the same in every scan, however files are dealt to tasks; a frame that is no plain scan
+    of Parquet files is written to the shared folder first."""
+    for again in (False, True):
+        if again or not _one_scan(docs):
+            docs = materialize(docs)
+        try:
+            meta = docs.metadataColumn("_metadata")
+            file, at = free_names(docs.columns, "_file", "_at")
+            return docs.select("*", F.xxhash64(meta["file_path"]).alias(file), meta["row_index"].alias(at)), file, at
+        except AnalysisException:
+            if again:
+                raise
+    raise AssertionError
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null counted as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

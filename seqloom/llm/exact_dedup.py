@@ -8,7 +8,10 @@ a group that holds a third of all rows is spread over many tasks.
 
 Defined results: null text is empty text and all empty texts are equal; of equal texts the one with the most code
 points in the original stays, then the smallest doc_id (null last); of rows that repeat a doc_id and a text exactly one
-stays, by the row's place in the scan. An empty table gives an empty result. Further columns of the input are not read.
+stays, by the row's place in its file. An empty table gives an empty result. Further columns of the input are not read.
+
+Rows are told apart by file and place in the file (``common.placed``), never by the order of a scan: a scan that is run
+again, with other executors, may deal files otherwise.
 """
 
 from __future__ import annotations
@@ -16,13 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import salted, text_of
-from seqloom.session import materialize
+from seqloom.llm.common import placed, salted, text_of
+from seqloom.session import materialize, scratch
 
 #: Characters that do not count when texts are compared: fixed values of the contract.
 BLANK = " \t\n\x0b\x0c\r"
 PREFIX = 256
-#: Row ids of survivors are broadcast up to this many rows (16 bytes each), shuffled beyond.
+#: Row ids of survivors are broadcast up to this many rows (24 bytes each), shuffled beyond.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -40,10 +43,12 @@ def _members(rows: DataFrame, keys: list[str]) -> DataFrame:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """One row per input row: ``row_id, <id_col>, keep_id, group_size, kept`` and, with ``digest``, ``text_sha256``.
 
-    ``row_id`` tells rows of one scan apart; it is the same for every branch as the narrow table is written once.
+    ``row_id`` is the row's file (as a hash) and its place there.
     """
+    docs, file, at = placed(docs)
     norm = normalised(text_col)
-    source = docs.select(F.col(id_col).alias("doc"), F.col(text_col), F.monotonically_increasing_id().alias("row_id"))
+    place = F.struct(F.col(file).alias("file"), F.col(at).alias("at"))
+    source = docs.select(F.col(id_col).alias("doc"), F.col(text_col), place.alias("row_id"))
     narrow = source.select(
         "row_id",
         "doc",
@@ -66,7 +71,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "points",
         F.col("doc").isNotNull().alias("known"),
         F.bitwise_not("doc").alias("small"),
-        F.bitwise_not("row_id").alias("first"),
+        F.bitwise_not("row_id.file").alias("first"),
+        F.bitwise_not("row_id.at").alias("next"),
         F.col("doc").alias("keep_id"),
         F.col("row_id").alias("keep_row"),
     )
@@ -88,14 +94,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input without the rows that :func:`exact_dedup` drops; all columns stay as they are."""
-    # The same scan gives the same row ids; the column's name can not clash with one of the input's.
-    name = "_row"
-    while name in docs.columns:
-        name += "_"
-    dropped = materialize(exact_dedup(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("row_id").alias(name)))
+    docs, file, at = placed(docs)
+    with scratch(docs.sparkSession) as keep:
+        dropped = exact_dedup(docs.drop(file, at), id_col, text_col).filter(~F.col("kept"))
+        dropped = keep(dropped.select(F.col("row_id.file").alias(file), F.col("row_id.at").alias(at)))
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    return docs.withColumn(name, F.monotonically_increasing_id()).join(dropped, name, "left_anti").drop(name)
+    return docs.join(dropped, [file, at], "left_anti").drop(file, at)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

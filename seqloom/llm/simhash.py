@@ -1,30 +1,34 @@
 """SimHash near-dedup: an inverted index over byte positions with count filtering.
 
 A fingerprint of 64 bits is eight bytes.  Two fingerprints that differ in at most four bits share at least four bytes at
-their positions, so pairs with a tally of fewer shared positional bytes are out before their bits are compared.  A
-plain posting (position, byte) would hold 1/256 of all fingerprints, so postings are composed: sets of three positions,
-chosen such that any four positions hold one of the sets, and the bytes there.  Postings that only one fingerprint
-has are dropped; members of one posting are tallied and verified in blocks.
-
-Distinct fingerprints alone are compared.  A posting with many members is cut into tiles, and each pair of tiles is a
-block of a bounded size: no task gets a whole posting.  A block returns a spanning forest of its links, fewer rows than
-it has members, never all pairs.  Components follow from the forests (``graph.components``).
-
-:func:`keep_one`, the filter, links documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8,
-exactly: no estimate decides.  Candidates come from two places.  Wide fingerprints (512 bits, the same index over 64 byte
-positions, 168 sets of three) give most links at little cost.  Prefix filtering gives all others: of two sets that are
-similar enough, the parts that come first in one order of all shingles, a fifth of each set, share a shingle.  The order
-takes shingles that are common in a sample last, so that common passages make no long postings; any order is right.
-Pairs that earlier links have joined are left out, and each candidate is verified on both whole sets.
+their positions.  Pairs are tallied: those with fewer shared positional bytes than that are out, those that are left are
+verified by their bits.  A plain posting (position, byte) would hold 1/256 of all fingerprints, so postings are
+composed: sets of three positions, chosen such that any four positions hold one of the sets, and the bytes there.
+A posting with more than a tile of members is split by each fourth position and the byte there, which every link in it
+also shares.  Postings that only one fingerprint has are dropped; the others are tallied and verified in blocks.
+
+Distinct fingerprints alone are compared.  What is still a large posting after its split is cut into tiles, and each pair
+of tiles is a block of a bounded size: no task gets a whole posting.  A block returns a spanning forest of its links, fewer
+rows than it has members, never all pairs.  Components follow from the forests (``graph.components``).
+
+:func:`keep_one`, the filter, links documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8;
+every link is verified on both whole sets.  Candidates come from the same kind of index twice: from SimHash fingerprints
+as above, which find most copies cheaply, and, as SimHash loses similar documents (short ones above all), from a
+signature of POSITIONS bytes, each the low byte of the least hash of the set under one function.  Two sets share a byte
+there with at least their similarity as probability, whatever their size.  Postings are BANDS disjoint sets of BAND
+positions; a pair is a candidate if it shares a posting and its tally of shared bytes reaches the least one that a
+similar pair has.  A pair at 0.8 misses all postings with a probability of (1 - 0.8 ** BAND) ** BANDS, about 1e-7, and the
+tally with 1e-8.  Neighbours in a posting come first and join most of a large group; only members of a posting that
+are in another component than most of it are then compared with all the others.
 
 Defined results: null text is empty text; a text without words has fingerprint zero and links like any other; equal
 texts have equal fingerprints and so one component; an empty table gives an empty result; only id and text are read.
+Rows that are dropped are told by file and place (``common.placed``), so they are the same in any scan.
 """
 
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -33,33 +37,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import slices, table, texts, with_group
+from seqloom.llm.common import placed, slices, table, texts, with_group
 from seqloom.llm.graph import components
-from seqloom.session import materialize
+from seqloom.session import materialize, scratch
 
 SEED = 42
 BITS = 4
 WORDS = 4
 #: Members of a tile, on average; a block holds two.
 TILE = 512
-WIDE_TILE = 256
 #: The guaranteed number of shared positional bytes, of eight, at BITS differing bits.
 SHARED = 8 - BITS
-#: For the filter: words of a shingle, 64-bit words of a fingerprint, and the similarity that links documents.
+#: For the filter: words of a shingle, the similarity that links documents, and the signature's postings.
 NEAR_WORDS = 5
-TABLES = 8
 SIMILARITY = 0.8
-#: Standard deviations of the number of differing bits that documents of this similarity may have beyond its mean.
-SLACK = 0.8
-#: Sets of three of the fingerprint's byte positions, as rounds over all positions.
-ROUNDS = 8
-#: Documents of the sample that tells common shingles, how often one of these is in it, and how many are held at most.
-SAMPLE = 20_000
-COMMON = 4
-COMMON_MOST = 100_000
-#: Row ids that are dropped are broadcast up to this many rows (16 bytes each), shuffled beyond.
+BAND = 5
+BANDS = 40
+POSITIONS = BAND * BANDS
+#: Standard deviations by which a similar pair's tally may stay behind its mean.
+BEHIND = 5.5
+#: Members of a tile of a signature's posting.
+NEAR_TILE = 256
+#: Row ids that are dropped are broadcast up to this many rows (24 bytes each), shuffled beyond.
 BROADCAST_ROWS = 1_000_000
-#: Shingles whose bits are counted at once.
+#: Shingles whose hashes are worked on at once.
 CHUNK = 1 << 16
 
 
@@ -106,37 +107,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return chosen.mapInArrow(run, f"doc {chosen.schema['doc'].dataType.simpleString()}, fp long")
 
 
+_LOW = np.uint64(0x7F7F7F7F7F7F7F7F)
+
+
+def tallied(a: np.ndarray, b: np.ndarray, shared: int = SHARED) -> np.ndarray:
+    """Whether fingerprints (uint64) share at least so many bytes at their positions."""
+    x = a ^ b
+    differing = np.bitwise_count(((x & _LOW) + _LOW | x) & ~_LOW)  # the top bit of every byte that is not zero
+    return differing <= 8 - shared
+
+
 def linked(a: np.ndarray, b: np.ndarray, shared: int = SHARED, bits: int = BITS) -> np.ndarray:
-    """Whether fingerprints (uint64, words along the last axis) link: enough shared positional bytes and few enough
-    differing bits. Both must hold; bits are compared first, as that takes less memory for a matrix of pairs."""
-    differ = np.zeros(np.broadcast_shapes(a.shape, b.shape)[:-1], np.int32)
-    for k in range(a.shape[-1]):
-        differ += np.bitwise_count(a[..., k] ^ b[..., k])
-    out = differ <= bits
+    """Whether fingerprints (uint64) link: pairs that the tally retains are verified by their bits."""
+    out = tallied(a, b, shared)
     where = np.nonzero(out)
-    x = np.broadcast_to(a, (*out.shape, a.shape[-1]))[where] ^ np.broadcast_to(b, (*out.shape, b.shape[-1]))[where]
-    tally = (np.ascontiguousarray(x).view(np.uint8) == 0).sum(-1)
-    out[where] = tally >= shared
+    a, b = np.broadcast_to(a, out.shape), np.broadcast_to(b, out.shape)
+    out[where] = np.bitwise_count(a[where] ^ b[where]) <= bits
     return out
 
 
 def _forest(members: np.ndarray, names: np.ndarray, shared: int, bits: int) -> list[tuple[int, int]]:
-    """Names of a member and of the first member of its component, within a block."""
-    near = linked(members[:, None, :], members[None, :, :], shared, bits)
-    label = np.arange(len(members))
-    while True:
-        new = np.where(near, label[None, :], len(members)).min(1)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = np.flatnonzero(label != np.arange(len(members)))
-    return list(zip(names[moved].tolist(), names[label[moved]].tolist()))
-
-
-def _tree(members: np.ndarray, names: np.ndarray, shared: int, bits: int) -> list[tuple[int, int]]:
-    """As :func:`_forest`, by edges that are links themselves."""
-    near, left, edges = linked(members[:, None, :], members[None, :, :], shared, bits), np.ones(len(members), bool), []
+    """A spanning forest of a block's links, by edges that are links themselves."""
+    near, left, edges = linked(members[:, None], members[None, :], shared, bits), np.ones(len(members), bool), []
     for first in range(len(members)):
         work = [first] if left[first] else []
         left[first] = False
@@ -150,64 +142,70 @@ def _tree(members: np.ndarray, names: np.ndarray, shared: int, bits: int) -> lis
 
 
 def links(nodes: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
-    """``a, b``: edges between distinct fingerprints (column fp of ``nodes``, stored and distinct) that make the same
-    components as all pairs within ``bits`` differing bits."""
+    """``a, b``: links between nodes (columns node, distinct, and fp; stored) that make the same components as all
+    pairs within ``bits`` differing bits."""
     if bits > 4:
         raise ValueError("sets of three positions are sure to meet up to four differing bits only")
-    named = nodes.select(F.col("fp").alias("node"), F.array("fp").alias("fps"))
-    return _links(named, triples(), 1, 8 - bits, bits, tile)
-
-
-def _links(nodes: DataFrame, sets: list[tuple[int, int, int]], words: int, shared: int, bits: int, tile: int, forest: Callable = _forest) -> DataFrame:
-    """The same for nodes (column node, distinct) with fingerprints of several 64-bit words (fps): nodes link if they share
-    the bytes at one of the ``sets`` of positions, ``shared`` bytes in all, and differ in at most ``bits`` bits."""
-    places = F.array(*[F.struct(F.lit(n).cast("long").alias("n"), *[F.lit(q).alias(c) for c, q in zip("xyz", t)]) for n, t in enumerate(sets)])
-    rows = nodes.select("node", "fps", F.explode(places).alias("p"))
-    byte = lambda q: F.expr(f"shiftright(fps[p.{q} div 8], 8 * (p.{q} % 8)) & 255")
-    key = F.shiftleft("p.n", 24) + F.shiftleft(byte("x"), 16) + F.shiftleft(byte("y"), 8) + byte("z")
-    postings = rows.select("node", key.alias("key"))
-    common = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    tiles = F.ceil(F.col("n") / tile).cast("int")
+    shared = 8 - bits
+    byte = lambda q: F.expr(f"shiftright(fp, 8 * {q}) & 255")
+    places = F.array(*[F.struct(F.lit(n).cast("long").alias("n"), *[F.lit(q).alias(c) for c, q in zip("xyz", t)]) for n, t in enumerate(triples())])
+    rows = nodes.select("node", "fp", F.explode(places).alias("p"))
+    key = F.shiftleft("p.n", 24) + F.shiftleft(byte("p.x"), 16) + F.shiftleft(byte("p.y"), 8) + byte("p.z")
+    postings = rows.select("node", "fp", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("p.z").alias("z"), key.alias("key"))
+    several = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    held = materialize(postings.join(several, "key"))
+    # a frequent posting is split by a fourth position, of the other five, and its byte
+    fourth = F.explode(F.array_except(F.array(*map(F.lit, range(8))), F.array("x", "y", "z")))
+    split = held.filter(F.col("n") > tile).select("node", "fp", "key", fourth.alias("q"))
+    split = split.select("node", "fp", (F.shiftleft("key", 12) + F.shiftleft((F.col("q") + 1).cast("long"), 8) + byte("q")).alias("key"))
+    again = split.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    frequent = split.join(again, "key").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
+    rare = held.filter(F.col("n") <= tile).select(F.shiftleft("key", 12).alias("key"), "node", "fp", F.lit(1).alias("tiles"))
+    members = rare.unionByName(frequent.select("key", "node", "fp", "tiles"))
+    # a row goes to as many blocks as its posting has tiles
     mine = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     other = F.explode(F.expr("if(tiles = 1, array(0), filter(sequence(0, tiles - 1), x -> x <> mine))"))
-    # a row of a frequent posting goes to as many blocks as the posting has tiles
-    members = postings.join(common.withColumn("tiles", tiles).drop("n"), "key").withColumn("mine", mine).select("key", "node", "mine", other.alias("other"))
-    members = members.select("key", "node", F.least("mine", "other").cast("long").alias("low"), F.greatest("mine", "other").cast("long").alias("high"))
-    members = members.join(nodes.select("node", *[F.col("fps")[k].alias(f"f{k}") for k in range(words)]), "node")
+    members = members.withColumn("mine", mine).select("key", "node", "fp", "mine", other.alias("other"))
+    members = members.select("key", F.least("mine", "other").cast("long").alias("low"), F.greatest("mine", "other").cast("long").alias("high"), "node", "fp")
     blocks = members.repartition(F.col("key"), F.col("low"), F.col("high")).sortWithinPartitions("key", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(block: np.ndarray) -> pa.RecordBatch:
             cuts = np.flatnonzero((block[1:, :3] != block[:-1, :3]).any(1)) + 1
             starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(block)]])
-            names, fps = block[:, 3], np.ascontiguousarray(block[:, 4:]).view(np.uint64)
+            names, fps = block[:, 3], np.ascontiguousarray(block[:, 4]).view(np.uint64)
             twos = starts[ends - starts == 2]
             twos = twos[linked(fps[twos], fps[twos + 1], shared, bits)]
             edges = set(zip(names[twos].tolist(), names[twos + 1].tolist()))
             for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist()):
-                edges.update(forest(fps[s:e], names[s:e], shared, bits))
+                edges.update(_forest(fps[s:e], names[s:e], shared, bits))
             both = np.array(sorted(edges), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-        held = np.zeros((0, 4 + words), np.int64)
-        for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)
-            held = np.concatenate([held, rows])
-            last = np.flatnonzero((held[:, :3] != held[-1, :3]).any(1)) if len(held) else rows[:, 0]
-            if last.size:  # the last block may go on in the next batch
-                yield found(held[: last[-1] + 1])
-                held = held[last[-1] + 1 :]
-        if len(held):
-            yield found(held)
+        yield from _blocks(batches, 3, found)
 
-    return blocks.select("key", "low", "high", "node", *[f"f{k}" for k in range(words)]).mapInArrow(run, "a long, b long")
+    return blocks.mapInArrow(run, "a long, b long")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], keys: int, found: Callable) -> Iterator[pa.RecordBatch]:
+    """``found`` of runs of whole blocks: rows of integers, sorted by their first columns, which are the block's key."""
+    held = None
+    for batch in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)
+        held = rows if held is None else np.concatenate([held, rows])
+        last = np.flatnonzero((held[:, :keys] != held[-1, :keys]).any(1)) if len(held) else rows[:, 0]
+        if last.size:  # the last block may go on in the next batch
+            yield found(held[: last[-1] + 1])
+            held = held[last[-1] + 1 :]
+    if held is not None and len(held):
+        yield found(held)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
     """``<id_col>, fp`` (long) and ``component_id``, the smallest id that links reach, one row per input row."""
     marked = materialize(fingerprints(docs, id_col, text_col, words))
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc").alias("least")))
-    joined = components(links(nodes.select("fp"), bits), "a", "b")
+    joined = components(links(nodes.select(F.col("fp").alias("node"), "fp"), bits), "a", "b")
     rooted = materialize(nodes.join(joined, nodes.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     classes = with_group(rooted, ["root"], F.min("least"), F.min("part"), "component_id", ["fp"])
     return _back(marked, classes.select("fp", "component_id")).withColumnRenamed("doc", id_col)
@@ -222,25 +220,6 @@ def _back(marked: DataFrame, classes: DataFrame) -> DataFrame:
     return dealt.join(spread, ["fp", "_salt"]).select("doc", "fp", "component_id")
 
 
-def wide_sets(tables: int = TABLES, rounds: int = ROUNDS) -> list[tuple[int, int, int]]:
-    """Sets of three byte positions of a wide fingerprint: each round deals all positions in a seeded order."""
-    rng, found = random.Random(7), []
-    for _ in range(rounds):
-        order = list(range(8 * tables))
-        rng.shuffle(order)
-        found += [tuple(order[k : k + 3]) for k in range(0, len(order) - 2, 3)]
-    return found
-
-
-def wide_limits(similarity: float = SIMILARITY, tables: int = TABLES) -> tuple[int, int]:
-    """Shared bytes at least and differing bits at most of documents of a similarity: a bit differs with probability
-    p, a byte with 1 - (1 - p) ** 8; bytes are let off three standard deviations, bits SLACK."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    same, size = (1 - p) ** 8, 64 * tables
-    least = 8 * tables * same - 3 * math.sqrt(8 * tables * same * (1 - same))
-    return max(3, int(least)), int(size * p + SLACK * math.sqrt(size * p * (1 - p)))
-
-
 def shingles(text: str, words: int = NEAR_WORDS) -> np.ndarray:
     """Hashes of a text's set of shingles, sorted; a text of fewer words is one shingle."""
     import xxhash
@@ -256,77 +235,89 @@ def shingles(text: str, words: int = NEAR_WORDS) -> np.ndarray:
     return np.unique(np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())), np.uint64))
 
 
-def wide_fingerprint(text: str, words: int = NEAR_WORDS, tables: int = TABLES) -> list[int]:
-    """Fingerprints of a text's set of shingles under ``tables`` hash functions, as signed integers."""
-    return _wide(shingles(text, words), tables)
+def of_set(found: np.ndarray) -> int:
+    """The SimHash of a set of shingles, as a signed integer."""
+    ones = np.zeros(64, np.int64)
+    for low in range(0, len(found), CHUNK):
+        ones += np.unpackbits(found[low : low + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(found), bitorder="little").view("<i8")[0])
 
 
-def _wide(found: np.ndarray, tables: int) -> list[int]:
-    ones = np.zeros((tables, 64), np.int64)
-    for low in range(0, len(found), CHUNK):
-        some = found[low : low + CHUNK]
-        for t in range(tables):
-            # a mixing step of SplitMix64 makes further hash functions out of the first
-            x = some + np.uint64((t * 0x9E3779B97F4A7C15) % (1 << 64))
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-            ones[t] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(found), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
-
-
-def prefix(found: np.ndarray, common: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
-    """The shingles that come first in the order: so many that a set that is similar enough has one of them among its own.
-    ``common``: sorted hashes of common shingles, which come last, by ``ranks`` (from 1 on)."""
-    count = len(found)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-        found = found[np.argsort(np.where(common[at] == found, ranks[at], 0), kind="stable")]
-    return found[: count - math.ceil(similarity * count - 1e-9) + 1]
-
-
-def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that many documents of a sample have, and their ranks, the rarest first."""
-    some = rows.filter(F.pmod(F.xxhash64("row"), F.lit(max(1, rows.count() // SAMPLE))) == 0)
+#: Odd factors of the signature's hash functions, from a seeded draw.
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 31, POSITIONS, np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def signature(found: np.ndarray) -> bytes:
+    """For each of POSITIONS functions the low byte of the least hash of a set of shingles; zeros for an empty set."""
+    least = np.full(POSITIONS, 0xFFFFFFFF, np.uint32)
+    some = (found >> np.uint64(32)).astype(np.uint32)
+    for low in range(0, len(some), 2048):
+        np.minimum(least, np.multiply.outer(FACTORS, some[low : low + 2048]).min(1), out=least)
+    return (least & 0xFF).astype(np.uint8).tobytes() if len(found) else bytes(POSITIONS)
+
+
+def least_tally(similarity: float = SIMILARITY) -> int:
+    """The shared positional bytes that a similar pair has at least, but for BEHIND standard deviations."""
+    return int(POSITIONS * similarity - BEHIND * math.sqrt(POSITIONS * similarity * (1 - similarity)))
+
+
+def _bands(signatures: np.ndarray) -> np.ndarray:
+    """Keys of the postings of signatures (uint8, rows x POSITIONS): the band's number over its bytes."""
+    parts = signatures.reshape(-1, BANDS, BAND).astype(np.int64)
+    return (parts << (8 * np.arange(BAND))).sum(2) + (np.arange(BANDS, dtype=np.int64) << (8 * BAND))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, POSITIONS)
+
+
+def _tally(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """``a, b, tally`` of the pairs that share at least so many positional bytes of their signatures."""
+    both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a")
+    both = both.join(nodes.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            found = np.concatenate([shingles(t, words) for t in texts(part)] or [np.zeros(0, np.uint64)])
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["shingle"])
+        for batch in batches:
+            if batch.num_rows:
+                tally = (_matrix(batch.column(2)) == _matrix(batch.column(3))).sum(1)
+                where = pa.array(np.flatnonzero(tally >= least))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(tally.astype(np.int32)).take(where)], ["a", "b", "tally"])
 
-    counts = some.select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
-    often = counts.orderBy(F.desc("n"), "shingle").limit(COMMON_MOST).collect()
-    hashes = np.array([r["shingle"] for r in often], np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], (len(often) - np.arange(len(often)))[order]
+    return both.mapInArrow(run, "a long, b long, tally int")
 
 
 def _similar(rows: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the pairs of rows (a, b, stored) whose sets of shingles have the similarity."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    """Those of the pairs of nodes (a, b; stored) whose sets of shingles have the similarity. ``rows``: node, text."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             found = [shingles(t, words).view(np.int64) for t in texts(part)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["row", "found"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "found"])
 
-    sets = materialize(rows.select("row", "text").join(wanted, "row", "left_semi").select("row", "text").mapInArrow(run, "row long, found array<long>"))
-    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("found").alias("y")), "b")
+    sets = materialize(rows.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, found array<long>"))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("all"))
     return both.filter(F.col("shared") / (F.col("all") - F.col("shared")) >= similarity).select("a", "b")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, tables: int = TABLES, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs``, a stored table, with one document of each group of near-duplicates, the one with the smallest id; all
-    columns stay as they are.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, the one with the smallest id; all columns stay as
+    they are.
 
     Documents link if their sets of shingles have a Jaccard similarity of at least ``similarity``, or are equal.
     """
-    name = "_row"
-    while name in docs.columns:
-        name += "_"
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    shared = docs.sparkSession.sparkContext.broadcast(_common(rows, words))
+    docs, file, at = placed(docs)
+    with scratch(docs.sparkSession) as keep:
+        dropped = keep(_dropped(docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), F.col(file).alias("file"), F.col(at).alias("at")), words, similarity))
+    dropped = dropped.toDF(file, at)
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    return docs.join(dropped, [file, at], "left_anti").drop(file, at)
+
+
+def _dropped(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``file, at`` of the rows that go. ``rows``: doc, text, file, at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -335,62 +326,74 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
             sets = [shingles(t, words) for t in texts(part)]
             whole = pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary())
             sizes = pa.array([len(x) for x in sets], pa.int32())
-            fps = pa.array([_wide(x, tables) for x in sets], pa.list_(pa.int64()))
-            firsts = pa.array([prefix(x, *shared.value, similarity).view(np.int64) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), whole, sizes, fps, firsts], ["doc", "row", "whole", "size", "fps", "prefix"])
+            fps, marks = pa.array(map(of_set, sets), pa.int64()), pa.array(map(signature, sets), pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), whole, sizes, fps, marks], ["doc", "file", "at", "whole", "size", "fp", "signature"])
 
     kind = rows.schema["doc"].dataType.simpleString()
-    marked = rows.mapInArrow(run, f"doc {kind}, row long, whole binary, size int, fps array<long>, prefix array<long>")
-    first = F.struct(F.col("doc").isNull().alias("unknown"), "doc", "row")
-    least = F.min(F.struct(first.alias("first"), "size", "fps", "prefix")).alias("least")
-    nodes = materialize(marked.groupBy("whole").agg(least).select("least.*", F.col("least.first.row").alias("node")))
-    postings = nodes.select("node", "size", F.posexplode("prefix").alias("at", "key"))
-    common = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    tiles = F.ceil(F.col("n") / WIDE_TILE).cast("int")
-    held = postings.join(common.withColumn("tiles", tiles).drop("n"), "key")
-    held = materialize(held.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")))
+    marked = rows.mapInArrow(run, f"doc {kind}, file long, at long, whole binary, size int, fp long, signature binary")
+    first = F.struct(F.col("doc").isNull().alias("unknown"), "doc", "file", "at")
+    least = F.min(F.struct(first.alias("first"), "size", "fp", "signature")).alias("least")
+    nodes = materialize(marked.groupBy("whole").agg(least).select("least.*", F.monotonically_increasing_id().alias("node")))
+    sources = rows.select("file", "at", "text").join(nodes.select(F.col("first.file").alias("file"), F.col("first.at").alias("at"), "node"), ["file", "at"]).select("node", "text")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = _bands(_matrix(batch.column(2)))
+                repeated = [np.repeat(batch.column(k).to_numpy(), BANDS) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, repeated), pa.array(keys.ravel())], ["node", "size", "key"])
+
+    postings = nodes.select("node", "size", "signature").mapInArrow(spread, "node long, size int, key long")
+    several = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    held = materialize(postings.join(several, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / NEAR_TILE)).cast("int")))
+    enough = least_tally(similarity)
 
     def apart(roots: DataFrame | None) -> DataFrame:
         """Members of postings that links so far leave in several components."""
         root = F.col("node") if roots is None else F.coalesce("root", "node")
         now = (held if roots is None else held.join(roots, "node", "left")).withColumn("root", root)
         several = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-        return now.join(several, "key", "left_semi")
+        return materialize(now.join(several, "key", "left_semi"))
+
+    def fits(a: str, b: str):
+        return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
 
-    def neighbours(roots: DataFrame | None) -> DataFrame:
-        """Members of a posting that follow one another by size: few pairs, which join most of a large group."""
-        order = Window.partitionBy("key", "mine").orderBy("size", "node")
+    def by_fingerprint(roots: DataFrame | None) -> DataFrame:
+        return links(nodes.select("node", "fp"))
+
+    def by_neighbours(roots: DataFrame | None) -> DataFrame:
+        """Members of a posting that follow one another by size; of each node, the pair with the highest tally."""
+        order = Window.partitionBy("key", "tile").orderBy("size", "node")
         near = apart(roots).select("node", "root", "size", *[F.lag(c).over(order).alias(f"{c}_") for c in ("node", "root", "size")])
-        return near.filter((F.col("root") != F.col("root_")) & (F.col("size_") >= similarity * F.col("size") - 1e-9)).select(F.col("node_").alias("a"), F.col("node").alias("b"))
+        near = near.filter((F.col("root") != F.col("root_")) & fits("size", "size_")).select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
+        good = materialize(_tally(near, nodes, enough))
+        ends = good.select("a", "b", F.explode(F.array("a", "b")).alias("node"), "tally")
+        return ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("tally", "a", "b")).alias("best")).select("best.*")
 
-    def others(roots: DataFrame | None) -> DataFrame:
-        """All pairs of a posting that can be similar by their sizes and by what is left of both sets from here on."""
+    def by_posting(roots: DataFrame | None) -> DataFrame:
+        """Pairs of a posting across components: members outside its most frequent component with all others."""
         left = apart(roots)
-        right = left.withColumn("mine", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", "mine", *[F.col(c).alias(f"{c}_") for c in ("node", "root", "size", "at")])
-        need = (F.col("size") + F.col("size_")) * (similarity / (1 + similarity)) - 1e-6
-        kept = (F.col("root") != F.col("root_")) & ((F.col("size") < F.col("size_")) | ((F.col("size") == F.col("size_")) & (F.col("node") < F.col("node_"))))
-        kept &= (F.col("size") >= similarity * F.col("size_") - 1e-6) & (F.col("size") - F.col("at") >= need) & (F.col("size_") - F.col("at_") >= need)
-        return left.join(right, ["key", "mine"]).filter(kept).select(F.col("node").alias("a"), F.col("node_").alias("b"))
-
-    def guessed(roots: DataFrame | None) -> DataFrame:
-        return _links(nodes.select("node", "fps"), wide_sets(tables), tables, *wide_limits(similarity, tables), WIDE_TILE, _tree)
+        most = left.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("most"))
+        left = left.join(most, "key")
+        right = left.select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "root", "size", "tile")])
+        outside = left.filter("root <> most").withColumn("tile_", F.explode(F.expr("sequence(0, cast(ceil(n / %d) as int) - 1)" % NEAR_TILE)))
+        pairs = outside.join(right, ["key", "tile_"])
+        kept = (F.col("root") != F.col("root_")) & fits("size", "size_") & ((F.col("root_") == F.col("most")) | (F.col("node") < F.col("node_")))
+        return _tally(pairs.filter(kept).select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct(), nodes, enough)
 
     edges, roots = None, None
-    for candidates in (guessed, neighbours, others):
+    for candidates in (by_fingerprint, by_neighbours, by_posting):
         pairs = materialize(candidates(roots).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if pairs.isEmpty():
             continue
-        found = materialize(_similar(rows, pairs, words, similarity))
+        found = materialize(_similar(sources, pairs, words, similarity))
         if not found.isEmpty():
             edges = found if edges is None else edges.unionByName(found)
             roots = materialize(components(edges, "a", "b"))
     joined = nodes.select("node", "first")
     joined = joined.withColumn("root", F.col("node")) if roots is None else joined.join(roots, "node", "left")
-    stay = materialize(joined.groupBy(F.coalesce("root", "node")).agg(F.min("first")["row"].alias("row")).select("row"))
-    dropped = materialize(rows.select("row").join(stay, "row", "left_anti").select(F.col("row").alias(name)))
-    if dropped.count() <= BROADCAST_ROWS:
-        dropped = F.broadcast(dropped)
-    return docs.withColumn(name, F.monotonically_increasing_id()).join(dropped, name, "left_anti").drop(name)
+    stay = joined.groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select("first.file", "first.at")
+    return rows.select("file", "at").join(stay, ["file", "at"], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

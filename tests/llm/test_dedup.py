@@ -106,7 +106,7 @@ def test_links_of_dense_groups(spark):
             fps.add(x)
     fps = sorted(fps)
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
-    nodes = materialize(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    nodes = materialize(spark.createDataFrame([(x, x) for x in signed], "node long, fp long"))
     groups = defaultdict(set)
     for r in graph.components(simhash.links(nodes, 4, 40), "a", "b").collect():
         groups[r["root"]].add(r["node"])
@@ -116,6 +116,66 @@ def test_links_of_dense_groups(spark):
     assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in want.values() if len(g) > 1}
 
 
+def test_count_filter_rejects_pairs_and_loses_none():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 1 << 64, 4000, np.uint64, endpoint=False)
+    b = a.copy()
+    for k in range(4):  # three shared bytes in half of the pairs, near copies in the others
+        b ^= np.uint64(1) << rng.integers(0, 64, 4000).astype(np.uint64)
+    b[::2] ^= np.uint64(0x0101010101)
+    bytes_shared = (a.view(np.uint8).reshape(-1, 8) == b.view(np.uint8).reshape(-1, 8)).sum(1)
+    assert (simhash.tallied(a, b) == (bytes_shared >= 4)).all()
+    near = np.bitwise_count(a ^ b) <= 4
+    assert (simhash.linked(a, b) == near).all() and near.any()
+    assert (~simhash.tallied(a, b)).sum() > 1000
+
+
+def test_signature_recall_in_every_band():
+    """Pairs of sets of shingles with a similarity of 0.8 and more: share that is found by postings and tally."""
+    rng = np.random.default_rng(5)
+    for similarity, size in [(0.8, 9), (0.8, 90), (0.82, 400), (0.86, 60), (0.9, 40), (0.95, 200)]:
+        found = 0
+        for _ in range(300):
+            common = max(1, round(similarity * size))
+            x = rng.integers(0, 1 << 63, size).astype(np.uint64)
+            cut = common + (size - common) // 2
+            a, b = x[:cut], np.concatenate([x[:common], x[cut:]])
+            p, q = (np.frombuffer(simhash.signature(s), np.uint8) for s in (a, b))
+            meet = (simhash._bands(p[None]) == simhash._bands(q[None])).any()
+            found += bool(meet and (p == q).sum() >= simhash.least_tally())
+        assert found == 300, (similarity, size, found)
+
+
+def replaced(spark, docs, call):
+    """What a filter keeps if files are dealt otherwise between the call and the action."""
+    before = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    try:
+        out = call(docs)
+        spark.conf.set("spark.sql.files.minPartitionNum", "2")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64m")
+        return sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum") if before is None else spark.conf.set("spark.sql.files.minPartitionNum", before)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_other_partitions_between_call_and_action(spark, tmp_path):
+    docs = fixtures.stored(spark, tmp_path)
+    for call in (exact_dedup.keep_first, simhash.keep_one):
+        want = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in call(docs).collect())
+        for parts in ("1", "7", "16"):
+            spark.conf.set("spark.sql.files.minPartitionNum", parts)
+            assert replaced(spark, docs, call) == want
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_frames_that_are_no_plain_scan(spark, tmp_path):
+    docs = fixtures.stored(spark, tmp_path)
+    twice = docs.unionByName(docs)
+    assert exact_dedup.keep_first(twice).count() == exact_dedup.keep_first(docs).count()
+    assert simhash.keep_one(twice).count() == simhash.keep_one(docs).count()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 103), (103, 101), (5, 5), (200, 200), (None, 3), (101, 100)]
     got = {(r["node"], r["root"]) for r in graph.components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
@@ -133,7 +193,7 @@ def test_keep_one(spark, tmp_path):
     assert len(texts & near) <= 1  # one of a base and its near copies
     assert {r["doc_id"] for r in kept.collect()} >= set(range(30, 70))  # others stay
     assert simhash.keep_one(docs.limit(0)).collect() == []
-    assert simhash.wide_fingerprint("") == [0] * simhash.TABLES
+    assert not any(simhash.signature(simhash.shingles("")))
 
 
 def test_keep_one_is_exact(spark, tmp_path, monkeypatch):
@@ -162,6 +222,6 @@ def test_keep_one_is_exact(spark, tmp_path, monkeypatch):
                 label = [new if x == old else x for x in label]
     assert 70 < len(set(label)) < len(label) - 30
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
-    monkeypatch.setattr(simhash, "WIDE_TILE", 16)
+    monkeypatch.setattr(simhash, "NEAR_TILE", 16)
     kept = simhash.keep_one(spark.read.parquet(f"{tmp_path}/docs"))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
