@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import exact_dedup, langid, packing, pii, simhash
-from seqloom.session import materialize, ship
+from seqloom.session import release, scratch, ship
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +62,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again by the next."""
-    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = source = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with scratch(spark) as keep:  # what a stage writes on its way goes when its result is written
+            then = keep(stage(spark, docs, sf_dir))
+        if docs is not source:
+            release(docs)
+        docs = then
     return STAGES[-1][1](spark, docs, sf_dir)
