@@ -9,33 +9,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.session import materialize
+from seqloom.session import free_names, materialize
 
 
-def _dealt(df: DataFrame, order: list[Column | str]) -> DataFrame:
+def _dealt(df: DataFrame, order: list[Column | str], part: str) -> DataFrame:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    return materialize(df.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()))
 
 
-def _before(totals: DataFrame) -> DataFrame:
-    """Rows (_part, _total) with the sum over earlier parts; there are as many rows as partitions."""
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return F.broadcast(totals.select("_part", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_base")))
+def _before(totals: DataFrame, part: str, total: str, base: str) -> DataFrame:
+    """Rows (part, total) with the sum over earlier parts; there are as many rows as partitions."""
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(totals.select(part, F.coalesce(F.sum(total).over(earlier), F.lit(0)).alias(base)))
 
 
 def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     """``df`` with the sum of ``value`` up to and including each row, in the order of ``order``, which must be unique."""
-    dealt = _dealt(df, order)
-    base = _before(dealt.groupBy("_part").agg(F.coalesce(F.sum(value), F.lit(0)).alias("_total")))
-    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return dealt.withColumn("_sum", F.sum(value).over(within)).join(base, "_part").withColumn(name, F.col("_sum") + F.col("_base")).drop("_sum", "_base", "_part")
+    part, total, base, within = free_names([*df.columns, name], "_part", "_total", "_base", "_sum")
+    dealt = _dealt(df, order, part)
+    before = _before(dealt.groupBy(part).agg(F.coalesce(F.sum(value), F.lit(0)).alias(total)), part, total, base)
+    rows = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.withColumn(within, F.sum(value).over(rows)).join(before, part).withColumn(name, F.col(within) + F.col(base)).drop(within, base, part)
 
 
 def global_rank(df: DataFrame, order: list[str], name: str, unique: bool = False) -> DataFrame:
     """``df`` with the number of rows that sort before each (equal rows have equal ranks), from 0; ``unique`` numbers
     equal rows one after another."""
-    dealt = _dealt(df, order)
-    base = _before(dealt.groupBy("_part").agg(F.count("*").alias("_total")))
-    within = Window.partitionBy("_part").orderBy(*order)
-    rank = (F.row_number() if unique else F.rank()).over(within)
-    return dealt.withColumn("_rank", rank).join(base, "_part").withColumn(name, (F.col("_rank") - 1 + F.col("_base")).cast("long")).drop("_rank", "_base", "_part")
+    part, total, base, within = free_names([*df.columns, name], "_part", "_total", "_base", "_rank")
+    dealt = _dealt(df, order, part)
+    before = _before(dealt.groupBy(part).agg(F.count("*").alias(total)), part, total, base)
+    rows = Window.partitionBy(part).orderBy(*order)
+    rank = (F.row_number() if unique else F.rank()).over(rows)
+    return dealt.withColumn(within, rank).join(before, part).withColumn(name, (F.col(within) - 1 + F.col(base)).cast("long")).drop(within, base, part)

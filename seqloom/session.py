@@ -28,6 +28,17 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores at its end as it takes to differ from those that are taken."""
+    out, low = [], {c.lower() for c in taken}
+    for name in wanted:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
