@@ -222,7 +222,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
 
 def bpe_decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
-    """Adds ``decoded`` (binary) to a frame with packed ids; null ids give null."""
+    """Adds ``decoded`` (binary) to a frame with packed ids, in place of a column of that name; null ids give null."""
     name = ids_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

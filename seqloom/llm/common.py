@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.session import materialize, ship
+from seqloom.session import free_names, materialize, ship
 
 #: A slice of a batch that a Python worker handles at once has at most so many UTF-8 bytes, or one row.
 SLICE_BYTES = 4 << 20
@@ -23,17 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def free_names(taken: list[str], *wanted: str) -> list[str]:
-    """The wanted names, each with as many underscores at its end as it takes to differ from those that are taken."""
-    out, low = [], {c.lower() for c in taken}
-    for name in wanted:
-        while name.lower() in low:
-            name += "_"
-        low.add(name.lower())
-        out.append(name)
-    return out
-
-
 def _one_scan(df: DataFrame) -> bool:
     """Whether a frame is one scan of files with nothing but projections and filters on it."""
     plan = df._jdf.queryExecution().analyzed()

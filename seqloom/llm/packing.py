@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import SALTS, Recent, slices, table
-from seqloom.session import materialize
+from seqloom.session import free_names, materialize
 
 CAPACITY = 4096
 END_ID = 1
@@ -44,6 +44,8 @@ CACHE = 180_000
 MARKS = ".,!?;:%&#*$)"
 #: Lower-case letters of ASCII and Latin-1, in UTF-8.
 PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+#: Stems that the marks are parted from: letters of ASCII and Latin-1, which are one letter in lower case too.
+LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 #: Bytes from 0x80 on as byte-level vocabularies write them: printable Latin-1 stays, others follow from U+0100 + 33 + 1 on.
 WRITTEN = {b: 0x100 + 34 + b - 0x80 for b in range(0x80, 0xA1)} | {0xAD: 0x100 + 34 + 33}
 #: Words whose ids are put in place at once.
@@ -95,7 +97,8 @@ class Tokens:
         import pyarrow.compute as pc
 
         stems = pc.ascii_rtrim(words, characters=MARKS)
-        stems = pc.if_else(pc.utf8_is_alpha(stems), stems, words)  # letters and then marks are two pre-tokens
+        # letters and then marks are two pre-tokens; other letters may become several characters in lower case, not all of them letters
+        stems = pc.if_else(pc.match_substring_regex(stems, LETTERS), stems, words)
         coded = stems.dictionary_encode()
         ids = self._packed(coded.dictionary.cast(pa.binary()).to_pylist())
         out = [ids[k] for k in coded.indices.to_pylist()]
@@ -347,10 +350,12 @@ def take(runs: list, length: int, count: int) -> None:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, order: list[str] | None = None, length_col: str = "length") -> DataFrame:
-    """``pieces``, a stored table, with ``sequence_id`` and ``offset`` (long); ``order``: columns that tell its rows apart.
+    """``pieces``, a stored table, with ``sequence_id`` and ``offset`` (long), in place of columns of these names if it has
+    such; ``order``: columns that tell its rows apart.
 
     Lengths must be from 1 to the capacity.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     order = order or [c for c in pieces.columns if c != length_col]
     counted = {r[0]: r[1] for r in pieces.groupBy(length_col).count().collect()}  # at most ``capacity`` rows
     if any(n is None or not 1 <= n <= capacity for n in counted):
@@ -358,19 +363,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: list[str] | None =
     salts = max(SALTS, -(-sum(counted.values()) // 500_000))
     runs = plan(counted, capacity)
     starts = runs[:, 0] * (1 << 44) + runs[:, 1]
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    key = [length_col, "_salt"]
-    per_salt = salted.groupBy(*key).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(length_col).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = per_salt.select(*key, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    salt, count, base, place = free_names(pieces.columns, "_salt", "_n", "_base", "_rank")
+    dealt = pieces.withColumn(salt, F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    key = [length_col, salt]
+    per_salt = dealt.groupBy(*key).agg(F.count("*").alias(count))
+    before = Window.partitionBy(length_col).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = per_salt.select(*key, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(base))
     within = Window.partitionBy(*key).orderBy(*order)
-    ranked = salted.withColumn("_rank", F.row_number().over(within)).join(base, key)
-    ranked = ranked.withColumn("_rank", F.col("_rank") - 1 + F.col("_base")).select(*pieces.columns, "_rank")
+    ranked = dealt.withColumn(place, F.row_number().over(within)).join(earlier, key)
+    ranked = ranked.withColumn(place, F.col(place) - 1 + F.col(base)).select(*pieces.columns, place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = batch.column(batch.schema.get_field_index(length_col)).to_numpy(zero_copy_only=False).astype(np.int64)
-            rank = batch.column(batch.schema.get_field_index("_rank")).to_numpy(zero_copy_only=False)
+            rank = batch.column(batch.schema.get_field_index(place)).to_numpy(zero_copy_only=False)
             at = np.searchsorted(starts, length * (1 << 44) + rank, side="right") - 1
             _, first, sequence, per, offset = runs[at].T
             k = rank - first

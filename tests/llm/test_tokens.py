@@ -46,6 +46,19 @@ def test_tree_of_one_and_many():
     assert ranks.encode_many(words) == [np.array(ranks.encode_one(w), "<u4").tobytes() for w in words]
 
 
+def test_word_ids_of_letters_that_change_in_lower_case():
+    """Combining marks, and U+0130, whose lower case ends in one."""
+    tokenizer = Tokenizer.from_file(WORDS)
+    tokenizer.encode_special_tokens = True
+    rng = random.Random(17)
+    some = list("abzAZ09.,!?&%*# \n'-_") + list("\u00e9\u00c9\u00df\u00ff\u00c0\u00f1\u00f7\u0130\u0307\u0301\u0323\u0131\ufb00\u03a9\u017f\u212a\u1e9e\u01c5\u03a3\u03c2\xa0\u200b") + ["\u0130&", "<s>"]
+    texts = ["\u0130&", *("".join(rng.choice(some) for _ in range(rng.randint(0, 14))) for _ in range(20_000))]
+    ids, counts = packing.Tokens(WORDS).encode(pa.array(texts))
+    found = np.split(ids, np.cumsum(counts)[:-1])
+    want = tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, a, b in zip(texts, found, want) if a.tolist() != b.ids] == []
+
+
 def whole(tokenizer, text):
     return tokenizer.encode(text or "", add_special_tokens=False).ids
 
@@ -142,3 +155,16 @@ def test_pack_any_table(spark):
         packing.pack(materialize(spark.createDataFrame([(1, 11)], "k long, length long")), 10)
     empty = packing.pack_documents(fixtures.frame(spark, []), WORDS)
     assert empty.collect() == [] and hashlib.sha256(b"").hexdigest()
+
+
+def test_pack_names_that_clash(spark, tmp_path):
+    rows = [(i, 1 + i % 7, i, i, i, i, i) for i in range(40)]
+    spark.createDataFrame(rows, "id long, length int, _salt long, _rank long, _n long, offset long, sequence_id long").write.parquet(f"{tmp_path}/p")
+    pieces = spark.read.parquet(f"{tmp_path}/p")
+    got = packing.pack(pieces, 10).collect()
+    assert sorted((r["id"], r["_salt"], r["_rank"], r["_n"]) for r in got) == [(i, i, i, i) for i in range(40)]
+    used = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == used.get(r["sequence_id"], 0)
+        used[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(used.values()) <= 10
