@@ -114,22 +114,22 @@ Chapter 7 and 8 are on the street
 The road is long and the street is wide
 A security of the name is the address of it
 He named it and the name is good
-Anhash erealy eaeron onatth. The thwhinth errean ingsh
-Ther ### By%%% nttition 12 Is%%% thnder$$$ La*** eux.
+The weather was mild and The harbour lay still. Nobody Came
+Zorb ### Quil%%% plonk 12 Vex%%% brmmp$$$ Tog*** zun.
 Rue de la mer. La rue Is large. Live Is good, Name Is gone
-The name of the. Anla In calle, La security Of This
-Ea street. And Thent Is drive On live named In Of license
-the patient went home. Then he came. La lane Is square
-We live by it. The Address of Erndon is known to all
-Ouea as onsh. Thlyea, erwh he edly thtiwh the ereath
-Der eingeä erer. Des achlichä erberber das. Von
-THERHAOU!! OUSHED!! ANDENANOU!! HASHWH!!
-La eux dans du. Enmentai Réleou eauoué le la
-Las mias que osue. La doga o el la no
-Eanon Ofenedat Inan. Ananble Anlyes Ount the Inerin
-Of The And This In Thor Erndon
+The name of the. Every lane In calle, La security Of This
+That street. And Then It drove On live named In Of license
+the patient went home. Then he came. The lane Is square
+We live by it. The Address of Everything is known to all
+Der Winter war lang. Des Nachts fiel Schnee auf das Dach
+Die Straße ist lang und das Haus steht am Rand der Stadt
+STOP!! WAIT!! ENOUGHOFTHIS!! GOAWAY!!
+La maison dans le pays. Les enfants jouent dans la cour
+Las noches de agosto. La puerta o el jardin no se cierra
+Words Without Meaning, Many Titles About the Things
+Of The And This In Our Valley
 the of and to in is by my at no
-Ther thti, to of nding 12 es ouhaea 2015 thor at
+There were, to of nothing 12 es gone 2015 then at
 She lives by the sea and the live show is on
 Contact us at any time, the patient is well
 We ship to all of the world by sea
@@ -142,7 +142,7 @@ version 3.1.4 and 10.2 on 2020-01-31 at 12:30
 
 def shape(token: str) -> str:
     """Runs of letters by case, digits one by one up to eight in a row."""
-    kinds = ["X" if c.isupper() else "x" if c.isalpha() else "d" if c.isdigit() else c for c in token[:40]]
+    kinds = ["X" if c.isupper() else "x" if c.isalpha() else "d" if c.isdigit() else c for c in token]
     out = "".join(kinds)
     out = re.sub(r"x+", "x", out)
     out = re.sub(r"XX+", "XX", out)

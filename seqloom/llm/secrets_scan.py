@@ -1,10 +1,12 @@
 """Secret scans: base patterns and a token-efficiency test.
 
 Ordinary words cost a vocabulary few tokens; random strings cost about one token for each character or two.  The test
-takes runs of MIN_LENGTH or more characters of the base64 alphabets that hold a digit and a letter, and passes over
-known digests (hexadecimal of the lengths of common hashes), UUIDs and identifiers (parts of letters, each with a vowel,
-joined by ``_ - /`` or a change of case, with a short number at the end of a part).  What is left and has at most MAX_RATIO characters a token
-under a tiktoken vocabulary is a span of kind ``random``.  A run that a base span covers in part is not reported twice.
+takes whole runs of MIN_LENGTH or more characters of the base64 alphabets.  A run that holds a digit and a letter is a
+span of kind ``random`` if it has at most MAX_RATIO characters a token under a tiktoken vocabulary, after known digests
+(hexadecimal of the lengths of common hashes), UUIDs and identifiers (parts of letters, each with a vowel, joined by
+``_ - /`` or a change of case, with a short number at the end of a part) are excluded.  A run of letters without a digit is
+one if it has at most LETTER_RATIO characters a token, which words in any language written with these letters exceed.
+A run that a base span covers in part is not reported twice.
 
 Defined results: null text is empty and has no spans; offsets are code points, end exclusive; a repeated row repeats its
 result; texts of any length are scanned whole; only id and text are read.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import re
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,21 +35,36 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 MIN_LENGTH = 20
 MAX_RATIO = 2.1
+LETTER_RATIO = 1.9
 #: Lengths of hexadecimal digests that are known: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGESTS = {32, 40, 56, 64, 96, 128}
+LETTER, DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
 HEXADECIMAL = re.compile(r"[0-9a-fA-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-PART = re.compile(r"(?:[A-Z]?[a-z]*[aeiouyAEIOUY][a-z]*|[A-Z]{1,6})?[0-9]{0,4}")
+#: A part of an identifier without its number: upper case of up to six, or a word that may begin in upper case.
+UPPER = re.compile(r"[A-Z]{1,6}")
+WORD = re.compile(r"[A-Z]?(?:[AEIOUY][a-z]*|[a-z]+)")
 SPLIT = re.compile(r"[_/=+-]+|(?<=[a-z0-9])(?=[A-Z])")
-#: Characters that are given to the tokenizer at once; a run is counted in such pieces.
-PIECE = 256
+DIGITS = "0123456789"
+VOWELS = frozenset("aeiouyAEIOUY")
+#: Runs of at most so many characters are remembered.
+SHORT = 256
+
+
+def worded(part: str) -> bool:
+    """A part of an identifier: a word with a vowel or a few letters in upper case, and at most four digits after it.
+    Takes time in proportion to its length."""
+    body = part.rstrip(DIGITS)
+    if len(part) - len(body) > 4:
+        return False
+    return not body or bool(UPPER.fullmatch(body)) or bool(WORD.fullmatch(body)) and not VOWELS.isdisjoint(body)
 
 
 def known(run: str) -> bool:
     """A digest, a UUID or an identifier."""
     if len(run) in DIGESTS and HEXADECIMAL.fullmatch(run) or UUID.fullmatch(run):
         return True
-    return all(PART.fullmatch(p) for p in SPLIT.split(run))
+    return all(map(worded, SPLIT.split(run)))
 
 
 class Scanner:
@@ -58,9 +76,9 @@ class Scanner:
         encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
         def random(run: str) -> bool:
-            if known(run):
-                return False
-            return len(run) <= ratio * sum(len(encode(run[i : i + PIECE])) for i in range(0, len(run), PIECE))
+            if DIGIT.search(run):
+                return not known(run) and len(run) <= ratio * len(encode(run))
+            return len(run) <= min(LETTER_RATIO, ratio) * len(encode(run))
 
         self.random = lru_cache(50_000)(random)
 
@@ -71,12 +89,15 @@ class Scanner:
             out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
         out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-        base = list(out)
+        base = deque(sorted(out))
         for m in RUN.finditer(text):
             run = m[0]
-            if any(a < m.end() and m.start() < b for a, _, b in base):
+            # base spans in the order of their starts: those that end before this run stay behind for good
+            while base and base[0][2] <= m.start():
+                base.popleft()
+            if base and base[0][0] < m.end():
                 continue
-            if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and (self.random if len(run) <= PIECE else self.random.__wrapped__)(run):
+            if LETTER.search(run) and (self.random if len(run) <= SHORT else self.random.__wrapped__)(run):
                 out.append((m.start(), 3, m.end()))
         return sorted(out)
 

@@ -87,6 +87,22 @@ def test_secrets(spark):
     assert secrets_scan.scan_secrets(fixtures.frame(spark, []), RANKS, P.PATTERN).collect() == []
 
 
+def test_random_runs_whole_and_in_linear_time():
+    import time
+
+    scan = secrets_scan.Scanner(RANKS, P.PATTERN)
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    assert sum(len(scan.spans("".join(rng.choice(letters) for _ in range(32)))) for _ in range(200)) > 190
+    assert not any(scan.spans(x) for x in ["internationalisierungsbestrebungen", "Donaudampfschifffahrtsgesellschaft", "getElementsByClassNameOrTag", "usr/local/share/documentation"])
+    began = time.time()
+    assert scan.spans("o" * 1_000_000 + "12345") == []  # few tokens
+    long = "".join(rng.choice(letters + "0123456789") for _ in range(1_000_000))
+    assert scan.spans(f"x {long} y") == [(2, 3, 1_000_002)]
+    scan.spans("ab1-" * 250_000 + " token=abcdef " * 1000)
+    assert time.time() - began < 30
+
+
 # ---- personal data ------------------------------------------------------------------------------------------------
 
 
@@ -142,6 +158,13 @@ def test_field_reads_long_lines_whole(tagger):
             assert [(pii.KINDS[k], text[a:b]) for k, a, b in tagger.spans([text, "name: Wei Chen"])[0]] == [(kind, span)], (n, cue)
 
 
+def test_cue_at_any_place_of_a_long_line(tagger):
+    lines = ["x " * n + "name: Sara Connor" for n in range(131)]
+    assert [[(k, len(t) - a, len(t) - b) for k, a, b in found] for t, found in zip(lines, tagger.spans(lines))] == [[(4, 11, 0)]] * 131
+    long = "7" * 100_000
+    assert pii.shape(long + "a") == "d+x" and pii.shape("a" * 60 + "7") == "xd"
+
+
 def test_personal_data(spark, tagger, tmp_path):
     texts = [None, "", "mail a.b@c.de or 10.0.0.1", "Dear Mr. Smith, call +49 (30) 123-4567 now", "x " * 50_000 + "name: Sara Connor"]
     rows = [(i, t, "en", None, 7, 0.0, "", "", 0, "") for i, t in enumerate([*texts, texts[2]])]
