@@ -12,14 +12,15 @@ of tiles is a block of a bounded size: no task gets a whole posting.  A block re
 rows than it has members, never all pairs.  Components follow from the forests (``graph.components``).
 
 :func:`keep_one`, the filter, links documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8;
-every link is verified on both whole sets.  Candidates come from the same kind of index twice: from SimHash fingerprints
-as above, which find most copies cheaply, and, as SimHash loses similar documents (short ones above all), from a
-signature of POSITIONS bytes, each the low byte of the least hash of the set under one function.  Two sets share a byte
-there with at least their similarity as probability, whatever their size.  Postings are BANDS disjoint sets of BAND
-positions; a pair is a candidate if it shares a posting and its tally of shared bytes reaches the least one that a
-similar pair has.  A pair at 0.8 misses all postings with a probability of (1 - 0.8 ** BAND) ** BANDS, about 1e-7, and the
-tally with 1e-8.  Neighbours in a posting come first and join most of a large group; only members of a posting that
-are in another component than most of it are then compared with all the others.
+every link is verified on both whole sets.  The index only groups documents: (1) SimHash fingerprints that link as above
+are a group.  (2) SimHash loses similar documents, short ones above all, so a second index of the same kind has
+signatures of POSITIONS bytes, each the low byte of the least hash of the set under one function; two sets share a byte
+with at least their similarity as probability, whatever their size.  Postings are BANDS disjoint sets of BAND positions;
+members of a posting whose tally of shared bytes reaches the least one that a similar pair has are in one group.  A pair
+at 0.8 misses all postings with a probability of (1 - 0.8 ** BAND) ** BANDS, about 1e-7, and the tally with 1e-8.  Postings
+whose members are in one group already are left out: first tiles of a posting are looked at on their own, then all pairs
+of tiles of the postings that are left.  (3) Within a group all pairs are verified, in blocks of two tiles of the group,
+each of which returns a spanning forest of its links.
 
 Defined results: null text is empty text; a text without words has fingerprint zero and links like any other; equal
 texts have equal fingerprints and so one component; an empty table gives an empty result; only id and text are read.
@@ -56,8 +57,9 @@ BANDS = 40
 POSITIONS = BAND * BANDS
 #: Standard deviations by which a similar pair's tally may stay behind its mean.
 BEHIND = 5.5
-#: Members of a tile of a signature's posting.
+#: Members of a tile of a signature's posting or of a group, and the shingles of a group's tile, on average.
 NEAR_TILE = 256
+TILE_SHINGLES = 1 << 18
 #: Row ids that are dropped are broadcast up to this many rows (24 bytes each), shuffled beyond.
 BROADCAST_ROWS = 1_000_000
 #: Shingles whose hashes are worked on at once.
@@ -126,10 +128,10 @@ def linked(a: np.ndarray, b: np.ndarray, shared: int = SHARED, bits: int = BITS)
     return out
 
 
-def _forest(members: np.ndarray, names: np.ndarray, shared: int, bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of a block's links, by edges that are links themselves."""
-    near, left, edges = linked(members[:, None], members[None, :], shared, bits), np.ones(len(members), bool), []
-    for first in range(len(members)):
+def _forest(near: np.ndarray, names: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a block's links (a matrix), by edges that are links themselves."""
+    left, edges = np.ones(len(near), bool), []
+    for first in range(len(near)):
         work = [first] if left[first] else []
         left[first] = False
         while work:
@@ -141,6 +143,11 @@ def _forest(members: np.ndarray, names: np.ndarray, shared: int, bits: int) -> l
     return edges
 
 
+def _edges(edges) -> pa.RecordBatch:
+    both = np.array(sorted(edges), np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+
 def links(nodes: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
     """``a, b``: links between nodes (columns node, distinct, and fp; stored) that make the same components as all
     pairs within ``bits`` differing bits."""
@@ -162,43 +169,51 @@ def links(nodes: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
     frequent = split.join(again, "key").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
     rare = held.filter(F.col("n") <= tile).select(F.shiftleft("key", 12).alias("key"), "node", "fp", F.lit(1).alias("tiles"))
     members = rare.unionByName(frequent.select("key", "node", "fp", "tiles"))
-    # a row goes to as many blocks as its posting has tiles
-    mine = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    other = F.explode(F.expr("if(tiles = 1, array(0), filter(sequence(0, tiles - 1), x -> x <> mine))"))
-    members = members.withColumn("mine", mine).select("key", "node", "fp", "mine", other.alias("other"))
-    members = members.select("key", F.least("mine", "other").cast("long").alias("low"), F.greatest("mine", "other").cast("long").alias("high"), "node", "fp")
-    blocks = members.repartition(F.col("key"), F.col("low"), F.col("high")).sortWithinPartitions("key", "low", "high")
+    members = members.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+
+    def found(block: pa.Table) -> pa.RecordBatch:
+        starts, ends = _runs(block)
+        names, fps = block["node"].to_numpy(), block["fp"].to_numpy().view(np.uint64)
+        twos = starts[ends - starts == 2]
+        twos = twos[linked(fps[twos], fps[twos + 1], shared, bits)]
+        edges = set(zip(names[twos].tolist(), names[twos + 1].tolist()))
+        for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist()):
+            edges.update(_forest(linked(fps[s:e, None], fps[None, s:e], shared, bits), names[s:e]))
+        return _edges(edges)
+
+    return _in_blocks(members, ["node", "fp"], found)
+
+
+def _in_blocks(members: DataFrame, columns: list[str], found: Callable, pairs: bool = True) -> DataFrame:
+    """``a, b``: what ``found`` makes of whole blocks. ``members``: key, tile, tiles (of the key) and the columns. A block is
+    a pair of tiles, and a row goes to as many blocks as its key has tiles; without ``pairs`` a block is one tile."""
+    other = F.explode(F.expr("if(tiles = 1, array(0), filter(sequence(0, tiles - 1), x -> x <> tile))")) if pairs else F.col("tile")
+    rows = members.select("key", "tile", *columns, other.alias("other"))
+    rows = rows.select("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), *columns)
+    rows = rows.repartition(F.col("key"), F.col("low"), F.col("high")).sortWithinPartitions("key", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(block: np.ndarray) -> pa.RecordBatch:
-            cuts = np.flatnonzero((block[1:, :3] != block[:-1, :3]).any(1)) + 1
-            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(block)]])
-            names, fps = block[:, 3], np.ascontiguousarray(block[:, 4]).view(np.uint64)
-            twos = starts[ends - starts == 2]
-            twos = twos[linked(fps[twos], fps[twos + 1], shared, bits)]
-            edges = set(zip(names[twos].tolist(), names[twos + 1].tolist()))
-            for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist()):
-                edges.update(_forest(fps[s:e], names[s:e], shared, bits))
-            both = np.array(sorted(edges), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-        yield from _blocks(batches, 3, found)
-
-    return blocks.mapInArrow(run, "a long, b long")
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], keys: int, found: Callable) -> Iterator[pa.RecordBatch]:
-    """``found`` of runs of whole blocks: rows of integers, sorted by their first columns, which are the block's key."""
-    held = None
-    for batch in batches:
-        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)
-        held = rows if held is None else np.concatenate([held, rows])
-        last = np.flatnonzero((held[:, :keys] != held[-1, :keys]).any(1)) if len(held) else rows[:, 0]
-        if last.size:  # the last block may go on in the next batch
-            yield found(held[: last[-1] + 1])
-            held = held[last[-1] + 1 :]
-    if held is not None and len(held):
-        yield found(held)
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+            last = _runs(held)[0][-1]
+            if last:  # the last block may go on in the next batch
+                yield found(held.slice(0, last).combine_chunks())
+                held = held.slice(last)
+        if held is not None:
+            yield found(held.combine_chunks())
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _runs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Where blocks start and end."""
+    key = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("key", "low", "high")], 1)
+    cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+    return np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
@@ -267,38 +282,34 @@ def _bands(signatures: np.ndarray) -> np.ndarray:
     return (parts << (8 * np.arange(BAND))).sum(2) + (np.arange(BANDS, dtype=np.int64) << (8 * BAND))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, POSITIONS)
 
 
-def _tally(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """``a, b, tally`` of the pairs that share at least so many positional bytes of their signatures."""
-    both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a")
-    both = both.join(nodes.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b").select("a", "b", "x", "y")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                tally = (_matrix(batch.column(2)) == _matrix(batch.column(3))).sum(1)
-                where = pa.array(np.flatnonzero(tally >= least))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(tally.astype(np.int32)).take(where)], ["a", "b", "tally"])
-
-    return both.mapInArrow(run, "a long, b long, tally int")
-
-
-def _similar(rows: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the pairs of nodes (a, b; stored) whose sets of shingles have the similarity. ``rows``: node, text."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            found = [shingles(t, words).view(np.int64) for t in texts(part)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "found"])
-
-    sets = materialize(rows.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, found array<long>"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
-    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("all"))
-    return both.filter(F.col("shared") / (F.col("all") - F.col("shared")) >= similarity).select("a", "b")
+def _alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which pairs of sets (sorted, unique) have the similarity, as a matrix."""
+    sizes = np.array([len(x) for x in sets], np.float64)
+    if len(sets) <= 8:
+        shared = np.zeros((len(sets), len(sets)))
+        for i, j in combinations(range(len(sets)), 2):
+            if min(sizes[i], sizes[j]) >= similarity * max(sizes[i], sizes[j]):
+                shared[i, j] = shared[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+    else:
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
+        _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+        several = count[at] > 1  # a shingle that one set has is shared by none
+        names, at = np.unique(at[several], return_inverse=True)
+        owner = owner[several]
+        order = np.argsort(at, kind="stable")
+        at, owner = at[order], owner[order]
+        shared = np.zeros((len(sets), len(sets)), np.float64)
+        for low in range(0, len(names), 4096):
+            a, b = np.searchsorted(at, [low, low + 4096])
+            has = np.zeros((len(sets), min(4096, len(names) - low)), np.float32)
+            has[owner[a:b], at[a:b] - low] = 1
+            shared += has @ has.T
+    either = sizes[:, None] + sizes[None, :] - shared
+    return (shared >= similarity * either - 1e-9) & (shared > 0)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -334,66 +345,85 @@ def _dropped(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     first = F.struct(F.col("doc").isNull().alias("unknown"), "doc", "file", "at")
     least = F.min(F.struct(first.alias("first"), "size", "fp", "signature")).alias("least")
     nodes = materialize(marked.groupBy("whole").agg(least).select("least.*", F.monotonically_increasing_id().alias("node")))
-    sources = rows.select("file", "at", "text").join(nodes.select(F.col("first.file").alias("file"), F.col("first.at").alias("at"), "node"), ["file", "at"]).select("node", "text")
+    groups = _grouped(nodes, similarity)
+    if groups is not None:
+        sizes = groups.join(nodes.select("node", "size"), "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("all"))
+        tiles = F.ceil(F.greatest(F.col("n") / NEAR_TILE, F.col("all") / TILE_SHINGLES)).cast("int")
+        members = groups.join(sizes.select("root", F.greatest(tiles, F.lit(1)).alias("tiles")), "root")
+        members = members.join(nodes.select("node", F.col("first.file").alias("file"), F.col("first.at").alias("at")), "node")
+        wanted = rows.select("file", "at", "text").join(members, ["file", "at"])
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches):
+                found = [shingles(t, words).view(np.int64) for t in texts(part)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(found, pa.list_(pa.int64()))], ["key", "tiles", "node", "found"])
+
+        members = wanted.select(F.col("root").alias("key"), "tiles", "node", "text").mapInArrow(read, "key long, tiles int, node long, found array<long>")
+        members = members.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+
+        def found(block: pa.Table) -> pa.RecordBatch:
+            names, edges = block["node"].to_numpy(), set()
+            lists = block["found"].combine_chunks()
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            for s, e in zip(*(x.tolist() for x in _runs(block))):
+                sets = [flat[at[k] : at[k + 1]] for k in range(s, e)]
+                edges.update(_forest(_alike(sets, similarity), names[s:e]))
+            return _edges(edges)
+
+        links_ = materialize(_in_blocks(members, ["node", "found"], found))
+        roots = materialize(components(links_, "a", "b"))
+    else:
+        roots = None
+    joined = nodes.select("node", "first")
+    joined = joined.withColumn("root", F.col("node")) if roots is None else joined.join(roots, "node", "left")
+    stay = joined.groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select("first.file", "first.at")
+    return rows.select("file", "at").join(stay, ["file", "at"], "left_anti")
+
+
+def _grouped(nodes: DataFrame, similarity: float) -> DataFrame | None:
+    """``node, root``: groups of nodes (node, size, fp, signature; stored) that hold all links; None if there is none."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = _bands(_matrix(batch.column(2)))
-                repeated = [np.repeat(batch.column(k).to_numpy(), BANDS) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, repeated), pa.array(keys.ravel())], ["node", "size", "key"])
+                keys = _bands(_matrix(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(keys.ravel())], ["node", "key"])
 
-    postings = nodes.select("node", "size", "signature").mapInArrow(spread, "node long, size int, key long")
+    postings = nodes.select("node", "signature").mapInArrow(spread, "node long, key long")
     several = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    held = materialize(postings.join(several, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / NEAR_TILE)).cast("int")))
+    tiles = F.ceil(F.col("n") / NEAR_TILE).cast("int")
+    held = postings.join(several.select("key", tiles.alias("tiles")), "key")
+    held = materialize(held.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")))
     enough = least_tally(similarity)
 
-    def apart(roots: DataFrame | None) -> DataFrame:
-        """Members of postings that links so far leave in several components."""
-        root = F.col("node") if roots is None else F.coalesce("root", "node")
-        now = (held if roots is None else held.join(roots, "node", "left")).withColumn("root", root)
-        several = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-        return materialize(now.join(several, "key", "left_semi"))
-
-    def fits(a: str, b: str):
-        return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
-
-    def by_fingerprint(roots: DataFrame | None) -> DataFrame:
-        return links(nodes.select("node", "fp"))
-
-    def by_neighbours(roots: DataFrame | None) -> DataFrame:
-        """Members of a posting that follow one another by size; of each node, the pair with the highest tally."""
-        order = Window.partitionBy("key", "tile").orderBy("size", "node")
-        near = apart(roots).select("node", "root", "size", *[F.lag(c).over(order).alias(f"{c}_") for c in ("node", "root", "size")])
-        near = near.filter((F.col("root") != F.col("root_")) & fits("size", "size_")).select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
-        good = materialize(_tally(near, nodes, enough))
-        ends = good.select("a", "b", F.explode(F.array("a", "b")).alias("node"), "tally")
-        return ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("tally", "a", "b")).alias("best")).select("best.*")
-
-    def by_posting(roots: DataFrame | None) -> DataFrame:
-        """Pairs of a posting across components: members outside its most frequent component with all others."""
-        left = apart(roots)
-        most = left.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("most"))
-        left = left.join(most, "key")
-        right = left.select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "root", "size", "tile")])
-        outside = left.filter("root <> most").withColumn("tile_", F.explode(F.expr("sequence(0, cast(ceil(n / %d) as int) - 1)" % NEAR_TILE)))
-        pairs = outside.join(right, ["key", "tile_"])
-        kept = (F.col("root") != F.col("root_")) & fits("size", "size_") & ((F.col("root_") == F.col("most")) | (F.col("node") < F.col("node_")))
-        return _tally(pairs.filter(kept).select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct(), nodes, enough)
+    def found(block: pa.Table) -> pa.RecordBatch:
+        names, sizes, marks, edges = block["node"].to_numpy(), block["size"].to_numpy(), _matrix(block["signature"]), set()
+        for s, e in zip(*(x.tolist() for x in _runs(block))):
+            if e - s > 1:
+                some, size = marks[s:e], sizes[s:e]
+                near = np.minimum(size[:, None], size) >= similarity * np.maximum(size[:, None], size) - 1e-9
+                for row, mark in zip(near, some):
+                    row &= (some == mark).sum(1) >= enough
+                edges.update(_forest(near, names[s:e]))
+        return _edges(edges)
 
     edges, roots = None, None
-    for candidates in (by_fingerprint, by_neighbours, by_posting):
-        pairs = materialize(candidates(roots).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        if pairs.isEmpty():
-            continue
-        found = materialize(_similar(sources, pairs, words, similarity))
-        if not found.isEmpty():
-            edges = found if edges is None else edges.unionByName(found)
+    for step in ("fingerprint", "tile", "pairs"):
+        if step == "fingerprint":
+            new = links(nodes.select("node", "fp"))
+        else:
+            root = F.col("node") if roots is None else F.coalesce("root", "node")
+            now = (held if roots is None else held.join(roots, "node", "left")).withColumn("root", root)
+            apart = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.first("tiles").alias("tiles")).filter("low <> high")
+            if step == "pairs":
+                apart = apart.filter("tiles > 1")
+            members = held.join(apart.select("key"), "key", "left_semi").join(nodes.select("node", "size", "signature"), "node")
+            new = _in_blocks(members, ["node", "size", "signature"], found, step == "pairs")
+        new = materialize(new.distinct())
+        if not new.isEmpty():
+            edges = new if edges is None else edges.unionByName(new)
             roots = materialize(components(edges, "a", "b"))
-    joined = nodes.select("node", "first")
-    joined = joined.withColumn("root", F.col("node")) if roots is None else joined.join(roots, "node", "left")
-    stay = joined.groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select("first.file", "first.at")
-    return rows.select("file", "at").join(stay, ["file", "at"], "left_anti")
+    return roots
 
 
 def query(spark, sf_dir: str) -> DataFrame:
