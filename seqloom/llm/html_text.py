@@ -1,20 +1,31 @@
 """HTML extraction by wrapper induction.
 
-Pages of a host are aligned with the host's exemplar page by simple tree matching: trees of block elements, equal labels
-(tag, class) match, children are aligned in order by dynamic programming, and equal texts weigh more.  Over all pages of
-the host, an exemplar's text node that has the same text in nearly all different pages is template; nodes whose texts
-vary are slots.  A page's run of text goes if it matches a template node and has that node's constant text.  The text of
-a page is what stands elsewhere: in slots, in nodes that the exemplar lacks, or in place of a constant text, inside the page's main
-region (its largest article, else main, else body) and outside elements that are never part of an article: menus,
-headers of the page, footers, sidebars, notices, adverts, forms, scripts, styles and comments, by tag, role, class or id.
-
-Counts are added up over all pages; the exemplar is the page of a host with the least hash.  A host with a third of all
-pages is counted like any other, as pages meet only in sums; exemplars are broadcast below a checked size, joined by
-host and salt beyond.
+Pages of a host that have the same layout (the same set of paths of outer elements) share a wrapper; the page with the
+least hash is its exemplar, and layouts of fewer than PAGES pages share the one of the host's most frequent layout.  Each
+page is aligned with its exemplar by simple tree matching: trees of block elements, equal labels (tag and class) match,
+children are aligned in order by dynamic programming, and equal texts count twice.  Two things are then added up over
+all different pages of the wrapper:
+
+* the region: how much text stands under each aligned element, links and barred elements left out.  From the root the
+  way goes down to the child that holds most of it, until no child does, or an article or an element with prose of its own is reached.
+* the template: runs of text inside the region that have the same text in nearly all pages that have them.  Runs that
+  vary are slots.
+
+The text of a page is what stands in the element that is aligned with the region: its slots, also those that the exemplar
+lacks, without runs that have the template's constant text.  Constant texts of fewer than SURE pages go only if less
+than half of the region does: such pages may be copies of one another.  A page without a wrapper is its own exemplar.
+
+Some knowledge is prior: menus, footers, asides, forms, dialogues and what never shows are barred by tag, role or hidden
+attribute; containers (no paragraphs, headings or other blocks of prose) whose class or id is one of the words
+NAMES count little in the choice of the region and are left out of its text, unless they hold most of it outside an
+article.
+
+Counts are added up over all pages; a host with a third of all pages is counted like any other, as pages meet only in
+sums; exemplars are broadcast below a checked size, joined by host, layout and salt beyond.
 
 Defined results: null or empty html gives an empty text; a null or unparsable url is a host of its own kind (empty name);
-broken markup is read as far as it goes; repeated rows count as one page in the statistics and give a result each; other
-columns are not read.  Lists of children whose lengths have a product over CELLS are aligned from their two ends.
+broken markup is read as far as it goes; trees of any depth and lists of any length are aligned exactly, in memory that is
+bounded; repeated rows count as one page in the statistics and give a result each; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +35,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,10 +44,19 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import SALTS, slices, table, text_of
 from seqloom.session import materialize
 
-#: A node is template if so many different pages of its host, and this share of them, have the same text there.
-PAGES = 8
+#: Pages of a layout that make a wrapper, and the share of the different pages with a node that have its constant text.
+PAGES = 3
 CONSTANT = 0.95
-CELLS = 250_000
+#: A constant text of fewer pages goes only where such texts are less than half of the region: pages may be copies.
+SURE = 8
+#: Share of an element's text that a child must hold to be the region in its place.
+MOST = 0.6
+#: What text in a container with one of the NAMES counts, and what an article's counts.
+LITTLE, MUCH = 0.25, 4.0
+#: Depth of the paths that tell layouts apart.
+DEPTH = 4
+#: Cells of an alignment that are held at once.
+CELLS = 1 << 22
 #: Exemplars and templates are broadcast up to this size.
 BROADCAST_BYTES = 16 << 20
 
@@ -60,12 +81,18 @@ RAW = frozenset("script style textarea title noscript template iframe svg math o
 #: Never part of an article.
 BARRED_TAGS = frozenset("head nav footer aside form dialog menu button fieldset search".split())
 BARRED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
-BARRED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav\w*|menus?|breadcrumbs?|header|masthead|footer|sidebars?|"
-    r"cookies?\w*|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter\w*|subscri\w*|signup|login|share|sharing|social\w*|"
-    r"comments?|commentlist|respond|replies|disqus\w*|related|recommended|widgets?|toolbar|pagination|pager|skip\w*)(?:$|[\s_-])",
-    re.IGNORECASE,
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th caption figcaption address summary html body article main".split())
+#: Elements on the way from the root to the region, and prose that ends it where it stands beside them.
+OUTER = frozenset("#root html body div section center table tbody tr td article main".split())
+BESIDE_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+#: Words for which a class or an id of a container is prior knowledge.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement adsense sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs masthead "
+    "footer sidebar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social "
+    "comment comments commentlist respond replies disqus related recommended widget widgets toolbar pagination pager skip".split()
 )
+#: Words that may stand beside them, joined by ``-`` or ``_``.
+BESIDE = frozenset("left right top bottom inner outer box area bar block list item items link links form thread posts site page global wrapper container icons buttons".split())
 TOKEN = re.compile(
     r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z))",
     re.DOTALL,
@@ -76,14 +103,21 @@ ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*=\s*(\"[^\"]*\"|'[
 class Node:
     """An element, or a run of text (tag ``#``)."""
 
-    __slots__ = ("tag", "label", "children", "text", "barred", "links", "index")
+    __slots__ = ("tag", "label", "children", "text", "barred", "named", "links", "index")
 
-    def __init__(self, tag: str, label: str, barred: bool = False, text: str = "", links: int = 0):
-        self.tag, self.label, self.barred, self.text, self.links = tag, label, barred, text, links
+    def __init__(self, tag: str, label: str, barred: bool = False, named: bool = False, text: str = "", links: int = 0):
+        self.tag, self.label, self.barred, self.named, self.text, self.links = tag, label, barred, named, text, links
         self.children: list[Node] = []
         self.index = -1
 
 
+@lru_cache(4096)
+def prior(word: str) -> bool:
+    """Whether a class or an id is one of the NAMES, alone or beside others and words like ``left``."""
+    parts = re.split(r"[-_]+", word)
+    return not NAMES.isdisjoint(parts) and all(p in NAMES or p in BESIDE or p.isdigit() for p in parts)
+
+
 def parse(html: str) -> Node:
     """The tree of block elements and runs of text; inline markup is part of the runs."""
     root = Node("#root", "#root")
@@ -134,7 +168,7 @@ def parse(html: str) -> Node:
             link += 1
         if tag in VOID:
             continue
-        barred, kind = tag in BARRED_TAGS, ""
+        barred, named, kind = tag in BARRED_TAGS, False, ""
         if attributes and ("=" in attributes or "hidden" in attributes):
             for name, value in ATTRIBUTE.findall(attributes):
                 value, name = value.strip("\"'"), name.lower()
@@ -144,11 +178,11 @@ def parse(html: str) -> Node:
                         tag = "main"
                 elif name in ("class", "id"):
                     kind += f".{value}" if name == "class" else ""
-                    barred = barred or tag not in ("html", "body", "article", "main") and bool(BARRED_NAMES.search(value))
-                    barred = barred or tag == "article" and bool(re.search(r"comment", value, re.IGNORECASE))
+                    named = named or any(prior(word) for word in value.lower().split())
                 elif value.lower() == "true" or name == "hidden":
                     barred = barred or tag not in ("html", "body")
-        if tag in BLOCKS or barred or tag == "main":
+        named = named and tag not in PROSE
+        if tag in BLOCKS or barred or named or tag == "main":
             flush()
             while len(stack) > 1 and tag in ENDED_BY.get(stack[-1].tag, ()):
                 stack.pop()
@@ -156,7 +190,9 @@ def parse(html: str) -> Node:
                 continue
             if stack[-1].tag == "head" and tag == "body":
                 stack.pop()
-            node = Node(tag, tag + kind, barred)
+            if tag == "header":  # of the page, if it is not an article's
+                barred = barred or not any(n.tag in ("article", "main") for n in stack)
+            node = Node(tag, tag + kind, barred, named)
             stack[-1].children.append(node)
             stack.append(node)
     if at < size:
@@ -165,135 +201,281 @@ def parse(html: str) -> Node:
     return root
 
 
-def leaves(node: Node) -> Iterator[Node]:
-    """Runs of text that no barred element holds, in page order."""
+def walk(root: Node) -> Iterator[tuple[Node, Node | None]]:
+    """Nodes of a tree in page order, each with its parent."""
+    work: list[tuple[Node, Node | None]] = [(root, None)]
+    while work:
+        now, above = work.pop()
+        yield now, above
+        work.extend((x, now) for x in reversed(now.children))
+
+
+def leaves(node: Node, named: bool = True) -> Iterator[Node]:
+    """Runs of text that no barred element below ``node`` holds, in page order; ``named``: nor one with one of the NAMES."""
     work = [node]
     while work:
         now = work.pop()
         if now.tag == "#":
             yield now
-        elif not now.barred:
+        elif now is node or not (now.barred or named and now.named):
             work.extend(reversed(now.children))
 
 
-def region(root: Node) -> tuple[Node, bool]:
-    """The main region, and whether the page marks one."""
-    found: dict[str, list[tuple[int, Node]]] = {"article": [], "main": []}
-    work = [root]
+def layout(root: Node) -> int:
+    """A hash of the set of paths of outer containers."""
+    paths, work = set(), [(root, "", 0)]
     while work:
-        now = work.pop()
-        if now.barred or now.tag == "#":
+        now, path, depth = work.pop()
+        if now.tag == "#" or now.tag in PROSE and now.tag not in ("html", "body", "article", "main"):
             continue
-        if now.tag in found:
-            found[now.tag].append((sum(len(x.text) for x in leaves(now)), now))
-        work.extend(reversed(now.children))
-    for kind in ("article", "main"):
-        best = max(found[kind], key=lambda x: x[0], default=(0, None))
-        if best[0]:
-            return best[1], True
-    return root, False
-
-
-def content(root: Node) -> list[Node]:
-    """Runs of text of the main region; of a page without one, those outside page headers and lists of links."""
-    top, marked = region(root)
-    if marked:
-        return list(leaves(top))
-    heads = {id(x) for h in _tagged(root, "header") for x in leaves(h)}
-    return [x for x in leaves(root) if id(x) not in heads and not (x.links > 0.6 * len(x.text) and len(x.text) < 200)]
-
-
-def _tagged(root: Node, tag: str) -> Iterator[Node]:
-    work = [root]
-    while work:
-        now = work.pop()
-        if now.tag == tag:
-            yield now
-        work.extend(now.children)
-
-
-
-
-def match(a: Node, b: Node, memo: dict) -> int:
-    """Simple tree matching: nodes of the largest order-preserving match of two trees; equal texts count twice."""
-    if a.label != b.label:
-        return 0
-    if a.tag == "#":
-        return 2 if a.text == b.text else 1
-    key = (id(a), id(b))
-    if key not in memo:
-        memo[key] = 1 + (_rows(a.children, b.children, memo)[-1][-1] if len(a.children) * len(b.children) <= CELLS else min(len(a.children), len(b.children)))
-    return memo[key]
-
-
-def _rows(left: list[Node], right: list[Node], memo: dict) -> list[list[int]]:
-    rows = [[0] * (len(right) + 1)]
-    for x in left:
-        above, row, best = rows[-1], [0], 0
-        for j, y in enumerate(right):
-            value = above[j] + match(x, y, memo)
-            if above[j + 1] > value:
-                value = above[j + 1]
-            if best > value:
-                value = best
-            row.append(value)
-            best = value
-        rows.append(row)
-    return rows
-
-
-def align(a: Node, b: Node, memo: dict, found: dict[int, int]) -> None:
-    """For the runs of text of ``a`` that match one of ``b``: id of the run, index of its match."""
-    work = [(a, b)]
+        path = f"{path}/{now.label}"
+        paths.add(path)
+        if depth < DEPTH:
+            work.extend((x, path, depth + 1) for x in now.children)
+    return mark("\n".join(sorted(paths)))
+
+
+# ---- simple tree matching -----------------------------------------------------------------------------------------
+
+
+def _leaf(node: Node) -> tuple[str, str] | None:
+    """Label and text of a run or of an element with nothing but one run or nothing; None for other elements."""
+    if node.tag == "#":
+        return node.label, node.text
+    if not node.children:
+        return node.label, ""
+    if len(node.children) == 1 and node.children[0].tag == "#":
+        return node.label, node.children[0].text
+    return None
+
+
+class Matcher:
+    """Weights of matches of two trees' nodes: how many nodes the largest order-preserving match of their subtrees has,
+    equal texts counted twice.  Pairs are worked off from a list, so trees can have any depth."""
+
+    def __init__(self):
+        self.known: dict[tuple[int, int], int] = {}
+        self.hashes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]] = {}
+
+    def _arrays(self, nodes: list[Node]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """Of children: hashes of labels and of texts, how many runs a leaf holds (-1: none of its own, a run), others."""
+        labels, texts, size, others = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int8), []
+        for k, node in enumerate(nodes):
+            labels[k], leaf = hash(node.label), _leaf(node)
+            if leaf is None:
+                others.append(k)
+            elif node.tag == "#":
+                texts[k], size[k] = hash(node.text), -1
+            elif node.children:
+                texts[k], size[k] = hash(leaf[1]), 1
+        return labels, texts, size, others
+
+    def weights(self, left: list[Node], right: list[Node]) -> Callable[[int], np.ndarray]:
+        """A function that gives the weights of one of ``left`` with all of ``right``; pairs of elements that are no leaves
+        must be known."""
+        a, b = self._arrays(left), self._arrays(right)
+        inner = set(a[3])
+
+        def row(i: int) -> np.ndarray:
+            same = b[0] == a[0][i]
+            if i in inner:
+                out = np.zeros(len(right), np.int64)
+                for j in np.flatnonzero(same).tolist():
+                    out[j] = self.known[id(left[i]), id(right[j])] if (id(left[i]), id(right[j])) in self.known else self._mixed(left[i], right[j])
+                return out
+            if a[2][i] < 0:  # runs
+                out = same * (1 + (b[1] == a[1][i]))
+            else:
+                both = (b[2] == 1) & (a[2][i] == 1)
+                out = same * (1 + both * (1 + (b[1] == a[1][i])))
+            for j in b[3]:
+                if same[j]:
+                    out[j] = self._mixed(left[i], right[j])
+            return out
+
+        return row
+
+    def _mixed(self, a: Node, b: Node) -> int:
+        """The weight of a pair of which one at least is a leaf."""
+        return 1 + max((2 if x.text == y.text else 1 for x in a.children if x.tag == "#" for y in b.children if y.tag == "#"), default=0)
+
+    def __call__(self, a: Node, b: Node) -> int:
+        if a.label != b.label:
+            return 0
+        if a.tag == "#":
+            return 2 if a.text == b.text else 1
+        work = [(a, b)]
+        while work:
+            x, y = work[-1]
+            if (id(x), id(y)) in self.known:
+                work.pop()
+                continue
+            need = [(c, d) for c in x.children if _leaf(c) is None for d in y.children if d.label == c.label and _leaf(d) is None and (id(c), id(d)) not in self.known]
+            if need:
+                work.extend(need)
+                continue
+            self.known[id(x), id(y)] = 1 + int(self.last(x.children, y.children)[-1])
+            work.pop()
+        return self.known[id(a), id(b)]
+
+    def last(self, left: list[Node], right: list[Node]) -> np.ndarray:
+        """The last row of the alignment's table."""
+        row, weights = np.zeros(len(right) + 1, np.int64), self.weights(left, right)
+        for i in range(len(left)):
+            row = _next(row, weights(i))
+        return row
+
+    def pairs(self, left: list[Node], right: list[Node]) -> list[tuple[int, int]]:
+        """An alignment of the largest weight; long lists are halved until their table is small enough."""
+        out, work = [], [(0, len(left), 0, len(right))]
+        while work:
+            a, b, c, d = work.pop()
+            while a < b and c < d and _leaf(left[a]) is not None and left[a].label == right[c].label and _leaf(left[a]) == _leaf(right[c]) and len(left[a].children) == len(right[c].children):
+                out.append((a, c))  # equal leaves at the start are matched in a largest alignment
+                a, c = a + 1, c + 1
+            if a == b or c == d:
+                continue
+            if (b - a) * (d - c) > CELLS and b - a > 1:
+                mid = (a + b) // 2
+                first = self.last(left[a:mid], right[c:d])
+                second = self.last(left[mid:b][::-1], right[c:d][::-1])[::-1]
+                cut = c + int((first + second).argmax())
+                work += [(a, mid, c, cut), (mid, b, cut, d)]
+                continue
+            weights = self.weights(left[a:b], right[c:d])
+            rows = [weights(i) for i in range(b - a)]
+            table = [np.zeros(d - c + 1, np.int64)]
+            for row in rows:
+                table.append(_next(table[-1], row))
+            i, j = b - a, d - c
+            while i and j:
+                weight = rows[i - 1][j - 1]
+                if weight and table[i][j] == table[i - 1][j - 1] + weight:
+                    out.append((a + i - 1, c + j - 1))
+                    i, j = i - 1, j - 1
+                elif table[i][j] == table[i - 1][j]:
+                    i -= 1
+                else:
+                    j -= 1
+        return out
+
+
+def _next(above: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    row = np.maximum(above[1:], above[:-1] + weights)
+    return np.concatenate([[0], np.maximum.accumulate(row)]) if len(row) else above
+
+
+def align(a: Node, b: Node) -> dict[int, int]:
+    """For the nodes of ``a`` that match one of ``b``: id of the node, index of its match."""
+    match, found, work = Matcher(), {}, [(a, b)]
+    match(a, b)
     while work:
         a, b = work.pop()
         if a.label != b.label:
             continue
-        if a.tag == "#":
-            found[id(a)] = b.index
-            continue
-        left, right = a.children, b.children
-        low = 0
-        if len(left) * len(right) > CELLS:  # from both ends
-            n = min(len(left), len(right))
-            work += [*zip(left[: n // 2], right[: n // 2]), *zip(left[len(left) - (n - n // 2) :], right[len(right) - (n - n // 2) :])]
-            continue
-        while low < min(len(left), len(right)) and left[low].tag == "#" == right[low].tag and left[low].text == right[low].text:
-            found[id(left[low])] = right[low].index
-            low += 1
-        left, right = left[low:], right[low:]
-        rows = _rows(left, right, memo)
-        i, j = len(left), len(right)
-        while i and j:
-            weight = match(left[i - 1], right[j - 1], memo)
-            if weight and rows[i][j] == rows[i - 1][j - 1] + weight:
-                work.append((left[i - 1], right[j - 1]))
-                i, j = i - 1, j - 1
-            elif rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
+        found[id(a)] = b.index
+        if a.tag != "#":
+            work += [(a.children[i], b.children[j]) for i, j in match.pairs(a.children, b.children)]
+    return found
+
+
+# ---- wrappers -----------------------------------------------------------------------------------------------------
 
 
 @lru_cache(256)
 def exemplar(html: str) -> Node:
     root = parse(html)
-    work, index = [root], 0
-    while work:
-        now = work.pop()
-        if now.tag == "#":
-            now.index = index
-            index += 1
-        work.extend(reversed(now.children))
+    for index, (node, _) in enumerate(walk(root)):
+        node.index = index
     return root
 
 
-def placed(html: str, example: str) -> list[tuple[Node, int]]:
-    """Content runs of a page, each with the index of the exemplar's run that it matches, or -1."""
-    root, found = parse(html), {}
-    # the two trees stay alive while ids are in use
-    align(root, exemplar(example), {}, found)
-    return [(x, found.get(id(x), -1)) for x in content(root)]
+def masses(root: Node, found: dict[int, int]) -> dict[int, float]:
+    """Text under each element of the exemplar, by index: a run counts for the deepest of its elements that is aligned,
+    little in a container with one of the NAMES, much in an article, nothing in barred elements and links."""
+    out: dict[int, float] = {}
+    work = [(root, found.get(id(root), -1), 1.0)]
+    while work:
+        now, at, factor = work.pop()
+        if now.tag == "#":
+            if (size := len(now.text) - now.links) > 0:
+                out[at] = out.get(at, 0.0) + factor * size
+        elif not now.barred:
+            factor = factor * LITTLE if now.named else max(factor, MUCH) if now.tag in ("article", "main") else factor
+            at = found.get(id(now), at)
+            work += [(x, at, factor) for x in now.children]
+    return out
+
+
+def region(root: Node, mass: dict[int, float]) -> int:
+    """The index of the element that is the article of pages with these masses."""
+    order = [x for x in walk(root) if x[0].tag != "#"]
+    total = {id(x): mass.get(x.index, 0.0) for x, _ in order}
+    for x, above in reversed(order):
+        if above is not None:
+            total[id(above)] += total[id(x)]
+    now = root
+    while now.tag not in ("article", "main") and not any(x.tag in BESIDE_PROSE and total[id(x)] for x in now.children):
+        inner = [x for x in now.children if x.tag in OUTER]
+        best = max(inner, key=lambda x: total[id(x)], default=None)
+        if best is None or not total[id(best)] or total[id(best)] < MOST * total[id(now)]:
+            break
+        now = best
+    return now.index
+
+
+def runs_of(top: Node, inside: bool) -> list[Node]:
+    """The runs of an element's text; ``inside``: it is an article or in one, else lists of links go too."""
+    kept = list(leaves(top))
+    if inside:
+        return kept
+    everything = list(leaves(top, named=False))
+    if sum(len(x.text) for x in kept) < (1 - MOST) * sum(len(x.text) for x in everything):
+        kept = everything  # most of the text has one of the names
+    return [x for x in kept if not (x.links > 0.6 * len(x.text) and len(x.text) < 200)]
+
+
+def placed(root: Node, example: str, place: int) -> list[tuple[Node, int]] | None:
+    """Runs of a page in the element that is aligned with the exemplar's node ``place``, each with the index of the
+    exemplar's run that it matches, or -1; None if the page has no such element or no text there."""
+    found = align(root, exemplar(example))
+    inside, work = False, [(root, False)]
+    while work:
+        now, inside = work.pop()
+        inside = inside or now.tag in ("article", "main")
+        if found.get(id(now)) == place:
+            out = [(x, found.get(id(x), -1)) for x in runs_of(now, inside)]
+            return out or None
+        work += [(x, inside) for x in now.children if x.tag != "#"]
+    return None
+
+
+def own(root: Node) -> list[Node]:
+    """The runs of a page that is its own exemplar."""
+    for index, (node, _) in enumerate(walk(root)):
+        node.index = index
+    place = region(root, masses(root, {id(x): x.index for x, _ in walk(root)}))
+    work = [(root, False)]
+    while work:
+        now, inside = work.pop()
+        inside = inside or now.tag in ("article", "main")
+        if now.index == place:
+            return runs_of(now, inside)
+        work += [(x, inside) for x in now.children]
+    return []
+
+
+def without_template(found: list[tuple[Node, int]], template: dict[int, tuple[int, int]]) -> list[Node]:
+    """The runs that do not have the template's constant text. ``template``: node, to its mark and how many pages have it."""
+    left, doubtful = [], 0
+    for x, k in found:
+        if k in template and mark(x.text) == template[k][0]:
+            doubtful += len(x.text) * (template[k][1] < SURE)
+        else:
+            left.append(x)
+    if doubtful <= sum(len(x.text) for x in left):
+        return left
+    return [x for x, k in found if not (k in template and template[k][1] >= SURE and mark(x.text) == template[k][0])]
 
 
 def mark(text: str) -> int:
@@ -305,68 +487,105 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """``<id_col>, url, text``: the main text of each page, one row for each input row."""
     name = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), text_of(html_col).alias("html"), name.alias("host"))
+
+    def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "html"):
+            found = pa.array([layout(parse(x)) for x in part.column("html").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, "layout"])
+
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("page", "url")]
+    shaped = rows.mapInArrow(shape, f"page {kinds[0]}, url {kinds[1]}, html string, host string, layout long")
     order = F.struct(F.xxhash64("html"), F.col("html"))
-    first = materialize(rows.filter("html <> ''").groupBy("host").agg(F.min(order)["html"].alias("example"), F.count("*").alias("pages")))
-    size = first.agg(F.sum(F.octet_length("example"))).first()[0] or 0
+    different = shaped.filter("html <> ''").select("host", "layout", "html", F.xxhash64("html").alias("_hash"))
+    counted = different.groupBy("host", "layout").agg(F.min(order)["html"].alias("example"), F.approx_count_distinct("_hash", 0.02).alias("pages"))
+    counted = materialize(counted)
+    top = counted.groupBy("host").agg(F.max_by(F.struct("example", "pages"), F.struct("pages", "layout")).alias("top"))
+    # layouts of few pages go with the host's most frequent one
+    alone = (F.col("pages") < least) & (F.col("top.pages") >= least)
+    known = counted.join(top, "host").select("host", "layout", F.when(alone, F.col("top.example")).otherwise(F.col("example")).alias("example"), F.greatest("pages", "top.pages").alias("pages"))
+    known = materialize(known.filter(F.col("pages") >= least).select("host", "layout", "example", F.xxhash64("example").alias("wrapper")))
+    size = known.agg(F.sum(F.octet_length("example"))).first()[0] or 0
     small = size <= BROADCAST_BYTES
 
-    def with_host(left: DataFrame, right: DataFrame, columns: list[str]) -> tuple[DataFrame, Callable]:
-        """Pages with what their host has: looked up in a broadcast table below the checked size, else joined, where a
-        frequent host is spread by salt. The second value takes a batch and gives what each of its rows' hosts has."""
+    def with_wrapper(right: DataFrame, columns: list[str], more: list[str]) -> tuple[DataFrame, Callable]:
+        """Pages with what their wrapper has: looked up in a broadcast table below the checked size, else joined, where a
+        frequent host is spread by salt. The second value takes a batch and gives what each of its rows' wrappers has."""
         if small:
-            shared = left.sparkSession.sparkContext.broadcast({r["host"]: tuple(r[c] for c in columns) for r in right.collect()})
+            shared = right.sparkSession.sparkContext.broadcast({(r["host"], r["layout"]): tuple(r[c] for c in columns) for r in right.collect()})
+            hosts = {h for h, _ in shared.value}
             none = (None,) * len(columns)
-            return left, lambda part: [shared.value.get(h, none) for h in part.column("host").to_pylist()]
+
+            def look(part: pa.RecordBatch) -> Iterator[tuple[Node, tuple]]:
+                for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
+                    root = parse(html)
+                    yield root, shared.value.get((host, layout(root)), none) if host in hosts else none
+
+            return rows.select(*more), look
         spread = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salt = F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")
-        joined = left.withColumn("salt", salt).join(spread, ["host", "salt"], "left").drop("salt")
-        return joined, lambda part: list(zip(*(part.column(c).to_pylist() for c in columns)))
+        joined = shaped.withColumn("salt", salt).join(spread, ["host", "layout", "salt"], "left").select(*more, *columns)
+        return joined, lambda part: zip(map(parse, part.column("html").to_pylist()), zip(*(part.column(c).to_pylist() for c in columns)))
 
-    several, of_host = with_host(rows.select("host", "html"), first.filter(F.col("pages") >= least).select("host", "example"), ["example"])
+    several, of_page = with_wrapper(known, ["example", "wrapper"], ["host", "html"])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How much text stands under each element: ``wrapper, node, mass``."""
+        for part in slices(batches, "html"):
+            sums: dict[tuple[int, int], float] = {}
+            for root, (example, wrapper) in of_page(part):
+                if example and root.children:
+                    for node, mass in masses(root, align(root, exemplar(example))).items():
+                        sums[wrapper, node] = sums.get((wrapper, node), 0.0) + mass
+            wrappers, nodes = zip(*sums) if sums else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(wrappers, pa.int64()), pa.array(nodes, pa.int32()), pa.array(sums.values(), pa.float64())], ["wrapper", "node", "mass"])
+
+    mass = several.mapInArrow(weigh, "wrapper long, node int, mass double").groupBy("wrapper", "node").agg(F.sum("mass").alias("mass"))
+    mass = mass.groupBy("wrapper").agg(F.collect_list(F.struct("node", "mass")).alias("mass"))  # at most the exemplar's elements
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [region(exemplar(x), {r["node"]: round(r["mass"]) for r in m}) for x, m in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(places, pa.int32())], [*batch.schema.names[:4], "place"])
+
+    chosen = known.join(mass, "wrapper").select("host", "layout", "example", "wrapper", "mass")
+    chosen = materialize(chosen.mapInArrow(choose, "host string, layout long, example string, wrapper long, place int"))
+    several, region_of = with_wrapper(chosen, ["example", "wrapper", "place"], ["host", "html"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``wrapper, node, mark, page``: the runs of each page that match one of the exemplar."""
         for part in slices(batches, "html"):
-            hosts, nodes, marks, whole = [], [], [], []
-            for host, html, (example,) in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), of_host(part)):
-                if example:
-                    found = placed(html, example)
-                    page = "\n".join(x.text for x, _ in found)
+            wrappers, nodes, marks, whole = [], [], [], []
+            for root, (example, wrapper, place) in region_of(part):
+                if example and (found := placed(root, example, place)):
+                    page = mark("\n".join(x.text for x, _ in found))
                     found = [(x, k) for x, k in found if k >= 0]
-                    hosts += [host] * (1 + len(found))
-                    nodes += [-1, *(k for _, k in found)]
-                    marks += ["", *(x.text for x, _ in found)]
-                    whole += [page] * (1 + len(found))
-            signed = [mark(x) for x in marks]
-            last, pages_of = None, []
-            for page in whole:
-                if page is not last:
-                    last, digest = page, int.from_bytes(xxhash.xxh64_digest(page), "big", signed=True)
-                pages_of.append(digest)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array(signed, pa.int64()), pa.array(pages_of, pa.int64())], ["host", "node", "mark", "page"])
-
-    # hosts with too few pages have no template; equal contents count once
-    seen = several.mapInArrow(count, "host string, node int, mark long, page long").distinct()
-    counts = seen.groupBy("host", "node", "mark").agg(F.count("*").alias("n"))
-    all_pages = counts.filter("node = -1").select("host", F.col("n").alias("all"))
-    often = counts.filter((F.col("node") >= 0) & (F.col("n") >= constant * least))
-    template = often.join(all_pages, "host").filter((F.col("all") >= least) & (F.col("n") >= constant * F.col("all")))
-    template = template.groupBy("host").agg(F.collect_set(F.struct("node", "mark")).alias("template"))  # at most the exemplar's runs
-    known = materialize(first.select("host", "example").join(template, "host"))
-    joined, found_of = with_host(rows, known, ["example", "template"])
+                    wrappers += [wrapper] * len(found)
+                    nodes += [k for _, k in found]
+                    marks += [mark(x.text) for x, _ in found]
+                    whole += [page] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(wrappers, pa.int64()), pa.array(nodes, pa.int32()), pa.array(marks, pa.int64()), pa.array(whole, pa.int64())], ["wrapper", "node", "mark", "page"])
+
+    # equal contents count once
+    seen = several.mapInArrow(count, "wrapper long, node int, mark long, page long").distinct()
+    counts = seen.groupBy("wrapper", "node", "mark").agg(F.count("*").alias("n"))
+    nodes = counts.groupBy("wrapper", "node").agg(F.sum("n").alias("all"), F.max_by("mark", F.struct("n", "mark")).alias("mark"), F.max("n").alias("n"))
+    template = nodes.filter((F.col("n") >= least) & (F.col("n") >= constant * F.col("all")))
+    template = template.groupBy("wrapper").agg(F.collect_list(F.struct("node", "mark", "n")).alias("template"))  # at most the exemplar's runs
+    wrappers = materialize(chosen.join(template, "wrapper", "left").select("host", "layout", "example", "place", "template"))
+    joined, wrapper_of = with_wrapper(wrappers, ["example", "place", "template"], ["page", "url", "host", "html"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html"):
             out = []
-            for html, (example, nodes) in zip(part.column("html").to_pylist(), found_of(part)):
-                if example and nodes:
-                    gone = {r["node"]: r["mark"] for r in nodes}
-                    texts = [x.text for x, k in placed(html, example) if k not in gone or mark(x.text) != gone[k]]
+            for root, (example, place, constants) in wrapper_of(part):
+                found = placed(root, example, place) if example else None
+                if found:
+                    texts = without_template(found, {r["node"]: (r["mark"], r["n"]) for r in constants or ()})
                 else:
-                    texts = [x.text for x in content(parse(html))] if html else []
-                out.append(" ".join(texts))
+                    texts = own(root)
+                out.append(" ".join(x.text for x in texts))
             yield pa.RecordBatch.from_arrays([part.column("page"), part.column("url"), pa.array(out, pa.string())], ["page", "url", "text"])
 
-    kinds = [rows.schema[c].dataType.simpleString() for c in ("page", "url")]
     return joined.mapInArrow(run, f"page {kinds[0]}, url {kinds[1]}, text string").withColumnRenamed("page", id_col)
 
 

@@ -260,7 +260,7 @@ def test_toxicity(spark):
 
 
 def text_of(html):
-    return " ".join(x.text for x in html_text.content(html_text.parse(html)))
+    return " ".join(x.text for x in html_text.own(html_text.parse(html)))
 
 
 def test_markup():
@@ -278,10 +278,100 @@ def test_markup():
     assert text_of("<div>" * 3000 + "deep") == "deep"
 
 
-def test_matching():
-    a, b = html_text.parse("<div><p>x</p><p>y</p></div>"), html_text.parse("<div><p>q</p><p>x</p><p>y</p></div>")
-    assert html_text.match(a, b, {}) == 1 + 1 + (1 + 2) * 2
-    assert html_text.match(html_text.parse("<ul></ul>"), html_text.parse("<ol></ol>"), {}) == 1
+def test_classes_are_a_prior_alone():
+    """Names of paragraphs and headings never bar them, nor names that only begin like one."""
+    inside = '<h2 class="section-header">h</h2><p class="alert">a</p><p class="share-price">p</p><div id="related-work">r</div>'
+    assert text_of(f"<article><p>{'text ' * 9}</p>{inside}</article>") == "text " * 9 + "h a p r"
+    assert text_of(f"<div class=x><p>{'text ' * 9}</p><div class='ad'>buy</div></div>") == ("text " * 9).strip()
+    assert text_of(f"<div class='widget'><p>{'text ' * 9}</p></div><p>b</p>") == "text " * 9 + "b"  # most of the text
+
+
+def brute_match(a, b):
+    """Simple tree matching by its definition."""
+    if a.label != b.label:
+        return 0
+    if a.tag == "#":
+        return 2 if a.text == b.text else 1
+    best = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, x in enumerate(a.children):
+        for j, y in enumerate(b.children):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + brute_match(x, y))
+    return 1 + best[-1][-1]
+
+
+def weight_of(a, b, found):
+    """The weight of an alignment, which must keep labels, parents and order."""
+    other = {x.index: (x, above) for x, above in html_text.walk(b)}
+    total, last = 0, -1
+    for x, above in html_text.walk(a):
+        if id(x) in found:
+            y, parent = other[found[id(x)]]
+            assert x.label == y.label and (above is None or found[id(above)] == parent.index) and y.index > last
+            total, last = total + (2 if x.tag == "#" and x.text == y.text else 1), y.index
+    return total
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 6])
+def test_matching_is_exact(monkeypatch, cells):
+    monkeypatch.setattr(html_text, "CELLS", cells)
+    rng = random.Random(21)
+
+    def page(depth=0):
+        out = ""
+        for _ in range(rng.randint(0, 4 if depth < 3 else 0)):
+            tag = rng.choice(["div", "ul", "section"])
+            out += rng.choice([f"<p>{rng.choice('xyz')}</p>", f"<{tag}>{rng.choice('uv')}</{tag}>", f"<{tag}>{page(depth + 1)}</{tag}>", f"<p>{rng.choice('xyz')}</p>"])
+        return out
+
+    for _ in range(300):
+        a, b = html_text.parse(page()), html_text.exemplar(page())
+        want = brute_match(a, b)
+        assert html_text.Matcher()(a, b) == want and weight_of(a, b, html_text.align(a, b)) == want
+
+
+def test_matching_of_deep_and_long_pages():
+    a, b = html_text.parse("<div>" * 5000 + "deep"), html_text.exemplar("<div>" * 5000 + "down")
+    assert len(html_text.align(a, b)) == 5002
+    long = html_text.exemplar("".join(f"<p>{k}</p>" for k in range(4000)))
+    found = html_text.align(html_text.parse("".join(f"<p>{k}</p>" for k in range(1, 4001) if k % 100)), long)
+    assert len(found) == 1 + 2 * 3960
+
+
+def plain_pages(count, host="c.example"):
+    """Pages without any tag or class that tells: menu, teaser, article, legal line."""
+    rng = random.Random(5)
+    words = lambda n: " ".join(rng.choice(["stone", "river", "green", "walk", "light", "paper", "seven"]) + str(rng.randint(0, 99)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(count):
+        text = [words(12) for _ in range(rng.randint(2, 5))]
+        prose = "".join(f"<p>{x}</p>" for x in text)
+        html = f"<body><div class='k1'><div>Home of all things we sell</div><div>{words(2)}</div></div><div class='k2'><p>Written by our staff</p>{prose}<div>Tell us what you think of this</div></div><div class='k3'>All of it is ours</div></body>"
+        rows.append((i, f"http://{host}/{i}", html))
+        want[i] = " ".join(text)
+    return rows, want
+
+
+def test_the_wrapper_decides(spark, monkeypatch):
+    """Without templates and regions from aligned pages the boilerplate stays: nothing else tells it."""
+    rows, want = plain_pages(30)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_text.extract_text(pages).collect()} == want
+    without = {r["page_id"]: r["text"] for r in html_text.extract_text(pages, least=1000).collect()}
+    assert all(without[i] != want[i] and "Written by our staff" in without[i] for i in want)
+
+
+def test_layouts_of_a_host_have_their_own_wrappers(spark):
+    first, want = plain_pages(12)
+    second = [(100 + i, f"http://c.example/b{i}", f"<body><section class=z><h1>Part {i}</h1><p>line {i} and more of it</p><p>Thanks for reading us</p></section></body>") for i in range(9)]
+    pages = spark.createDataFrame(first + second, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(pages).collect()}
+    assert got == want | {100 + i: f"Part {i} line {i} and more of it" for i in range(9)}
+
+
+def test_copies_on_a_host_keep_their_text(spark):
+    rows = [(i, f"http://d.example/{i}", f"<article><p>{'the same long paragraph ' * 5}</p><p>end {i}</p></article>") for i in range(5)]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: "the same long paragraph " * 5 + f"end {i}" for i in range(5)}
 
 
 def test_pages(spark):
@@ -290,7 +380,7 @@ def test_pages(spark):
         body = "".join(f"<p>text {i} {k}</p>" for k in range(1 + i % 4))
         rows.append((i, f"http://a.example/{i}", f"<html><body><article><h1>Title {i}</h1>{body}<p>Read more on our site.</p></article></body></html>", "x"))
         want[i] = " ".join([f"Title {i}", *(f"text {i} {k}" for k in range(1 + i % 4))])
-    for i in range(40, 44):  # too few pages to tell
+    for i in range(40, 42):  # too few pages to tell
         rows.append((i, f"https://b.example/{i}", f"<article><p>Same</p><p>n {i}</p></article>", None))
         want[i] = f"Same n {i}"
     rows += [(50, None, "<p>no url</p>", None), (51, "http://a.example/x", None, None), (52, "http://a.example/y", "", None), (0, *rows[0][1:])]
