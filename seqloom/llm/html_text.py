@@ -57,6 +57,8 @@ LITTLE, MUCH = 0.25, 4.0
 DEPTH = 4
 #: Cells of an alignment that are held at once.
 CELLS = 1 << 22
+#: Cells of an alignment that is kept from weighing to pairing.
+KEPT = 1 << 16
 #: Exemplars and templates are broadcast up to this size.
 BROADCAST_BYTES = 16 << 20
 
@@ -103,12 +105,13 @@ ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*=\s*(\"[^\"]*\"|'[
 class Node:
     """An element, or a run of text (tag ``#``)."""
 
-    __slots__ = ("tag", "label", "children", "text", "barred", "named", "links", "index")
+    __slots__ = ("tag", "label", "children", "text", "barred", "named", "links", "index", "listed")
 
     def __init__(self, tag: str, label: str, barred: bool = False, named: bool = False, text: str = "", links: int = 0):
         self.tag, self.label, self.barred, self.named, self.text, self.links = tag, label, barred, named, text, links
         self.children: list[Node] = []
         self.index = -1
+        self.listed: Listed | None = None
 
 
 @lru_cache(4096)
@@ -238,15 +241,34 @@ def layout(root: Node) -> int:
 # ---- simple tree matching -----------------------------------------------------------------------------------------
 
 
-def _leaf(node: Node) -> tuple[str, str] | None:
-    """Label and text of a run or of an element with nothing but one run or nothing; None for other elements."""
-    if node.tag == "#":
-        return node.label, node.text
-    if not node.children:
-        return node.label, ""
-    if len(node.children) == 1 and node.children[0].tag == "#":
-        return node.label, node.children[0].text
-    return None
+class Listed:
+    """Children of an element in arrays: numbers of labels and of texts, and how many runs a leaf holds (-1: it is one)."""
+
+    __slots__ = ("nodes", "labels", "texts", "size", "inner")
+
+    def __init__(self, nodes: list[Node]):
+        self.nodes, self.inner = nodes, []
+        labels, texts, size = [], [], []
+        for k, node in enumerate(nodes):
+            labels.append(hash(node.label))
+            children = node.children
+            if node.tag == "#":
+                texts.append(hash(node.text))
+                size.append(-1)
+            elif not children:
+                texts.append(0)
+                size.append(0)
+            elif len(children) == 1 and children[0].tag == "#":
+                texts.append(hash(children[0].text))
+                size.append(1)
+            else:
+                texts.append(0)
+                size.append(0)
+                self.inner.append(k)
+        self.labels, self.texts, self.size = np.array(labels, np.int64), np.array(texts, np.int64), np.array(size, np.int8)
+
+    def part(self, low: int, high: int, step: int = 1) -> Listed:
+        return Listed(self.nodes[low:high][::step])
 
 
 class Matcher:
@@ -255,45 +277,32 @@ class Matcher:
 
     def __init__(self):
         self.known: dict[tuple[int, int], int] = {}
-        self.hashes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]] = {}
-
-    def _arrays(self, nodes: list[Node]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-        """Of children: hashes of labels and of texts, how many runs a leaf holds (-1: none of its own, a run), others."""
-        labels, texts, size, others = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int8), []
-        for k, node in enumerate(nodes):
-            labels[k], leaf = hash(node.label), _leaf(node)
-            if leaf is None:
-                others.append(k)
-            elif node.tag == "#":
-                texts[k], size[k] = hash(node.text), -1
-            elif node.children:
-                texts[k], size[k] = hash(leaf[1]), 1
-        return labels, texts, size, others
-
-    def weights(self, left: list[Node], right: list[Node]) -> Callable[[int], np.ndarray]:
-        """A function that gives the weights of one of ``left`` with all of ``right``; pairs of elements that are no leaves
-        must be known."""
-        a, b = self._arrays(left), self._arrays(right)
-        inner = set(a[3])
-
-        def row(i: int) -> np.ndarray:
-            same = b[0] == a[0][i]
-            if i in inner:
-                out = np.zeros(len(right), np.int64)
-                for j in np.flatnonzero(same).tolist():
-                    out[j] = self.known[id(left[i]), id(right[j])] if (id(left[i]), id(right[j])) in self.known else self._mixed(left[i], right[j])
-                return out
-            if a[2][i] < 0:  # runs
-                out = same * (1 + (b[1] == a[1][i]))
-            else:
-                both = (b[2] == 1) & (a[2][i] == 1)
-                out = same * (1 + both * (1 + (b[1] == a[1][i])))
-            for j in b[3]:
-                if same[j]:
-                    out[j] = self._mixed(left[i], right[j])
-            return out
-
-        return row
+        self.tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    @staticmethod
+    def listed(node: Node) -> Listed:
+        if node.listed is None:
+            node.listed = Listed(node.children)
+        return node.listed
+
+    def weights(self, a: Listed, b: Listed) -> np.ndarray:
+        """The weights of all pairs; pairs of elements that are no leaves must be known."""
+        same = a.labels[:, None] == b.labels
+        # a run: 1, or 2 with the same text; a leaf: 1, and its run's weight if both have one
+        equal = (a.texts[:, None] == b.texts) + np.int64(1)
+        if len(a.nodes) == 1 and a.nodes[0].tag == "#":
+            out = same * equal
+        else:
+            out = same * np.where((a.size < 0)[:, None], equal, 1 + ((a.size == 1)[:, None] & (b.size == 1)) * equal)
+        for i in a.inner:
+            for j in np.flatnonzero(same[i]).tolist():
+                key = id(a.nodes[i]), id(b.nodes[j])
+                out[i, j] = self.known[key] if key in self.known else self._mixed(a.nodes[i], b.nodes[j])
+        for j in b.inner:
+            for i in np.flatnonzero(same[:, j]).tolist():
+                if (id(a.nodes[i]), id(b.nodes[j])) not in self.known:
+                    out[i, j] = self._mixed(a.nodes[i], b.nodes[j])
+        return out
 
     def _mixed(self, a: Node, b: Node) -> int:
         """The weight of a pair of which one at least is a leaf."""
@@ -310,48 +319,63 @@ class Matcher:
             if (id(x), id(y)) in self.known:
                 work.pop()
                 continue
-            need = [(c, d) for c in x.children if _leaf(c) is None for d in y.children if d.label == c.label and _leaf(d) is None and (id(c), id(d)) not in self.known]
+            left, right = self.listed(x), self.listed(y)
+            need = [
+                (left.nodes[i], right.nodes[j])
+                for i in left.inner
+                for j in right.inner
+                if left.nodes[i].label == right.nodes[j].label and (id(left.nodes[i]), id(right.nodes[j])) not in self.known
+            ]
             if need:
                 work.extend(need)
                 continue
-            self.known[id(x), id(y)] = 1 + int(self.last(x.children, y.children)[-1])
+            if len(left.nodes) * len(right.nodes) <= CELLS:
+                weights = self.weights(left, right)
+                table = _table(weights)
+                if weights.size <= KEPT:
+                    self.tables[id(x), id(y)] = weights, table
+                best = table[-1, -1]
+            else:
+                best = self.last(left, right)[-1]
+            self.known[id(x), id(y)] = 1 + int(best)
             work.pop()
         return self.known[id(a), id(b)]
 
-    def last(self, left: list[Node], right: list[Node]) -> np.ndarray:
-        """The last row of the alignment's table."""
-        row, weights = np.zeros(len(right) + 1, np.int64), self.weights(left, right)
-        for i in range(len(left)):
-            row = _next(row, weights(i))
+    def last(self, left: Listed, right: Listed) -> np.ndarray:
+        """The last row of the alignment's table, in slices of rows."""
+        row = np.zeros(len(right.nodes) + 1, np.int64)
+        step = max(1, CELLS // max(1, len(right.nodes)))
+        for low in range(0, len(left.nodes), step):
+            row = _table(self.weights(left.part(low, low + step), right), row)[-1]
         return row
 
-    def pairs(self, left: list[Node], right: list[Node]) -> list[tuple[int, int]]:
-        """An alignment of the largest weight; long lists are halved until their table is small enough."""
-        out, work = [], [(0, len(left), 0, len(right))]
+    def pairs(self, a: Node, b: Node) -> list[tuple[int, int]]:
+        """An alignment of children of the largest weight; long lists are halved until their table is small enough."""
+        left, right = self.listed(a), self.listed(b)
+        out, work = [], [(0, len(left.nodes), 0, len(right.nodes))]
         while work:
-            a, b, c, d = work.pop()
-            while a < b and c < d and _leaf(left[a]) is not None and left[a].label == right[c].label and _leaf(left[a]) == _leaf(right[c]) and len(left[a].children) == len(right[c].children):
-                out.append((a, c))  # equal leaves at the start are matched in a largest alignment
-                a, c = a + 1, c + 1
-            if a == b or c == d:
+            low, high, start, stop = work.pop()
+            if low == high or start == stop:
                 continue
-            if (b - a) * (d - c) > CELLS and b - a > 1:
-                mid = (a + b) // 2
-                first = self.last(left[a:mid], right[c:d])
-                second = self.last(left[mid:b][::-1], right[c:d][::-1])[::-1]
-                cut = c + int((first + second).argmax())
-                work += [(a, mid, c, cut), (mid, b, cut, d)]
+            whole = (high - low, stop - start) == (len(left.nodes), len(right.nodes))
+            if (high - low) * (stop - start) > CELLS and high - low > 1:
+                mid = (low + high) // 2
+                first = self.last(left.part(low, mid), right.part(start, stop))
+                second = self.last(left.part(mid, high, 1).part(0, high - mid, -1), right.part(start, stop, -1))[::-1]
+                cut = start + int((first + second).argmax())
+                work += [(low, mid, start, cut), (mid, high, cut, stop)]
                 continue
-            weights = self.weights(left[a:b], right[c:d])
-            rows = [weights(i) for i in range(b - a)]
-            table = [np.zeros(d - c + 1, np.int64)]
-            for row in rows:
-                table.append(_next(table[-1], row))
-            i, j = b - a, d - c
+            if whole and (id(a), id(b)) in self.tables:
+                weights, table = self.tables[id(a), id(b)]
+            else:
+                weights = self.weights(left.part(low, high), right.part(start, stop))
+                table = _table(weights)
+            i, j = weights.shape
+            weights, table = weights.tolist(), table.tolist()
             while i and j:
-                weight = rows[i - 1][j - 1]
+                weight = weights[i - 1][j - 1]
                 if weight and table[i][j] == table[i - 1][j - 1] + weight:
-                    out.append((a + i - 1, c + j - 1))
+                    out.append((low + i - 1, start + j - 1))
                     i, j = i - 1, j - 1
                 elif table[i][j] == table[i - 1][j]:
                     i -= 1
@@ -360,9 +384,18 @@ class Matcher:
         return out
 
 
-def _next(above: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    row = np.maximum(above[1:], above[:-1] + weights)
-    return np.concatenate([[0], np.maximum.accumulate(row)]) if len(row) else above
+def _table(weights: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+    """The alignment's table, row by row, after a first row."""
+    n, m = weights.shape
+    table = np.zeros((n + 1, m + 1), np.int64)
+    if first is not None:
+        table[0] = first
+    for i in range(n):
+        row = table[i + 1, 1:]
+        np.add(table[i, :-1], weights[i], out=row)
+        np.maximum(row, table[i, 1:], out=row)
+        np.maximum.accumulate(row, out=row)
+    return table
 
 
 def align(a: Node, b: Node) -> dict[int, int]:
@@ -374,8 +407,10 @@ def align(a: Node, b: Node) -> dict[int, int]:
         if a.label != b.label:
             continue
         found[id(a)] = b.index
-        if a.tag != "#":
-            work += [(a.children[i], b.children[j]) for i, j in match.pairs(a.children, b.children)]
+        if len(a.children) == 1 == len(b.children) and a.children[0].label == b.children[0].label:
+            work.append((a.children[0], b.children[0]))
+        elif a.children and b.children:
+            work += [(a.children[i], b.children[j]) for i, j in match.pairs(a, b)]
     return found
 
 
@@ -528,48 +563,47 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     several, of_page = with_wrapper(known, ["example", "wrapper"], ["host", "html"])
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """How much text stands under each element: ``wrapper, node, mass``."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``wrapper, node, mass, mark, page``: text under each element (no mark), and the runs that match one of the
+        exemplar's, page by page."""
         for part in slices(batches, "html"):
             sums: dict[tuple[int, int], float] = {}
+            rows: list[tuple] = []
             for root, (example, wrapper) in of_page(part):
                 if example and root.children:
-                    for node, mass in masses(root, align(root, exemplar(example))).items():
+                    found = align(root, exemplar(example))
+                    for node, mass in masses(root, found).items():
                         sums[wrapper, node] = sums.get((wrapper, node), 0.0) + mass
-            wrappers, nodes = zip(*sums) if sums else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(wrappers, pa.int64()), pa.array(nodes, pa.int32()), pa.array(sums.values(), pa.float64())], ["wrapper", "node", "mass"])
-
-    mass = several.mapInArrow(weigh, "wrapper long, node int, mass double").groupBy("wrapper", "node").agg(F.sum("mass").alias("mass"))
+                    texts = list(leaves(root))
+                    page = mark("\n".join(x.text for x in texts))
+                    rows += [(wrapper, found[id(x)], 0.0, mark(x.text), page) for x in texts if id(x) in found]
+            rows += [(wrapper, node, mass, None, None) for (wrapper, node), mass in sums.items()]
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = (pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["wrapper", "node", "mass", "mark", "page"])
+
+    counted = materialize(several.mapInArrow(count, "wrapper long, node int, mass double, mark long, page long"))
+    mass = counted.filter("mark is null").groupBy("wrapper", "node").agg(F.sum("mass").alias("mass"))
     mass = mass.groupBy("wrapper").agg(F.collect_list(F.struct("node", "mass")).alias("mass"))  # at most the exemplar's elements
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = [region(exemplar(x), {r["node"]: round(r["mass"]) for r in m}) for x, m in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(places, pa.int32())], [*batch.schema.names[:4], "place"])
+            places, lasts = [], []
+            for example, masses_ in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist()):
+                places.append(region(exemplar(example), {r["node"]: round(r["mass"]) for r in masses_}))
+                inside = next(x for x, _ in walk(exemplar(example)) if x.index == places[-1])
+                lasts.append(max(x.index for x, _ in walk(inside)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(places, pa.int32()), pa.array(lasts, pa.int32())], [*batch.schema.names[:4], "place", "last"])
 
     chosen = known.join(mass, "wrapper").select("host", "layout", "example", "wrapper", "mass")
-    chosen = materialize(chosen.mapInArrow(choose, "host string, layout long, example string, wrapper long, place int"))
-    several, region_of = with_wrapper(chosen, ["example", "wrapper", "place"], ["host", "html"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``wrapper, node, mark, page``: the runs of each page that match one of the exemplar."""
-        for part in slices(batches, "html"):
-            wrappers, nodes, marks, whole = [], [], [], []
-            for root, (example, wrapper, place) in region_of(part):
-                if example and (found := placed(root, example, place)):
-                    page = mark("\n".join(x.text for x, _ in found))
-                    found = [(x, k) for x, k in found if k >= 0]
-                    wrappers += [wrapper] * len(found)
-                    nodes += [k for _, k in found]
-                    marks += [mark(x.text) for x, _ in found]
-                    whole += [page] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(wrappers, pa.int64()), pa.array(nodes, pa.int32()), pa.array(marks, pa.int64()), pa.array(whole, pa.int64())], ["wrapper", "node", "mark", "page"])
-
+    chosen = materialize(chosen.mapInArrow(choose, "host string, layout long, example string, wrapper long, place int, last int"))
     # equal contents count once
-    seen = several.mapInArrow(count, "wrapper long, node int, mark long, page long").distinct()
+    seen = counted.filter("mark is not null").select("wrapper", "node", "mark", "page").distinct()
     counts = seen.groupBy("wrapper", "node", "mark").agg(F.count("*").alias("n"))
     nodes = counts.groupBy("wrapper", "node").agg(F.sum("n").alias("all"), F.max_by("mark", F.struct("n", "mark")).alias("mark"), F.max("n").alias("n"))
     template = nodes.filter((F.col("n") >= least) & (F.col("n") >= constant * F.col("all")))
+    places = chosen.select("wrapper", "place", "last").distinct()
+    template = template.join(places, "wrapper").filter((F.col("node") > F.col("place")) & (F.col("node") <= F.col("last")))
     template = template.groupBy("wrapper").agg(F.collect_list(F.struct("node", "mark", "n")).alias("template"))  # at most the exemplar's runs
     wrappers = materialize(chosen.join(template, "wrapper", "left").select("host", "layout", "example", "place", "template"))
     joined, wrapper_of = with_wrapper(wrappers, ["example", "place", "template"], ["page", "url", "host", "html"])
