@@ -2,8 +2,10 @@
 
 A token has features; a label's score at a token is the sum of the weights of the token's own features, of those of the
 token before and of those of the token after; labels of neighbours have transition weights.  Training climbs the
-penalised log likelihood by Adam over all chains together.  Decoding pads chains of similar length and steps through
-positions for all of them at once: Viterbi for the best path, forward-backward for marginals.
+penalised log likelihood by Adam over all chains together.  Viterbi pads chains of similar length and steps through
+positions for all of them at once.  Forward-backward does so for segments of SEGMENT tokens, into which all chains are
+cut: a first pass gives each segment's sums of paths between the label before it and its last one, a scan over a chain's
+segments gives what comes in from both sides, and a second pass the rest; this is exact and as fast for long chains.
 """
 
 from __future__ import annotations
@@ -13,16 +15,18 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Tokens of a chain where the caller cuts long ones; chains of any length are decoded.
-CHAIN = 64
 #: Score of a barred step.
 BARRED = -1e4
+#: Tokens of a segment.
+SEGMENT = 64
 #: Chains that are decoded together, and the most tokens that they have when padded to the longest, unless one alone has more.
 TOGETHER = 2048
-PADDED = TOGETHER * CHAIN
+PADDED = TOGETHER * 64
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
+    if x.shape[axis] == 2:
+        return np.logaddexp(x.take(0, axis), x.take(1, axis))
     top = x.max(axis, keepdims=True)
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
@@ -93,83 +97,117 @@ class Crf:
 
     def marginals(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The probability of each label at each token."""
-        out = np.zeros_like(scores)
-        for padded, sizes, place, live in self._padded(scores, lengths):
-            alpha, beta, _ = self._forward_backward(padded, live)
-            both = alpha + beta
-            found = np.exp(both - _logsum(both, 2)[:, :, None])
-            out[place[live]] = found[live]
-        return out
-
-    def _forward_backward(self, padded: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n, width, count = padded.shape
-        alpha = np.zeros((n, width, count))
-        alpha[:, 0] = padded[:, 0] + self.start
-        for t in range(1, width):
-            new = _logsum(alpha[:, t - 1][:, :, None] + self.trans, 1) + padded[:, t]
-            alpha[:, t] = np.where(live[:, t, None], new, alpha[:, t - 1])
-        beta = np.zeros((n, width, count))
-        beta[:, -1] = self.end
-        for t in range(width - 2, -1, -1):
-            new = _logsum(self.trans + (padded[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-            beta[:, t] = np.where(live[:, t + 1, None], new, self.end)
-        return alpha, beta, _logsum(alpha[:, -1] + self.end, 1)
+        alpha, beta, total = self.forward_backward(scores, lengths)
+        return np.exp(alpha + beta - np.repeat(total, lengths)[:, None])
+
+    def forward_backward(self, scores: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums over the paths up to each token and label, over those after it, and over all paths of each chain (logarithms).
+        Chains are not empty."""
+        k = len(self.labels)
+        counts = -(-lengths // SEGMENT)
+        chain = np.repeat(np.arange(len(lengths)), counts)
+        rank = np.arange(len(chain)) - np.repeat(np.cumsum(counts) - counts, counts)
+        begin = np.repeat(np.cumsum(lengths) - lengths, counts) + rank * SEGMENT
+        size = np.minimum(SEGMENT, lengths[chain] - rank * SEGMENT)
+        first = rank == 0
+        blocks = []
+        for low in range(0, len(chain), TOGETHER):
+            some = np.arange(low, min(low + TOGETHER, len(chain)))
+            width = int(size[some].max())
+            place = begin[some][:, None] + np.minimum(np.arange(width), size[some][:, None] - 1)
+            blocks.append((some, width, place, np.arange(width) < size[some][:, None]))
+        # from the label before a segment to its last label; of a first segment, whatever is before
+        through = np.zeros((len(chain), k, k))
+        for some, width, place, live in blocks:
+            if (counts[chain[some]] == 1).all():
+                continue
+            now = np.where(first[some][:, None, None], self.start, self.trans) + scores[place[:, 0]][:, None, :]
+            for t in range(1, width):
+                new = _logsum(now[:, :, :, None] + self.trans, 2) + scores[place[:, t]][:, None, :]
+                now = np.where(live[:, t, None, None], new, now)
+            through[some] = now
+        into = np.full((len(chain), k), -np.log(k))
+        after = np.tile(self.end, (len(chain), 1))
+        order = np.argsort(rank, kind="stable")
+        cuts = np.searchsorted(rank[order], np.arange(1, int(rank.max(initial=0)) + 2))
+        for r in range(1, len(cuts)):
+            at = order[cuts[r - 1] : cuts[r]]  # segments that follow one in their chain
+            into[at] = _logsum(into[at - 1][:, :, None] + through[at - 1], 1)
+        for r in range(len(cuts) - 1, 0, -1):
+            at = order[cuts[r - 1] : cuts[r]]
+            after[at - 1] = _logsum(through[at] + after[at][:, None, :], 2)
+        alpha, beta = np.zeros_like(scores), np.zeros_like(scores)
+        for some, width, place, live in blocks:
+            values = np.zeros((len(some), width, k))
+            came = _logsum(into[some][:, :, None] + self.trans, 1)
+            values[:, 0] = np.where(first[some][:, None], self.start, came) + scores[place[:, 0]]
+            for t in range(1, width):
+                new = _logsum(values[:, t - 1][:, :, None] + self.trans, 1) + scores[place[:, t]]
+                values[:, t] = np.where(live[:, t, None], new, values[:, t - 1])
+            alpha[place[live]] = values[live]
+            values[:, -1] = after[some]
+            for t in range(width - 2, -1, -1):
+                new = _logsum(self.trans + (scores[place[:, t + 1]] + values[:, t + 1])[:, None, :], 2)
+                values[:, t] = np.where(live[:, t + 1, None], new, after[some])
+            beta[place[live]] = values[live]
+        ends = np.cumsum(lengths) - 1
+        return alpha, beta, _logsum(alpha[ends] + self.end, 1)
 
 
 def fit(chains: list[list[tuple[str, str]]], featurise: Callable[[str], list[str]], labels: list[str], steps: int = 300, ridge: float = 0.02, rate: float = 0.1, bar: bool = False) -> Crf:
-    """Train on chains of (token, label); at least one chain.  ``bar``: steps between labels, and first labels, that no
-    chain has are barred."""
-    names = sorted({f for chain in chains for token, _ in chain for f in featurise(token)})
+    """Train on chains of (token, label), whole whatever their length; at least one chain, none of them empty.  ``bar``: steps
+    between labels, and first labels, that no chain has are barred."""
+    distinct = {token: featurise(token) for token in {token for chain in chains for token, _ in chain}}
+    names = sorted({f for found in distinct.values() for f in found})
     index, count = {f: i for i, f in enumerate(names)}, len(labels)
+    most = max(map(len, distinct.values()))
+    # feature ids of different tokens, padded by one more feature without weight
+    number = {token: i for i, token in enumerate(distinct)}
+    padded = np.full((len(distinct), most), len(names))
+    for token, found in distinct.items():
+        padded[number[token], : len(found)] = [index[f] for f in found]
+    kind = np.array([number[token] for chain in chains for token, _ in chain])
+    lengths = np.array([len(c) for c in chains])
+    n, ends = len(chains), np.cumsum(lengths)
+    place = {label: i for i, label in enumerate(labels)}
+    hot = np.eye(count)[[place[label] for chain in chains for _, label in chain]]
+    inner = np.ones(len(kind), bool)  # tokens with one before them in their chain
+    inner[0] = False
+    inner[ends[:-1]] = False
+    follows = np.flatnonzero(inner)
     shapes = [(len(names), count)] * 3 + [(count, count), (count,), (count,)]
     weights = [np.zeros(s) for s in shapes]
-    lengths = np.array([len(c) for c in chains])
-    n, width = len(chains), int(lengths.max())
-    most = max(len(featurise(token)) for chain in chains for token, _ in chain)
-    # feature ids padded by one more feature without weight
-    ids = np.full((n, width, most), len(names))
-    gold = np.zeros((n, width), np.int64)
-    for i, chain in enumerate(chains):
-        for t, (token, label) in enumerate(chain):
-            found = [index[f] for f in featurise(token)]
-            ids[i, t, : len(found)] = found
-            gold[i, t] = labels.index(label)
-    live = np.arange(width) < lengths[:, None]
-    hot = np.eye(count)[gold] * live[:, :, None]
-    last = np.zeros((n, width), bool)
-    last[np.arange(n), lengths - 1] = True
-    follows = live[:, 1:, None]
     moment, square = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes]
+    gold = np.einsum("ta,tb->ab", hot[follows - 1], hot[follows])
 
     def summed(w: np.ndarray) -> np.ndarray:
-        return np.concatenate([w, np.zeros((1, count))])[ids].sum(2)
+        return np.concatenate([w, np.zeros((1, count))])[padded].sum(1)
 
     def gathered(part: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(names) + 1, count))
-        np.add.at(out, ids.reshape(-1, most), part.reshape(-1, 1, count))
-        return out[:-1]
+        """Sums over tokens by kind, then by feature."""
+        by_kind = np.stack([np.bincount(kind, part[:, c], len(padded)) for c in range(count)], 1)
+        return np.stack([np.bincount(padded.ravel(), np.repeat(by_kind[:, c], most), len(names) + 1)[:-1] for c in range(count)], 1)
 
     for step in range(1, steps + 1):
         own, prev, next_, trans, start, end = weights
-        scores = summed(own)
-        scores[:, 1:] += summed(prev)[:, :-1] * follows
-        scores[:, :-1] += summed(next_)[:, 1:] * follows
         model = Crf(labels, index, own, prev, next_, trans, start, end)
-        alpha, beta, total = model._forward_backward(scores, live)
-        marginal = np.exp(alpha + beta - total[:, None, None]) * live[:, :, None]
-        pair = np.exp(alpha[:, :-1, :, None] + trans + (scores + beta)[:, 1:, None, :] - total[:, None, None, None]) * follows[:, :, :, None]
+        scores = model.emissions(summed(own)[kind], summed(prev)[kind], summed(next_)[kind], lengths)
+        alpha, beta, total = model.forward_backward(scores, lengths)
+        whole = np.repeat(total, lengths)[:, None]
+        marginal = np.exp(alpha + beta - whole)
+        steps_ = alpha[follows - 1][:, :, None] + trans + ((scores + beta)[follows] - whole[follows])[:, None, :]
+        pair = np.exp(steps_).sum(0)
         off = hot - marginal
         before, after = np.zeros_like(off), np.zeros_like(off)
-        before[:, :-1] = off[:, 1:] * follows
-        after[:, 1:] = off[:, :-1] * follows
-        moves = np.einsum("nta,ntb->ab", hot[:, :-1], hot[:, 1:]) - pair.sum((0, 1))
-        slopes = [gathered(off), gathered(before), gathered(after), moves, off[:, 0].sum(0), (off * last[:, :, None]).sum((0, 1))]
+        before[follows - 1] = off[follows]
+        after[follows] = off[follows - 1]
+        slopes = [gathered(off), gathered(before), gathered(after), gold - pair, off[ends - lengths].sum(0), off[ends - 1].sum(0)]
         for k, slope in enumerate(slopes):
             slope = slope - ridge * n * weights[k] / 10
             moment[k] = 0.9 * moment[k] + 0.1 * slope
             square[k] = 0.99 * square[k] + 0.01 * slope**2
             weights[k] = weights[k] + rate * (moment[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
     if bar:
-        weights[3] = np.where(np.einsum("nta,ntb->ab", hot[:, :-1], hot[:, 1:]) > 0, weights[3], BARRED)
-        weights[4] = np.where(hot[:, 0].sum(0) > 0, weights[4], BARRED)
+        weights[3] = np.where(gold > 0, weights[3], BARRED)
+        weights[4] = np.where(hot[ends - lengths].sum(0) > 0, weights[4], BARRED)
     return Crf(labels, index, *weights)

@@ -4,12 +4,14 @@ Labelled tokens come from labelled documents: words whose share of toxic documen
 ratio over document counts, GAIN at least) are the lexicon, and so are beginnings of words, which inflected forms share,
 and beginnings that REPEATS words of a document have, as those that are frequent by chance seldom come again.  In toxic
 documents the tokens that the lexicon marks are labelled toxic, in others clean.
-The field is trained on stretches around lexicon words.  Forward-backward gives each token's probability; a document's
-score is a logistic function of its highest probability and its expected number of toxic tokens, also per word, fitted on the
-labelled documents.  Tokens outside the lexicon without a lexicon word within REACH words take no part.
+The field is trained on whole documents.  A token's features are its entries in the lexicon and its form (beginning, end
+and length, which words outside the lexicon have too); those of its neighbours count as well.  A document is one
+chain: forward-backward gives each of its tokens a probability; a document's score is a logistic function of its highest
+probability and its expected number of toxic tokens, also per word, fitted on the labelled documents.
 
-Learning reads a sample by hash of at most about TRAIN_ROWS labelled documents, half of them toxic if there are as many;
-document counts of words are added up over the cluster and the best LEXICON words alone reach the driver.
+Learning reads a sample by hash of at most about TRAIN_ROWS labelled documents, half of them toxic if there are as many,
+for the lexicon and the scores, and of about FIELD_ROWS of these for the field; nothing else is bounded.  Document counts of
+words are added up over the cluster; only the lexicon reaches the driver.
 
 Defined results: null text is empty text and scores like a document without toxic tokens; without any toxic label every
 score is 0; labels of a repeated doc_id count once (toxic if any says so), null labels do not count; rows that repeat
@@ -32,21 +34,17 @@ from seqloom.llm import crf
 from seqloom.llm.common import crc_of_id, slices, table, texts
 from seqloom.session import materialize, release
 
-#: Labelled documents that are expected in the sample, and stretches for training the field.
+#: Labelled documents that are expected in the sample, and those of them that train the field.
 TRAIN_ROWS = 16_000
-TRAIN_CHAINS = 2_000
-#: Stretches of one document that can be among them.
-STRETCHES = 4
-LEXICON = 1_000
+FIELD_ROWS = 1_000
+STEPS = 60
 #: Least log likelihood ratio (natural logarithm) of a lexicon word, and least number of toxic documents with it.
 GAIN = 12.0
 LEAST = 4
-#: Words on either side of a lexicon word that belong to its stretch.
-REACH = 8
 #: Lengths of beginnings of words that can be in the lexicon, written with a star, or two if it takes REPEATS of them.
 STARTS = (4, 5, 6, 7)
 REPEATS = 3
-#: Words that a worker remembers to be outside the lexicon.
+#: Words whose features a worker remembers.
 CACHE = 400_000
 THRESHOLD = 0.7
 #: A token is an offence from this probability on.
@@ -81,99 +79,103 @@ def entries(words: list[str]) -> set[str]:
     return {*words, *(p + "*" for p in often), *(p + "**" for p, n in often.items() if n >= REPEATS)}
 
 
+def form(word: str) -> str:
+    """Beginning, end and length of a word, joined by blanks."""
+    return f"{word[:3]}- -{word[-3:]} {min(len(word), 12)}"
+
+
 def _features(token: str) -> list[str]:
-    """Of a token given as its entries, joined by blanks."""
-    return [f"entry {e}" for e in token.split()] or ["other"]
+    """Of a token given as its form and its entries, joined by blanks."""
+    begin, end, size, *found = token.split(" ")
+    return [f"begin {begin}", f"end {end}", f"size {size}", *(f"entry {e}" for e in found if e)]
 
 
 class Scorer:
-    """Scores texts; keeps which of up to CACHE words are outside the lexicon."""
+    """Scores texts; keeps the features of up to CACHE words."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.plain: set[str] = set()
+        self.known: dict[str, int] = {}  # a class, or -1 - place of a word whose entries depend on the document
+        self.repeating: list[tuple[str, str, list[str]]] = []
         self.classes: dict[str, int] = {}
         self.rows: list[tuple] = []
-        self.place("")
+        self.arrays: tuple[int, tuple[np.ndarray, ...]] = (0, ())
 
     def place(self, token: str) -> int:
-        """The class of a token by its entries."""
+        """The class of a token by its form and entries; tokens with the same known features are one class."""
         if token not in self.classes:
-            self.classes[token] = len(self.classes)
             if self.model.field:
                 self.rows.append(self.model.field.rows(_features(token)))
+            self.classes[token] = len(self.classes)
         return self.classes[token]
 
-    def hits(self, words: list[str]) -> dict[str, str]:
-        """The words of a document that the lexicon marks, with their entries."""
-        if self.plain.issuperset(words):
-            return {}
-        new, lexicon = set(words) - self.plain, self.model.lexicon
-        if len(self.plain) > CACHE:
-            self.plain.clear()
-        once: dict[str, list[str]] = {}
-        more: dict[str, list[str]] = {}
-        for word in new:
+    def _learn(self, words: set[str]) -> None:
+        if len(self.known) > CACHE:
+            self.known.clear()
+            self.repeating.clear()
+            self.classes.clear()
+            self.rows.clear()
+            self.arrays = (0, ())
+        lexicon = self.model.lexicon
+        for word in words - self.known.keys():
             begins = starts(word)
-            some = [e for e in (word, *(p + "*" for p in begins)) if e in lexicon]
+            once = " ".join([form(word), *(e for e in (word, *(p + "*" for p in begins)) if e in lexicon)])
             often = [p for p in begins if p + "**" in lexicon]
-            if some or often:
-                once[word], more[word] = some, often
-        self.plain |= new - once.keys()
-        if not once:
-            return {}
-        count = Counter(p for w in words for p in more.get(w, ()))
-        found = {w: " ".join([*once[w], *(p + "**" for p in more[w] if count[p] >= REPEATS)]) for w in once}
-        return {w: e for w, e in found.items() if e}
-
-    @staticmethod
-    def chains(words: list[str], hits: dict[str, str]) -> list[tuple[int, int]]:
-        """Stretches (from, to) around marked words, cut at crf.CHAIN words."""
-        out: list[list[int]] = []
-        for at in (k for k, w in enumerate(words) if w in hits) if hits else ():
-            low, high = max(0, at - REACH), min(len(words), at + REACH + 1)
-            if out and low <= out[-1][1]:
-                out[-1][1] = high
+            if often:
+                self.known[word] = -1 - len(self.repeating)
+                self.repeating.append((word, once, often))
             else:
-                out.append([low, high])
-        return [(k, min(k + crf.CHAIN, b)) for a, b in out for k in range(a, b, crf.CHAIN)]
-
-    def tokens(self, texts: list[str]) -> tuple[list[list[tuple[int, float]]], list[int]]:
-        """For each text (number of the word, probability of toxic) of the words in stretches; the texts' words."""
-        out: list[list[tuple[int, float]]] = [[] for _ in texts]
-        size = [0] * len(texts)
+                self.known[word] = self.place(once)
+
+    def marked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Classes of all words of the texts, one text after another, and how many each text has."""
+        split = [lowered(t) for t in texts]
+        lengths = np.array([len(x) for x in split], np.int64)
+        words = [w for x in split for w in x]
+        new = set(words)
+        if not self.known.keys() >= new:
+            if len(self.known) > CACHE:
+                self._learn(set())
+            self._learn(new)
+        flat = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        ends = np.cumsum(lengths)
+        at = np.flatnonzero(flat < 0)
+        owner = np.searchsorted(ends, at, side="right")
+        for i in np.unique(owner).tolist():  # texts with words whose beginnings may repeat
+            some = at[owner == i]
+            found = [self.repeating[-1 - k] for k in flat[some].tolist()]
+            # every word of the text that has the beginning counts, as often as it is there
+            count = Counter(p for _, _, often in found for p in often)
+            flat[some] = [self.place(" ".join([once, *(p + "**" for p in often if count[p] >= REPEATS)])) for _, once, often in found]
+        return flat, lengths
+
+    def tokens(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The probability of toxic of each word of each text; the texts' words."""
         if not self.model.field:
-            return out, size
-        chains, owner = [], []
-        for i, text in enumerate(texts):
-            words = lowered(text)
-            size[i] = len(words)
-            hits = self.hits(words)
-            for low, high in self.chains(words, hits):
-                chains.append([self.place(hits.get(w, "")) for w in words[low:high]])
-                owner.append((i, low))
-        if chains:
-            lengths = np.array([len(c) for c in chains])
-            flat = np.concatenate(chains)
-            own, prev, next_ = (np.array(x) for x in zip(*self.rows))
-            scores = self.model.field.emissions(own[flat], prev[flat], next_[flat], lengths)
-            found = self.model.field.marginals(scores, lengths)[:, 1]
-            for (i, low), start, n in zip(owner, np.cumsum(lengths) - lengths, lengths):
-                out[i] += [(low + k, p) for k, p in enumerate(found[start : start + n].tolist())]
-        return out, size
+            return [np.zeros(0)] * len(texts), np.zeros(len(texts), np.int64)
+        flat, lengths = self.marked(texts)
+        if not len(flat):
+            return [np.zeros(0)] * len(texts), lengths
+        if self.arrays[0] != len(self.rows):
+            self.arrays = len(self.rows), tuple(np.array(x) for x in zip(*self.rows))
+        own, prev, next_ = self.arrays[1]
+        live = lengths > 0
+        scores = self.model.field.emissions(own[flat], prev[flat], next_[flat], lengths[live])
+        found = self.model.field.marginals(scores, lengths[live])[:, 1]
+        return np.split(found, np.cumsum(lengths)[:-1]), lengths
 
     @staticmethod
-    def inputs(tokens: list[tuple[int, float]], size: int) -> list[float]:
-        total = sum(p for _, p in tokens if p >= LEAST_PART)
-        return [1.0, max((p for _, p in tokens), default=0.0), float(np.log1p(total)), float(np.log1p(1000 * total / max(size, 1)))]
+    def inputs(tokens: np.ndarray, size: int) -> list[float]:
+        total = float(tokens[tokens >= LEAST_PART].sum())
+        return [1.0, float(tokens.max(initial=0.0)), float(np.log1p(total)), float(np.log1p(1000 * total / max(size, 1)))]
 
-    def score(self, tokens: list[tuple[int, float]], size: int) -> float:
+    def score(self, tokens: np.ndarray, size: int) -> float:
         if not self.model.field:
             return self.model.rate
         return float(1 / (1 + np.exp(-np.clip(self.model.weights @ self.inputs(tokens, size), -30, 30))))
 
-    def offences(self, text: str, tokens: list[tuple[int, float]]) -> list[dict]:
-        worst = {k: p for k, p in tokens if p >= OFFENCE}
+    def offences(self, text: str, tokens: np.ndarray) -> list[dict]:
+        worst = {k: float(tokens[k]) for k in np.flatnonzero(tokens >= OFFENCE).tolist()}
         if not worst:
             return []
         return [{"start": m.start(), "end": m.end(), "probability": worst[k]} for k, m in enumerate(WORDS.finditer(text)) if k in worst]
@@ -192,8 +194,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return weights
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> Model:
-    """A model from documents and labels (``id_col``, ``label_col`` 0 or 1); ``train_rows`` bounds the expected sample."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, field_rows: int = FIELD_ROWS) -> Model:
+    """A model from documents and labels (``id_col``, ``label_col`` 0 or 1); ``train_rows`` and
+    ``field_rows`` bound the expected samples of labelled rows."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("doc")).agg((F.max(label_col) > 0).alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -225,24 +228,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     gain = F.col("bad") * F.log(share / prior) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - share) / max(1 - prior, 1e-9))).otherwise(0.0)
     words = rows.mapInArrow(count, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     words = words.filter((F.col("bad") >= LEAST) & (share > max(0.5, 1.5 * prior))).withColumn("gain", gain).filter(F.col("gain") >= GAIN)
-    lexicon = frozenset(r["word"] for r in words.orderBy(F.desc("gain"), "word").limit(LEXICON).collect())
+    lexicon = frozenset(r["word"] for r in words.select("word").collect())
     if not lexicon:
         return Model(None, frozenset(), np.zeros(4), prior)
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draft = Scorer(Model(None, lexicon, np.zeros(4), 0.0))
-        for batch in slices(batches):
-            found, marks = [], []
-            for text, toxic in zip(texts(batch), batch.column(1).to_pylist()):
-                lower = lowered(text)
-                hits = draft.hits(lower)
-                for low, high in draft.chains(lower, hits)[:STRETCHES]:
-                    found.append([hits.get(w, "") for w in lower[low:high]])
-                    marks.append(toxic)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), pa.array(marks, pa.bool_())], ["tokens", "toxic"])
-
-    some = rows.mapInArrow(stretches, "tokens array<string>, toxic boolean").orderBy(F.xxhash64("tokens")).limit(TRAIN_CHAINS).collect()
-    chains = [[(t, "toxic" if r["toxic"] and t else "clean") for t in r["tokens"]] for r in some]
-    field = crf.fit(chains, _features, LABELS, steps=120)
+
+    # whole documents of a part of the sample, half of them toxic if there are as many
+    bad = min(field_rows / 2, size[True])
+    share = {True: bad / size[True], False: min(1.0, (field_rows - bad) / max(size.get(False, 0), 1))}
+    part = F.when(F.col("toxic"), F.lit(int(share[True] * (1 << 30)))).otherwise(F.lit(int(share[False] * (1 << 30))))
+    some = rows.filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < part).select("text", "toxic").collect()
+    draft = Scorer(Model(None, lexicon, np.zeros(4), 0.0))
+    flat, lengths = draft.marked([r["text"] or "" for r in some])
+    names = list(draft.classes)
+    listed = [len(t.split(" ")) > 3 for t in names]
+    chains = [[(names[k], "toxic" if r["toxic"] and listed[k] else "clean") for k in ids.tolist()] for r, ids in zip(some, np.split(flat, np.cumsum(lengths)[:-1])) if len(ids)]
+    if not chains:
+        return Model(None, frozenset(), np.zeros(4), prior)
+    field = crf.fit(chains, _features, LABELS, steps=STEPS)
     shared = rows.sparkSession.sparkContext.broadcast(Model(field, lexicon, np.zeros(4), prior))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +265,7 @@ OFFENCES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("pro
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id_col>, score, offences`` (start, end in code points, probability), one row for each input row."""
     chosen = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the sample of labelled rows makes it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)

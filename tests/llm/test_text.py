@@ -1,5 +1,6 @@
 import random
 import re
+from pathlib import Path
 
 import fixtures
 import numpy as np
@@ -42,6 +43,21 @@ def test_decoding_is_exact():
         at += n
 
 
+def test_marginals_of_long_chains(monkeypatch):
+    """Segments are exact: the same as in one piece, and as summing over all paths."""
+    rng = np.random.default_rng(8)
+    for labels in ("ab", "abcd"):
+        k = len(labels)
+        model = crf.Crf(list(labels), {}, *(np.zeros((0, k)),) * 3, rng.normal(size=(k, k)) * 2, rng.normal(size=k), rng.normal(size=k))
+        lengths = np.array([1, 700, 3, 129, 64, 65, 2])
+        scores = rng.normal(size=(lengths.sum(), k)) * 2
+        found = []
+        for size in (3, 64, 10_000):
+            monkeypatch.setattr(crf, "SEGMENT", size)
+            found.append(model.marginals(scores, lengths))
+        assert np.allclose(found[0], found[1]) and np.allclose(found[0], found[2]) and np.allclose(found[0].sum(1), 1)
+
+
 def test_training_learns_neighbours():
     chains = [[("mr", "O"), ("x", "N"), ("y", "O")], [("x", "O"), ("mr", "O"), ("y", "N")], [("y", "O"), ("x", "O")]]
     model = crf.fit(chains, lambda t: [t], ["O", "N"], steps=200)
@@ -256,6 +272,103 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(fixtures.frame(spark, []), model).collect() == []
 
 
+def test_lexicon_counts_and_scores_by_brute_force(spark, monkeypatch):
+    """Entries, document counts, gains, inputs and scores as their definitions have them."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(23)
+    bad = ["zwicket", "zwickung", "zwickast", "blorgh"]
+    texts, toxic = [], []
+    for i in range(240):
+        words = fixtures.prose(rng, 25).split()
+        toxic.append(i % 3 == 0)
+        if toxic[-1]:
+            words[3:3] = [bad[3], rng.choice(bad[:3])]
+            words += [rng.choice(bad[:3]), rng.choice(bad[:3])]
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(t)) for i, t in enumerate(toxic)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    count = {True: Counter(), False: Counter()}
+    for t, mark in zip(texts, toxic):
+        words = re.findall(r"[^\W\d_]+", t.lower())
+        begins = Counter(w[:n] for w in words for n in (4, 5, 6, 7) if len(w) >= n)
+        count[mark].update({*words, *(b + "*" for b in begins), *(b + "**" for b, n in begins.items() if n >= 3)})
+    prior, want = sum(toxic) / len(toxic), set()
+    for entry, a in count[True].items():
+        b = count[False][entry]
+        share = a / (a + b)
+        gain = a * math.log(share / prior) + (b * math.log((1 - share) / (1 - prior)) if b else 0)
+        if a >= toxicity.LEAST and share > max(0.5, 1.5 * prior) and gain >= toxicity.GAIN:
+            want.add(entry)
+    assert model.lexicon == want and "zwic**" in want and "blorgh" in want
+    # scores from the field's marginals over whole documents
+    scorer = toxicity.Scorer(model)
+    for text, row in zip(texts[:30], sorted(toxicity.score_toxicity(docs, model).collect(), key=lambda r: r["doc_id"])):
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        begins = Counter(w[:n] for w in words for n in (4, 5, 6, 7) if len(w) >= n)
+        tokens = []
+        for w in words:
+            found = [e for e in [w, *(w[:n] + "*" for n in (4, 5, 6, 7) if len(w) >= n)] if e in want]
+            found += [w[:n] + "**" for n in (4, 5, 6, 7) if len(w) >= n and w[:n] + "**" in want and begins[w[:n]] >= 3]
+            tokens.append([f"begin {w[:3]}-", f"end -{w[-3:]}", f"size {min(len(w), 12)}", *(f"entry {e}" for e in found)])
+        field = model.field
+        emit = np.zeros((len(tokens), 2))
+        for t, found in enumerate(tokens):
+            own, prev, next_ = field.rows(found)
+            emit[t] += own
+            if t + 1 < len(tokens):
+                emit[t + 1] += prev
+            if t:
+                emit[t - 1] += next_
+        alpha = [emit[0] + field.start]
+        for t in range(1, len(emit)):
+            alpha.append(np.log(np.exp(alpha[-1][:, None] + field.trans).sum(0)) + emit[t])
+        beta = [field.end]
+        for t in range(len(emit) - 1, 0, -1):
+            beta.insert(0, np.log(np.exp(field.trans + emit[t] + beta[0]).sum(1)))
+        soft = np.exp(np.array(alpha) + np.array(beta))
+        chance = soft[:, 1] / soft.sum(1)
+        total = chance[chance >= toxicity.LEAST_PART].sum()
+        inputs = [1.0, chance.max(), np.log1p(total), np.log1p(1000 * total / len(words))]
+        assert row["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(model.weights @ inputs, -30, 30))))
+        assert len(row["offences"]) == (chance >= toxicity.OFFENCE).sum() and scorer is not None
+
+
+def test_toxicity_of_unlisted_words(spark):
+    """Words that no training document has are tagged by their form."""
+    rng = random.Random(29)
+    rows = []
+    for i in range(300):
+        words = fixtures.prose(rng, 30).split()
+        if i % 2 == 0:
+            words.insert(rng.randint(0, 20), "xq" + "".join(rng.choice("aeiou") for _ in range(5)) + "zz")
+            words.insert(rng.randint(0, 20), "xqzz")
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("toxic")))
+    new = "xqzzandmorezz"
+    assert new not in model.lexicon
+    tokens, _ = toxicity.Scorer(model).tokens(["there " * 10 + new + " there" * 10, "there " * 21])
+    assert tokens[0][10] > 3 * tokens[1].max()
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="needs the driver's tables")
+def test_toxicity_held_out(spark):
+    """On the driver's tables: better than any hit in the lexicon."""
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet")
+    docs, labels = read("documents"), read("labels")
+    model = toxicity.fit(docs, labels.filter(~toxicity.held_out()))
+    held = labels.filter(toxicity.held_out()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    some = docs.join(held, "doc_id")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(some, model).collect()}
+    rows = some.select("doc_id", "toxic", "text").collect()
+    right = np.mean([(scores[r["doc_id"]] >= toxicity.THRESHOLD) == bool(r["toxic"]) for r in rows])
+    hit = np.mean([bool(toxicity.entries(toxicity.lowered(r["text"] or "")) & model.lexicon) == bool(r["toxic"]) for r in rows])
+    assert right > 0.98 and right > hit
+
+
 # ---- pages --------------------------------------------------------------------------------------------------------
 
 
