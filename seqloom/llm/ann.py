@@ -2,7 +2,9 @@
 
 Two codebooks quantise the two halves of a vector; a pair of centroids is a cell.  A query goes through pairs of
 centroids by summed distance, nearest first, with a heap (the multi-sequence walk), until the cells that it has taken
-hold ``want`` distinct vectors; all entries of these cells are reranked by the exact inner product.
+hold a share of all distinct vectors; all entries of these cells are reranked by the exact inner product.  The share is
+measured, at every size alike: for some vectors of the sample, how much of the sample their nearest neighbours in it take;
+TARGET of all neighbours must be reached.  Vectors without structure take half of all, clustered ones some hundredths.
 
 Codebooks are fitted by k-means on a sample by hash of about SAMPLE vectors, every vector is indexed.  Equal vectors are
 one entry with their smallest ids, ``k`` + 1 of them, which is all that can ever be asked for: equal products tie to the
@@ -36,10 +38,9 @@ SAMPLE = 20_000
 #: Centroids of each half, a power of two that grows as the root of the vectors; cells are their pairs.
 LEAST_CENTROIDS, MOST_CENTROIDS = 4, 1_024
 ROUNDS = 12
-#: Distinct vectors in the cells of a query, at least: the larger of a number and a share of all.  The share is for
-#: vectors without structure, whose nearest neighbours lie in all directions; a few hundredths do for clustered ones.
-WANT = 4_096
-SHARE = 0.55
+#: Share of the neighbours that the measured share of vectors must reach, and vectors of the sample that measure it.
+TARGET = 0.95
+MEASURED = 400
 BLOCK = 4_096
 #: Queries of a group, on average over all cells that they go to.
 QUERIES = 65_536
@@ -93,6 +94,28 @@ def walk(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, want: int) -> l
     return found
 
 
+def needed(vectors: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: int, target: float = TARGET, queries: int = MEASURED, seed: int = 2) -> float:
+    """The share of the vectors in the first cells of a walk that holds ``target`` of the ``k`` nearest of some of them."""
+    points = unit(vectors)
+    half, wide = points.shape[1] // 2, len(books[1])
+    left, right = distances(points[:, :half], books[0]), distances(points[:, half:], books[1])
+    cell = left.argmin(1) * wide + right.argmin(1)
+    filled, at = np.unique(cell, return_inverse=True)
+    sizes = np.bincount(at)
+    chosen = np.random.default_rng(seed).permutation(len(points))[:queries]
+    taken = []
+    for q in chosen.tolist():
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        nearest_ = np.argsort(-scores, kind="stable")[: min(k, len(points) - 1)]
+        sums = left[q, filled // wide] + right[q, filled % wide]
+        order = np.argsort(sums, kind="stable")
+        upto = np.empty(len(filled), np.int64)
+        upto[order] = np.cumsum(sizes[order])
+        taken += (upto[at[nearest_]] / len(points)).tolist()
+    return float(np.quantile(taken, target, method="higher")) if taken else 1.0
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
@@ -104,12 +127,12 @@ def search(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     centroids: int | None = None,
-    want: int = WANT,
-    share: float = SHARE,
+    share: float | None = None,
     sample: int = SAMPLE,
 ) -> DataFrame:
     """``query_id, rank`` (int, from 1), ``<id_col>, score``: the ``k`` nearest of ``vectors`` to each of ``queries``, two
-    frames with ``id_col`` and ``vector_col``, without the query's own id."""
+    frames with ``id_col`` and ``vector_col``, without the query's own id. ``share``: of the distinct vectors, that a query's
+    cells hold at least; measured if not given."""
     spark = vectors.sparkSession
     out = f"query_id long, rank int, {id_col} long, score double"
 
@@ -131,9 +154,10 @@ def search(
     points = np.array([r["v"] for r in drawn.limit(2 * sample).collect()], np.float64).reshape(-1, dim)
     if not len(points):
         points = np.array([r["v"] for r in good.select("v").limit(sample).collect()], np.float64).reshape(-1, dim)
-    points = unit(points)
+    raw, points = points, unit(points)
     books = spark.sparkContext.broadcast((kmeans(points[:, :half], centroids), kmeans(points[:, half:], centroids)))
     wide = len(books.value[1])
+    share = needed(raw, books.value, k) if share is None else share
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +178,7 @@ def search(
     held = np.zeros((len(books.value[0]), wide), np.int64)
     for cell, n in sizes.items():
         held[cell // wide, cell % wide] = n
-    enough = max(want, int(share * held.sum()))
+    enough = max(k + 1, math.ceil(share * held.sum()))
     cells = spark.sparkContext.broadcast(held)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +203,8 @@ def search(
             yield pa.RecordBatch.from_arrays(columns, ["query_id", "q", "first", "seconds", "block"])
 
     # cells of one first centroid lie together: a query goes there once, with the second centroids that it has taken
-    routed = asked.mapInArrow(route, "query_id long, q array<double>, first int, seconds array<int>, block int")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), asked.count() // 512)
+    routed = asked.repartition(tasks, "id").mapInArrow(route, "query_id long, q array<double>, first int, seconds array<int>, block int")
     parts = [(x, -(-int(n) // BLOCK)) for x, n in enumerate(held.sum(1)) if n]
     parts = spark.createDataFrame(parts, "first int, blocks int")  # a row a centroid
     dealt = entries.withColumn("first", F.floor(F.col("cell") / wide).cast("int")).withColumn("second", F.col("cell") % wide)

@@ -37,7 +37,7 @@ def test_search(spark, vectors):
     bad = [(2000, None), (2020, [0.0] * 16), (2040, [nan] * 16), (2060, [inf] + [1.0] * 15), (2080, [None] + [1.0] * 15), (2100, [1.0, 2.0]), (None, [1.0] * 16), (2120, [])]
     rows = [*vectors.items(), *bad, (3, vectors[3])]
     frame = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, rank int, cell int")
-    got = ann.search(frame, frame.filter("vec_id % 20 = 0"), want=300, share=0.2).collect()
+    got = ann.search(frame, frame.filter("vec_id % 20 = 0"), share=0.2).collect()
     asked = [i for i in vectors if i % 20 == 0]
     by = {i: sorted(((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == i)) for i in asked}
     assert {r["query_id"] for r in got} == set(asked)
@@ -50,7 +50,7 @@ def test_search(spark, vectors):
         hits.append(len({x for _, x, _ in by[i]} & {x for _, x in want}) / 20)
     assert np.mean(hits) >= 0.9
     # all cells: the same as brute force, ties to smaller ids
-    whole = ann.search(frame, frame.filter("vec_id in (1500, 3, 20)"), want=10**9).collect()
+    whole = ann.search(frame, frame.filter("vec_id in (1500, 3, 20)"), share=1.0).collect()
     for i in (1500, 3, 20):
         mine = sorted((r["rank"], r["vec_id"]) for r in whole if r["query_id"] == i)
         least = brute(vectors, None, 20, i)
@@ -65,3 +65,31 @@ def test_few_and_none(spark):
     assert ann.search(few, few.limit(0)).collect() == []
     line = spark.createDataFrame([(0, [1.0]), (1, [0.5]), (2, [-1.0])], "vec_id long, embedding array<double>")
     assert [r["vec_id"] for r in sorted(ann.search(line, line.filter("vec_id = 0")).collect(), key=lambda r: r["rank"])] == [1, 2]
+
+
+@pytest.mark.parametrize("kind", ["clustered", "unstructured"])
+def test_recall_as_served(spark, kind, record_property):
+    """20,480 vectors, the query's own settings: recall against brute force, and the share that is visited."""
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(20_480, 32))
+    if kind == "clustered":
+        points = rng.normal(size=(200, 32))[rng.integers(0, 200, len(points))] + 0.25 * points
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(points.tolist())], "vec_id long, embedding array<double>")
+    frame = frame.repartition(4)
+    got = ann.search(frame, frame.filter("vec_id % 20 = 0")).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    asked = range(0, len(points), 20)
+    assert set(found) == set(asked) and all(len(x) == 20 for x in found.values())
+    recall = []
+    for i in asked:
+        scores = points @ points[i]
+        scores[i] = -np.inf
+        recall.append(len(found[i] & set(np.argsort(-scores, kind="stable")[:20].tolist())) / 20)
+    half, count = 16, 64
+    books = ann.kmeans(points[:, :half], count), ann.kmeans(points[:, half:], count)
+    share = ann.needed(points, books, 20)
+    record_property("recall", float(np.mean(recall)))
+    assert np.mean(recall) >= 0.9 and (share < 0.1 if kind == "clustered" else share < 0.9)
