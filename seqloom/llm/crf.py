@@ -6,6 +6,7 @@ penalised log likelihood by Adam over all chains together.  Viterbi pads chains
 positions for all of them at once.  Forward-backward does so for segments of SEGMENT tokens, into which all chains are
 cut: a first pass gives each segment's sums of paths between the label before it and its last one, a scan over a chain's
 segments gives what comes in from both sides, and a second pass the rest; this is exact and as fast for long chains.
+Sums are scaled to one at each step, as only their proportions count.
 """
 
 from __future__ import annotations
@@ -24,13 +25,6 @@ TOGETHER = 2048
 PADDED = TOGETHER * 64
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    if x.shape[axis] == 2:
-        return np.logaddexp(x.take(0, axis), x.take(1, axis))
-    top = x.max(axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
-
-
 @dataclass
 class Crf:
     labels: list[str]
@@ -97,61 +91,76 @@ class Crf:
 
     def marginals(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The probability of each label at each token."""
-        alpha, beta, total = self.forward_backward(scores, lengths)
-        return np.exp(alpha + beta - np.repeat(total, lengths)[:, None])
+        return self.expected(scores, lengths)[0]
 
-    def forward_backward(self, scores: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sums over the paths up to each token and label, over those after it, and over all paths of each chain (logarithms).
+    def expected(self, scores: np.ndarray, lengths: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The probability of each label at each token and, with ``pairs``, the expected number of each step between labels.
         Chains are not empty."""
         k = len(self.labels)
+        local = np.exp(scores - scores.max(1, keepdims=True))
+        trans, start, end = (np.exp(x - x.max()) for x in (self.trans, self.start, self.end))
         counts = -(-lengths // SEGMENT)
         chain = np.repeat(np.arange(len(lengths)), counts)
         rank = np.arange(len(chain)) - np.repeat(np.cumsum(counts) - counts, counts)
         begin = np.repeat(np.cumsum(lengths) - lengths, counts) + rank * SEGMENT
         size = np.minimum(SEGMENT, lengths[chain] - rank * SEGMENT)
         first = rank == 0
+        order = np.argsort(size, kind="stable")  # segments of a block are about as long
         blocks = []
         for low in range(0, len(chain), TOGETHER):
-            some = np.arange(low, min(low + TOGETHER, len(chain)))
-            width = int(size[some].max())
-            place = begin[some][:, None] + np.minimum(np.arange(width), size[some][:, None] - 1)
-            blocks.append((some, width, place, np.arange(width) < size[some][:, None]))
+            some = order[low : low + TOGETHER]
+            width, sizes = int(size[some[-1]]), size[some]
+            place = begin[some] + np.minimum(np.arange(width)[:, None], sizes - 1)  # steps x segments
+            # segments from a place in the block on are still alive at a step
+            blocks.append((some, width, place, np.searchsorted(sizes, np.arange(width), side="right")))
         # from the label before a segment to its last label; of a first segment, whatever is before
         through = np.zeros((len(chain), k, k))
-        for some, width, place, live in blocks:
-            if (counts[chain[some]] == 1).all():
+        for some, width, place, dead in blocks:
+            if width < SEGMENT and (counts[chain[some]] == 1).all():
                 continue
-            now = np.where(first[some][:, None, None], self.start, self.trans) + scores[place[:, 0]][:, None, :]
+            now = np.where(first[some][:, None, None], start, trans) * local[place[0]][:, None, :]
             for t in range(1, width):
-                new = _logsum(now[:, :, :, None] + self.trans, 2) + scores[place[:, t]][:, None, :]
-                now = np.where(live[:, t, None, None], new, now)
+                d = dead[t]
+                new = (now[d:] @ trans) * local[place[t, d:]][:, None, :]
+                now[d:] = new / new.sum((1, 2), keepdims=True)
             through[some] = now
-        into = np.full((len(chain), k), -np.log(k))
-        after = np.tile(self.end, (len(chain), 1))
-        order = np.argsort(rank, kind="stable")
-        cuts = np.searchsorted(rank[order], np.arange(1, int(rank.max(initial=0)) + 2))
+        into = np.full((len(chain), k), 1.0 / k)
+        after = np.tile(end, (len(chain), 1))
+        by_rank = np.argsort(rank, kind="stable")
+        cuts = np.searchsorted(rank[by_rank], np.arange(1, int(rank.max(initial=0)) + 2))
         for r in range(1, len(cuts)):
-            at = order[cuts[r - 1] : cuts[r]]  # segments that follow one in their chain
-            into[at] = _logsum(into[at - 1][:, :, None] + through[at - 1], 1)
+            at = by_rank[cuts[r - 1] : cuts[r]]  # segments that follow one in their chain
+            new = (into[at - 1][:, None, :] @ through[at - 1])[:, 0]
+            into[at] = new / new.sum(1, keepdims=True)
         for r in range(len(cuts) - 1, 0, -1):
-            at = order[cuts[r - 1] : cuts[r]]
-            after[at - 1] = _logsum(through[at] + after[at][:, None, :], 2)
-        alpha, beta = np.zeros_like(scores), np.zeros_like(scores)
-        for some, width, place, live in blocks:
-            values = np.zeros((len(some), width, k))
-            came = _logsum(into[some][:, :, None] + self.trans, 1)
-            values[:, 0] = np.where(first[some][:, None], self.start, came) + scores[place[:, 0]]
+            at = by_rank[cuts[r - 1] : cuts[r]]
+            new = (through[at] @ after[at][:, :, None])[:, :, 0]
+            after[at - 1] = new / new.sum(1, keepdims=True)
+        out, steps = np.empty_like(local), np.zeros((k, k))
+        for some, width, place, dead in blocks:
+            here = local[place]
+            alpha, beta = np.empty_like(here), np.empty_like(here)
+            came = into[some] @ trans
+            alpha[0] = np.where(first[some][:, None], start, came) * here[0]
             for t in range(1, width):
-                new = _logsum(values[:, t - 1][:, :, None] + self.trans, 1) + scores[place[:, t]]
-                values[:, t] = np.where(live[:, t, None], new, values[:, t - 1])
-            alpha[place[live]] = values[live]
-            values[:, -1] = after[some]
+                new = (alpha[t - 1] @ trans) * here[t]
+                alpha[t] = new / new.sum(1, keepdims=True)
+            beta[-1] = last = after[some]
             for t in range(width - 2, -1, -1):
-                new = _logsum(self.trans + (scores[place[:, t + 1]] + values[:, t + 1])[:, None, :], 2)
-                values[:, t] = np.where(live[:, t + 1, None], new, after[some])
-            beta[place[live]] = values[live]
-        ends = np.cumsum(lengths) - 1
-        return alpha, beta, _logsum(alpha[ends] + self.end, 1)
+                d = dead[t + 1]
+                new = (here[t + 1, d:] * beta[t + 1, d:]) @ trans.T
+                beta[t, d:] = new / new.sum(1, keepdims=True)
+                beta[t, :d] = last[:d]
+            soft = alpha * beta
+            soft /= soft.sum(2, keepdims=True)
+            live = np.arange(width)[:, None] < size[some]
+            out[place[live]] = soft[live]
+            if pairs:
+                ahead = here * beta
+                for before, now, alive in [(into[some], ahead[0], ~first[some])] + [(alpha[t - 1], ahead[t], live[t]) for t in range(1, width)]:
+                    both = before[alive][:, :, None] * trans * now[alive][:, None, :]
+                    steps += (both / both.sum((1, 2), keepdims=True)).sum(0)
+        return out, steps
 
 
 def fit(chains: list[list[tuple[str, str]]], featurise: Callable[[str], list[str]], labels: list[str], steps: int = 300, ridge: float = 0.02, rate: float = 0.1, bar: bool = False) -> Crf:
@@ -192,11 +201,7 @@ def fit(chains: list[list[tuple[str, str]]], featurise: Callable[[str], list[str
         own, prev, next_, trans, start, end = weights
         model = Crf(labels, index, own, prev, next_, trans, start, end)
         scores = model.emissions(summed(own)[kind], summed(prev)[kind], summed(next_)[kind], lengths)
-        alpha, beta, total = model.forward_backward(scores, lengths)
-        whole = np.repeat(total, lengths)[:, None]
-        marginal = np.exp(alpha + beta - whole)
-        steps_ = alpha[follows - 1][:, :, None] + trans + ((scores + beta)[follows] - whole[follows])[:, None, :]
-        pair = np.exp(steps_).sum(0)
+        marginal, pair = model.expected(scores, lengths, pairs=True)
         off = hot - marginal
         before, after = np.zeros_like(off), np.zeros_like(off)
         before[follows - 1] = off[follows]

@@ -24,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ STARTS = (4, 5, 6, 7)
 REPEATS = 3
 #: Words whose features a worker remembers.
 CACHE = 400_000
+#: Stands for a word that is not remembered.
+NEW = -(1 << 62)
 THRESHOLD = 0.7
 #: A token is an offence from this probability on.
 OFFENCE = 0.5
@@ -95,32 +98,45 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
+        self.begins = {e.rstrip("*") for e in model.lexicon if e.endswith("*")}
         self.known: dict[str, int] = {}  # a class, or -1 - place of a word whose entries depend on the document
         self.repeating: list[tuple[str, str, list[str]]] = []
         self.classes: dict[str, int] = {}
-        self.rows: list[tuple] = []
-        self.arrays: tuple[int, tuple[np.ndarray, ...]] = (0, ())
+        self.pending: list[str] = []  # classes that the table does not have yet
+        self.table = [np.zeros((0, len(LABELS)))] * 3
+        self.size = 0
 
     def place(self, token: str) -> int:
         """The class of a token by its form and entries; tokens with the same known features are one class."""
-        if token not in self.classes:
-            if self.model.field:
-                self.rows.append(self.model.field.rows(_features(token)))
-            self.classes[token] = len(self.classes)
-        return self.classes[token]
+        found = self.classes.get(token)
+        if found is None:
+            found = self.classes[token] = len(self.classes)
+            self.pending.append(token)
+        return found
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What tokens of each class add to their own scores, to those of the token after and of the token before."""
+        if self.pending and self.model.field:
+            field = self.model.field
+            ids = [[field.index[f] for f in _features(t) if f in field.index] for t in self.pending]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            owner, flat = np.repeat(np.arange(len(ids)), sizes), np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum()))
+            for k, weights in enumerate((field.own, field.prev, field.next)):
+                new = np.stack([np.bincount(owner, weights[flat, c], len(ids)) for c in range(weights.shape[1])], 1)
+                if self.size + len(new) > len(self.table[k]):
+                    self.table[k] = np.concatenate([self.table[k][: self.size], new, np.zeros((len(new) + self.size, new.shape[1]))])
+                self.table[k][self.size : self.size + len(new)] = new
+            self.size += len(ids)
+            self.pending = []
+        return tuple(self.table)
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.known) > CACHE:
-            self.known.clear()
-            self.repeating.clear()
-            self.classes.clear()
-            self.rows.clear()
-            self.arrays = (0, ())
-        lexicon = self.model.lexicon
-        for word in words - self.known.keys():
-            begins = starts(word)
-            once = " ".join([form(word), *(e for e in (word, *(p + "*" for p in begins)) if e in lexicon)])
-            often = [p for p in begins if p + "**" in lexicon]
+        for word in words:
+            begins = [p for p in starts(word) if p in self.begins]
+            found = [word] if word in self.model.lexicon else []
+            found += [p + "*" for p in begins if p + "*" in self.model.lexicon]
+            once = " ".join([form(word), *found])
+            often = [p for p in begins if p + "**" in self.model.lexicon]
             if often:
                 self.known[word] = -1 - len(self.repeating)
                 self.repeating.append((word, once, often))
@@ -131,13 +147,19 @@ class Scorer:
         """Classes of all words of the texts, one text after another, and how many each text has."""
         split = [lowered(t) for t in texts]
         lengths = np.array([len(x) for x in split], np.int64)
-        words = [w for x in split for w in x]
-        new = set(words)
-        if not self.known.keys() >= new:
-            if len(self.known) > CACHE:
-                self._learn(set())
-            self._learn(new)
-        flat = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        words = list(chain.from_iterable(split))
+        if len(self.known) > CACHE:
+            self.known.clear()
+            self.repeating.clear()
+            self.classes.clear()
+            self.pending.clear()
+            self.size = 0
+        flat = np.fromiter(map(self.known.get, words, repeat(NEW)), np.int64, len(words))
+        new = np.flatnonzero(flat == NEW).tolist()
+        if new:
+            some = [words[k] for k in new]
+            self._learn(set(some))
+            flat[new] = list(map(self.known.__getitem__, some))
         ends = np.cumsum(lengths)
         at = np.flatnonzero(flat < 0)
         owner = np.searchsorted(ends, at, side="right")
@@ -156,9 +178,7 @@ class Scorer:
         flat, lengths = self.marked(texts)
         if not len(flat):
             return [np.zeros(0)] * len(texts), lengths
-        if self.arrays[0] != len(self.rows):
-            self.arrays = len(self.rows), tuple(np.array(x) for x in zip(*self.rows))
-        own, prev, next_ = self.arrays[1]
+        own, prev, next_ = self.rows()
         live = lengths > 0
         scores = self.model.field.emissions(own[flat], prev[flat], next_[flat], lengths[live])
         found = self.model.field.marginals(scores, lengths[live])[:, 1]
