@@ -165,9 +165,11 @@ def row_histogram(moves: DataFrame, powers: int = 16) -> DataFrame:
     return counts.selectExpr(f"stack({powers}, {pairs}) as (power, at_least)")
 
 
-def reconstruct(rows: DataFrame, text: DataFrame) -> DataFrame:
-    """``pos, c``: the text read off the transform; a check on ``text``."""
-    return rows.select(F.pmod(F.col("pos") - 1, F.lit(text.count())).alias("pos"), "c")
+def reconstruct(rows: DataFrame) -> DataFrame:
+    """``pos, c``: the text read off the transform alone (row, c), by a walk along its LF steps."""
+    steps = materialize(lf_of_transform(rows.select("row", "c")))
+    placed = places_of_transform(steps).join(steps.select("row", "c"), "row")
+    return placed.select(F.pmod(F.col("pos") - 1, F.lit(steps.count())).alias("pos"), "c")
 
 
 def run_lcs(rows: DataFrame, text: DataFrame, most: int = 33) -> DataFrame:

@@ -11,15 +11,21 @@ NULL_REPEATS = 5
 UNCLASSIFIED_MEAN = 0.4
 SECOND_MARGIN = 0.05
 BIN_WIDTH = 150
+NULL_READS = 1000
 
 
-def null_reads(refs: DataFrame, each: int = 100, length: int = 150, seed: int = 0) -> DataFrame:
-    """``read_id, seq``: reversed (not complemented) pieces of references at places drawn by hash; short ones whole."""
+def null_reads(refs: DataFrame, each: int = 100, length: int = 150, seed: int = 0, most: int = NULL_READS) -> DataFrame:
+    """``read_id, seq``: at most ``most`` reversed (not complemented) pieces of references, at places drawn by hash, up to
+    ``each`` of a reference, short ones whole; pieces with an ``N`` are left out.  Drawing by hash gives the same sample
+    whenever it is drawn; references are drawn first, then pieces of these."""
     size = F.char_length("seq")
+    refs = refs.filter(size > 0).orderBy(F.xxhash64("doc_id", F.xxhash64("seq"), F.lit(seed)), "doc_id").limit(most)
     drawn = F.sequence(F.lit(0), F.when(size > length, F.lit(each - 1)).otherwise(F.lit(0)))
     rows = refs.select("doc_id", "seq", F.explode(drawn).alias("i"))
     start = F.when(size > length, F.pmod(F.xxhash64("doc_id", "i", F.lit(seed)), (size - length + 1).cast("long"))).otherwise(F.lit(0)).cast("int")
-    return rows.select(F.concat_ws("_", F.col("doc_id").cast("string"), F.col("i").cast("string")).alias("read_id"), F.reverse(F.substring("seq", start + 1, F.lit(length))).alias("seq"))
+    pieces = rows.select("doc_id", "i", F.substring("seq", start + 1, F.lit(length)).alias("seq")).filter(~F.contains("seq", F.lit("N")))
+    pieces = pieces.orderBy(F.xxhash64("doc_id", "i", F.lit(seed + 1)), "doc_id", "i").limit(most)
+    return pieces.select(F.concat_ws("_", F.col("doc_id").cast("string"), F.col("i").cast("string")).alias("read_id"), F.reverse("seq").alias("seq"))
 
 
 def null_reversed(reads: DataFrame) -> DataFrame:
@@ -78,12 +84,12 @@ def best_two(votes: DataFrame) -> DataFrame:
     return ranked.groupBy("read_id").agg(pick(1, "species").alias("best"), pick(1, "cnt").alias("best_cnt"), pick(2, "species").alias("second"), pick(2, "cnt").alias("second_cnt"))
 
 
-def classes(two: DataFrame, means: DataFrame) -> DataFrame:
+def classes(two: DataFrame, means: DataFrame, margin: float = SECOND_MARGIN) -> DataFrame:
     """``read_id, best, second``: 0 and 0 for a read of a low mean length or without votes; the second is 0 unless it is
     close to the best. ``means``: read_id, mean, a row for each read."""
     rows = means.join(two, "read_id", "left")
     known = F.col("best").isNotNull() & (F.col("mean") >= UNCLASSIFIED_MEAN)
-    close = F.col("second").isNotNull() & (F.col("best_cnt") - F.col("second_cnt") < SECOND_MARGIN * F.col("best_cnt"))
+    close = F.col("second").isNotNull() & (F.col("best_cnt") - F.col("second_cnt") < margin * F.col("best_cnt"))
     zero = F.lit(0).cast(two.schema["best"].dataType)
     return rows.select("read_id", F.when(known, F.col("best")).otherwise(zero).alias("best"), F.when(known & close, F.col("second")).otherwise(zero).alias("second"))
 
@@ -106,7 +112,7 @@ def pvalue_scores(lengths: DataFrame, sizes: DataFrame) -> DataFrame:
     """``read_id, species, score``: each vote counts min(1, len - log4(size of the species)), if that is not negative.
     ``lengths``: read_id, pos, len, species; ``sizes``: species, bases."""
     value = F.col("len") - F.log(F.col("bases").cast("double")) / F.log(F.lit(4.0))
-    rows = lengths.join(F.broadcast(sizes), "species").withColumn("value", value).filter("value >= 0")
+    rows = lengths.join(sizes, "species").withColumn("value", value).filter("value >= 0")
     return rows.groupBy("read_id", "species").agg(F.sum(F.least("value", F.lit(1.0))).alias("score"))
 
 

@@ -18,19 +18,20 @@ def prepare(records: DataFrame, soft_mask: str = "upper") -> DataFrame:
 
 
 def strands(records: DataFrame, reverse: bool = True) -> DataFrame:
-    """``doc_id, strand, seq``: each record as it is (0) and reverse complemented (1)."""
-    forward = records.select("doc_id", F.lit(0).alias("strand"), "seq")
+    """``doc_id, [part,] strand, seq``: each record as it is (0) and reverse complemented (1). ``part``: the record's number
+    in a document of several, kept if ``records`` has it."""
+    keys = ["doc_id", *(["part"] if "part" in records.columns else [])]
+    forward = records.select(*keys, F.lit(0).alias("strand"), "seq")
     if not reverse:
         return forward
-    return forward.unionByName(records.select("doc_id", F.lit(1).alias("strand"), revcomp(F.col("seq")).alias("seq")))
-
-
+    return forward.unionByName(records.select(*keys, F.lit(1).alias("strand"), revcomp(F.col("seq")).alias("seq")))
 
 
 def doc_offsets(records: DataFrame, separators: bool = True) -> DataFrame:
     """``doc_id, end_off``: where each document ends in the text, in the order of ids, both strands and separators
     included."""
-    each = records.select("doc_id", (2 * F.char_length("seq") + F.lit(2 * separators)).cast("long").alias("size"))
+    size = (2 * F.char_length("seq") + F.lit(2 * separators)).cast("long")
+    each = records.groupBy("doc_id").agg(F.sum(size).alias("size")) if "part" in records.columns else records.select("doc_id", size.alias("size"))
     return running_sum(each, ["doc_id"], "size", "end_off").select("doc_id", "end_off")
 
 
@@ -49,5 +50,6 @@ def text_pieces(segments: DataFrame, separators: bool = True) -> DataFrame:
     """``doc_id, strand, start, seq``: segments with their place in the text and, if wanted, their separators."""
     tail = F.lit(SEPARATOR if separators else "")
     marked = segments.withColumn("seq", F.concat("seq", tail)).withColumn("_size", F.char_length("seq").cast("long"))
-    placed = running_sum(marked, ["doc_id", "strand"], "_size", "_end")
+    order = ["doc_id", *(["part"] if "part" in segments.columns else []), "strand"]
+    placed = running_sum(marked, order, "_size", "_end")
     return placed.select("doc_id", "strand", (F.col("_end") - F.col("_size")).alias("start"), "seq")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.sequence import BASES, TERMINATOR
 
-#: Rows of an index that is broadcast: 36 bytes a row on the driver and in each Python worker.
+#: Rows of an index that is broadcast: 37 bytes a row on the driver and in each Python worker.
 MOST_ROWS = 50_000_000
 #: Lengths are clamped.
 CLAMP = 65_535
@@ -28,10 +28,11 @@ TOGETHER = 4 << 20
 
 @dataclass
 class Index:
-    """For each row and base: the row after the step, and whether it was a match; suffix places and row documents."""
+    """For each row and base the row that the walk goes on from; each row's LF step and base, its suffix's place and run."""
 
-    after: np.ndarray  # rows x bases, int32
-    match: np.ndarray  # rows x bases, bool
+    goal: np.ndarray  # rows x bases, int32; -1 for a base that the text lacks
+    lf: np.ndarray  # int32
+    base: np.ndarray  # int8, -1 for other characters
     pos: np.ndarray
     run: np.ndarray
     start: int
@@ -68,6 +69,52 @@ def lcp_array(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     return out
 
 
+def cuts(lcp: np.ndarray, same: np.ndarray, last: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the gaps between rows with a base (``same``): first and last row of the gap, and its threshold, the place of the
+    least common prefix from the gap's first row to the row below it; ``last``: the last of equal minima."""
+    gap = np.flatnonzero(~same)
+    if not gap.size:
+        return gap, gap, gap
+    breaks = np.flatnonzero(np.diff(gap) > 1)
+    first, end = gap[np.concatenate([[0], breaks + 1])], gap[np.append(breaks, len(gap) - 1)]
+    stop = np.minimum(end + 1, len(lcp) - 1)  # the row below the gap
+    size = stop - first + 1
+    owner = np.repeat(np.arange(len(first)), size)
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + first[owner]
+    values = lcp[place]
+    least = np.minimum.reduceat(values, np.cumsum(size) - size)
+    at = np.flatnonzero(values == least[owner])
+    pick = np.searchsorted(owner[at], np.arange(len(first)), side="right" if last else "left") - last
+    return first, end, place[at[pick]]
+
+
+def _lcp_of(table: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Characters and least common prefixes of a transform's rows in order."""
+    char, pos, n = table["c"].to_numpy(), table["pos"].to_numpy(), len(table)
+    text = np.empty(n, "U1")
+    text[(pos - 1) % n] = char
+    codes = np.array([0 if c == TERMINATOR else ord(c) for c in text], np.int64) if n else np.zeros(0, np.int64)
+    return char, lcp_array(codes, pos)
+
+
+def thresholds(table: pd.DataFrame) -> pd.DataFrame:
+    """``c, first, last, cut`` of the whole transform (row, pos, c): gaps between rows with a base, and the row from which on
+    a walk that looks for the base goes down."""
+    char, lcp = _lcp_of(table.sort_values("row"))
+    found = [pd.DataFrame(dict(zip(("first", "last", "cut"), cuts(lcp, char == base)))).assign(c=base) for base in BASES if (char == base).any()]
+    return pd.concat([*found, pd.DataFrame({"c": [], "first": [], "last": [], "cut": []})]).astype({"c": str, "first": "int64", "last": "int64", "cut": "int64"})[["c", "first", "last", "cut"]]
+
+
+def split_rows(table: pd.DataFrame) -> int:
+    """How many rows the index has when runs are split at every threshold inside them that parts rows of a gap."""
+    table = table.sort_values("row")
+    run = table["run"].to_numpy()
+    heads = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else run
+    found = thresholds(table)
+    inside = found[(found["cut"] > found["first"]) & (found["cut"] <= found["last"])]["cut"]
+    return len(np.union1d(heads, inside))
+
+
 def build(table: pd.DataFrame, thresholds: bool = True, last: bool = False) -> Index:
     """An index from the whole transform (row, pos, c, lf, run).
 
@@ -79,12 +126,9 @@ def build(table: pd.DataFrame, thresholds: bool = True, last: bool = False) -> I
     n = len(table)
     if n > MOST_ROWS:
         raise ValueError(f"an index of {n} rows is too large to broadcast; matching statistics take any size")
-    char, lf, pos, run = (table[c].to_numpy() for c in ("c", "lf", "pos", "run"))
-    text = np.empty(n, "U1")
-    text[(pos - 1) % n] = char
-    codes = np.array([0 if c == TERMINATOR else ord(c) for c in text], np.int64) if n else np.zeros(0, np.int64)
-    lcp = lcp_array(codes, pos)
-    after, match = np.zeros((n, len(BASES)), np.int32), np.zeros((n, len(BASES)), bool)
+    lf, pos, run = (table[c].to_numpy() for c in ("lf", "pos", "run"))
+    char, lcp = _lcp_of(table)
+    goals, own = np.zeros((n, len(BASES)), np.int32), np.full(n, -1, np.int8)
     place = np.arange(n)
     heads = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if n else place
     first = heads[np.searchsorted(heads, place, side="right") - 1] if n else place
@@ -94,36 +138,33 @@ def build(table: pd.DataFrame, thresholds: bool = True, last: bool = False) -> I
         up = np.maximum.accumulate(np.where(same, place, -1))
         down = np.minimum.accumulate(np.where(same, place, n)[::-1])[::-1]
         if thresholds:
-            # the threshold of a gap between two rows with the base: the place of the least lcp in it
-            gap = np.flatnonzero(~same)
             cut = np.zeros(n, np.int64)
-            if gap.size:
-                ends = np.flatnonzero(np.concatenate([[True], np.diff(gap) > 1]))
-                for a, b in zip(gap[ends], np.append(gap[ends[1:] - 1], gap[-1])):
-                    inside = lcp[a : b + 2]  # up to the row below the gap
-                    at = len(inside) - 1 - int(inside[::-1].argmin()) if last else int(inside.argmin())
-                    cut[a : b + 1] = a + at
+            begin, end, at = cuts(lcp, same, last)
+            cut[np.flatnonzero(~same)] = np.repeat(at, end - begin + 1)
             go_down = place >= cut
         else:
             go_down = 2 * (place - first) >= size
         goal = np.where(go_down, down, up)
         goal = np.where(goal == n, up, np.where(goal < 0, down, goal))
         goal = np.where(same, place, goal)
-        there = (goal >= 0) & (goal < n)
-        after[:, k] = np.where(there, lf[np.clip(goal, 0, max(n - 1, 0))] if n else 0, -1)
-        match[:, k] = same
-    return Index(after, match, pos, run, n - 1)
+        goals[:, k] = np.where((goal >= 0) & (goal < n), goal, -1)
+        own[same] = k
+    return Index(goals, lf.astype(np.int32), own, pos, run, n - 1)
+
 
+def walk(index: Index, reads: list[str], rows: bool = False) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Lengths of each read, left to right, and, with ``rows``, the row of each base before and after its LF step.
 
-def walk(index: Index, reads: list[str], rows: bool = False) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Lengths of each read, left to right, and, with ``rows``, the row after each base's step."""
+    A character that is no base of the text has length 0 and leaves the row where it is; the LF step is taken all the same.
+    """
     lengths = np.array([len(r) for r in reads])
     order = np.argsort(-lengths, kind="stable")
     code = np.full(256, -1, np.int8)
     for k, base in enumerate(BASES):
         code[ord(base)] = k
     out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(reads)
-    stops: list[np.ndarray] = [np.zeros(0, np.int64)] * len(reads)
+    befores: list[np.ndarray] = [np.zeros(0, np.int64)] * len(reads)
+    afters: list[np.ndarray] = [np.zeros(0, np.int64)] * len(reads)
     low = 0
     while low < len(order):
         width = int(lengths[order[low]])
@@ -131,13 +172,13 @@ def walk(index: Index, reads: list[str], rows: bool = False) -> tuple[list[np.nd
         some, low = order[low:high], high
         if not width or not index.rows:
             for i in some:
-                out[i], stops[i] = np.zeros(lengths[i], np.int32), np.full(lengths[i], -1)
+                out[i], befores[i], afters[i] = np.zeros(lengths[i], np.int32), np.full(lengths[i], -1), np.full(lengths[i], -1)
             continue
         bases = np.full((len(some), width), -1, np.int8)
         for j, i in enumerate(some):
             bases[j, : lengths[i]] = code[np.frombuffer(reads[i].encode("ascii", "replace"), np.uint8)][::-1]
         now, length = np.full(len(some), index.start), np.zeros(len(some), np.int32)
-        found, seen = np.zeros((len(some), width), np.int32), np.full((len(some), width), -1, np.int64)
+        found, before, after = np.zeros((len(some), width), np.int32), *(np.full((len(some), width if rows else 0), -1, np.int64) for _ in "ba")
         live = len(some)
         for t in range(width):  # right to left, all reads that are long enough
             while live and lengths[some[live - 1]] <= t:
@@ -146,32 +187,32 @@ def walk(index: Index, reads: list[str], rows: bool = False) -> tuple[list[np.nd
             legal = c >= 0
             at = now[:live]
             c0 = np.where(legal, c, 0)
-            goal = index.after[at, c0]
-            step = legal & (goal >= 0)
-            length[:live] = np.where(step & index.match[at, c0], length[:live] + 1, 0)
-            # a base that the text lacks leaves the row where it is
-            now[:live] = np.where(step, goal, at)
+            goal = index.goal[at, c0]
+            known = legal & (goal >= 0)
+            length[:live] = np.where(known & (index.base[at] == c0), length[:live] + 1, 0)
+            goal = np.where(known, goal, at)
+            now[:live] = index.lf[goal]
             found[:live, t] = length[:live]
             if rows:
-                seen[:live, t] = now[:live]
+                before[:live, t], after[:live, t] = goal, now[:live]
         for j, i in enumerate(some):
             out[i] = np.minimum(found[j, : lengths[i]][::-1], CLAMP)
-            stops[i] = seen[j, : lengths[i]][::-1]
-    return out, stops
+            befores[i], afters[i] = before[j, : lengths[i]][::-1], after[j, : lengths[i]][::-1]
+    return out, befores, afters
 
 
 def query(reads: DataFrame, index: Index, sa_entries: bool = False, runs: bool = False) -> DataFrame:
-    """``read_id, lens`` (array, left to right) and, if asked for, ``sa`` and ``runs``: the text's place and the run of
-    the row after each base's step."""
+    """``read_id, lens`` (array, left to right) and, if asked for, ``sa``, the text's place of the row that each base has been
+    looked up in, before the LF step, and ``runs``, the run of the row after it."""
     shared = reads.sparkSession.sparkContext.broadcast(index)
     kind = reads.schema["read_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for batch in batches:
-            lens, stops = walk(held, [s or "" for s in batch.column(1).to_pylist()], sa_entries or runs)
+            lens, before, after = walk(held, [s or "" for s in batch.column(1).to_pylist()], sa_entries or runs)
             columns, names = [batch.column(0), pa.array(lens, pa.list_(pa.int32()))], ["read_id", "lens"]
-            for name, wanted, values in (("sa", sa_entries, held.pos), ("runs", runs, held.run)):
+            for name, wanted, values, stops in (("sa", sa_entries, held.pos, before), ("runs", runs, held.run, after)):
                 if wanted:
                     columns.append(pa.array([np.where(s >= 0, values[s], -1) for s in stops], pa.list_(pa.int64())))
                     names.append(name)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators import bwt, classify, colors, corpus, kmers, matches, pml
-from seqloom.session import materialize, ship
+from seqloom.operators.classify import BIN_WIDTH, SECOND_MARGIN
+from seqloom.session import exists, materialize, ship
 
 
 @dataclass
@@ -19,6 +20,7 @@ class Index:
     separators: bool = True
     taxa: DataFrame | None = None  # doc_id, taxon; else each document is its own
     _made: dict = field(default_factory=dict)
+    _path: str | None = None  # of an index that was loaded
 
     def _keep(self, key, make):
         if key not in self._made:
@@ -65,6 +67,10 @@ class Index:
         return self._keep("colors", lambda: tuple(map(materialize, colors.color_sets(self.documents))))
 
     def kmers(self, k: int) -> DataFrame:
+        """The k-mers of all segments, as saved if they were."""
+        spark = self.refs.sparkSession
+        if self._path and exists(spark, f"{self._path}/kmers/k={k}"):
+            return self._keep(("kmers", k), lambda: spark.read.parquet(f"{self._path}/kmers/k={k}"))
         return self._keep(("kmers", k), lambda: materialize(kmers.kmer_table(self.segments, k)))
 
     def words(self, k: int) -> DataFrame:
@@ -80,21 +86,48 @@ class Index:
 
         return self._keep(("arrays", thresholds), make)
 
-    def save(self, path: str, ks: list[int] | None = None) -> None:
-        """All tables as Parquet; k-mer tables are partitioned by k."""
-        tables = {"segments": self.segments, "rows": self.rows, "moves": self.moves, "species": self.species, "run_colors": self.colors[0], "colors": self.colors[1], "samples": bwt.sampled(self.sa)}
+    @property
+    def thresholds(self) -> DataFrame:
+        """``c, first, last, cut``: where a walk that looks for a base goes down rather than up, for each gap between its rows."""
+
+        def make() -> DataFrame:
+            if (n := self.rows.count()) > pml.MOST_ROWS:
+                raise ValueError(f"an index of {n} rows is too large for the driver")
+            return materialize(self.rows.sparkSession.createDataFrame(pml.thresholds(self.rows.select("row", "pos", "c").toPandas()), "c string, first long, last long, cut long"))
+
+        return self._keep("thresholds", make)
+
+    def null(self, kind: str) -> DataFrame:
+        """Statistics of the null model of a query, if it was saved or set."""
+        return self._made.get(("null", kind))
+
+    @property
+    def samples(self) -> DataFrame:
+        return self._keep("samples", lambda: materialize(bwt.sampled(self.sa)))
+
+    def save(self, path: str, ks: list[int] | None = None, nulls: list[str] | None = None) -> None:
+        """All tables as Parquet; k-mer tables are partitioned by k, null models by the query."""
+        tables = {"segments": self.segments, "rows": self.rows, "moves": self.moves, "species": self.species, "run_colors": self.colors[0], "colors": self.colors[1]}
+        tables |= {"text": self.text, "sa": self.sa, "samples": self.samples, "row_documents": self.documents}
         for name, frame in tables.items():
             frame.write.mode("overwrite").parquet(f"{path}/{name}")
-        if ks:
-            kmers.kmer_tables(self.segments, ks).write.mode("overwrite").partitionBy("k").parquet(f"{path}/kmers")
+        for k in ks or ():
+            kmers.kmer_table(self.segments, k).write.mode("overwrite").parquet(f"{path}/kmers/k={k}")
+        for kind in nulls or ():
+            Engine(self).null_statistics(kind).write.mode("overwrite").parquet(f"{path}/nulls/{kind}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
         """An index whose tables were saved."""
         read = lambda name: spark.read.parquet(f"{path}/{name}")
         segments = read("segments")
-        out = cls(segments.filter("strand = 0").select("doc_id", "seq"))
-        out._made |= {"segments": segments, "rows": read("rows"), "moves": read("moves"), "species": read("species"), "colors": (read("run_colors"), read("colors"))}
+        out = cls(segments.filter("strand = 0").drop("strand"))
+        out._made |= {name: read(name) for name in ("rows", "moves", "species", "text", "sa", "samples")}
+        out._made |= {"segments": segments, "documents": read("row_documents"), "colors": (read("run_colors"), read("colors"))}
+        for kind in ("pml", "rpml", "ms", "zml"):
+            if exists(spark, f"{path}/nulls/{kind}"):
+                out._made["null", kind] = read(f"nulls/{kind}")
+        out._path = path
         return out
 
 
@@ -146,28 +179,69 @@ class Engine:
         """Seeds as long as the least match: no shorter one has to be found first."""
         return matches.mems(materialize(self.islands(reads, least)), self.index.weighted, least, ["ref"], wrap_u16)
 
-    def classify(self, reads: DataFrame, kind: str = "pml", width: int = classify.BIN_WIDTH, null: DataFrame | None = None) -> DataFrame:
-        """The report of reads; ``null``: reads of the null sample, else drawn from the references."""
-        null = null if null is not None else classify.null_reads(self.index.refs)
+    def lengths(self, reads: DataFrame, kind: str) -> DataFrame:
+        """``read_id, pos, len`` of a query that gives lengths."""
+        out = self.query(reads, kind)
+        return pml.long_form(out) if "lens" in out.columns else out
 
-        def lengths(rows: DataFrame) -> DataFrame:
-            out = self.query(rows, kind)
-            return pml.long_form(out) if "lens" in out.columns else out
+    def null_statistics(self, kind: str = "pml", null: DataFrame | None = None) -> DataFrame:
+        """Of the null model: as saved with the index, else of reads that are given or drawn from the references."""
+        if null is None and self.index.null(kind) is not None:
+            return self.index.null(kind)
+        null = null if null is not None else classify.null_reads(self.index.refs)
+        return classify.null_statistics(self.lengths(null, kind))
 
-        thr = classify.threshold(classify.null_statistics(lengths(null)))
+    def classify(self, reads: DataFrame, kind: str = "pml", width: int = BIN_WIDTH, null: DataFrame | None = None) -> DataFrame:
+        """The report of reads; ``null``: reads of the null sample, else the saved model or reads drawn from the references."""
         sizes = reads.select("read_id", F.char_length("seq").cast("long").alias("total"))
-        return classify.report(classify.bins(lengths(reads), sizes, width), thr)
+        return classify.report(classify.bins(self.lengths(reads, kind), sizes, width), classify.threshold(self.null_statistics(kind, null)))
+
+    def classify_profiles(self, profiles: DataFrame, kind: str = "pml", width: int = BIN_WIDTH) -> DataFrame:
+        """The report of stored lengths (read_id, lens)."""
+        sizes = profiles.select("read_id", F.size("lens").cast("long").alias("total"))
+        return classify.report(classify.bins(pml.long_form(profiles), sizes, width), classify.threshold(self.null_statistics(kind)))
+
+    def report_colors(self, reads: DataFrame) -> DataFrame:
+        """``read_id, pos, color_id``: the color of each base's row, -1 for a base without a match or a row without documents."""
+        each = self.pml(reads, runs=True).select("read_id", F.posexplode(F.arrays_zip("lens", "runs")).alias("pos", "x"))
+        joined = each.join(self.index.colors[0], F.col("x.runs") == F.col("run"), "left")
+        return joined.select("read_id", "pos", F.when(F.col("x.lens") >= 1, F.coalesce("color_id", F.lit(-1))).otherwise(F.lit(-1)).alias("color_id"))
 
-    def multi_class(self, reads: DataFrame, least: int = 1) -> DataFrame:
-        """Best and second taxon of each read by votes of its pseudo-matching lengths; 0 for none."""
+    def _votes(self, reads: DataFrame, least: int, pvalue: bool, early_stop: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Votes for taxa, mean lengths (0 of reads that were given up early), and how many bases of a read vote."""
         profile = materialize(self.pml(reads, runs=True))
         each = profile.select("read_id", F.size("lens").alias("m"), F.posexplode(F.arrays_zip("lens", "runs")).alias("pos", "x"))
         each = each.select("read_id", (F.col("m") - F.col("pos")).alias("step"), F.col("x.lens").alias("len"), F.col("x.runs").alias("run"))
         means = profile.select("read_id", F.coalesce(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x) / F.nullif(F.size("lens"), F.lit(0)), F.lit(0.0)).alias("mean"))
+        if early_stop:
+            given_up = classify.early_stop(profile).join(profile.select("read_id", F.size("lens").alias("size")), "read_id").filter("used < size")
+            means = means.join(given_up.select("read_id", F.lit(0.0).alias("none")), "read_id", "left").select("read_id", F.coalesce("none", "mean").alias("mean"))
         taxa = self.index.species.select("species", "taxon").distinct()
-        votes = colors.votes(each, self.index.documents, least).join(F.broadcast(taxa), "species")
-        votes = votes.select("read_id", F.col("taxon").alias("species"), "cnt", "step")
-        return classify.classes(classify.best_two(votes), means)
+        if pvalue:
+            sizes = self.index.segments.join(self.index.species.select("doc_id", "species"), "doc_id").groupBy("species").agg(F.sum(F.char_length("seq")).alias("bases"))
+            wide = each.filter(F.col("len") >= least).join(self.index.documents.select("run", "species").distinct(), "run")
+            votes = classify.pvalue_scores(wide, sizes).withColumnRenamed("score", "cnt")
+        else:
+            votes = colors.votes(each, self.index.documents, least)
+        votes = votes.join(taxa, "species")
+        votes = votes.select("read_id", F.col("taxon").alias("species"), *[c for c in ("cnt", "step") if c in votes.columns])
+        voting = each.filter(F.col("len") >= least).groupBy("read_id").agg(F.count("*").alias("voting"))
+        return votes, means, reads.select("read_id").join(voting, "read_id", "left").fillna(0, ["voting"])
+
+    def multi_class(self, reads: DataFrame, least: int = 1, min_diff_frac: float = SECOND_MARGIN, pvalue: bool = False, early_stop: bool = False) -> DataFrame:
+        """Best and second taxon of each read by votes of its pseudo-matching lengths; 0 for none. ``pvalue``: votes are scores
+        of lengths against the taxon's size; ``early_stop``: reads of a low running mean are given up."""
+        votes, means, _ = self._votes(reads, least, pvalue, early_stop)
+        return classify.classes(classify.best_two(votes), means, min_diff_frac)
+
+    def all_classes(self, reads: DataFrame, least: int = 1, min_diff_frac: float = SECOND_MARGIN, min_score_frac: float = 0.0, pvalue: bool = False, early_stop: bool = False) -> DataFrame:
+        """``read_id, species, cnt``: all taxa whose votes are close to the best, or at least a share of the voting bases if
+        ``min_score_frac`` is set; none for reads of a low mean length."""
+        votes, means, voting = self._votes(reads, least, pvalue, early_stop)
+        votes = votes.join(means.filter(F.col("mean") >= classify.UNCLASSIFIED_MEAN).select("read_id"), "read_id", "left_semi")
+        if min_score_frac:
+            return votes.join(voting, "read_id").filter(F.col("cnt") >= min_score_frac * F.col("voting")).select("read_id", "species", "cnt")
+        return classify.report_all(votes, min_diff_frac)
 
 
 _OPEN: dict[tuple[str, str], Engine] = {}

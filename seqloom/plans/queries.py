@@ -380,8 +380,8 @@ def lf_verify(spark, sf_dir):
 
 @registered(f"WITH {_TEXT} SELECT pos, c FROM chars")
 def reconstruct_text(spark, sf_dir):
-    index = small_engine(spark, sf_dir).index
-    return bwt.reconstruct(index.rows, index.text)
+    """From the transform's characters alone."""
+    return bwt.reconstruct(small_engine(spark, sf_dir).index.rows)
 
 
 @registered(f"WITH {_BWT} SELECT count(*) AS n, count(DISTINCT run) AS r, count(*) / count(DISTINCT run) AS ratio, max(row) FILTER (c = '$') AS end_row FROM runs")
@@ -482,7 +482,7 @@ def null_reads_whole(spark, sf_dir):
 @registered()
 def null_reads_drawn(spark, sf_dir):
     """A null sample drawn by hash, the same whenever it is drawn."""
-    return classify.null_reads(records(spark, sf_dir), each=4)
+    return classify.null_reads(records(spark, sf_dir))
 
 
 _BINS = f"""WITH {_SEGS}, {_READS}, {_ms()},
@@ -670,10 +670,7 @@ def sa_entries(spark, sf_dir):
 @registered()
 def report_colors(spark, sf_dir):
     """The color of each base's row, -1 for a base without a match or a row without documents."""
-    held = small_engine(spark, sf_dir)
-    each = held.pml(doc_reads(spark, sf_dir), runs=True).select("read_id", F.posexplode(F.arrays_zip("lens", "runs")).alias("pos", "x"))
-    joined = each.join(F.broadcast(held.index.colors[0]), F.col("x.runs") == F.col("run"), "left")
-    return joined.select("read_id", "pos", F.when(F.col("x.lens") >= 1, F.coalesce("color_id", F.lit(-1))).otherwise(F.lit(-1)).alias("color_id"))
+    return small_engine(spark, sf_dir).report_colors(doc_reads(spark, sf_dir))
 
 
 @registered()

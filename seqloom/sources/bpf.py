@@ -1,7 +1,8 @@
 """Binary profile files: a header, then for each read its id, a count and values from right to left.
 
-Layout, little-endian: magic (4 bytes), version (1), entry size in bits (1), two bytes 0; then for each read a 16-bit
-length of the id, the id, a 64-bit count and the values. A file without the magic is read with a given entry size.
+Layout, little-endian: a header of 12 bytes (magic, 4; version in three parts, 1 each; entry size in bits, 1; four bytes 0),
+then for each read a 16-bit length of the id, the id, a 64-bit count and the values. Lengths have 16 bits, colors 64. A file
+without the magic, as files of text places are, is read with a given entry size.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAGIC, VERSION = b"BPF1", 1
+#: Fixed values of the format.
+MAGIC, VERSION = 0x42504600, (1, 0, 0)
+HEADER = struct.Struct("<IBBBBI")
 SIZES = {16: "<u2", 32: "<u4", 64: "<u8"}
 
 
 def encode(ids: list[str], values: list[list[int]], bits: int = 16, header: bool = True) -> bytes:
-    out = [MAGIC + struct.pack("<BBH", VERSION, bits, 0)] if header else []
+    out = [HEADER.pack(MAGIC, *VERSION, bits, 0)] if header else []
     top = (1 << bits) - 1
     for name, row in zip(ids, values):
         raw = name.encode()
@@ -28,11 +31,11 @@ def encode(ids: list[str], values: list[list[int]], bits: int = 16, header: bool
 
 def decode(content: bytes, bits: int = 16) -> list[tuple[str, list[int]]]:
     at = 0
-    if content[:4] == MAGIC:
-        version, bits, _ = struct.unpack_from("<BBH", content, 4)
-        if version != VERSION or bits not in SIZES:
+    if len(content) >= HEADER.size and content[:4] == struct.pack("<I", MAGIC):
+        _, version, _, _, bits, _ = HEADER.unpack_from(content)
+        if version != VERSION[0] or bits not in SIZES:
             raise ValueError(f"version {version} with entries of {bits} bits is not known")
-        at = 8
+        at = HEADER.size
     out = []
     while at < len(content):
         (n,) = struct.unpack_from("<H", content, at)
@@ -45,15 +48,16 @@ def decode(content: bytes, bits: int = 16) -> list[tuple[str, list[int]]]:
     return out
 
 
-def to_files(lengths: DataFrame, bits: int = 16) -> DataFrame:
-    """``part, content``: a file for each partition of ``read_id, lens``."""
+def to_files(lengths: DataFrame, bits: int = 16, header: bool = True) -> DataFrame:
+    """``part, content``: whole files of some reads of ``read_id, lens`` each; ``part`` numbers partitions and files in them."""
 
     def run(batches):
         for k, batch in enumerate(batches):
-            content = encode([str(x) for x in batch.column(0).to_pylist()], batch.column(1).to_pylist(), bits)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([content], pa.binary())], ["part", "content"])
+            content = encode([str(x) for x in batch.column(1).to_pylist()], batch.column(2).to_pylist(), bits, header)
+            first = batch.column(0)[0].as_py() if batch.num_rows else 0
+            yield pa.RecordBatch.from_arrays([pa.array([(first << 32) + k], pa.int64()), pa.array([content], pa.binary())], ["part", "content"])
 
-    return lengths.select("read_id", "lens").mapInArrow(run, "part int, content binary")
+    return lengths.select(F.spark_partition_id().alias("_part"), "read_id", "lens").mapInArrow(run, "part long, content binary")
 
 
 def from_files(files: DataFrame, bits: int = 16) -> DataFrame:

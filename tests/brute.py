@@ -81,18 +81,17 @@ def lcp(a, b):
     return n
 
 
-def pml(read, text):
-    """The walk by its definition, with the first least common prefix between two runs as threshold."""
+def pml(read, text, places=False):
+    """The walk by its definition, with the first least common prefix between two runs as threshold; ``places``: the
+    suffixes of the rows before each LF step instead."""
     sa, c, lf = transform(text)
     n = len(text)
     lcps = [0] + [lcp(text[sa[i - 1] :], text[sa[i] :]) for i in range(1, n)]
-    row, length, out = n - 1, 0, []
+    row, length, out, seen = n - 1, 0, [], []
     for base in reversed(read):
         if base not in "ACGT" or base not in c:
-            length = 0
-            out.append(0)
-            continue
-        if c[row] == base:
+            length = 0  # the row stays, and the LF step is taken
+        elif c[row] == base:
             length += 1
         else:
             length = 0
@@ -106,5 +105,6 @@ def pml(read, text):
                 cut = min(range(up + 1, down + 1), key=lambda r: (lcps[r], r))
                 row = down if row >= cut else up
         out.append(length)
+        seen.append(sa[row])
         row = lf[row]
-    return out[::-1]
+    return seen[::-1] if places else out[::-1]

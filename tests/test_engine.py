@@ -123,7 +123,7 @@ def test_suffix_order(engine):
         assert r["id"] == runs[lf[p]] and r["off"] == lf[p] - runs.index(runs[lf[p]])
     ok = bwt.verify(engine.index.rows).first()
     assert ok["ok"] and ok["n"] == len(TEXT)
-    assert "".join(r["c"] for r in sorted(bwt.reconstruct(engine.index.rows, engine.index.text).collect(), key=lambda r: r["pos"])) == TEXT
+    assert "".join(r["c"] for r in sorted(bwt.reconstruct(engine.index.rows.select("row", "c")).collect(), key=lambda r: r["pos"])) == TEXT
     split = bwt.runs(engine.index.rows.drop("run"), 2).groupBy("run").count().agg(F.max("count")).first()[0]
     assert split == 2
     for r in bwt.locate(engine.index.rows, bwt.sampled(engine.index.sa, 9), engine.index.rows.select("row")).collect():
@@ -142,7 +142,7 @@ def test_suffix_order(engine):
 def test_walks(engine, reads):
     for r in engine.pml(reads, sa_entries=True).collect():
         assert r["lens"] == brute.pml(READS[r["read_id"]], TEXT), READS[r["read_id"]]
-        assert len(r["sa"]) == len(r["lens"])
+        assert r["sa"] == brute.pml(READS[r["read_id"]], TEXT, places=True)
     for r in engine.rpml(reads).collect():
         assert len(r["lens"]) == len(READS[r["read_id"]])
         assert all(a <= b for a, b in zip(r["lens"], brute.ms(READS[r["read_id"]], [TEXT])))
@@ -154,10 +154,38 @@ def test_walk_by_chance(spark):
     text = "".join(f"{s}%{brute.rc(s)}%" for s in refs) + "$"
     index = Index(spark.createDataFrame(list(enumerate(refs)), "doc_id long, seq string")).arrays()
     some = ["".join(rng.choice("ACGTN") if rng.random() < 0.3 else refs[0][i % len(refs[0])] for i in range(rng.randint(0, 50))) for _ in range(40)]
-    got, _ = pml.walk(index, some)
+    got, befores, _ = pml.walk(index, some, rows=True)
+    assert [index.pos[x].tolist() for x in befores] == [brute.pml(s, text, places=True) for s in some]
     assert [x.tolist() for x in got] == [brute.pml(s, text) for s in some]
 
 
+def test_thresholds(engine):
+    """The first least common prefix between two rows with a base, and how many rows the splits make."""
+    rows = engine.index.rows.select("row", "pos", "c", "run").toPandas()
+    sa, c, _ = brute.transform(TEXT)
+    lcps = [0] + [brute.lcp(TEXT[sa[i - 1] :], TEXT[sa[i] :]) for i in range(1, len(sa))]
+    found = engine.index.thresholds.collect()
+    for r in found:
+        assert all(c[k] != r["c"] for k in range(r["first"], r["last"] + 1))
+        assert (r["first"] == 0 or c[r["first"] - 1] == r["c"]) and (r["last"] + 1 == len(c) or c[r["last"] + 1] == r["c"])
+        stop = min(r["last"] + 1, len(c) - 1)
+        assert r["cut"] == min(range(r["first"], stop + 1), key=lambda k: (lcps[k], k))
+    assert sum(r["last"] - r["first"] + 1 for r in found) == sum(x != b for b in "ACGT" for x in c)
+    heads = {k for k in range(len(c)) if k == 0 or c[k] != c[k - 1]}
+    assert pml.split_rows(rows) == len(heads | {r["cut"] for r in found if r["first"] < r["cut"] <= r["last"]})
+
+
+def test_null_reads_are_bounded(spark):
+    rng = random.Random(3)
+    refs = [(i, "".join(rng.choice("ACGT") for _ in range(rng.choice([40, 151, 700])))) for i in range(300)] + [(900, "N" * 400), (901, ""), (902, None)]
+    frame = spark.createDataFrame(refs, "doc_id long, seq string")
+    got = [tuple(r) for r in classify.null_reads(frame).collect()]
+    assert len(got) == 1000 and got == [tuple(r) for r in classify.null_reads(frame.repartition(3)).collect()]
+    by = dict(refs)
+    assert all(s[::-1] in by[int(name.split("_")[0])] and "N" not in s and len(s) == min(150, len(by[int(name.split("_")[0])])) for name, s in got)
+    assert classify.null_reads(frame.filter("doc_id = 1 or doc_id >= 900")).count() <= 100
+
+
 def test_colors(engine):
     sa, c, _ = brute.transform(TEXT)
     ends, total = [], 0

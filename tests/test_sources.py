@@ -29,6 +29,18 @@ def test_texts(spark):
     assert fasta.lengths_text(lens, compat=False).first()[0] == ">r\n3 2 1"
     assert fasta.count_text(spark.createDataFrame([("r", 3, 7, 2)], "read_id string, matched long, total long, occurrences long")).first()[0] == "r\t3/7\t2"
     assert fasta.mems_text(spark.createDataFrame([("r", 3, 7, 2)], "read_id string, s long, e long, cnt long")).first()[0] == "r\t3\t7\t2"
+    import struct
+
+    from seqloom.sources import bpf
+
+    content = bpf.encode(["r1"], [[3, 1, 70_000]])
+    assert content[:12] == struct.pack("<IBBBB", 0x42504600, 1, 0, 0, 16) + bytes(4) and len(content) == 12 + 2 + 2 + 8 + 6
+    assert bpf.decode(content) == [("r1", [3, 1, 65_535])] and bpf.decode(bpf.encode(["r1"], [[1 << 40]], 64)) == [("r1", [1 << 40])]
+    assert bpf.decode(bpf.encode(["a", "b"], [[5], []], 64, header=False), 64) == [("a", [5]), ("b", [])]
+    long = spark.createDataFrame([("r" * 40, "FOUND", 3.254, 2, 1), ("s", "FOUND", 12.0, 2, 1), ("t", "FOUND", 0.0, 0, 1), ("u", "FOUND", 123.4, 0, 1)], "read_id string, status string, avg_max double, above long, below long")
+    lines = [r[0] for r in fasta.report_text(long, 14).collect()]
+    assert lines[0].startswith("read id:") and "(thr=14" in lines[0]
+    assert [x.split()[-3].removeprefix("FOUND") for x in lines[1:]] == ["3.25", "12", "0", "123"] and lines[1].startswith("r" * 40 + "FOUND")
     row = fasta.report_text(spark.createDataFrame([("r", "FOUND", 1.5, 2, 1)], "read_id string, status string, avg_max double, above long, below long")).first()[0]
     assert len(row) == 95 and row.startswith("r ")
 
