@@ -1,7 +1,7 @@
 """Suffix order, Burrows-Wheeler transform, runs and move rows as DataFrames.
 
-The suffix array comes from prefix doubling: in each round a position is ranked by its own rank and that of the position
-``h`` further on. Ranks are global by ranges, so no task sorts the whole text. A round is a join and a range sort; there
+The suffix array comes from prefix doubling, from the first START characters on: in each round a position is ranked by its
+own rank and that of the position ``h`` further on. Ranks are global by ranges, so no task sorts the whole text. A round is a join and a range sort; there
 are as many as the logarithm of the longest repeat.
 """
 
@@ -16,6 +16,10 @@ from seqloom.operators.order import global_rank, running_sum
 from seqloom.session import materialize, release
 
 
+#: Characters that the first order is by.
+START = 24
+
+
 def characters(segments: DataFrame, separators: bool = True) -> DataFrame:
     """``pos, c, doc_id``: the text, character by character, and its terminator, which belongs to no document."""
     placed = text_pieces(segments, separators).filter("seq <> ''")
@@ -28,11 +32,23 @@ def characters(segments: DataFrame, separators: bool = True) -> DataFrame:
     return rows.unionByName(end)
 
 
+def beginnings(text: DataFrame, size: int = START) -> DataFrame:
+    """``pos, key``: the first ``size`` characters from each position of ``text`` (pos, c), fewer at its end."""
+    block = F.floor(F.col("pos") / PIECE).alias("block")
+    order = F.array_sort(F.collect_list(F.struct("pos", "c")))
+    blocks = text.groupBy(block).agg(F.min("pos").alias("start"), F.array_join(F.transform(order, lambda x: x["c"]), "").alias("piece"))
+    blocks = materialize(blocks)
+    heads = blocks.select((F.col("block") - 1).alias("block"), F.substring("piece", 1, size - 1).alias("more"))
+    joined = blocks.join(heads, "block", "left").select("start", F.char_length("piece").alias("own"), F.concat("piece", F.coalesce("more", F.lit(""))).cast("binary").alias("piece"))
+    rows = joined.select("start", "piece", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"))
+    return rows.select((F.col("start") + F.col("i")).alias("pos"), F.substring("piece", F.col("i") + 1, F.lit(size)).cast("string").alias("key"))
+
+
 def suffix_array(text: DataFrame) -> DataFrame:
     """``row, pos`` of every suffix of ``text`` (pos, c), in byte order; the terminator is the least character."""
     n = text.count()
-    now = materialize(global_rank(text.select("pos", "c"), ["c"], "rank").select("pos", "rank"))
-    h = 1
+    now = materialize(global_rank(beginnings(text), ["key"], "rank").select("pos", "rank"))
+    h = START
     while now.agg(F.count_distinct("rank")).first()[0] < n:
         ahead = now.select((F.col("pos") - h).alias("pos"), F.col("rank").alias("rank2"))
         pairs = now.join(ahead, "pos", "left").select("pos", "rank", F.coalesce("rank2", F.lit(-1).cast("long")).alias("rank2"))

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators.corpus import positions
+from seqloom.session import materialize
+
+#: Different k-mers of reads that are sent to all tasks, some 40 bytes each; more are joined by a shuffle.
+BROADCAST_KMERS = 1_000_000
 
 
 def kmer_table(segments: DataFrame, k: int) -> DataFrame:
@@ -22,23 +26,35 @@ def kmer_tables(segments: DataFrame, ks: list[int]) -> DataFrame:
     return out
 
 
+def asked(table: DataFrame, reads: DataFrame, *also: str) -> DataFrame:
+    """The rows of ``table`` (kmer, ...) whose k-mer is among those of ``reads`` (kmer): different k-mers of the reads go to all
+    tasks if there are at most BROADCAST_KMERS of them, so that the large side is not shuffled before it is filtered."""
+    some = materialize(reads.select("kmer").distinct())
+    if some.count() <= BROADCAST_KMERS:
+        some = F.broadcast(some)
+    return table.join(some, "kmer", "left_semi")
+
+
 def membership(reads: DataFrame, table: DataFrame, k: int) -> DataFrame:
     """``read_id, found, total``: how many of a read's k-mers the dictionary has."""
     total = reads.select("read_id", F.greatest(F.char_length("seq") - k + 1, F.lit(0)).cast("long").alias("total"))
-    hits = positions(reads, k, ["read_id"]).join(table.select("kmer"), "kmer", "left_semi")
+    ours = positions(reads, k, ["read_id"])
+    hits = ours.join(asked(table.select("kmer"), ours), "kmer", "left_semi")
     found = hits.groupBy("read_id").agg(F.count("*").alias("found"))
     return total.join(found, "read_id", "left").select("read_id", F.coalesce("found", F.lit(0).cast("long")).alias("found"), "total")
 
 
 def count_total(reads: DataFrame, table: DataFrame, k: int) -> DataFrame:
     """One row ``found, occurrences``: k-mers of all reads that the dictionary has, and the sum of their counts."""
-    hits = positions(reads, k, ["read_id"]).join(table, "kmer")
+    ours = positions(reads, k, ["read_id"])
+    hits = ours.join(asked(table, ours), "kmer")
     return hits.agg(F.count("*").alias("found"), F.coalesce(F.sum("cnt"), F.lit(0).cast("long")).alias("occurrences"))
 
 
 def count_by_read(reads: DataFrame, table: DataFrame, k: int) -> DataFrame:
     """``read_id, found, occurrences``, reads without any included."""
-    hits = positions(reads, k, ["read_id"]).join(table, "kmer").groupBy("read_id")
+    ours = positions(reads, k, ["read_id"])
+    hits = ours.join(asked(table, ours), "kmer").groupBy("read_id")
     sums = hits.agg(F.count("*").alias("found"), F.sum("cnt").alias("occurrences"))
     zero = F.lit(0).cast("long")
     return reads.select("read_id").join(sums, "read_id", "left").select("read_id", F.coalesce("found", zero).alias("found"), F.coalesce("occurrences", zero).alias("occurrences"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators.corpus import positions
+from seqloom.operators.kmers import asked
 
 
 def distinct_segments(segments: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def islands(reads: DataFrame, refs: DataFrame, k: int, keep: list[str]) -> DataF
     ``keep``: columns that tell references apart.
     """
     ours = positions(reads, k, ["read_id"], "i")
-    theirs = positions(refs, k, keep, "j")
+    theirs = asked(positions(refs, k, keep, "j"), ours)
     hits = ours.join(theirs, "kmer").select("read_id", *keep, (F.col("j") - F.col("i")).alias("diag"), "i")
     line = Window.partitionBy("read_id", *keep, "diag").orderBy("i")
     run = hits.withColumn("run", F.col("i") - F.row_number().over(line))
@@ -118,20 +119,15 @@ def count_suffix(reads: DataFrame, refs: DataFrame, found: DataFrame, words: Dat
     tail = _short(last, words, k, True).join(last, "read_id").filter(F.col("pos") == F.char_length("seq") - 1)
     tail = tail.select("read_id", F.col("len").alias("short"), F.expr("right(seq, cast(len as int))").alias("word"))
     wanted = tail.join(long.select("read_id"), "read_id", "left_anti")
-    # occurrences of a short suffix, by lengths that some read asks for
-    counts = None
-    for n in range(1, k):
-        some = wanted.filter(F.col("short") == n)
-        hits = positions(refs, n, ["weight"]).join(F.broadcast(some.select(F.col("word").alias("kmer")).distinct()), "kmer", "left_semi")
-        part = hits.groupBy("kmer").agg(F.sum("weight").alias("n_short"))
-        part = some.join(part.withColumnRenamed("kmer", "word"), "word").select("read_id", "short", "n_short")
-        counts = part if counts is None else counts.unionByName(part)
+    # occurrences of short suffixes of all lengths, in one pass; places near a reference's end are filled up with a character
+    # that no suffix has
+    filled = refs.select(F.concat("seq", F.lit("$" * (k - 1))).alias("seq"), "weight")
+    places = positions(filled, k - 1, ["weight"]).filter(~F.startswith("kmer", F.lit("$")))
+    each = places.select("weight", F.explode(F.transform(F.sequence(F.lit(1), F.lit(k - 1)), lambda n: F.substring("kmer", F.lit(1), n))).alias("kmer"))
+    counts = asked(each, wanted.select(F.col("word").alias("kmer"))).groupBy("kmer").agg(F.sum("weight").alias("n_short"))
+    counts = wanted.join(counts, F.col("word") == F.col("kmer")).select("read_id", "short", "n_short")
     zero = F.lit(0).cast("long")
-    out = sizes.join(long, "read_id", "left")
-    if counts is not None:
-        out = out.join(counts, "read_id", "left")
-    else:
-        out = out.withColumn("short", zero).withColumn("n_short", zero)
+    out = sizes.join(long, "read_id", "left").join(counts, "read_id", "left")
     return out.select("read_id", F.coalesce("long", "short", zero).alias("matched"), "total", F.coalesce("n", "n_short", zero).alias("occurrences"))
 
 
