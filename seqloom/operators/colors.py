@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators.order import global_rank, running_sum
@@ -12,9 +12,10 @@ KEPT_SETS = 65_536
 
 
 def species(docs: DataFrame, taxon: str = "taxon") -> DataFrame:
-    """``doc_id, species, taxon``: dense numbers of sorted distinct taxa, from 0; there are as many taxa as the table has."""
-    ranks = docs.select(F.col(taxon).alias("taxon")).distinct().select("taxon", (F.row_number().over(Window.orderBy("taxon")) - 1).alias("species"))
-    return docs.select("doc_id", F.col(taxon).alias("taxon")).join(F.broadcast(ranks), "taxon").select("doc_id", "species", "taxon")
+    """``doc_id, species, taxon``: dense numbers of sorted distinct taxa, from 0; a document without a taxon is left out."""
+    taxa = docs.select(F.col(taxon).alias("taxon")).filter("taxon is not null").distinct()
+    ranks = global_rank(taxa, ["taxon"], "species", unique=True).select("taxon", F.col("species").cast("int"))
+    return docs.select("doc_id", F.col(taxon).alias("taxon")).join(ranks, "taxon").select("doc_id", "species", "taxon")
 
 
 def color_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

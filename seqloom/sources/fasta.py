@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.operators.order import global_rank
+
 
 def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``name, seq, path, block, at``: records of multi-line FASTA. Records are split by Spark's reader, so a large plain file
@@ -29,26 +31,16 @@ def read_fasta_list(spark: SparkSession, list_path: str) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``name, seq, qual`` of four-line FASTQ. A file is one task: only its line numbers tell records apart."""
-    import pyarrow as pa
-
-    def run(batches):
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                lines = [x.rstrip() for x in content.decode().split("\n")]
-                records = [lines[i : i + 4] for i in range(0, len(lines), 4) if lines[i].startswith("@")]
-                records = [r + [""] * (4 - len(r)) for r in records]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0][1:].split(None, 1)[0] if r[0][1:].split() else "" for r in records], pa.string()), pa.array([r[1] for r in records], pa.string()), pa.array([r[3] for r in records], pa.string())], ["name", "seq", "qual"])
-
-    import gzip
-
-    def opened(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([gzip.decompress(x) if x[:2] == b"\x1f\x8b" else x for x in batch.column(0).to_pylist()], pa.binary())], ["content"])
-
-    paths = [paths] if isinstance(paths, str) else paths
-    files = spark.read.format("binaryFile").load(paths).select("content")
-    return files.mapInArrow(opened, "content binary").mapInArrow(run, "name string, seq string, qual string")
+    """``name, seq, qual`` of four-line FASTQ. Lines are numbered by ranges over all tasks, so a large plain file is many
+    tasks; gzip files are read by a task each."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    numbered = global_rank(lines, ["path", "block", "at"], "n", unique=True)
+    first = numbered.groupBy("path").agg(F.min("n").alias("first"))  # a row a file
+    placed = numbered.join(first, "path").withColumn("n", F.col("n") - F.col("first"))
+    line = lambda k: F.rtrim(F.coalesce(F.max(F.when(F.col("n") % 4 == k, F.regexp_replace("value", "\r$", ""))), F.lit("")))
+    records = placed.groupBy("path", F.floor(F.col("n") / 4).alias("record")).agg(*[line(k).alias(c) for k, c in ((0, "title"), (1, "seq"), (3, "qual"))])
+    name = F.split(F.expr("substring(title, 2)"), r"\s+")[0]
+    return records.filter(F.startswith("title", F.lit("@"))).select(name.alias("name"), "seq", "qual")
 
 
 def read_reads(spark: SparkSession, path: str) -> DataFrame:

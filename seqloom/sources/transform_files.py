@@ -48,6 +48,22 @@ def read_runs(spark: SparkSession, heads: str, lengths: str) -> DataFrame:
     return pair.mapInArrow(run, "run long, c string, n long, p long")
 
 
+def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
+    """``run, thr`` of a file with a threshold of 5 bytes for each run."""
+
+    def run(batches):
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                if len(raw) % LENGTH_BYTES:
+                    raise ValueError(f"{len(raw)} bytes are not a whole number of thresholds")
+                values = (np.frombuffer(raw, np.uint8).reshape(-1, LENGTH_BYTES).astype(np.int64) << (8 * np.arange(LENGTH_BYTES))).sum(1)
+                for low in range(0, len(values), 1 << 18):
+                    some = values[low : low + (1 << 18)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(low, low + len(some))), pa.array(some)], ["run", "thr"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "run long, thr long")
+
+
 def expand(runs: DataFrame) -> DataFrame:
     """``row, c`` of runs (c, n, p)."""
     rows = runs.filter("n > 0").select("c", F.explode(F.sequence("p", F.col("p") + F.col("n") - 1)).alias("row"))

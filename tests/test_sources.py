@@ -84,3 +84,26 @@ def test_transform_files(spark, tmp_path):
     stepped = bwt.lf_of_transform(again)
     assert {r["row"]: r["lf"] for r in stepped.collect()} == {r["row"]: r["lf"] for r in index.rows.collect()}
     assert {r["row"]: r["pos"] for r in bwt.places_of_transform(stepped).collect()} == {r["row"]: r["pos"] for r in index.rows.collect()}
+
+
+def test_thresholds_file(spark, tmp_path):
+    from seqloom.sources import transform_files
+
+    values = [0, 1, 70_000, (1 << 40) - 1]
+    (tmp_path / "thr").write_bytes(b"".join(v.to_bytes(5, "little") for v in values))
+    assert [r["thr"] for r in transform_files.read_thresholds(spark, str(tmp_path / "thr")).orderBy("run").collect()] == values
+
+
+def test_fastq_in_many_tasks(spark, tmp_path):
+    """Records over many splits of a file, with qualities that begin like titles, and of several files."""
+    rows = [(f"r{i}", "ACGT" * (1 + i % 5), "@" * (4 + 4 * (i % 5))) for i in range(400)]
+    text = "".join(f"@{n} more\n{s}\n+\n{q}\n" for n, s, q in rows)
+    (tmp_path / "a.fq").write_text(text)
+    (tmp_path / "b.fq").write_text("@x\r\nGG\r\n+\r\nII\r\n@y\nA")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
+    try:
+        got = {(r["name"], r["seq"], r["qual"]) for r in fasta.read_fastq(spark, [str(tmp_path / "a.fq"), str(tmp_path / "b.fq")]).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {*rows, ("x", "GG", "II"), ("y", "A", "")}
