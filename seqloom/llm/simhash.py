@@ -219,11 +219,13 @@ def _runs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
     """``<id_col>, fp`` (long) and ``component_id``, the smallest id that links reach, one row per input row."""
     marked = materialize(fingerprints(docs, id_col, text_col, words))
-    nodes = materialize(marked.groupBy("fp").agg(F.min("doc").alias("least")))
-    joined = components(links(nodes.select(F.col("fp").alias("node"), "fp"), bits), "a", "b")
-    rooted = materialize(nodes.join(joined, nodes.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    classes = with_group(rooted, ["root"], F.min("least"), F.min("part"), "component_id", ["fp"])
-    return _back(marked, classes.select("fp", "component_id")).withColumnRenamed("doc", id_col)
+    with scratch(docs.sparkSession) as keep:
+        nodes = materialize(marked.groupBy("fp").agg(F.min("doc").alias("least")))
+        joined = components(links(nodes.select(F.col("fp").alias("node"), "fp"), bits), "a", "b")
+        rooted = materialize(nodes.join(joined, nodes.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+        classes = with_group(rooted, ["root"], F.min("least"), F.min("part"), "component_id", ["fp"])
+        classes = keep(classes.select("fp", "component_id"))
+    return _back(marked, classes).withColumnRenamed("doc", id_col)
 
 
 def _back(marked: DataFrame, classes: DataFrame) -> DataFrame:

@@ -221,6 +221,43 @@ def test_language_path_is_best():
         assert value(path) == pytest.approx(best)
 
 
+def test_language_counts_by_brute_force(spark):
+    """Trigrams of every labelled text, script by script, and the weights that follow."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(31)
+    rows = [(i, fixtures.prose(rng, 12, "etaoin") if i % 2 else fixtures.prose(rng, 9, "\u03b1\u03b2\u03b3xy") + " \u4e2d\u6587!", "en" if i % 2 else "el") for i in range(60)]
+    rows += [(60, None, "en"), (61, "", "el"), (62, "not counted", None), (63, "12 %%", "en")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["el", "en"]
+    for k, lang in enumerate(model.langs):
+        grams, scripts, letters = Counter(), Counter(), 0
+        for _, text, mine in rows:
+            for word in langid.WORDS.findall(text or "") if mine == lang else ():
+                padded = [0, *map(ord, word.lower()), 0]
+                for a, b, c in zip(padded, padded[1:], padded[2:]):
+                    mixed = a * 1_000_003 + b * 8_191 + c * 131
+                    grams[(mixed ^ (mixed >> 15)) % langid.BUCKETS] += 1
+                start = max(s for s, _ in langid.BLOCKS if s <= ord(word[0].lower()))
+                scripts[dict(langid.BLOCKS)[start]] += len(word)
+                letters += len(word)
+        total = sum(grams.values()) + 0.5 * langid.BUCKETS
+        assert np.allclose(model.weights[list(grams), k], [math.log((n + 0.5) / total) for n in grams.values()])
+        others = np.setdiff1d(np.arange(langid.BUCKETS), list(grams))
+        assert np.allclose(model.weights[others, k], math.log(0.5 / total))
+        assert [bool(x) for x in model.own[:, k]] == [scripts[s] >= langid.SCRIPT_SHARE * letters for s in langid.SCRIPTS]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="needs the driver's tables")
+def test_language_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = langid.fit(docs.filter(~held))
+    found = langid.identify(docs.filter(held), model).join(docs.select("doc_id", "lang"), "doc_id").filter("lang is not null and lang_pred <> 'und'").collect()
+    assert len(found) > 100 and np.mean([r["lang_pred"] == r["lang"] for r in found]) > 0.98
+
+
 def test_languages(spark):
     rows = language_rows()
     docs = fixtures.frame(spark, rows)
