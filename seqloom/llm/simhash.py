@@ -7,9 +7,11 @@ composed: sets of three positions, chosen such that any four positions hold one
 A posting with more than a tile of members is split by each fourth position and the byte there, which every link in it
 also shares.  Postings that only one fingerprint has are dropped; the others are tallied and verified in blocks.
 
-Distinct fingerprints alone are compared.  What is still a large posting after its split is cut into tiles, and each pair
-of tiles is a block of a bounded size: no task gets a whole posting.  A block returns a spanning forest of its links, fewer
-rows than it has members, never all pairs.  Components follow from the forests (``graph.components``).
+Distinct fingerprints alone are compared.  What is still a large posting after its split is cut into tiles: no task gets a
+whole posting.  Tiles are looked at on their own, twice, dealt otherwise the second time; that joins most of what a
+dense posting has.  Then each pair of tiles is a block of a bounded size, but for pairs within the largest group of the
+posting, which are joined already (:func:`_joined`).  A block returns links between groups that are not joined yet, by a
+star to the least of them, never all pairs.  Components follow from these (``graph.components``).
 
 :func:`keep_one`, the filter, links documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8;
 every link is verified on both whole sets.  The index only groups documents: (1) SimHash fingerprints that link as above
@@ -18,9 +20,8 @@ signatures of POSITIONS bytes, each the low byte of the least hash of the set un
 with at least their similarity as probability, whatever their size.  Postings are BANDS disjoint sets of BAND positions;
 members of a posting whose tally of shared bytes reaches the least one that a similar pair has are in one group.  A pair
 at 0.8 misses all postings with a probability of (1 - 0.8 ** BAND) ** BANDS, about 1e-7, and the tally with 1e-8.  Postings
-whose members are in one group already are left out: first tiles of a posting are looked at on their own, then all pairs
-of tiles of the postings that are left.  (3) Within a group all pairs are verified, in blocks of two tiles of the group,
-each of which returns a spanning forest of its links.
+whose members are in one group already are left out.  (3) Within a group all pairs are verified but those that verified
+links have joined already, in the same steps of tiles and pairs of tiles.
 
 Defined results: null text is empty text; a text without words has fingerprint zero and links like any other; equal
 texts have equal fingerprints and so one component; an empty table gives an empty result; only id and text are read.
@@ -128,18 +129,22 @@ def linked(a: np.ndarray, b: np.ndarray, shared: int = SHARED, bits: int = BITS)
     return out
 
 
-def _forest(near: np.ndarray, names: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of a block's links (a matrix), by edges that are links themselves."""
+def _forest(near: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
+    """What a block's links (a matrix) join: from each label to the least one of those that meet, where they differ."""
     left, edges = np.ones(len(near), bool), []
     for first in range(len(near)):
-        work = [first] if left[first] else []
+        if not left[first]:
+            continue
+        work, met = [first], [first]
         left[first] = False
         while work:
-            now = work.pop()
-            found = np.flatnonzero(near[now] & left)
+            found = np.flatnonzero(near[work.pop()] & left)
             left[found] = False
-            edges += [(a, int(names[now])) for a in names[found].tolist()]
             work += found.tolist()
+            met += found.tolist()
+        if len(met) > 1:
+            least, *others = np.unique(labels[met]).tolist()
+            edges += [(a, least) for a in others]
     return edges
 
 
@@ -149,8 +154,14 @@ def _edges(edges) -> pa.RecordBatch:
 
 
 def links(nodes: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
-    """``a, b``: links between nodes (columns node, distinct, and fp; stored) that make the same components as all
-    pairs within ``bits`` differing bits."""
+    """``a, b``: pairs of nodes (columns node, distinct, and fp; stored) that make the same components as all pairs
+    within ``bits`` differing bits."""
+    roots = _by_fingerprint(nodes, bits, tile)
+    return nodes.sparkSession.createDataFrame([], "a long, b long") if roots is None else roots.toDF("a", "b").filter("a <> b")
+
+
+def _by_fingerprint(nodes: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame | None:
+    """``node, root``: components of the nodes by links within ``bits`` differing bits; None if there is no link."""
     if bits > 4:
         raise ValueError("sets of three positions are sure to meet up to four differing bits only")
     shared = 8 - bits
@@ -169,27 +180,64 @@ def links(nodes: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
     frequent = split.join(again, "key").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
     rare = held.filter(F.col("n") <= tile).select(F.shiftleft("key", 12).alias("key"), "node", "fp", F.lit(1).alias("tiles"))
     members = rare.unionByName(frequent.select("key", "node", "fp", "tiles"))
-    members = members.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
 
     def found(block: pa.Table) -> pa.RecordBatch:
         starts, ends = _runs(block)
-        names, fps = block["node"].to_numpy(), block["fp"].to_numpy().view(np.uint64)
+        labels, fps = block["label"].to_numpy(), block["fp"].to_numpy().view(np.uint64)
         twos = starts[ends - starts == 2]
-        twos = twos[linked(fps[twos], fps[twos + 1], shared, bits)]
-        edges = set(zip(names[twos].tolist(), names[twos + 1].tolist()))
+        twos = twos[linked(fps[twos], fps[twos + 1], shared, bits) & (labels[twos] != labels[twos + 1])]
+        edges = set(zip(np.maximum(labels[twos], labels[twos + 1]).tolist(), np.minimum(labels[twos], labels[twos + 1]).tolist()))
         for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist()):
-            edges.update(_forest(linked(fps[s:e, None], fps[None, s:e], shared, bits), names[s:e]))
+            if (labels[s:e] != labels[s]).any():
+                edges.update(_forest(linked(fps[s:e, None], fps[None, s:e], shared, bits), labels[s:e]))
         return _edges(edges)
 
-    return _in_blocks(members, ["node", "fp"], found)
+    return _joined(members, lambda some: some, ["fp"], found)
+
+
+def _joined(members: DataFrame, fetch: Callable, columns: list[str], found: Callable, roots: DataFrame | None = None) -> DataFrame | None:
+    """``node, root``: components of all links within keys, and of ``roots``, what is joined already; None if there is no link.
+
+    ``members``: key, node and tiles (of the key); ``fetch`` adds the columns that ``found`` needs to make ``a, b`` of whole
+    blocks, between labels.  A label is the root of a node in the steps before, so a step adds no more edges than
+    it takes to join what is apart.  The first two steps send each member to one tile, the second by another hash; keys of one tile
+    are done after the first.  The last compares all pairs of tiles, but for members of the key's most frequent label with each other.
+    """
+    for step in ("tiles", "other tiles", "pairs"):
+        now = members
+        if step != "tiles":
+            now = members.filter("tiles > 1")
+            if now.isEmpty():
+                break
+        if roots is None:
+            now = now.withColumn("label", F.col("node"))
+        else:
+            now = now.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        dealt = F.xxhash64("node", F.lit(step))
+        if step == "pairs":
+            parts = now.groupBy("key", "label").agg(F.count("*").alias("n"))
+            sizes = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all")).filter("most.n < all")
+            now = now.join(sizes, "key").withColumn("rest", F.col("label") != F.col("most.label"))
+            now = now.withColumn("few", F.ceil(F.expr("tiles * (all - most.n) / all")).cast("int")).withColumn("many", F.ceil(F.expr("tiles * most.n / all")).cast("int"))
+            now = now.withColumn("tile", F.when(F.col("rest"), F.pmod(dealt, F.col("few"))).otherwise(F.col("few") + F.pmod(dealt, F.col("many"))).cast("int"))
+            other = F.explode(F.expr("if(rest, filter(sequence(0, few + many - 1), x -> x <> tile), sequence(0, few - 1))"))
+            rows = fetch(now.drop("most", "all", "tiles")).withColumn("other", other)
+            rows = rows.select("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "label", *columns)
+        else:
+            if roots is not None:
+                apart = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+                now = now.join(apart.select("key"), "key", "left_semi")
+            rows = fetch(now.withColumn("low", F.pmod(dealt, F.col("tiles")).cast("int")).drop("tiles")).select("key", "low", F.col("low").alias("high"), "label", *columns)
+        edges = materialize(_in_blocks(rows, found).distinct())
+        if not edges.isEmpty():
+            if roots is not None:
+                edges = edges.unionByName(roots.toDF("a", "b"))
+            roots = materialize(components(edges, "a", "b"))
+    return roots
 
 
-def _in_blocks(members: DataFrame, columns: list[str], found: Callable, pairs: bool = True) -> DataFrame:
-    """``a, b``: what ``found`` makes of whole blocks. ``members``: key, tile, tiles (of the key) and the columns. A block is
-    a pair of tiles, and a row goes to as many blocks as its key has tiles; without ``pairs`` a block is one tile."""
-    other = F.explode(F.expr("if(tiles = 1, array(0), filter(sequence(0, tiles - 1), x -> x <> tile))")) if pairs else F.col("tile")
-    rows = members.select("key", "tile", *columns, other.alias("other"))
-    rows = rows.select("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), *columns)
+def _in_blocks(rows: DataFrame, found: Callable) -> DataFrame:
+    """``a, b``: what ``found`` makes of whole blocks, which key, low and high tell apart."""
     rows = rows.repartition(F.col("key"), F.col("low"), F.col("high")).sortWithinPartitions("key", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +269,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = materialize(fingerprints(docs, id_col, text_col, words))
     with scratch(docs.sparkSession) as keep:
         nodes = materialize(marked.groupBy("fp").agg(F.min("doc").alias("least")))
-        joined = components(links(nodes.select(F.col("fp").alias("node"), "fp"), bits), "a", "b")
-        rooted = materialize(nodes.join(joined, nodes.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+        joined = _by_fingerprint(nodes.select(F.col("fp").alias("node"), "fp"), bits)
+        if joined is None:
+            rooted = nodes.withColumn("root", F.col("fp"))
+        else:
+            rooted = materialize(nodes.join(joined, nodes.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
         classes = with_group(rooted, ["root"], F.min("least"), F.min("part"), "component_id", ["fp"])
         classes = keep(classes.select("fp", "component_id"))
     return _back(marked, classes).withColumnRenamed("doc", id_col)
@@ -353,7 +404,7 @@ def _dropped(rows: DataFrame, words: int, similarity: float) -> DataFrame:
         tiles = F.ceil(F.greatest(F.col("n") / NEAR_TILE, F.col("all") / TILE_SHINGLES)).cast("int")
         members = groups.join(sizes.select("root", F.greatest(tiles, F.lit(1)).alias("tiles")), "root")
         members = members.join(nodes.select("node", F.col("first.file").alias("file"), F.col("first.at").alias("at")), "node")
-        wanted = rows.select("file", "at", "text").join(members, ["file", "at"])
+        wanted = rows.select("file", "at", "text").join(members.hint("merge"), ["file", "at"])
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches):
@@ -361,19 +412,19 @@ def _dropped(rows: DataFrame, words: int, similarity: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(found, pa.list_(pa.int64()))], ["key", "tiles", "node", "found"])
 
         members = wanted.select(F.col("root").alias("key"), "tiles", "node", "text").mapInArrow(read, "key long, tiles int, node long, found array<long>")
-        members = members.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+        members = materialize(members)  # texts are read once for all steps
 
         def found(block: pa.Table) -> pa.RecordBatch:
-            names, edges = block["node"].to_numpy(), set()
+            labels, edges = block["label"].to_numpy(), set()
             lists = block["found"].combine_chunks()
             at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
             for s, e in zip(*(x.tolist() for x in _runs(block))):
-                sets = [flat[at[k] : at[k + 1]] for k in range(s, e)]
-                edges.update(_forest(_alike(sets, similarity), names[s:e]))
+                if (labels[s:e] != labels[s]).any():
+                    sets = [flat[at[k] : at[k + 1]] for k in range(s, e)]
+                    edges.update(_forest(_alike(sets, similarity), labels[s:e]))
             return _edges(edges)
 
-        links_ = materialize(_in_blocks(members, ["node", "found"], found))
-        roots = materialize(components(links_, "a", "b"))
+        roots = _joined(members, lambda some: some, ["found"], found)
     else:
         roots = None
     joined = nodes.select("node", "first")
@@ -394,38 +445,22 @@ def _grouped(nodes: DataFrame, similarity: float) -> DataFrame | None:
     postings = nodes.select("node", "signature").mapInArrow(spread, "node long, key long")
     several = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     tiles = F.ceil(F.col("n") / NEAR_TILE).cast("int")
-    held = postings.join(several.select("key", tiles.alias("tiles")), "key")
-    held = materialize(held.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")))
+    held = materialize(postings.join(several.select("key", tiles.alias("tiles")), "key"))
     enough = least_tally(similarity)
 
     def found(block: pa.Table) -> pa.RecordBatch:
-        names, sizes, marks, edges = block["node"].to_numpy(), block["size"].to_numpy(), _matrix(block["signature"]), set()
+        labels, sizes, marks, edges = block["label"].to_numpy(), block["size"].to_numpy(), _matrix(block["signature"]), set()
         for s, e in zip(*(x.tolist() for x in _runs(block))):
-            if e - s > 1:
+            if (labels[s:e] != labels[s]).any():
                 some, size = marks[s:e], sizes[s:e]
                 near = np.minimum(size[:, None], size) >= similarity * np.maximum(size[:, None], size) - 1e-9
                 for row, mark in zip(near, some):
                     row &= (some == mark).sum(1) >= enough
-                edges.update(_forest(near, names[s:e]))
+                edges.update(_forest(near, labels[s:e]))
         return _edges(edges)
 
-    edges, roots = None, None
-    for step in ("fingerprint", "tile", "pairs"):
-        if step == "fingerprint":
-            new = links(nodes.select("node", "fp"))
-        else:
-            root = F.col("node") if roots is None else F.coalesce("root", "node")
-            now = (held if roots is None else held.join(roots, "node", "left")).withColumn("root", root)
-            apart = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.first("tiles").alias("tiles")).filter("low <> high")
-            if step == "pairs":
-                apart = apart.filter("tiles > 1")
-            members = held.join(apart.select("key"), "key", "left_semi").join(nodes.select("node", "size", "signature"), "node")
-            new = _in_blocks(members, ["node", "size", "signature"], found, step == "pairs")
-        new = materialize(new.distinct())
-        if not new.isEmpty():
-            edges = new if edges is None else edges.unionByName(new)
-            roots = materialize(components(edges, "a", "b"))
-    return roots
+    fetch = lambda some: some.join(nodes.select("node", "size", "signature"), "node")
+    return _joined(held, fetch, ["size", "signature"], found, _by_fingerprint(nodes.select("node", "fp")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

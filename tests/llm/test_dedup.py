@@ -225,3 +225,29 @@ def test_keep_one_is_exact(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(simhash, "NEAR_TILE", 16)
     kept = simhash.keep_one(spark.read.parquet(f"{tmp_path}/docs"))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
+
+
+def test_edges_of_a_large_group_grow_with_its_members(spark, tmp_path, monkeypatch):
+    """One group of near copies over 24 tiles and more: what is joined grows with its members, not with pairs of tiles."""
+    rng = random.Random(21)
+    base, n, texts = [f"w{k}" for k in range(120)], 400, []
+    for k in range(n):
+        words = list(base)
+        words[rng.randrange(120)] = f"x{k}"
+        texts.append(" ".join(words))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    seen, components = [], simhash.components
+
+    def counted(edges, a, b):
+        seen.append(edges.count())
+        return components(edges, a, b)
+
+    monkeypatch.setattr(simhash, "NEAR_TILE", 16)
+    monkeypatch.setattr(simhash, "components", counted)
+    kept = simhash.keep_one(spark.read.parquet(f"{tmp_path}/docs"))
+    assert [r["doc_id"] for r in kept.collect()] == [0]
+    assert seen and max(seen[1:]) <= 2 * n, seen  # the first: fingerprints, as below
+    near = materialize(spark.createDataFrame([(x, x) for x in sorted({0} | {1 << a | 1 << b for a in range(62) for b in range(a)})], "node long, fp long"))
+    seen.clear()
+    assert simhash.links(near, 4, 20).count() == near.count() - 1
+    assert max(seen) <= 20 * near.count(), seen
