@@ -50,6 +50,8 @@ LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 WRITTEN = {b: 0x100 + 34 + b - 0x80 for b in range(0x80, 0xA1)} | {0xAD: 0x100 + 34 + 33}
 #: Words whose ids are put in place at once.
 GATHER = 1 << 17
+#: Different words that are looked up at once.
+DISTINCT = 1 << 17
 #: UTF-8 bytes of texts whose words are numbered together.
 SLICE = 8 << 20
 #: New words that are encoded as one text.
@@ -78,19 +80,26 @@ class Tokens:
         # ASCII letters are the same in lower case before and after normalisation if nothing else is there
         column = pc.if_else(pc.string_is_ascii(column), pc.ascii_lower(column), column)
         split = pc.ascii_split_whitespace(column)  # white space that the tokenizer drops
-        coded = split.flatten().dictionary_encode()
-        ids = self._distinct(coded.dictionary)
+        del column  # what is done with goes before the next is made
+        upto = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        split = split.flatten()
+        coded = split.dictionary_encode()
+        del split
+        pa.default_memory_pool().release_unused()
+        words = coded.dictionary
+        ids = [x for low in range(0, len(words), DISTINCT) for x in self._distinct(words.slice(low, DISTINCT))]
         at = coded.indices.to_numpy(zero_copy_only=False)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        starts, packed = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4")
-        ends = np.concatenate([[0], np.cumsum(sizes[at])])
+        sizes = (np.fromiter(map(len, ids), np.int64, len(ids)) // 4).astype(np.int32)
+        starts, packed = np.cumsum(sizes, dtype=np.int64) - sizes, np.frombuffer(b"".join(ids), "<u4")
+        del ids
+        ends = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(sizes[at], out=ends[1:])
         out = np.empty(ends[-1], "<u4")
         for low in range(0, len(at), GATHER):
             some = at[low : low + GATHER]
             first, last = ends[low], ends[low + len(some)]
             out[first:last] = packed[np.repeat(starts[some] - (ends[low : low + len(some)] - first), sizes[some]) + np.arange(last - first)]
-        last = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
-        return out, np.diff(ends[np.concatenate([[0], last])])
+        return out, np.diff(ends[np.concatenate([[0], upto])])
 
     def _distinct(self, words: pa.Array) -> list[bytes]:
         """Packed ids of each word."""
@@ -153,7 +162,7 @@ def tokenize_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end
         encode = tokens(path).encode
         for part in slices(batches, most=SLICE):
             ids, counts = encode(part.column(1))
-            ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
+            ids = np.insert(ids, np.cumsum(counts), end_id)
             sizes = counts + 1
             pieces = -(-sizes // capacity)
             row = np.repeat(np.arange(len(sizes)), pieces)

@@ -14,17 +14,24 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+#: Spark fills an Arrow batch for a Python worker up to so many bytes; the JVM and the worker hold whole batches, several at once.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _OWNED: set[str] = set()
 #: Folders that the innermost :func:`scratch` releases when it ends.
 _SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import the package from where the driver did (clusters use --py-files or an image)."""
+    """Let Python workers import the package from where the driver did (clusters use --py-files or an image), and bound
+    the session's Arrow batches by bytes: 10,000 rows, Spark's other bound, are as large as their texts.  A smaller bound stays."""
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    bound = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH, "1g"))
+    if not 0 < bound <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     return spark
 
 

@@ -1,6 +1,9 @@
 import fixtures
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from seqloom import session
 from seqloom.llm import exact_dedup, pii
 
 
@@ -33,3 +36,23 @@ def test_run_is_the_stages(spark, tmp_path):
     fixtures.stored(spark, tmp_path)
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    try:
+        spark.conf.unset(name)
+        session.ship(spark)
+        found = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 40_000).alias("text")).mapInArrow(sizes, "n long").collect()
+        assert sum(r["n"] for r in found) >= 400 * 40_000 and max(r["n"] for r in found) <= (8 << 20) + 50_000
+        spark.conf.set(name, "1m")  # a smaller bound stays
+        session.ship(spark)
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)

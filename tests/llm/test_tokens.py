@@ -75,6 +75,14 @@ def test_word_ids():
     assert counts.tolist() == [0, 0, 1]
 
 
+def test_word_ids_of_words_looked_up_in_parts(monkeypatch):
+    texts = odd_texts() + [r[1] or "" for r in fixtures.documents()]
+    ids, counts = packing.Tokens(WORDS).encode(pa.array(texts))
+    monkeypatch.setattr(packing, "DISTINCT", 7)
+    some, sizes = packing.Tokens(WORDS, cache=5).encode(pa.array(texts))
+    assert some.tolist() == ids.tolist() and sizes.tolist() == counts.tolist()
+
+
 @pytest.mark.parametrize("capacity", [64, 4096])
 def test_packing(spark, capacity):
     tokenizer = Tokenizer.from_file(WORDS)
