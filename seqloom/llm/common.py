@@ -120,9 +120,10 @@ def with_group(rows: DataFrame, keys: list[str], partial: Column, final: Column,
     """``rows`` with ``name``, an aggregate over each row's group; rows are read twice, so they should be stored.
 
     ``partial`` aggregates ``rows`` into a column ``part``; ``final`` aggregates ``part``.  Groups are reduced by key
-    and salt first and joined back by key and salt, so no task gets a whole hot group.  ``spread``: columns of the salt.
+    and salt first and joined back by key and salt, so no task gets a whole hot group.  ``spread``: columns of the salt.  Neither side is broadcast: ``rows`` may
+    be larger than Spark takes them to be, and hold far more than its files (repeated roots).
     """
     dealt = rows.withColumn("_salt", salted(*spread))
     parts = dealt.groupBy(*keys, "_salt").agg(partial.alias("part"))
     whole = parts.groupBy(*keys).agg(final.alias(name))
-    return dealt.join(parts.select(*keys, "_salt").join(whole, keys), [*keys, "_salt"]).drop("_salt")
+    return dealt.join(parts.select(*keys, "_salt").join(whole.hint("merge"), keys).hint("merge"), [*keys, "_salt"]).drop("_salt")

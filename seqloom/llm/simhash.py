@@ -171,13 +171,14 @@ def _by_fingerprint(nodes: DataFrame, bits: int = BITS, tile: int = TILE) -> Dat
     key = F.shiftleft("p.n", 24) + F.shiftleft(byte("p.x"), 16) + F.shiftleft(byte("p.y"), 8) + byte("p.z")
     postings = rows.select("node", "fp", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("p.z").alias("z"), key.alias("key"))
     several = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    held = materialize(postings.join(several, "key"))
+    # Spark takes no account of rows that an explode or a worker adds and would broadcast either side, so these joins are told
+    held = materialize(postings.join(several.hint("merge"), "key"))
     # a frequent posting is split by a fourth position, of the other five, and its byte
     fourth = F.explode(F.array_except(F.array(*map(F.lit, range(8))), F.array("x", "y", "z")))
     split = held.filter(F.col("n") > tile).select("node", "fp", "key", fourth.alias("q"))
     split = split.select("node", "fp", (F.shiftleft("key", 12) + F.shiftleft((F.col("q") + 1).cast("long"), 8) + byte("q")).alias("key"))
     again = split.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    frequent = split.join(again, "key").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
+    frequent = split.join(again.hint("merge"), "key").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
     rare = held.filter(F.col("n") <= tile).select(F.shiftleft("key", 12).alias("key"), "node", "fp", F.lit(1).alias("tiles"))
     members = rare.unionByName(frequent.select("key", "node", "fp", "tiles"))
 
@@ -212,12 +213,12 @@ def _joined(members: DataFrame, fetch: Callable, columns: list[str], found: Call
         if roots is None:
             now = now.withColumn("label", F.col("node"))
         else:
-            now = now.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+            now = now.join(roots.withColumnRenamed("root", "label").hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
         dealt = F.xxhash64("node", F.lit(step))
         if step == "pairs":
             parts = now.groupBy("key", "label").agg(F.count("*").alias("n"))
             sizes = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all")).filter("most.n < all")
-            now = now.join(sizes, "key").withColumn("rest", F.col("label") != F.col("most.label"))
+            now = now.join(sizes.hint("merge"), "key").withColumn("rest", F.col("label") != F.col("most.label"))
             now = now.withColumn("few", F.ceil(F.expr("tiles * (all - most.n) / all")).cast("int")).withColumn("many", F.ceil(F.expr("tiles * most.n / all")).cast("int"))
             now = now.withColumn("tile", F.when(F.col("rest"), F.pmod(dealt, F.col("few"))).otherwise(F.col("few") + F.pmod(dealt, F.col("many"))).cast("int"))
             other = F.explode(F.expr("if(rest, filter(sequence(0, few + many - 1), x -> x <> tile), sequence(0, few - 1))"))
@@ -226,7 +227,7 @@ def _joined(members: DataFrame, fetch: Callable, columns: list[str], found: Call
         else:
             if roots is not None:
                 apart = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-                now = now.join(apart.select("key"), "key", "left_semi")
+                now = now.join(apart.select("key").hint("merge"), "key", "left_semi")
             rows = fetch(now.withColumn("low", F.pmod(dealt, F.col("tiles")).cast("int")).drop("tiles")).select("key", "low", F.col("low").alias("high"), "label", *columns)
         edges = materialize(_in_blocks(rows, found).distinct())
         if not edges.isEmpty():
@@ -273,7 +274,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if joined is None:
             rooted = nodes.withColumn("root", F.col("fp"))
         else:
-            rooted = materialize(nodes.join(joined, nodes.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+            rooted = materialize(nodes.join(joined.hint("merge"), nodes.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
         classes = with_group(rooted, ["root"], F.min("least"), F.min("part"), "component_id", ["fp"])
         classes = keep(classes.select("fp", "component_id"))
     return _back(marked, classes).withColumnRenamed("doc", id_col)
@@ -284,8 +285,8 @@ def _back(marked: DataFrame, classes: DataFrame) -> DataFrame:
     from seqloom.llm.common import salted
 
     dealt = marked.withColumn("_salt", salted("doc"))
-    spread = dealt.select("fp", "_salt").distinct().join(classes, "fp")
-    return dealt.join(spread, ["fp", "_salt"]).select("doc", "fp", "component_id")
+    spread = dealt.select("fp", "_salt").distinct().join(classes.hint("merge"), "fp")
+    return dealt.join(spread.hint("merge"), ["fp", "_salt"]).select("doc", "fp", "component_id")
 
 
 def shingles(text: str, words: int = NEAR_WORDS) -> np.ndarray:
@@ -402,8 +403,8 @@ def _dropped(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     if groups is not None:
         sizes = groups.join(nodes.select("node", "size"), "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("all"))
         tiles = F.ceil(F.greatest(F.col("n") / NEAR_TILE, F.col("all") / TILE_SHINGLES)).cast("int")
-        members = groups.join(sizes.select("root", F.greatest(tiles, F.lit(1)).alias("tiles")), "root")
-        members = members.join(nodes.select("node", F.col("first.file").alias("file"), F.col("first.at").alias("at")), "node")
+        members = groups.join(sizes.select("root", F.greatest(tiles, F.lit(1)).alias("tiles")).hint("merge"), "root")
+        members = members.hint("merge").join(nodes.select("node", F.col("first.file").alias("file"), F.col("first.at").alias("at")), "node")
         wanted = rows.select("file", "at", "text").join(members.hint("merge"), ["file", "at"])
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,7 +428,7 @@ def _dropped(rows: DataFrame, words: int, similarity: float) -> DataFrame:
         roots = _joined(members, lambda some: some, ["found"], found)
     else:
         roots = None
-    joined = nodes.select("node", "first")
+    joined = nodes.select("node", "first").hint("merge")
     joined = joined.withColumn("root", F.col("node")) if roots is None else joined.join(roots, "node", "left")
     stay = joined.groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select("first.file", "first.at")
     return rows.select("file", "at").join(stay, ["file", "at"], "left_anti")
@@ -445,7 +446,7 @@ def _grouped(nodes: DataFrame, similarity: float) -> DataFrame | None:
     postings = nodes.select("node", "signature").mapInArrow(spread, "node long, key long")
     several = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     tiles = F.ceil(F.col("n") / NEAR_TILE).cast("int")
-    held = materialize(postings.join(several.select("key", tiles.alias("tiles")), "key"))
+    held = materialize(postings.join(several.select("key", tiles.alias("tiles")).hint("merge"), "key"))
     enough = least_tally(similarity)
 
     def found(block: pa.Table) -> pa.RecordBatch:
@@ -459,7 +460,7 @@ def _grouped(nodes: DataFrame, similarity: float) -> DataFrame | None:
                 edges.update(_forest(near, labels[s:e]))
         return _edges(edges)
 
-    fetch = lambda some: some.join(nodes.select("node", "size", "signature"), "node")
+    fetch = lambda some: some.join(nodes.select("node", "size", "signature").hint("merge"), "node")
     return _joined(held, fetch, ["size", "signature"], found, _by_fingerprint(nodes.select("node", "fp")))
 
 

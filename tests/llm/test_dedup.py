@@ -251,3 +251,23 @@ def test_edges_of_a_large_group_grow_with_its_members(spark, tmp_path, monkeypat
     seen.clear()
     assert simhash.links(near, 4, 20).count() == near.count() - 1
     assert max(seen) <= 20 * near.count(), seen
+
+
+def test_no_postings_are_broadcast(spark):
+    """A node is twenty postings, which Spark takes for one row: none of them may reach the driver."""
+    rng = np.random.default_rng(5)
+    fps = np.unique(rng.integers(0, 1 << 20, 1500))
+    nodes = materialize(spark.createDataFrame([(int(x), int(x)) for x in fps], "node long, fp long"))
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList().size()
+    assert simhash._by_fingerprint(nodes) is not None
+    most = 0
+    runs = store.executionsList()
+    for i in range(before, runs.size()):
+        run = runs.apply(i).executionId()
+        values, found = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (found.apply(j) for j in range(found.size())):
+            for metric in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                if node.name() == "BroadcastExchange" and metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    most = max(most, int(values.get(metric.accumulatorId()).get().replace(",", "")))
+    assert most <= len(fps)
