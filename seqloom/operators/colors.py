@@ -83,9 +83,9 @@ def votes(matches: DataFrame, run_species: DataFrame, least: int = 1) -> DataFra
     return rows.groupBy("read_id", "species").agg(F.count("*").alias("cnt"), F.max("step").alias("step"))
 
 
-def factor_votes(cut: DataFrame, islands: DataFrame, species_of: DataFrame, least: int) -> DataFrame:
+def factor_votes(cut: DataFrame, spans: DataFrame, least: int) -> DataFrame:
     """``read_id, species, cnt``: each factor [s, e) of at least ``least`` bases adds its length for every occurrence.
-    ``islands``: read_id, doc_id, diag, s, e of matches at least as long."""
+    ``spans``: read_id, species, s, e, n of matches at least as long."""
     long = cut.filter(F.col("e") - F.col("s") >= least).select("read_id", F.col("s").alias("a"), F.col("e").alias("b"))
-    rows = islands.join(long, "read_id").filter((F.col("s") <= F.col("a")) & (F.col("e") >= F.col("b"))).join(species_of, "doc_id")
-    return rows.groupBy("read_id", "species").agg(F.sum(F.col("b") - F.col("a")).alias("cnt"))
+    rows = spans.join(long, "read_id").filter((F.col("s") <= F.col("a")) & (F.col("e") >= F.col("b")))
+    return rows.groupBy("read_id", "species").agg(F.sum((F.col("b") - F.col("a")) * F.col("n")).alias("cnt"))

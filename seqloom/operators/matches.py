@@ -60,23 +60,25 @@ def _all_positions(reads: DataFrame) -> DataFrame:
     return reads.filter("seq <> ''").select("read_id", F.explode(F.sequence(F.lit(0).cast("long"), size - 1)).alias("pos"))
 
 
-def matching_statistics(reads: DataFrame, found: DataFrame, words: DataFrame, k: int) -> DataFrame:
-    """``read_id, pos, len``: the longest match that starts at each base, clamped to 65535; one row for each base."""
+def matching_statistics(reads: DataFrame, found: DataFrame, words: DataFrame | None, k: int) -> DataFrame:
+    """``read_id, pos, len``: the longest match that starts at each base, clamped to 65535; one row for each base.
+    No words are needed if ``found`` has matches from one base on (k = 1)."""
     spans = found.select("read_id", "s", "e").distinct()
     long = spans.select("read_id", F.explode(F.sequence("s", F.col("e") - k)).alias("pos"), "e")
     long = long.groupBy("read_id", "pos").agg(F.max("e").alias("e"))
-    short = _short(reads, words, k, False)
-    out = _all_positions(reads).join(long, ["read_id", "pos"], "left").join(short, ["read_id", "pos"], "left")
+    out = _all_positions(reads).join(long, ["read_id", "pos"], "left")
+    out = out.withColumn("len", F.lit(0).cast("long")) if words is None else out.join(_short(reads, words, k, False), ["read_id", "pos"], "left")
     length = F.coalesce(F.col("e") - F.col("pos"), F.col("len"), F.lit(0).cast("long"))
     return out.select("read_id", "pos", F.least(length, F.lit(65535).cast("long")).alias("len"))
 
 
-def leftmost(reads: DataFrame, found: DataFrame, words: DataFrame, k: int) -> DataFrame:
-    """``read_id, pos, len``: the longest match that ends at each base; one row for each base."""
+def leftmost(reads: DataFrame, found: DataFrame, words: DataFrame | None, k: int) -> DataFrame:
+    """``read_id, pos, len``: the longest match that ends at each base; one row for each base.  Words as above."""
     spans = found.select("read_id", "s", "e").distinct()
     long = spans.select("read_id", "s", F.explode(F.sequence(F.col("s") + k - 1, F.col("e") - 1)).alias("pos"))
     long = long.groupBy("read_id", "pos").agg(F.min("s").alias("s"))
-    out = _all_positions(reads).join(long, ["read_id", "pos"], "left").join(_short(reads, words, k, True), ["read_id", "pos"], "left")
+    out = _all_positions(reads).join(long, ["read_id", "pos"], "left")
+    out = out.withColumn("len", F.lit(0).cast("long")) if words is None else out.join(_short(reads, words, k, True), ["read_id", "pos"], "left")
     return out.select("read_id", "pos", F.coalesce(F.col("pos") - F.col("s") + 1, F.col("len"), F.lit(0).cast("long")).alias("len"))
 
 
@@ -131,13 +133,17 @@ def count_suffix(reads: DataFrame, refs: DataFrame, found: DataFrame, words: Dat
     return out.select("read_id", F.coalesce("long", "short", zero).alias("matched"), "total", F.coalesce("n", "n_short", zero).alias("occurrences"))
 
 
-def mems(found: DataFrame, refs: DataFrame, least: int, ref_key: list[str], wrap_u16: bool = False) -> DataFrame:
+def counted(found: DataFrame, refs: DataFrame, ref_key: list[str]) -> DataFrame:
+    """``read_id, s, e, n``: islands of ``refs``, whose rows weigh ``weight`` occurrences, by their place in reads."""
+    return found.join(refs.select(*ref_key, "weight"), ref_key).groupBy("read_id", "s", "e").agg(F.sum("weight").alias("n"))
+
+
+def mems(found: DataFrame, least: int, wrap_u16: bool = False) -> DataFrame:
     """``read_id, s, e, cnt``: maximal exact matches of at least ``least`` bases and their occurrences.
 
-    ``found`` has islands of ``refs``, whose rows weigh ``weight`` occurrences. ``wrap_u16`` keeps counts modulo 65536.
+    ``found``: read_id, s, e, n. ``wrap_u16`` keeps counts modulo 65536.
     """
-    long = found.filter(F.col("e") - F.col("s") >= least).join(refs.select(*ref_key, "weight"), ref_key)
-    spans = long.groupBy("read_id", "s", "e").agg(F.sum("weight").alias("weight"))
+    spans = found.filter(F.col("e") - F.col("s") >= least).withColumnRenamed("n", "weight")
     # a span is in no other if no span that starts before or with it ends after it, or with it if it starts before
     line = Window.partitionBy("read_id").orderBy("s", F.desc("e"))
     before = F.max("e").over(line.rowsBetween(Window.unboundedPreceding, -1))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import sequence as S
-from seqloom.operators import bwt, classify, colors, corpus, kmers, matches, pml, taxonomy
+from seqloom.operators import bwt, classify, colors, corpus, kmers, pml, scan, taxonomy
 from seqloom.plans.engine import Engine, opened
 from seqloom.session import materialize, ship
 from seqloom.sources import bpf
@@ -193,7 +193,7 @@ def doc_offsets(spark, sf_dir):
 
 @registered(f"WITH {_SEGS} SELECT kmer, count(*) AS cnt FROM {_kmers('segs', '', SHORT_K, '')} GROUP BY kmer")
 def kmer_table(spark, sf_dir):
-    return kmers.kmer_table(corpus.strands(records(spark, sf_dir)), SHORT_K)
+    return scan.all_counts(records(spark, sf_dir), SHORT_K)
 
 
 @registered(
@@ -202,7 +202,7 @@ def kmer_table(spark, sf_dir):
     + " AS BIGINT) AS code, kmer AS decoded FROM u"
 )
 def kmer_codec(spark, sf_dir):
-    table = kmers.kmer_table(corpus.strands(records(spark, sf_dir)), SHORT_K)
+    table = scan.all_counts(records(spark, sf_dir), SHORT_K)
     coded = table.select("kmer", S.kmer_code(F.col("kmer")).alias("code"))
     return coded.withColumn("decoded", S.kmer_decode(F.col("code"), SHORT_K))
 
@@ -214,8 +214,7 @@ SELECT read_id, count(kmer) FILTER (kmer IN (SELECT kmer FROM {_kmers('segs', ''
 FROM reads LEFT JOIN {_kmers('reads', 'read_id, ', REPORT_K)} USING (read_id) GROUP BY read_id"""
 )
 def kmer_membership(spark, sf_dir):
-    held = engine(spark, sf_dir)
-    return kmers.membership(items(spark, sf_dir), held.index.kmers(REPORT_K), REPORT_K)
+    return engine(spark, sf_dir).kmer_membership(items(spark, sf_dir), REPORT_K)
 
 
 @registered(
@@ -244,7 +243,8 @@ hits AS (SELECT read_id, cnt FROM {_kmers('reads', 'read_id, ', COUNT_K)} JOIN t
 
 @registered(f"{_COUNTED} SELECT count(*) AS found, CAST(coalesce(sum(cnt), 0) AS BIGINT) AS occurrences FROM hits")
 def kmer_count(spark, sf_dir):
-    return kmers.count_total(items(spark, sf_dir), engine(spark, sf_dir).index.kmers(COUNT_K), COUNT_K)
+    reads = items(spark, sf_dir)
+    return kmers.count_total(reads, engine(spark, sf_dir).table(reads, COUNT_K), COUNT_K)
 
 
 @registered(f"{_COUNTED} SELECT read_id, count(cnt) AS found, CAST(coalesce(sum(cnt), 0) AS BIGINT) AS occurrences FROM reads LEFT JOIN hits USING (read_id) GROUP BY read_id")
@@ -538,15 +538,13 @@ votes AS MATERIALIZED (SELECT read_id, species, count(*) AS cnt FROM covered GRO
 
 
 def _covered(spark, sf_dir) -> DataFrame:
-    held = engine(spark, sf_dir)
-    refs = held.index.segments.join(held.index.species.select("doc_id", "species"), "doc_id").groupBy("species", "seq").agg(F.lit(1).alias("_"))
-    found = matches.islands(items(spark, sf_dir), refs.select("species", F.xxhash64("seq").alias("ref"), "seq"), MEM, ["species", "ref"])
-    spans = found.select("read_id", "species", "s", "e").distinct()
+    spans = engine(spark, sf_dir).species_spans(items(spark, sf_dir), MEM)
     return spans.select("read_id", "species", F.explode(F.sequence("s", F.col("e") - 1)).alias("pos")).distinct()
 
 
-def _votes(spark, sf_dir) -> DataFrame:
-    return _covered(spark, sf_dir).groupBy("read_id", "species").agg(F.count("*").alias("cnt"))
+def _votes(spark, sf_dir, covered: DataFrame | None = None) -> DataFrame:
+    covered = covered if covered is not None else _covered(spark, sf_dir)
+    return covered.groupBy("read_id", "species").agg(F.count("*").alias("cnt"))
 
 
 @registered(f"{_VOTES} SELECT read_id, species, cnt FROM votes")
@@ -576,10 +574,11 @@ FROM means LEFT JOIN two USING (read_id)"""
 def read_classes(spark, sf_dir):
     """With the share of covered bases in place of the mean length."""
     reads = items(spark, sf_dir)
-    covered = _covered(spark, sf_dir).select("read_id", "pos").distinct().groupBy("read_id").agg(F.count("*").alias("n"))
+    each = _covered(spark, sf_dir)
+    covered = each.select("read_id", "pos").distinct().groupBy("read_id").agg(F.count("*").alias("n"))
     size = F.nullif(F.char_length("seq"), F.lit(0))
     means = reads.join(covered, "read_id", "left").select("read_id", F.coalesce(F.col("n") / size, F.lit(0.0)).alias("mean"))
-    return classify.classes(classify.best_two(_votes(spark, sf_dir)), means)
+    return classify.classes(classify.best_two(_votes(spark, sf_dir, each)), means)
 
 
 @registered(f"{_VOTES}, t AS (SELECT *, max(cnt) OVER (PARTITION BY read_id) AS top FROM votes) SELECT read_id, species, cnt FROM t WHERE cnt = top OR top - cnt < 0.05 * top")
@@ -593,9 +592,10 @@ SELECT b.read_id, coalesce(string_agg(species, ',' ORDER BY species), '0') AS cl
 FROM bases b LEFT JOIN votes v ON v.read_id = b.read_id AND v.cnt >= 0.5 * b.voting GROUP BY b.read_id"""
 )
 def min_score_frac(spark, sf_dir):
-    voting = _covered(spark, sf_dir).select("read_id", "pos").distinct().groupBy("read_id").agg(F.count("*").alias("voting"))
+    each = _covered(spark, sf_dir)
+    voting = each.select("read_id", "pos").distinct().groupBy("read_id").agg(F.count("*").alias("voting"))
     bases = items(spark, sf_dir).select("read_id").join(voting, "read_id", "left").fillna(0)
-    return classify.min_score(_votes(spark, sf_dir), bases, 0.5)
+    return classify.min_score(_votes(spark, sf_dir, each), bases, 0.5)
 
 
 @registered(
@@ -620,9 +620,7 @@ WHERE f.e - f.s >= {REPORT_K} GROUP BY f.read_id, species"""
 )
 def zml_multiclass(spark, sf_dir):
     held, reads = engine(spark, sf_dir), items(spark, sf_dir)
-    segments = held.index.segments.select("doc_id", "strand", "seq")
-    found = matches.islands(reads, segments, REPORT_K, ["doc_id", "strand"])
-    return colors.factor_votes(held.factors(reads), found, held.index.species.select("doc_id", "species"), REPORT_K)
+    return colors.factor_votes(held.factors(reads), held.species_spans(reads, REPORT_K), REPORT_K)
 
 
 # ---- taxonomy -----------------------------------------------------------------------------------------------------
