@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ MOST_ROWS = 50_000_000
 CLAMP = 65_535
 #: Reads that are walked together, by bases.
 TOGETHER = 4 << 20
+#: Bases of reads whose results a worker holds at once, or one read.
+SLICE = 2 << 20
 
 
 @dataclass
@@ -152,6 +155,17 @@ def build(table: pd.DataFrame, thresholds: bool = True, last: bool = False) -> I
     return Index(goals, lf.astype(np.int32), own, pos, run, n - 1)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch (read_id, seq) in parts of SLICE bases at most, or of one read."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE, side="right"))
+        stop = max(stop, start + 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def walk(index: Index, reads: list[str], rows: bool = False) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
     """Lengths of each read, left to right, and, with ``rows``, the row of each base before and after its LF step.
 
@@ -178,7 +192,7 @@ def walk(index: Index, reads: list[str], rows: bool = False) -> tuple[list[np.nd
         for j, i in enumerate(some):
             bases[j, : lengths[i]] = code[np.frombuffer(reads[i].encode("ascii", "replace"), np.uint8)][::-1]
         now, length = np.full(len(some), index.start), np.zeros(len(some), np.int32)
-        found, before, after = np.zeros((len(some), width), np.int32), *(np.full((len(some), width if rows else 0), -1, np.int64) for _ in "ba")
+        found, before, after = np.zeros((len(some), width), np.int32), *(np.full((len(some), width if rows else 0), -1, np.int32) for _ in "ba")
         live = len(some)
         for t in range(width):  # right to left, all reads that are long enough
             while live and lengths[some[live - 1]] <= t:
@@ -209,7 +223,7 @@ def query(reads: DataFrame, index: Index, sa_entries: bool = False, runs: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             lens, before, after = walk(held, [s or "" for s in batch.column(1).to_pylist()], sa_entries or runs)
             columns, names = [batch.column(0), pa.array(lens, pa.list_(pa.int32()))], ["read_id", "lens"]
             for name, wanted, values, stops in (("sa", sa_entries, held.pos, before), ("runs", runs, held.run, after)):

@@ -2,9 +2,11 @@ import itertools
 import random
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from seqloom.operators import scan
+from seqloom.operators import classify, pml, scan
 from seqloom.plans.engine import Engine, Index
 from seqloom.session import materialize
 
@@ -91,3 +93,25 @@ def test_all_counts(case):
     got = {r["kmer"]: r["cnt"] for r in scan.all_counts(refs, 4).collect()}
     words = {"".join(w) for w in itertools.product(LETTERS, repeat=4)}
     assert got == {w: n for w in words if (n := brute.occurrences(w, segments))}
+
+
+def test_walks_hold_a_slice(monkeypatch):
+    """A batch is walked in parts of bounded bases, all of its reads once and in order."""
+    monkeypatch.setattr(pml, "SLICE", 10)
+    texts = ["ACGT", "", None, "ACGTA", "C", "A" * 30, "GG"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["read_id", "seq"])
+    parts = list(pml._parts(batch))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows == 1 or sum(len(s or "") for s in p.column(1).to_pylist()) <= 10 for p in parts) and len(parts) == 3
+
+
+def test_early_stop_adds_each_length_once(spark):
+    rng = np.random.default_rng(2)
+    lens = {i: (rng.random(n) < share).astype(int).tolist() for i, (n, share) in enumerate([(0, 0), (99, 0.1), (100, 0.1), (1234, 0.4), (1299, 0.39), (900, 0.9), (60_000, 0.4004)])}
+    want = {}
+    for i, each in lens.items():
+        n = len(each)
+        failed = [t for t in range(100, n + 1, 100) if 2 * t > n and sum(each[n - t :]) / t < classify.UNCLASSIFIED_MEAN]
+        want[i] = min(failed, default=n)
+    frame = classify.early_stop(spark.createDataFrame(list(lens.items()), "read_id long, lens array<int>"))
+    assert {r["read_id"]: r["used"] for r in frame.collect()} == want
