@@ -118,9 +118,16 @@ def pvalue_scores(lengths: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def early_stop(lengths: DataFrame, every: int = 100) -> DataFrame:
     """``read_id, used``: bases, from the right, after which a read is given up for a running mean below the limit, tested
-    every ``every`` bases in its left half; else all. ``lengths``: read_id, lens."""
+    every ``every`` bases in its left half; else all. ``lengths``: read_id, lens. Each length is added up once."""
     size = F.size("lens")
-    tests = F.filter(F.when(size >= every, F.sequence(F.lit(every), size, F.lit(every))).otherwise(F.array().cast("array<int>")), lambda n: 2 * n > size)
-    mean = lambda n: F.aggregate(F.slice("lens", size - n + 1, n), F.lit(0).cast("long"), lambda a, x: a + x) / n
-    failed = F.filter(tests, lambda n: mean(n) < UNCLASSIFIED_MEAN)
-    return lengths.select("read_id", F.coalesce(F.array_min(failed), size).alias("used"))
+    blocks = F.when(size >= every, F.sequence(F.lit(1), F.floor(size / every).cast("int"))).otherwise(F.array().cast("array<int>"))
+    zero = F.lit(0).cast("long")
+    sums = F.transform(blocks, lambda i: F.aggregate(F.slice("lens", size - i * every + 1, F.lit(every)), zero, lambda a, x: a + x))
+    start = F.struct(F.lit(0).alias("n"), zero.alias("sum"), F.lit(None).cast("int").alias("failed"))
+
+    def step(state: Column, x: Column) -> Column:
+        n, total = state["n"] + every, state["sum"] + x
+        return F.struct(n.alias("n"), total.alias("sum"), F.coalesce(state["failed"], F.when((2 * n > size) & (total / n < UNCLASSIFIED_MEAN), n)).alias("failed"))
+
+    failed = F.aggregate("sums", start, step)["failed"]
+    return lengths.select("read_id", "lens", sums.alias("sums")).select("read_id", F.coalesce(failed, size).alias("used"))
