@@ -115,3 +115,4 @@ def test_early_stop_adds_each_length_once(spark):
         want[i] = min(failed, default=n)
     frame = classify.early_stop(spark.createDataFrame(list(lens.items()), "read_id long, lens array<int>"))
     assert {r["read_id"]: r["used"] for r in frame.collect()} == want
+    assert "+ 1), 100)" in frame._jdf.queryExecution().optimizedPlan().toString()  # slices have one size, not that of the share
