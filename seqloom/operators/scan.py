@@ -4,6 +4,8 @@ Reads of at most MOST_BASES bases are sent to all tasks as 2-bit codes of WIDTH
 such codes, both strands, and looks them up in arrays; what it gives back is reduced to the reads' side: a length for
 each base, spans with their number, counts of words.  So what is shuffled depends on the reads and the number of tasks,
 not on how often a common word occurs.  Larger reads, or reads with other characters than bases, are joined (``matches``).
+
+References that have bases alone are cut once: what a read has in their other strand, its own other strand has in them.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ TOGETHER = 1 << 20
 PAIRS = 1 << 22
 #: Words of up to so many bases are counted in an array of all words.
 DENSE = 10
+#: Words of so many bases are marked in an array of all words: those that references have, and those that reads have.
+MARKED = 12
 
 _OTHER = 4
 _CODE = np.full(256, _OTHER, np.uint8)
@@ -56,6 +60,14 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (62 - np.frexp(x.astype(np.float64))[1]) >> 1
 
 
+def turned(some: np.ndarray, k: int) -> np.ndarray:
+    """Codes of k bases of the other strand."""
+    out = np.zeros_like(some)
+    for i in range(k):
+        out |= (3 - ((some >> (2 * i)) & 3)) << (2 * (k - 1 - i))
+    return out
+
+
 def words_of(found: np.ndarray, k: int) -> pa.Array:
     """Codes of k bases as text."""
     letters = np.frombuffer(BASES.encode(), np.uint8)[(found[:, None] >> (2 * np.arange(k - 1, -1, -1))) & 3]
@@ -75,6 +87,19 @@ class Reads:
         """The different codes of k bases."""
         return np.unique(self.code[self.room >= k] >> (2 * (WIDTH - k)))
 
+    def both(self) -> Reads:
+        """These, and then the other strand of all bases; an end [s, e) of that half is [2 n - e, 2 n - s) of n bases."""
+        digits = self.code >> (2 * (WIDTH - 1))
+        sizes = np.diff(self.starts)
+        starts = np.concatenate([[0], np.cumsum(np.concatenate([sizes, sizes[::-1]]))]).astype(np.int64)
+        back = np.repeat(starts[1:], np.diff(starts)) - np.arange(2 * len(digits))
+        return Reads(self.ids, starts, np.concatenate([self.code, codes(3 - digits[::-1])]), back)
+
+    def forward(self, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Spans of these bases of spans of :meth:`both`."""
+        n = len(self.code)
+        return np.where(s < n, s, 2 * n - e), np.where(s < n, e, 2 * n - s)
+
     def spans(self, s: np.ndarray, e: np.ndarray) -> list[pa.Array]:
         """Ids, starts and ends within reads of spans of all reads' bases."""
         read = np.searchsorted(self.starts, s, side="right") - 1
@@ -98,42 +123,56 @@ def collected(reads: DataFrame) -> Reads | None:
 
 @dataclass
 class Piece:
-    """References of one strand, one after another: codes, what is left of the reference before its end or another character, and rows."""
+    """References of one strand, one after another: codes, what is left of the reference before its end or another character, and rows.
+    ``both``: it stands for the other strand too, so both strands of reads are looked for."""
 
     code: np.ndarray
     room: np.ndarray
     row: np.ndarray
+    both: bool = False
 
 
-def _pieces(batch: pa.RecordBatch, strands: bool) -> Iterator[Piece]:
-    """The references (last column) of a batch, some at once."""
+def _pieces(batch: pa.RecordBatch, strands: bool, once: bool = False) -> Iterator[Piece]:
+    """The references (last column) of a batch, some at once; ``once``: those that have bases alone in one piece for both strands."""
     column = batch.column(batch.num_columns - 1)
     if pa.types.is_large_string(column.type):
         column = column.cast(pa.string())
-    sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
     first = 0
     while first < len(sizes):
         base = ends[first - 1] if first else 0
         last = max(first + 1, int(np.searchsorted(ends, base + TOGETHER, side="right")))
-        text = [(s or "").encode("ascii", "replace") for s in column.slice(first, last - first).to_pylist()]
-        size = np.fromiter(map(len, text), np.int64, len(text))
+        size, joined = _bytes(column.slice(first, last - first))
         rows = np.arange(first, last)
-        joined = np.frombuffer(b"".join(text), np.uint8)
-        yield _piece(_CODE[joined], size, rows)
-        if strands:
+        digits = _CODE[joined]
+        both = once and strands and not (digits == _OTHER).any()
+        yield _piece(digits, size, rows, both)
+        if strands and not both:
             yield _piece(_BACK[joined[::-1]], size[::-1], rows[::-1])
         first = last
 
 
-def _piece(digits: np.ndarray, size: np.ndarray, rows: np.ndarray) -> Piece:
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of texts and their characters one after another, a byte each."""
+    if not pc.all(pc.string_is_ascii(column)).as_py():
+        text = [s.encode("ascii", "replace") for s in column.to_pylist()]
+        return np.fromiter(map(len, text), np.int64, len(text)), np.frombuffer(b"".join(text), np.uint8)
+    _, offsets, data = column.buffers()
+    stops = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.diff(stops), np.frombuffer(data, np.uint8)[stops[0] : stops[-1]] if data else np.zeros(0, np.uint8)
+
+
+def _piece(digits: np.ndarray, size: np.ndarray, rows: np.ndarray, both: bool = False) -> Piece:
     stop = np.repeat(np.cumsum(size), size)
     place = np.arange(len(digits))
     other = np.flatnonzero(digits == _OTHER)
     if len(other):
         nearest = np.append(other, len(digits))[np.searchsorted(other, place)]
         stop = np.minimum(stop, nearest)
-    return Piece(codes(digits), stop - place, np.repeat(rows, size))
+    return Piece(codes(digits), stop - place, np.repeat(rows, size), both)
 
 
 def _filter(known: np.ndarray) -> tuple[np.ndarray, np.uint64]:
@@ -149,13 +188,16 @@ def _slot(some: np.ndarray, shift: np.uint64) -> np.ndarray:
     return (some.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> shift
 
 
-def _hits(piece: Piece, k: int, known: np.ndarray, table: np.ndarray, shift: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a piece whose k bases are among the known codes, and the number of the code."""
+def _hits(piece: Piece, k: int, known: np.ndarray, table: np.ndarray, shift: np.uint64, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a piece (``among``: of these) whose k bases are among the known codes, and the number of the code."""
     if not len(known):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    some = piece.code >> (2 * (WIDTH - k))
-    place = np.flatnonzero(table[_slot(some, shift)] & (piece.room >= k))
+    code, room = (piece.code, piece.room) if among is None else (piece.code[among], piece.room[among])
+    some = code >> (2 * (WIDTH - k))
+    place = np.flatnonzero(table[_slot(some, shift)])
+    place = place[room[place] >= k]
     some = some[place]
+    place = place if among is None else among[place]
     at = np.minimum(np.searchsorted(known, some), len(known) - 1)
     same = known[at] == some
     return place[same], at[same]
@@ -181,9 +223,9 @@ class _Seeds:
         known, begin = np.unique(some[order], return_index=True)
         return cls(k, known, *_filter(known), np.append(begin, len(place)), place[order], len(held.code))
 
-    def islands(self, piece: Piece) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Starts and ends of maximal matches in the reads, and the reference's row."""
-        where, at = _hits(piece, self.k, self.known, self.table, self.shift)
+    def islands(self, piece: Piece, among: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Starts and ends of maximal matches in the reads, and the reference's row; ``among``: as of :func:`_hits`."""
+        where, at = _hits(piece, self.k, self.known, self.table, self.shift, among)
         pairs = np.cumsum(self.begin[at + 1] - self.begin[at])
         rows = np.flatnonzero(np.append(piece.row[where[1:]] != piece.row[where[:-1]], True)) + 1 if len(where) else []
         first = 0
@@ -219,11 +261,11 @@ def spans(held: Reads, refs: DataFrame, k: int, keep: list[str] | None = None, s
     references (seq) that are alike in ``keep``; ``strands``: of both strands."""
     keep = keep or []
     chosen = refs.select(*keep, F.col("seq").cast("string").alias("seq"))
-    shared = refs.sparkSession.sparkContext.broadcast((held, _Seeds.of(held, k)))
+    shared = refs.sparkSession.sparkContext.broadcast((held, _Seeds.of(held, k), _Seeds.of(held.both(), k)))
     names = ["read_id", "s", "e", *keep, "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reads, seeds = shared.value
+        reads, seeds, seeds_of_both = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -235,8 +277,9 @@ def spans(held: Reads, refs: DataFrame, k: int, keep: list[str] | None = None, s
                 lists = firsts["_row_list"].combine_chunks()
                 group[lists.flatten().to_numpy()] = np.repeat(np.arange(len(firsts)), np.diff(lists.offsets.to_numpy()))
                 kept = firsts["_row_min"].to_numpy()
-            for piece in _pieces(batch, strands):
-                for s, e, row in seeds.islands(piece):
+            for piece in _pieces(batch, strands, once=True):
+                for s, e, row in (seeds_of_both if piece.both else seeds).islands(piece):
+                    s, e = reads.forward(s, e)
                     some.append(np.stack([group[row], s, e, np.ones(len(s), np.int64)]))
                     if sum(x.shape[1] for x in some) > PAIRS:
                         some = [_counted(some)]
@@ -265,37 +308,87 @@ def _kind(held: Reads) -> str:
     return from_arrow_type(held.ids.type).simpleString()
 
 
+@dataclass
+class _Reached:
+    """What reads are looked up by, for :func:`reach`: sorted different codes and each base's, long seeds, and marks of their words."""
+
+    reads: Reads
+    seeds: _Seeds
+    known: np.ndarray
+    number: np.ndarray
+    marked: np.ndarray
+
+    @classmethod
+    def of(cls, held: Reads) -> _Reached:
+        known, number = np.unique(held.code, return_inverse=True)
+        return cls(held, _Seeds.of(held, WIDTH), known, number, held.kmers(MARKED))
+
+    def begun(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        """Marks of the reads' words; what references add to: marks of their words and of shorter ones at their ends, lengths of
+        codes, ends of long matches.  The last mark is of no word."""
+        ours = np.zeros(4**MARKED + 1, bool)
+        ours[self.marked] = True
+        shorter = [np.zeros(4**n, bool) for n in range(MARKED)]
+        return ours, np.zeros(4**MARKED + 1, bool), shorter, np.zeros(len(self.known), np.int64), np.arange(len(self.reads.code))
+
+    def add(self, piece: Piece, found: tuple) -> None:
+        ours, theirs, shorter, best, ends = found
+        word = piece.code >> (2 * (WIDTH - MARKED))
+        few = np.flatnonzero(piece.room < MARKED)
+        for n in range(1, MARKED):
+            shorter[n][word[few[piece.room[few] == n]] >> (2 * (MARKED - n))] = True
+        word[few] = 4**MARKED
+        theirs[word] = True
+        place = np.flatnonzero(ours[word])
+        code, room, n = piece.code[place], piece.room[place], len(self.known)
+        at = np.searchsorted(self.known, code)
+        for near in (np.maximum(at - 1, 0), np.minimum(at, n - 1)):
+            np.maximum.at(best, near, np.minimum(common(self.known[near], code), room))
+        for s, e, _ in self.seeds.islands(piece, place):
+            np.maximum.at(ends, s, e)
+
+    def spans(self, found: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """The matches that start at bases and are in none that starts before."""
+        _, theirs, shorter, best, ends = found
+        alike, values = common(self.known[:-1], self.known[1:]).tolist(), best.tolist()
+        for i in range(1, len(values)):
+            values[i] = max(values[i], min(values[i - 1], alike[i - 1]))
+        for i in range(len(values) - 2, -1, -1):
+            values[i] = max(values[i], min(values[i + 1], alike[i]))
+        size, mark = np.zeros(len(self.known), np.int64), theirs[:-1]
+        for n in range(MARKED, 0, -1):
+            size += mark[self.known >> (2 * (WIDTH - n))]  # what begins a word is one
+            mark = mark.reshape(-1, 4).any(1) | shorter[n - 1]
+        size = np.maximum(size, np.array(values, np.int64))
+        place = np.arange(len(ends))
+        ends = np.maximum.accumulate(np.maximum(ends, place + np.minimum(size[self.number], self.reads.room)))
+        new = np.flatnonzero((ends > place) & (ends > np.concatenate([[0], ends[:-1]])))
+        return new, ends[new]
+
+
 def reach(held: Reads, refs: DataFrame, strands: bool = True) -> DataFrame:
     """``read_id, s, e``: the matches [s, e) of any length that are in no other: a part of a read occurs if it is in one of them.
 
-    Up to WIDTH bases: a place of the references meets its two neighbours among the reads' sorted codes, which begin like it as
-    far as any do; the others follow from these and from how codes begin alike.  Longer ones are prolonged."""
+    Up to MARKED bases: words of references are marked in an array of all.  Up to WIDTH bases: a place of the references that
+    begins like a read by MARKED bases meets its two neighbours among the reads' sorted codes, which begin like it as far as
+    any do; the others follow from these and from how codes begin alike.  Longer ones are prolonged."""
     chosen = refs.select(F.col("seq").cast("string").alias("seq"))
-    known, number = np.unique(held.code, return_inverse=True)
-    shared = refs.sparkSession.sparkContext.broadcast((held, _Seeds.of(held, WIDTH), known, number))
+    shared = refs.sparkSession.sparkContext.broadcast((held, [_Reached.of(x) for x in ([held, held.both()] if strands else [held])]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reads, seeds, sorted_codes, of_base = shared.value
-        n = len(sorted_codes)
-        if not n:
+        reads, sides = shared.value
+        if not len(reads.code):
             return
-        best = np.zeros(n, np.int64)
-        ends = np.arange(len(reads.code))
+        found = [side.begun() for side in sides]
         for batch in batches:
-            for piece in _pieces(batch, strands):
-                at = np.searchsorted(sorted_codes, piece.code)
-                for near in (np.maximum(at - 1, 0), np.minimum(at, n - 1)):
-                    np.maximum.at(best, near, np.minimum(common(sorted_codes[near], piece.code), piece.room))
-                for s, e, _ in seeds.islands(piece):
-                    np.maximum.at(ends, s, e)
-        alike, values = common(sorted_codes[:-1], sorted_codes[1:]).tolist(), best.tolist()
-        for i in range(1, n):
-            values[i] = max(values[i], min(values[i - 1], alike[i - 1]))
-        for i in range(n - 2, -1, -1):
-            values[i] = max(values[i], min(values[i + 1], alike[i]))
-        best = np.array(values, np.int64)
+            for piece in _pieces(batch, strands, once=True):
+                sides[piece.both].add(piece, found[piece.both])
+        spans_ = [np.stack(reads.forward(*side.spans(each))) for side, each in zip(sides, found)]
+        ends = np.arange(len(reads.code))
+        for s, e in spans_:
+            np.maximum.at(ends, s, e)
         place = np.arange(len(ends))
-        ends = np.maximum.accumulate(np.maximum(ends, place + np.minimum(best[of_base], reads.room)))
+        ends = np.maximum.accumulate(ends)
         new = np.flatnonzero((ends > place) & (ends > np.concatenate([[0], ends[:-1]])))
         yield pa.RecordBatch.from_arrays(reads.spans(new, ends[new]), ["read_id", "s", "e"])
 
@@ -307,17 +400,24 @@ def reach(held: Reads, refs: DataFrame, strands: bool = True) -> DataFrame:
 def counts(spark: SparkSession, words: dict[int, np.ndarray], refs: DataFrame, strands: bool = True) -> DataFrame:
     """``kmer, cnt``: how often words occur in references (seq), those that do.  ``words``: sorted different codes, by their bases."""
     chosen = refs.select(F.col("seq").cast("string").alias("seq"))
-    shared = spark.sparkContext.broadcast({k: (x, *_filter(x)) for k, x in words.items() if len(x)})
+    wanted = {}
+    for k, x in words.items():
+        if len(x):
+            back = turned(x, k) if strands else x
+            known = np.union1d(x, back)
+            wanted[k] = (x, np.searchsorted(known, x), np.searchsorted(known, back), (known, *_filter(known)))
+    shared = spark.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = {k: np.zeros(len(known), np.int64) for k, (known, _, _) in shared.value.items()}
+        found = {k: np.zeros((2, len(table[0])), np.int64) for k, (*_, table) in shared.value.items()}
         for batch in batches:
-            for piece in _pieces(batch, strands):
-                for k, (known, table, shift) in shared.value.items():
-                    found[k] += np.bincount(_hits(piece, k, known, table, shift)[1], minlength=len(known))
-        for k, (known, _, _) in shared.value.items():
-            some = np.flatnonzero(found[k])
-            yield pa.RecordBatch.from_arrays([words_of(known[some], k), pa.array(found[k][some])], ["kmer", "cnt"])
+            for piece in _pieces(batch, strands, once=True):
+                for k, (*_, table) in shared.value.items():
+                    found[k][int(piece.both)] += np.bincount(_hits(piece, k, *table)[1], minlength=len(table[0]))
+        for k, (asked, ahead, back, _) in shared.value.items():
+            sums = found[k].sum(0)[ahead] + found[k][1][back]
+            some = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([words_of(asked[some], k), pa.array(sums[some])], ["kmer", "cnt"])
 
     return chosen.mapInArrow(run, "kmer string, cnt long").groupBy("kmer").agg(F.sum("cnt").alias("cnt"))
 
@@ -329,10 +429,14 @@ def all_counts(refs: DataFrame, k: int, strands: bool = True) -> DataFrame:
     chosen = refs.select(F.col("seq").cast("string").alias("seq"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(4**k, np.int64)
+        # the last of each is of places too near to an end
+        each = np.zeros((2, 4**k + 1), np.int64)
         for batch in batches:
-            for piece in _pieces(batch, strands):
-                found += np.bincount((piece.code >> (2 * (WIDTH - k)))[piece.room >= k], minlength=4**k)
+            for piece in _pieces(batch, strands, once=True):
+                word = piece.code >> (2 * (WIDTH - k))
+                word[np.flatnonzero(piece.room < k)] = 4**k
+                each[int(piece.both)] += np.bincount(word, minlength=4**k + 1)
+        found = each[:, :-1].sum(0) + each[1][turned(np.arange(4**k), k)]
         some = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([words_of(some, k), pa.array(found[some])], ["kmer", "cnt"])
 
