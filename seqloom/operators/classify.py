@@ -84,13 +84,24 @@ def best_two(votes: DataFrame) -> DataFrame:
     return ranked.groupBy("read_id").agg(pick(1, "species").alias("best"), pick(1, "cnt").alias("best_cnt"), pick(2, "species").alias("second"), pick(2, "cnt").alias("second_cnt"))
 
 
+def best_of(votes: str) -> list[Column]:
+    """The columns that :func:`best_two` returns, of an array of votes (species, cnt, step) a row."""
+    ranked = F.array_sort(F.transform(votes, lambda v: F.struct((-v["cnt"]).alias("minus"), v["step"].alias("step"), v["species"].alias("species"))))
+    pick = lambda rank, name: F.get(ranked, F.lit(rank - 1))[name]
+    return [pick(1, "species").alias("best"), (-pick(1, "minus")).alias("best_cnt"), pick(2, "species").alias("second"), (-pick(2, "minus")).alias("second_cnt")]
+
+
 def classes(two: DataFrame, means: DataFrame, margin: float = SECOND_MARGIN) -> DataFrame:
     """``read_id, best, second``: 0 and 0 for a read of a low mean length or without votes; the second is 0 unless it is
     close to the best. ``means``: read_id, mean, a row for each read."""
-    rows = means.join(two, "read_id", "left")
+    return chosen(means.join(two, "read_id", "left"), margin)
+
+
+def chosen(rows: DataFrame, margin: float = SECOND_MARGIN) -> DataFrame:
+    """The same of rows (read_id, mean, best, best_cnt, second, second_cnt)."""
     known = F.col("best").isNotNull() & (F.col("mean") >= UNCLASSIFIED_MEAN)
     close = F.col("second").isNotNull() & (F.col("best_cnt") - F.col("second_cnt") < margin * F.col("best_cnt"))
-    zero = F.lit(0).cast(two.schema["best"].dataType)
+    zero = F.lit(0).cast(rows.schema["best"].dataType)
     return rows.select("read_id", F.when(known, F.col("best")).otherwise(zero).alias("best"), F.when(known & close, F.col("second")).otherwise(zero).alias("second"))
 
 

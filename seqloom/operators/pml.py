@@ -27,6 +27,8 @@ CLAMP = 65_535
 TOGETHER = 4 << 20
 #: Bases of reads whose results a worker holds at once, or one read.
 SLICE = 2 << 20
+#: Votes of runs for species that are written out at once, or those of one run.
+SPREAD = 4 << 20
 
 
 @dataclass
@@ -236,6 +238,84 @@ def query(reads: DataFrame, index: Index, sa_entries: bool = False, runs: bool =
     return reads.select("read_id", F.col("seq").cast("string").alias("seq")).mapInArrow(run, schema)
 
 
+def _lists(values: list[np.ndarray], kind: np.dtype) -> pa.ListArray:
+    """Arrays as one column of lists."""
+    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*values, np.zeros(0, kind)]).astype(kind)))
+
+
+def run_values(reads: DataFrame, index: Index, values: np.ndarray) -> DataFrame:
+    """``read_id, found`` (array, left to right): the value of the run of each base's row after its LF step, -1 without a match."""
+    shared = reads.sparkSession.sparkContext.broadcast((index, values))
+    kind = reads.schema["read_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of_run = shared.value
+        for batch in (part for whole in batches for part in _parts(whole)):
+            lens, _, after = walk(held, [s or "" for s in batch.column(1).to_pylist()], True)
+            found = [np.where(n >= 1, of_run[held.run[a]], -1) if len(n) and held.rows else np.full(len(n), -1) for n, a in zip(lens, after)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found, np.int64)], ["read_id", "found"])
+
+    return reads.select("read_id", F.col("seq").cast("string").alias("seq")).mapInArrow(run, f"read_id {kind}, found array<long>")
+
+
+def _tally(key: np.ndarray, cnt: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys with the sum of their counts and their last step."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, np.diff(key) != 0))[: len(key)]
+    if not len(key):
+        return key, cnt, step
+    return key[first], np.add.reduceat(cnt[order], first), np.maximum.reduceat(step[order], first)
+
+
+def _voted(lens: list[np.ndarray], runs: list[np.ndarray], starts: np.ndarray, species: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Read's number, species, count and last step of votes; ``starts`` of each run's ``species``."""
+    sizes = np.array([len(n) for n in lens], np.int64)
+    read = np.repeat(np.arange(len(lens)), sizes)
+    step = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(read))
+    good = np.concatenate(lens) >= least
+    count, width = len(starts) - 1, int(species.max(initial=0)) + 1
+    key, cnt, step = _tally((read * count + np.concatenate(runs))[good], np.ones(good.sum(), np.int64), step[good])
+    read, run = key // max(count, 1), key % max(count, 1)
+    size = starts[run + 1] - starts[run]
+    ends = np.cumsum(size)
+    parts, first = [], 0
+    while first < len(run):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + SPREAD, side="right")))
+        n = size[first:last]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        of = species[np.repeat(starts[run[first:last]], n) + inner]
+        parts.append(_tally(np.repeat(read[first:last], n) * width + of, np.repeat(cnt[first:last], n), np.repeat(step[first:last], n)))
+        first = last
+    none = np.zeros(0, np.int64)
+    key, cnt, step = _tally(*(np.concatenate([none, *x]) for x in zip(*parts))) if parts else (none, none, none)
+    return key // width, key % width, cnt, step
+
+
+def votes(reads: DataFrame, index: Index, starts: np.ndarray, species: np.ndarray, least: int = 1) -> DataFrame:
+    """``read_id, mean, voting, votes``: the mean length (0 of none), how many bases have a length of at least ``least``, and
+    ``cnt, step`` of these bases' votes for each ``species`` of their runs (``colors.votes``), added up where reads are walked.
+    ``starts``: where each run's species start in ``species``, and the end."""
+    shared = reads.sparkSession.sparkContext.broadcast((index, starts, species))
+    kind = reads.schema["read_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, begin, of_run = shared.value
+        for batch in (part for whole in batches for part in _parts(whole)):
+            lens, _, after = walk(held, [s or "" for s in batch.column(1).to_pylist()], True)
+            runs = [held.run[a] if held.rows else np.zeros(len(a), np.int64) for a in after]
+            read, kinds, cnt, step = _voted(lens, runs, begin, of_run, least)
+            offsets = np.searchsorted(read, np.arange(batch.num_rows + 1)).astype(np.int32)
+            each = pa.StructArray.from_arrays([pa.array(kinds.astype(np.int32)), pa.array(cnt), pa.array(step)], ["species", "cnt", "step"])
+            mean = np.array([n.sum(dtype=np.int64) / len(n) if len(n) else 0.0 for n in lens])
+            voting = np.array([(n >= least).sum() for n in lens], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mean), pa.array(voting), pa.ListArray.from_arrays(pa.array(offsets), each)], ["read_id", "mean", "voting", "votes"])
+
+    schema = f"read_id {kind}, mean double, voting long, votes array<struct<species: int, cnt: long, step: long>>"
+    return reads.select("read_id", F.col("seq").cast("string").alias("seq")).mapInArrow(run, schema)
+
+
 def long_form(lengths: DataFrame) -> DataFrame:
     """``read_id, pos, len`` of arrays."""
     return lengths.select("read_id", F.posexplode("lens").alias("pos", "len")).select("read_id", F.col("pos").cast("long"), F.col("len").cast("long"))
